@@ -1,0 +1 @@
+"""No streaming operator is in scope: every input is a closed survey wave."""
