@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.functions.formats import fmt_count_pct, fmt_mean_sd, fmt_n, fmt_p, fmt_smd
 from panelwright.functions.tails import t_p, two_by_two_p
-from panelwright.operators.quantiles import exact_quantiles, weighted_quantile
+from panelwright.operators.quantiles import exact_quantiles, weighted_quantile, with_stats
 
 Z95 = 1.96
 
@@ -239,29 +239,28 @@ def outcome_profile(df: DataFrame, outcomes: Sequence[str], required: Sequence[s
 
 
 def histogram_density(
-    df: DataFrame, col: str, lo: Column | float, hi: Column | float, bins: int, weight: str | None = None
+    df: DataFrame, col: str, lo: float, hi: float, bins: int, weight: str | None = None
 ) -> DataFrame:
     """Density per equal-width bin over [lo, hi]; the last bin is closed; empty
     bins are kept."""
-    lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
     x, w = F.col(quoted(col)).cast("double"), _weight(weight)
     width = (hi - lo) / bins
     inside = x.isNotNull() & w.isNotNull() & (x >= lo) & (x <= hi)
     index = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
     got = df.filter(inside).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("sw"))
-    total = df.filter(inside).agg(F.sum(w).alias("t")).scalar()
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    share = F.try_divide(F.col("sw"), F.sum("sw").over(W.partitionBy(F.lit(0))) * width)
     return frame.join(got, "bin", "left").select(
         "bin",
-        (lo + F.col("bin") * width).alias("left_edge"),
-        (lo + (F.col("bin") + 1) * width).alias("right_edge"),
+        (F.lit(float(lo)) + F.col("bin") * width).alias("left_edge"),
+        (F.lit(float(lo)) + (F.col("bin") + 1) * width).alias("right_edge"),
         F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce(F.try_divide(F.col("sw"), total * width), F.lit(0.0)).alias("density"),
+        F.coalesce(share, F.lit(0.0)).alias("density"),
     )
 
 
 def kde(
-    df: DataFrame, col: str, lo: Column | float, hi: Column | float, points: int = 200,
+    df: DataFrame, col: str, lo: float, hi: float, points: int = 200,
     weight: str | None = None, bandwidth: float | None = None,
 ) -> DataFrame:
     """Exact weighted Gaussian density on an even grid.
@@ -270,7 +269,6 @@ def kde(
     ``points`` grid entries and partial sums are combined before the shuffle.
     Without ``bandwidth`` Scott's rule is used with the effective sample size.
     """
-    lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
     x, w = F.col(quoted(col)).cast("double"), _weight(weight)
     values = (
         df.filter(x.isNotNull() & w.isNotNull()).select(x.alias("v"), w.alias("w"))
@@ -283,17 +281,16 @@ def kde(
     neff = F.col("w") * F.col("w") / F.col("w2")
     var = (F.col("wxx") / F.col("w") - F.pow(F.col("wx") / F.col("w"), F.lit(2))) / (1 - 1 / neff)
     h = F.lit(float(bandwidth)) if bandwidth else F.pow(neff, F.lit(-0.2)) * F.sqrt(var)
-    stats = s.select(F.struct(F.col("w"), h.alias("h")).alias("s")).scalar()
+    step = (hi - lo) / (points - 1)
     grid = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.struct(i.alias("point"), (lo + i * ((hi - lo) / (points - 1))).alias("x")),
+        F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("point"), (F.lit(float(lo)) + i * step).alias("x"))
     )
-    z = (F.col("g.x") - F.col("v")) / stats["h"]
-    return (
-        values.select("v", "w", F.explode(grid).alias("g"))
-        .groupBy("g.point", "g.x")
-        .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("_d"))
-        .select("point", "x", (F.col("_d") / (stats["w"] * stats["h"] * F.sqrt(2 * F.pi()))).alias("density"))
+    z = (F.col("g.x") - F.col("v")) / F.col("h")
+    return with_stats(
+        values.select("v", "w"), s.select(F.col("w").alias("sw"), h.alias("h")), (),
+        lambda d, stat: d.select("v", (F.col("w") / stat("sw")).alias("share"), stat("h").alias("h"), F.lit(0).alias("_stats")),
+    ).select("v", "share", "h", F.explode(grid).alias("g")).groupBy("g.point", "g.x").agg(
+        F.sum(F.col("share") * F.exp(-0.5 * z * z) / (F.col("h") * F.sqrt(2 * F.pi()))).alias("density")
     )
 
 

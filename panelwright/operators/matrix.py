@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.operators.panel import complete_cases
-from panelwright.operators.quantiles import exact_quantiles
+from panelwright.operators.quantiles import exact_quantiles, with_stats
 
 MOMENT_SCHEMA = "fold int, pos int, val double"
 
@@ -31,15 +31,16 @@ def prepare_matrix(
     cont = [v for v in use if v not in binary]
     if not cont:
         return rows, use
-    q = exact_quantiles(rows, cont, [0.25, 0.5, 0.75], method=method).select(
-        F.struct(*[quoted(c) for c in cont]).alias("q")
-    ).scalar()
+    q = exact_quantiles(rows, cont, [0.25, 0.5, 0.75], method=method)
 
-    def scaled(c):
-        width = q[c][2] - q[c][0]
-        return (F.col(quoted(c)) - q[c][1]) / F.when(width == 0, F.lit(1.0)).otherwise(width)
+    def scaled(d, s):
+        def one(c):
+            width = s(c)[2] - s(c)[0]
+            return (F.col(quoted(c)) - s(c)[1]) / F.when(width == 0, F.lit(1.0)).otherwise(width)
 
-    return rows.withColumns({c: scaled(c) for c in cont}), use
+        return d.withColumns({c: one(c) for c in cont})
+
+    return with_stats(rows, q, (), scaled), use
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int, seed: int, out: str = "fold", arithmetic: bool = False) -> DataFrame:

@@ -156,17 +156,21 @@ def moments(df: DataFrame, col: str, by: Sequence[str] = (), method: str = "auto
 def with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], fn) -> DataFrame:
     """Apply ``fn(df, get)`` where ``get(name)`` is a group statistic as a column.
 
-    Without groups the statistics are a scalar subquery (one row by
-    construction); with groups they are joined on the group keys.
+    Without groups the statistics are one scalar subquery (one row by
+    construction), held in a helper column so that the plan has it only once;
+    with groups they are joined on the group keys.
     """
     by = list(by)
-    if not by:
-        packed = stats.select(F.struct(*stats.columns)).scalar()
-        return fn(df, lambda name: packed[name])
-    names = [c for c in stats.columns if c not in by]
-    renamed = stats.select(*by, *[F.col(c).alias(f"_s_{c}") for c in names])
-    joined = df.join(renamed, by, "left")
-    return fn(joined, lambda name: F.col(f"_s_{name}")).drop(*[f"_s_{c}" for c in names])
+    packed = stats.select(*by, F.struct(*[F.col(quoted(c)) for c in stats.columns if c not in by]).alias("_stats"))
+    joined = df.join(packed, by, "left") if by else df.withColumn("_stats", packed.scalar())
+    return fn(joined, lambda name: F.col("_stats")[name]).drop("_stats")
+
+
+def score_stats(df: DataFrame, col: str, probs: Sequence[float], method: str = "auto") -> DataFrame:
+    """One row: mean, sample sd and the quantiles ``q`` of a score."""
+    c = F.col(quoted(col)).cast("double")
+    q = exact_quantiles(df, [col], probs, method=method)
+    return df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).withColumn("q", q.scalar())
 
 
 def zscore(df: DataFrame, col: str, out: str, by: Sequence[str] = ()) -> DataFrame:

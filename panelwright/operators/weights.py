@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwright.functions.codes import quoted, to_num
 from panelwright.operators.glm import GlmBatch, ModelSpec
 from panelwright.operators.panel import membership_flag
-from panelwright.operators.quantiles import exact_quantiles
+from panelwright.operators.quantiles import exact_quantiles, with_stats
 from panelwright.operators.sums import keep_for_passes
 
 # Probability clip and the trimming percentiles of followed rows.
@@ -20,20 +20,23 @@ TRIM = (0.01, 0.99)
 def median_fill(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """Replace missing values by the exact column median."""
     med = exact_quantiles(df, cols, [0.5], method=method)
-    packed = med.select(F.struct(*[F.col(quoted(c)) for c in cols])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(quoted(c)), packed[c][0]) for c in cols})
+    return with_stats(
+        df, med, (), lambda d, s: d.withColumns({c: F.coalesce(F.col(quoted(c)), s(c)[0]) for c in cols})
+    )
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / population sd; a constant column is only centred."""
     stats = df.agg(
-        F.struct(
-            *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-            *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-        ).alias("s")
-    ).scalar()
-    sd = lambda i: F.when(stats[f"s{i}"] == 0, F.lit(1.0)).otherwise(stats[f"s{i}"])
-    return df.withColumns({c: (F.col(quoted(c)) - stats[f"m{i}"]) / sd(i) for i, c in enumerate(cols)})
+        *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+    )
+
+    def scaled(d, s):
+        sd = lambda i: F.when(s(f"s{i}") == 0, F.lit(1.0)).otherwise(s(f"s{i}"))
+        return d.withColumns({c: (F.col(quoted(c)) - s(f"m{i}")) / sd(i) for i, c in enumerate(cols)})
+
+    return with_stats(df, stats, (), scaled)
 
 
 def stabilised(p: Column, p_bar: Column, followed: Column) -> Column:
@@ -43,8 +46,10 @@ def stabilised(p: Column, p_bar: Column, followed: Column) -> Column:
 
 def trim(df: DataFrame, weight: str, followed: str, out: str, probs: tuple[float, float] = TRIM) -> DataFrame:
     """Clip all weights to quantiles of the followed rows' weights."""
-    bounds = exact_quantiles(df.filter(F.col(followed) == 1), [weight], probs).scalar()
-    return df.withColumn(out, F.least(F.greatest(F.col(weight), bounds[0]), bounds[1]))
+    bounds = exact_quantiles(df.filter(F.col(followed) == 1), [weight], probs).withColumnRenamed(weight, "q")
+    return with_stats(
+        df, bounds, (), lambda d, s: d.withColumn(out, F.least(F.greatest(F.col(weight), s("q")[0]), s("q")[1]))
+    )
 
 
 def ipcw(

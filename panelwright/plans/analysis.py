@@ -28,10 +28,10 @@ def weighted_panel(wave1: DataFrame, panel: DataFrame) -> DataFrame:
 
 def distribution(before: DataFrame, after: DataFrame, col: str, weight: str, bins: int = 39, points: int = 200) -> dict[str, DataFrame]:
     """Histogram, densities, normal fit and summary before and after weighting."""
-    ends = lambda d: d.agg(F.min(quoted(col)).alias("lo"), F.max(quoted(col)).alias("hi"))
-    bounds = ends(before).unionByName(ends(after)).agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("s")).scalar()
-    first = ends(before).select(F.struct("lo", "hi").alias("s")).scalar()
-    lo, hi = bounds["lo"] - 1.0, bounds["hi"] + 1.0
+    ends = lambda d: d.agg(F.min(quoted(col)).cast("double"), F.max(quoted(col)).cast("double")).first()
+    (lo, hi), (lo_after, hi_after) = ends(before), ends(after)
+    a, b = lo - 5.0, hi + 5.0
+    lo, hi = min(lo, lo_after) - 1.0, max(hi, hi_after) + 1.0
     hist = pn.tag_union(
         {
             "before": describe.histogram_density(before, col, lo, hi, bins),
@@ -39,7 +39,6 @@ def distribution(before: DataFrame, after: DataFrame, col: str, weight: str, bin
         },
         "series",
     )
-    a, b = first["lo"] - 5.0, first["hi"] + 5.0
     shift = describe.weighting_shift(before, after, col, weight)
     fit = describe.weighted_stats(after, [col], weight).select(F.struct("w_mean", "w_sd").alias("s")).scalar()
     after_density = describe.kde(after, col, a, b, points, weight)

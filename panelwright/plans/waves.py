@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwright.functions.codes import (
     all_of_strict, body_mass_index, multiselect_status, recode, reverse_code, row_sum, threshold,
 )
-from panelwright.operators.quantiles import median_split, qcut, zscore
+from panelwright.operators.quantiles import bin_of, score_stats, with_stats
 from panelwright.plans import codebook as cb
 from panelwright.sources.columns import numeric, require_columns
 
@@ -66,10 +66,19 @@ def exposure(df: DataFrame, method: str = "auto") -> DataFrame:
                          F.lit(None).cast("double").alias(cb.SCORE_HIGH))
     scored = [reverse_code(c, cb.SCORE_TOP) if i in cb.SCORE_REVERSED else c for i, c in found.items()]
     out = df.select(cb.KEY, row_sum(scored, cb.SCORE_MIN_ANSWERED).alias(cb.SCORE))
-    out = zscore(out, cb.SCORE, cb.SCORE_Z)
-    out = qcut(out, cb.SCORE, 4, cb.SCORE_QUARTILE, method=method)
-    out = qcut(out, cb.SCORE, 3, cb.SCORE_TERTILE, method=method)
-    return median_split(out, cb.SCORE, cb.SCORE_HIGH, method=method)
+    c = F.col(cb.SCORE)
+    quarters, thirds = [0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 1 / 3, 2 / 3, 1.0]
+    cuts = score_stats(out, cb.SCORE, [*quarters, *thirds], method)
+
+    def derive(d, s):
+        q = s("q")
+        return d.select(
+            cb.KEY, c, F.try_divide(c - s("mean"), s("sd")).alias(cb.SCORE_Z),
+            bin_of(c, F.slice(q, 1, 5), 4).alias(cb.SCORE_QUARTILE), bin_of(c, F.slice(q, 6, 4), 3).alias(cb.SCORE_TERTILE),
+            F.coalesce((c >= q[2]).cast("double"), F.lit(0.0)).alias(cb.SCORE_HIGH), "_stats",
+        )
+
+    return with_stats(out, cuts, (), derive)
 
 
 def _infection(df: DataFrame) -> Column:
