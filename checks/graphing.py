@@ -63,11 +63,11 @@ _GRAM_SELECT = " UNION ALL ".join(
 )
 
 
-@check(f"""WITH {_MATRIX_SQL}, g AS ({_GRAM_SELECT}) SELECT fold::BIGINT AS fold, var_i, var_j, round(val, 3) AS val FROM g""")
+@check(f"""WITH {_MATRIX_SQL}, g AS ({_GRAM_SELECT}) SELECT fold::BIGINT AS fold, var_i, var_j, round(val, 5) AS val FROM g""")
 def fold_moments(spark, sf):
     """Sums of products per fold in one pass over the complete rows."""
     rows = mx.kfold(_base(spark, sf).na.drop(), ["orderkey"], 5, 2025, arithmetic=True)
-    return rounded(mx.gram_entries(mx.fold_gram(rows, _VARS), _VARS), 3)
+    return rounded(mx.gram_entries(mx.fold_gram(rows, _VARS), _VARS), 5)
 
 
 @check(f"""WITH {_MATRIX_SQL}, f AS (SELECT unnest(range(5)) AS k) SELECT k::BIGINT AS fold, count(*)::DOUBLE AS n, round(sum(quantity), 3) AS sum_quantity, round(sum(price * tax), 3) AS price_tax FROM f JOIN c ON c.fold <> k GROUP BY 1""")

@@ -269,10 +269,12 @@ def effect_modification(spark, sf):
 
 @check(f"""WITH {L}, {fit_sql("SELECT high_tax AS m, returned AS y, w, score / 10 AS x1, line AS x2 FROM l", 2)}, {se_of(1, 2)},
 c AS (SELECT high_tax AS m, count(*) AS n, sum(returned) AS e, sum(w * returned) / sum(w) AS p FROM l GROUP BY 1)
-SELECT CASE m WHEN 0 THEN 'low tax' ELSE 'high tax' END AS stratum, m::BIGINT AS position, n AS rows_first, n AS n_sum, n::DOUBLE AS n_mean, floor(e)::BIGINT AS events, round(p * 100, 6) AS absolute_risk_pct, {_rr()} FROM fit JOIN v USING (m) JOIN c USING (m)""")
+SELECT 'Tax' AS category, CASE m WHEN 0 THEN 'low tax' ELSE 'high tax' END AS stratum, m::BIGINT AS position, n AS rows_first, n AS n_sum, n::DOUBLE AS n_mean, floor(e)::BIGINT AS events, round(p * 100, 6) AS absolute_risk_pct, {_rr()} FROM fit JOIN v USING (m) JOIN c USING (m)""")
 def stratified_ratios(spark, sf):
     l = lines(spark, sf).withColumn("score", F.col("score") / 10)
-    return rounded(sweeps.stratified_rr(l, "returned", "score", "high_tax", [(0, "low tax"), (1, "high tax")], ["line", "high_tax"], "w", 1, None, with_p=False))
+    return rounded(sweeps.stratified_rr(
+        l, "returned", "score", [("Tax", "high_tax", [(0, "low tax"), (1, "high tax")])], ["line", "high_tax"], "w", 1, None, with_p=False
+    ))
 
 
 _U = "((least(greatest(score, 1), 50) - 1) / 49.0::DOUBLE)"

@@ -186,9 +186,9 @@ def labels_and_tiers(spark, sf):
     return charts.with_label(v, "var", book).withColumn("tier", c.tier("var", ["ECONOMY_22", "SMALL_22"]).cast("bigint"))
 
 
-@check(f"""WITH {WAVES_SQL} SELECT custkey, n_base, round(price_base, 4) AS price_base, urgent_base, round(score, 4) AS score, n_mid, urgent, pending FROM panel""")
+@check(f"""WITH {WAVES_SQL} SELECT custkey, n_base, round(price_base, 6) AS price_base, urgent_base, round(score, 6) AS score, n_mid, urgent, pending FROM panel""")
 def panel_join(spark, sf):
-    return rounded(panel(spark, sf), 4)
+    return rounded(panel(spark, sf))
 
 
 @check(f"""WITH {WAVES_SQL}, w AS (SELECT wave1.custkey, wave1.n_base / 2 + 0.5 AS weight, CASE WHEN p.custkey IS NULL THEN 0 ELSE 1 END AS complete

@@ -288,7 +288,7 @@ def kde(
     z = (F.col("g.x") - F.col("v")) / F.col("h")
     return with_stats(
         values.select("v", "w"), s.select(F.col("w").alias("sw"), h.alias("h")), (),
-        lambda d, stat: d.select("v", (F.col("w") / stat("sw")).alias("share"), stat("h").alias("h"), F.lit(0).alias("_stats")),
+        lambda d, stat: d.select("v", (F.col("w") / stat("sw")).alias("share"), stat("h").alias("h")),
     ).select("v", "share", "h", F.explode(grid).alias("g")).groupBy("g.point", "g.x").agg(
         F.sum(F.col("share") * F.exp(-0.5 * z * z) / (F.col("h") * F.sqrt(2 * F.pi()))).alias("density")
     )

@@ -1,37 +1,38 @@
-"""Multiple-testing control on result tables (one row per test)."""
+"""Multiple-testing control."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import as_col
+from panelwright.operators.quantiles import range_cuts, running_totals, suffix_min
 
 
-def fdr_bh(df: DataFrame, p: str = "p", family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+def fdr_bh(
+    df: DataFrame, p: str = "p", family: Sequence[str] = (), alpha: float = 0.05, ranges: int | None = None
+) -> DataFrame:
     """Step-up q-values and reject flags.
 
-    Tests are first merged by equal p, so the windows see one row per distinct
-    p-value of a family; equal p-values share a q-value by definition.
+    Tests are first merged by equal p (equal p-values share a q-value), then
+    ranked per family. A result table needs no more; for families whose size
+    grows with the data, ``ranges`` splits the ranking into that many ranges of
+    p at the price of one sketch pass.
     """
     family = list(family)
-    keys = family or [F.lit(0).alias("_all")]
-    by_p = df.filter(as_col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"))
-    part = family or ["_all"]
-    up = W.partitionBy(*part).orderBy(p).rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*part).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    ranked = by_p.withColumn("_rank", F.sum("_n").over(up)).withColumn("_m", F.sum("_n").over(W.partitionBy(*part)))
-    raw = F.col(p) * F.col("_m") / F.col("_rank")
-    q = ranked.select(*family, p, F.least(F.min(raw).over(down), F.lit(1.0)).alias("FDR_q"))
+    cuts = range_cuts(df, p, ranges) if ranges else []
+    by_p = df.filter(as_col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(by_p, p, "_n", cuts, family)
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
+    q = suffix_min(raw, p, "_raw", cuts, "_q", family).select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias("FDR_q"))
     out = df.join(q, [*family, p], "left")
     return out.select(*df.columns, "FDR_q", (F.col("FDR_q") <= alpha).alias("FDR_reject"))
 
 
 def bonferroni(df: DataFrame, p: str = "p", family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Threshold alpha / m and flag, m being the size of the family."""
     family = list(family)
-    if family:
-        m = F.count(F.lit(1)).over(W.partitionBy(*family))
-    else:
-        m = df.agg(F.count(F.lit(1)).alias("m")).scalar()
-    return df.withColumn("Bonf_threshold", F.lit(alpha) / m).withColumn("Bonf_reject", as_col(p) < F.col("Bonf_threshold"))
+    sizes = df.groupBy(*family).agg((F.lit(alpha) / F.count(F.lit(1))).alias("Bonf_threshold"))
+    out = df.join(sizes, family, "left") if family else df.withColumn("Bonf_threshold", sizes.scalar())
+    return out.select(*df.columns, "Bonf_threshold", (as_col(p) < F.col("Bonf_threshold")).alias("Bonf_reject"))

@@ -22,25 +22,19 @@ MAP_LIMIT = 200_000
 RANGES = 512
 
 
-def _profile(df: DataFrame, cols: Sequence[str], ranges: int) -> tuple[dict[str, int], dict[str, list[float]]]:
-    """Distinct estimate and approximate range cuts per column, in one bounded pass."""
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    aggs = []
-    for i, c in enumerate(cols):
-        col = F.col(quoted(c)).cast("double")
-        aggs += [
-            F.approx_count_distinct(col).alias(f"d{i}"),
-            F.percentile_approx(col, probs, F.lit(8 * ranges)).alias(f"q{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    return (
-        {c: row[f"d{i}"] for i, c in enumerate(cols)},
-        {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(cols)},
-    )
+def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Approximate distinct counts, in one pass with bounded state."""
+    row = df.agg(
+        *[F.approx_count_distinct(F.col(quoted(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
+    ).first()
+    return {c: row[f"d{i}"] for i, c in enumerate(cols)}
 
 
 def range_cuts(df: DataFrame, col: str, ranges: int = RANGES) -> list[float]:
-    return _profile(df, [col], ranges)[1][col]
+    """Approximate value-range boundaries (a bounded sketch)."""
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.agg(F.percentile_approx(F.col(quoted(col)).cast("double"), probs, F.lit(8 * ranges))).first()[0]
+    return sorted(set(cuts or []))
 
 
 def with_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
@@ -80,6 +74,22 @@ def running_totals(
     )
 
 
+def suffix_min(values: DataFrame, col: str, amount: str, cuts: Sequence[float], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the smallest ``amount`` at this or any later value, split by ranges alike."""
+    by = list(by)
+    ranged = with_range(values, col, cuts)
+    lows = ranged.groupBy(*by, "_range").agg(F.min(amount).alias("_low"))
+    later = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    after = lows.select(*by, "_range", F.min("_low").over(later).alias("_after"))
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc(col)).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_here", F.min(amount).over(inside))
+        .join(after, [*by, "_range"])
+        .withColumn(out, F.least("_here", "_after"))
+        .drop("_range", "_here", "_after")
+    )
+
+
 def _ranged_quantiles(df, col, probs, by, cuts, out):
     """Order statistics around each position, interpolated like ``percentile``."""
     value = F.col(quoted(col)).cast("double")
@@ -121,7 +131,7 @@ def exact_quantiles(
     (distributed order statistics) or ``auto`` (decided by a sketch pass).
     """
     by, cols = list(by), list(cols)
-    distinct, cuts = ({}, {}) if method == "map" else _profile(df, cols, ranges)
+    distinct = distinct_estimates(df, cols) if method == "auto" else {}
     mapped = [c for c in cols if method == "map" or (method == "auto" and distinct[c] <= map_limit)]
     parts = []
     if mapped:
@@ -131,7 +141,7 @@ def exact_quantiles(
         )
     for c in cols:
         if c not in mapped:
-            parts.append(_ranged_quantiles(df, c, probs, by, cuts[c], c))
+            parts.append(_ranged_quantiles(df, c, probs, by, range_cuts(df, c, ranges), c))
     if by:
         return reduce(lambda a, b: a.join(b, by, "full"), parts)
     if len(parts) == 1:
@@ -153,17 +163,26 @@ def moments(df: DataFrame, col: str, by: Sequence[str] = (), method: str = "auto
     return base.withColumn("median", med.scalar()[0])
 
 
+def as_literal(value, kind) -> Column:
+    """A driver-side statistic (number or short list of numbers) as a column."""
+    if isinstance(value, list):
+        return F.array(*[F.lit(v) for v in value])
+    return F.lit(value).cast(kind)
+
+
 def with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], fn) -> DataFrame:
     """Apply ``fn(df, get)`` where ``get(name)`` is a group statistic as a column.
 
-    Without groups the statistics are one scalar subquery (one row by
-    construction), held in a helper column so that the plan has it only once;
-    with groups they are joined on the group keys.
+    Without groups the single row of statistics is fetched and enters the plan
+    as constants, so every later query on the result reuses it; with groups
+    the statistics are joined on the group keys.
     """
     by = list(by)
+    if not by:
+        row = stats.first()
+        return fn(df, lambda name: as_literal(row[name], stats.schema[name].dataType))
     packed = stats.select(*by, F.struct(*[F.col(quoted(c)) for c in stats.columns if c not in by]).alias("_stats"))
-    joined = df.join(packed, by, "left") if by else df.withColumn("_stats", packed.scalar())
-    return fn(joined, lambda name: F.col("_stats")[name]).drop("_stats")
+    return fn(df.join(packed, by, "left"), lambda name: F.col("_stats")[name]).drop("_stats")
 
 
 def score_stats(df: DataFrame, col: str, probs: Sequence[float], method: str = "auto") -> DataFrame:

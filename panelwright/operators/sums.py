@@ -39,7 +39,10 @@ def vector_sums(df: DataFrame, widths: list[int], accumulate: Callable[[pd.DataF
                 }
             )
 
-    added = df.mapInPandas(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
+    # A task emits one partial per key: bound their number by the cores, not by
+    # the partitions of the input. Narrow, and a no-op on smaller inputs.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    added = df.coalesce(2 * cores).mapInPandas(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
     out = [np.zeros(w) for w in widths]
     for k, part in added.groupby("k"):
         out[int(k)][part["pos"].to_numpy()] = part["val"].to_numpy(dtype=float)

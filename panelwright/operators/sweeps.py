@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import bin_indicator, product, quoted
-from panelwright.operators.describe import weighted_stats
+from panelwright.operators.describe import to_long, weighted_stats
 from panelwright.operators.effects import e_value, percent_difference, risk_ratio, rubin_pool, wald_p
-from panelwright.operators.glm import FIT_SCHEMA, GlmBatch, ModelSpec, estimates
+from panelwright.operators.glm import GlmBatch, ModelSpec, estimates
 from panelwright.operators.multiplicity import bonferroni, fdr_bh
 
 
@@ -142,47 +142,67 @@ def interaction_test(
     return pooled.select(F.col("label").alias("modifier"), "part", "m", "beta_bar", "se_bar")
 
 
-def strata_counts(stack: DataFrame, outcome: str, weight: str, stratifier: str, chain_col: str | None) -> DataFrame:
+Category = tuple[str, str, Sequence[tuple[float, str]]]
+
+
+def strata_counts(stack: DataFrame, outcome: str, weight: str, categories: Sequence[Category], chain_col: str | None) -> DataFrame:
+    """Rows, usable rows, events and weighted risk of every stratum and
+    imputation, in one pass."""
     y, w = F.col(quoted(outcome)).cast("double"), F.col(quoted(weight)).cast("double")
-    there = y.isNotNull() & w.isNotNull()
+    usable = y.isNotNull() & w.isNotNull()
     rep = F.col(chain_col).cast("int") if chain_col else F.lit(1)
-    return stack.groupBy(F.col(quoted(stratifier)).cast("double").alias("stratum"), rep.alias("rep")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(there).alias("n"),
-        F.coalesce(F.sum(F.when(there, y)), F.lit(0.0)).alias("events"),
-        F.try_divide(F.sum(F.when(there, w * y)), F.sum(F.when(there, w))).alias("risk"),
-    )
+    aggs, names, i = [], [], 0
+    for category, column, strata in categories:
+        for value, label in strata:
+            inside = F.col(quoted(column)).cast("double") == float(value)
+            there = inside & usable
+            aggs += [
+                F.count_if(inside).alias(f"rows__{i}"), F.count_if(there).alias(f"n__{i}"),
+                F.coalesce(F.sum(F.when(there, y)), F.lit(0.0)).alias(f"events__{i}"),
+                F.try_divide(F.sum(F.when(there, w * y)), F.sum(F.when(there, w))).alias(f"risk__{i}"),
+            ]
+            names.append(f"{category}|{label}")
+            i += 1
+    wide = stack.groupBy(rep.alias("rep")).agg(*aggs)
+    return to_long(wide, ["rep"], names, ("rows", "n", "events", "risk"), "label").drop("_pos")
 
 
 def stratified_rr(
-    stack: DataFrame, outcome: str, exposure: str, stratifier: str, strata: Sequence[tuple[float, str]],
-    adjust: Sequence[str], weight: str, m: int = 1, chain_col: str | None = "mi_id", min_rows: int = 100,
+    stack: DataFrame, outcome: str, exposure: str, categories: Sequence[Category], adjust: Sequence[str],
+    weight: str, m: int = 1, chain_col: str | None = "mi_id", min_rows: int = 100,
     compress: bool | str = "auto", with_p: bool = True,
 ) -> DataFrame:
     """Pooled ratio per stratum, from imputations with more than ``min_rows`` rows.
 
-    ``n_sum`` adds up imputations (parity), ``n_mean`` is the average; events
-    and risk are averages. The stratifier leaves the adjustment set.
+    ``categories`` are (category, column, [(value, label), ...]); the strata of
+    all categories are fitted in the same passes. ``n_sum`` adds up imputations
+    (parity), ``n_mean`` is the average; events and risk are averages. A
+    category's own column leaves its adjustment set.
     """
-    keep = [a for a in adjust if a != stratifier]
-    specs = [
-        ModelSpec(f"{label}|{k}", outcome, (exposure, *keep), _where(chain_col, k, (stratifier, float(v))), label, k)
-        for v, label in strata for k in range(1, m + 1)
-    ]
+    specs, names = [], []
+    for category, column, strata in categories:
+        keep = [a for a in adjust if a != column]
+        for i, (value, label) in enumerate(strata):
+            key = f"{category}|{label}"
+            names.append((key, category, label, i))
+            specs += [
+                ModelSpec(f"{key}|{k}", outcome, (exposure, *keep), _where(chain_col, k, (column, float(value))), key, k)
+                for k in range(1, m + 1)
+            ]
     batch = GlmBatch(stack, specs, weight, compress=compress)
     batch.fit()
     est = estimates(batch.fit_frame())
     batch.close()
-    names = stack.sparkSession.createDataFrame([(float(v), s, i) for i, (v, s) in enumerate(strata)], "stratum double, label string, position int")
-    counts = names.join(strata_counts(stack, outcome, weight, stratifier, chain_col), "stratum").filter(F.col("rows") > min_rows)
+    order = stack.sparkSession.createDataFrame(names, "label string, category string, stratum string, position int")
+    counts = strata_counts(stack, outcome, weight, categories, chain_col).filter(F.col("rows") > min_rows)
     pooled = risk_ratio(rubin_pool(est.join(counts, ["label", "rep"], "left_semi"), ["label"]), with_p)
-    about = counts.groupBy("label", "position").agg(
-        F.sum("n").alias("n_sum"), F.avg("n").alias("n_mean"), F.min_by("rows", "rep").alias("rows_first"), F.floor(F.avg("events")).cast("bigint").alias("events"),
-        (F.avg("risk") * 100).alias("absolute_risk_pct"),
+    about = counts.groupBy("label").agg(
+        F.sum("n").alias("n_sum"), F.avg("n").alias("n_mean"), F.min_by("rows", "rep").alias("rows_first"),
+        F.floor(F.avg("events")).cast("bigint").alias("events"), (F.avg("risk") * 100).alias("absolute_risk_pct"),
     )
-    return about.join(pooled, "label").select(
-        F.col("label").alias("stratum"), "position", "rows_first", "n_sum", "n_mean", "events", "absolute_risk_pct", "RR", "LCL", "UCL",
-        *(["p"] if with_p else []),
+    return order.join(about, "label").join(pooled, "label").select(
+        "category", "stratum", "position", "rows_first", "n_sum", "n_mean", "events", "absolute_risk_pct",
+        "RR", "LCL", "UCL", *(["p"] if with_p else []),
     )
 
 
@@ -210,17 +230,11 @@ def effect_modification(
         stack = stack.withColumn(name, flag)
     keep = [a for a in adjust if a != modifier]
     strata = stratified_rr(
-        stack, outcome, exposure, name, [(0.0, f"{modifier}=0"), (1.0, f"{modifier}=1")], keep, weight, m, chain_col,
-        min_rows, compress,
+        stack, outcome, exposure, [(modifier, name, [(0.0, f"{modifier}=0"), (1.0, f"{modifier}=1")])], keep, weight, m,
+        chain_col, min_rows, compress,
     ).select(
         F.lit(modifier).alias("modifier"), F.lit("stratified").alias("part"), "stratum",
         F.lit(None).cast("double").alias("beta_bar"), F.lit(None).cast("double").alias("se_bar"),
         "RR", "LCL", "UCL", "p", F.col("rows_first").alias("n"),
     )
     return top.unionByName(strata)
-
-
-__all__ = [
-    "FIT_SCHEMA", "complete_case_sweep", "effect_modification", "interaction_test", "level_contrasts", "outcome_sweep",
-    "strata_counts", "stratified_rr",
-]

@@ -58,14 +58,7 @@ def with_age_group(stack: DataFrame) -> DataFrame:
 
 
 def stratified(stack: DataFrame, outcome: str, m: int, adjust: Sequence[str] = cb.COVARIATES) -> DataFrame:
-    wide = with_age_group(stack)
-    return pn.tag_union(
-        {
-            category: sweeps.stratified_rr(wide, outcome, cb.SCORE_Z, column, strata, adjust, cb.WEIGHT, m)
-            for category, column, strata in cb.STRATA
-        },
-        "category",
-    )
+    return sweeps.stratified_rr(with_age_group(stack), outcome, cb.SCORE_Z, cb.STRATA, adjust, cb.WEIGHT, m)
 
 
 def main_table(sweep: DataFrame) -> DataFrame:
@@ -155,6 +148,3 @@ def run(
     for name, df in out.items():
         write_result(df, f"{out_dir}/{name}.csv")
     return {"panel": panel, "imputations": stack, **out}
-
-
-

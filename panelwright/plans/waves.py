@@ -75,7 +75,7 @@ def exposure(df: DataFrame, method: str = "auto") -> DataFrame:
         return d.select(
             cb.KEY, c, F.try_divide(c - s("mean"), s("sd")).alias(cb.SCORE_Z),
             bin_of(c, F.slice(q, 1, 5), 4).alias(cb.SCORE_QUARTILE), bin_of(c, F.slice(q, 6, 4), 3).alias(cb.SCORE_TERTILE),
-            F.coalesce((c >= q[2]).cast("double"), F.lit(0.0)).alias(cb.SCORE_HIGH), "_stats",
+            F.coalesce((c >= q[2]).cast("double"), F.lit(0.0)).alias(cb.SCORE_HIGH),
         )
 
     return with_stats(out, cuts, (), derive)
