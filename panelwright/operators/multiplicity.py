@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import as_col
 from panelwright.operators.quantiles import range_cuts, running_totals, suffix_min
@@ -21,11 +21,19 @@ def fdr_bh(
     p at the price of one sketch pass.
     """
     family = list(family)
-    cuts = range_cuts(df, p, ranges) if ranges else []
     by_p = df.filter(as_col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(by_p, p, "_n", cuts, family)
-    raw = ranked.withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
-    q = suffix_min(raw, p, "_raw", cuts, "_q", family).select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias("FDR_q"))
+    raw = F.col(p) * F.col("total") / F.col("cum")
+    if ranges:
+        cuts = range_cuts(df, p, ranges)
+        ranked = running_totals(by_p, p, "_n", cuts, family).withColumn("_raw", raw)
+        lowest = suffix_min(ranked, p, "_raw", cuts, "_q", family)
+    else:
+        part = W.partitionBy(*(family or [F.lit(0)]))
+        up = part.orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+        down = part.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+        ranked = by_p.withColumn("cum", F.sum("_n").over(up)).withColumn("total", F.sum("_n").over(part))
+        lowest = ranked.withColumn("_q", F.min(raw).over(down))
+    q = lowest.select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias("FDR_q"))
     out = df.join(q, [*family, p], "left")
     return out.select(*df.columns, "FDR_q", (F.col("FDR_q") <= alpha).alias("FDR_reject"))
 

@@ -50,17 +50,19 @@ def outcome_sweep(
     fits = batch.fit_frame()
     rd = percent_difference(rubin_pool(batch.risk_difference(delta), ["outcome"]))
     batch.close()
-    rr = risk_ratio(rubin_pool(estimates(fits), ["outcome"]), with_p)
+    rr = e_value(risk_ratio(rubin_pool(estimates(fits), ["outcome"]), with_p))
+    if with_p:  # on the few pooled rows, before the joins that read the panel
+        rr = bonferroni(fdr_bh(rr, alpha=family_alpha), alpha=family_alpha)
     about = weighted_stats(panel, outcomes, weight).select(
         F.col("variable").alias("outcome"), F.col("n").alias("N_total"),
         F.col("sum_x").cast("bigint").alias("N_events"), (F.col("w_mean") * 100).alias("AbsoluteRisk_pct"),
     )
-    out = _with_status(e_value(rr), fits, ["outcome"]).join(rd, "outcome", "left").join(about, "outcome", "left")
-    cols = ["outcome", "status", "N_total", "N_events", "m", "RR", "LCL", "UCL", "beta_bar", "se_bar", "aRD", "aRD_LCL",
-            "aRD_UCL", "AbsoluteRisk_pct", "E_value_point", "E_value_CI_lower", "E_value_CI_upper"]
-    if not with_p:
-        return out.select(*cols)
-    return bonferroni(fdr_bh(out.select(*cols, "p"), alpha=family_alpha), alpha=family_alpha)
+    out = _with_status(rr, fits, ["outcome"]).join(rd, "outcome", "left").join(about, "outcome", "left")
+    return out.select(
+        "outcome", "status", "N_total", "N_events", "m", "RR", "LCL", "UCL", "beta_bar", "se_bar", "aRD", "aRD_LCL",
+        "aRD_UCL", "AbsoluteRisk_pct", "E_value_point", "E_value_CI_lower", "E_value_CI_upper",
+        *(["p", "FDR_q", "FDR_reject", "Bonf_threshold", "Bonf_reject"] if with_p else []),
+    )
 
 
 def complete_case_sweep(
