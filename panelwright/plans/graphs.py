@@ -49,7 +49,7 @@ def discover(
             elif method == "ORDER_BIC":
                 edges = d.order_search_bic(moments, mask, **extra)
             else:
-                edges = d.dagma_linear(moments, **extra)
+                edges = d.dagma_linear(moments, mask, **extra)
             found[f"{subset}|{method}"] = g.apply_constraints(g.threshold_edges(edges, 0.0), after)
     every = tag_union(found, "_run").drop("_run")
     return g.with_path(g.fold_consensus(every, min_folds)), spark.createDataFrame(nodes, "subset string, var string")
