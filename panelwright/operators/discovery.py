@@ -268,8 +268,7 @@ def direct_lingam(
         packed = [(f["fold"], f["mean"], probe) for f, _, _, probe, _ in jobs]
 
         def accumulate(batch, acc):
-            own = batch[fold].to_numpy()
-            x = batch[names].to_numpy(dtype=float)
+            own, x = batch[fold], batch.matrix(names)
             for k, (number, mean, probe) in enumerate(packed):
                 z = x[own != number] - mean
                 for start in range(0, len(z), 2000):

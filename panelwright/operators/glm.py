@@ -75,6 +75,50 @@ def _pairs(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p)
 
 
+def _products(x: np.ndarray) -> np.ndarray:
+    """Products of all column pairs, in the order of the upper triangle."""
+    p = x.shape[1]
+    out = np.empty((len(x), p * (p + 1) // 2), order="F")
+    for c, (i, j) in enumerate(zip(*_pairs(p))):
+        np.multiply(x[:, i], x[:, j], out=out[:, c])
+    return out
+
+
+class _Plain:
+    """Single rows: outcome matrix (NaN = missing) and one weight per row."""
+
+    def __init__(self, y: np.ndarray, w: np.ndarray):
+        gaps = np.isnan(y)
+        self.there = ~gaps if gaps.any() else None
+        self.y = np.where(gaps, 0.0, y) if gaps.any() else y
+        self.w = w[:, None] if self.there is None else self.there * w[:, None]
+        self.wy = self.w * self.y
+
+    def residuals(self, mu):
+        r = self.wy - self.w * mu
+        return r, r * r
+
+    def totals(self) -> np.ndarray:
+        k = self.y.shape[1]
+        n = np.full(k, float(len(self.y))) if self.there is None else self.there.sum(axis=0)
+        w = np.full(k, self.w.sum()) if self.there is None else self.w.sum(axis=0)
+        return np.vstack([n, self.y.sum(axis=0), w, self.wy.sum(axis=0)])
+
+
+class _Merged:
+    """Merged rows: sums per design pattern."""
+
+    def __init__(self, sums: dict[str, np.ndarray]):
+        self.s, self.w, self.wy = sums, sums["w"], sums["wy"]
+
+    def residuals(self, mu):
+        s = self.s
+        return s["wy"] - s["w"] * mu, s["w2yy"] - 2.0 * mu * s["w2y"] + mu * mu * s["w2"]
+
+    def totals(self) -> np.ndarray:
+        return np.vstack([self.s[k].sum(axis=0) for k in ("n", "y", "w", "wy")])
+
+
 def _square(flat: np.ndarray, p: int) -> np.ndarray:
     full = np.zeros((p, p))
     rows, cols = _pairs(p)
@@ -141,7 +185,7 @@ class GlmBatch:
         self.design.unpersist()
 
     def _reader(self):
-        """Batch -> per model group: design matrix and per-outcome sums."""
+        """Batch -> per model group: design matrix and the group's row sums."""
         place = {c: i for i, c in enumerate(self.design_cols)}
         slot = {c: i for i, c in enumerate(self.outcomes)}
         compressed = self.compressed
@@ -149,33 +193,43 @@ class GlmBatch:
             ([place[t] for t in terms], [(place[c], v) for c, v in where], [slot[self.specs[i].outcome] for i in members])
             for (terms, where), members in self.groups.items()
         ]
-
-        def read(batch):
-            cols: dict[str, np.ndarray] = {}
-
-            def col(name):
-                if name not in cols:
-                    cols[name] = batch[name].to_numpy(dtype=float, na_value=np.nan)
-                return cols[name]
-
+        design = [f"x{i}" for i in range(len(self.design_cols))]
+
+        def rows_of(all_x, gaps, terms, where):
+            ok = np.ones(len(all_x), dtype=bool)
+            for i, v in where:
+                ok &= all_x[:, i] == v
+            for i in terms:
+                if gaps[i]:
+                    ok &= ~np.isnan(all_x[:, i])
+            return slice(None) if ok.all() else np.flatnonzero(ok)
+
+        def read(batch, live):
+            """``live[g]``: positions of the group's models that are still wanted."""
+            all_x = batch.matrix(design)
+            gaps = np.isnan(all_x).any(axis=0)
+            if not compressed:
+                w = batch["w"]
+                needed = sorted({plan[g][2][j] for g, js in enumerate(live) for j in js})
+                y = {o: batch[f"y{o}"] for o in needed}
             for g, (terms, where, outs) in enumerate(plan):
-                ok = np.ones(len(batch), dtype=bool)
-                for i, v in where:
-                    ok &= col(f"x{i}") == v
-                for i in terms:
-                    ok &= ~np.isnan(col(f"x{i}"))
-                if not ok.any():
+                if not live[g]:
                     continue
-                x = np.column_stack([np.ones(int(ok.sum())), *[col(f"x{i}")[ok] for i in terms]])
+                rows = rows_of(all_x, gaps, terms, where)
+                n = len(all_x) if isinstance(rows, slice) else len(rows)
+                if n == 0:
+                    continue
+                x = np.ones((n, len(terms) + 1), order="F")
+                for c, i in enumerate(terms):
+                    x[:, c + 1] = all_x[rows, i]
+                outs = [outs[j] for j in live[g]]
                 if compressed:
-                    s = {k: np.column_stack([col(f"{k}{o}")[ok] for o in outs]) for k in SUMS}
+                    yield g, x, _Merged({k: batch.matrix([f"{k}{o}" for o in outs])[rows] for k in SUMS})
                 else:
-                    y = np.column_stack([col(f"y{o}")[ok] for o in outs])
-                    there = ~np.isnan(y)
-                    y = np.where(there, y, 0.0)
-                    w = there * col("w")[ok][:, None]
-                    s = {"n": there * 1.0, "y": y, "w": w, "wy": w * y, "w2": w * w, "w2y": w * w * y, "w2yy": w * w * y * y}
-                yield g, x, s
+                    values = np.empty((n, len(outs)), order="F")
+                    for c, o in enumerate(outs):
+                        values[:, c] = y[o][rows]
+                    yield g, x, _Plain(values, w[rows])
 
         return read
 
@@ -184,6 +238,7 @@ class GlmBatch:
         read, family = self._reader(), self.family
         members = list(self.groups.values())
         live = [[(j, m) for j, m in enumerate(ms) if m in betas] for ms in members]
+        spots = [[j for j, _ in ms] for ms in live]
         widths, start = [], []
         for (terms, _), ms in zip(self.groups, live):
             p = len(terms) + 1
@@ -192,12 +247,7 @@ class GlmBatch:
         stacked = [np.column_stack([betas[m] for _, m in ms]) if ms else None for ms in live]
 
         def accumulate(batch, acc):
-            for g, x, s in read(batch):
-                if not live[g]:
-                    continue
-                pick = [j for j, _ in live[g]]
-                s = {k: v[:, pick] for k, v in s.items()}
-                p = x.shape[1]
+            for g, x, part in read(batch, spots):
                 eta = np.clip(x @ stacked[g], -500.0, 500.0)
                 if family == "poisson":
                     mu = np.exp(eta)
@@ -205,14 +255,11 @@ class GlmBatch:
                 else:
                     mu = 1.0 / (1.0 + np.exp(-eta))
                     var, norm = mu * (1.0 - mu), np.logaddexp(0.0, eta)
-                rows, cols = _pairs(p)
-                xx = x[:, rows] * x[:, cols]
-                score = x.T @ (s["wy"] - s["w"] * mu)
-                info = xx.T @ (s["w"] * var)
-                meat = xx.T @ (s["w2yy"] - 2.0 * mu * s["w2y"] + mu * mu * s["w2"])
-                ll = (s["wy"] * eta - s["w"] * norm).sum(axis=0)
-                head = np.vstack([s["n"].sum(axis=0), s["y"].sum(axis=0), s["w"].sum(axis=0), s["wy"].sum(axis=0), ll])
-                packed = np.vstack([head, score, info, meat])
+                xx = _products(x)
+                residual, squared = part.residuals(mu)
+                head = part.totals()
+                ll = (part.wy * eta - part.w * norm).sum(axis=0)
+                packed = np.vstack([head, ll, x.T @ residual, xx.T @ (part.w * var), xx.T @ squared])
                 for c in range(packed.shape[1]):
                     acc[start[g] + c] += packed[:, c]
 
@@ -327,6 +374,7 @@ class GlmBatch:
         read = self._reader()
         members = list(self.groups.values())
         live = [[(j, m) for j, m in enumerate(ms) if fits[m].usable] for ms in members]
+        spots = [[j for j, _ in ms] for ms in live]
         widths, start = [], []
         for (terms, _), ms in zip(self.groups, live):
             start.append(len(widths))
@@ -334,16 +382,14 @@ class GlmBatch:
         stacked = [np.column_stack([fits[m].beta for _, m in ms]) if ms else None for ms in live]
 
         def accumulate(batch, acc):
-            for g, x, s in read(batch):
-                if not live[g]:
-                    continue
-                w = s["w"][:, [j for j, _ in live[g]]]
+            for g, x, part in read(batch, spots):
+                w = part.w
                 eta = np.clip(x @ stacked[g], -500.0, 500.0)
                 low = np.clip(np.exp(eta), 0.0, 1.0)
                 high = np.clip(np.exp(np.clip(eta + delta * stacked[g][1], -500.0, 500.0)), 0.0, 1.0)
                 gradient = x.T @ (w * (high - low))
                 gradient[1] += delta * (w * high).sum(axis=0)
-                packed = np.vstack([w.sum(axis=0), gradient])
+                packed = np.vstack([part.totals()[2], gradient])
                 for c in range(packed.shape[1]):
                     acc[start[g] + c] += packed[:, c]
 

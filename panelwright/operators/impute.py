@@ -21,12 +21,12 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.operators.panel import replicate
-from panelwright.operators.sums import keep_for_passes, vector_sums
+from panelwright.operators.sums import Columns, keep_for_passes, vector_sums
 from panelwright.session import cut_lineage
 
 # Shape and rate of the gamma priors of the ridge regression.
@@ -122,9 +122,9 @@ def _replay(x: np.ndarray, chain: np.ndarray, missing: np.ndarray, h: np.ndarray
     return x
 
 
-def _arrays(batch: pd.DataFrame, p: int):
-    x = np.column_stack([batch[f"x{i}"].to_numpy(dtype=float) for i in range(p)])
-    return x, batch["chain"].to_numpy(), batch["missing"].to_numpy(), batch["h"].to_numpy().astype("int64").view(np.uint64)
+def _arrays(batch: Columns, p: int):
+    x = batch.matrix([f"x{i}" for i in range(p)])
+    return x, batch["chain"], batch["missing"], batch["h"].view(np.uint64)
 
 
 def mice(
@@ -183,7 +183,7 @@ def mice(
         return (z.T @ z)[upper]
 
     def complete_products(batch, acc):
-        acc[0] += products(np.column_stack([batch[f"x{i}"].to_numpy(dtype=float) for i in range(p)]))
+        acc[0] += products(batch.matrix([f"x{i}" for i in range(p)]))
 
     constant = vector_sums(complete, [len(upper[0])], complete_products)[0]
     state = keep_for_passes(cut_lineage(state))
@@ -206,14 +206,15 @@ def mice(
     def settle(current: DataFrame) -> DataFrame:
         replayed = list(pending)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    x, chain, missing, h = _arrays(batch, p)
-                    x = _replay(x, chain, missing, h + chain.astype(np.uint64), replayed, sample)
-                    yield batch.assign(**{f"x{i}": x[:, i] for i in range(p)})
+                x, chain, missing, h = _arrays(Columns(batch), p)
+                x = _replay(x, chain, missing, h + chain.astype(np.uint64), replayed, sample)
+                for i in range(p):
+                    batch = batch.set_column(batch.schema.get_field_index(f"x{i}"), f"x{i}", pa.array(x[:, i]))
+                yield batch
 
-        return current.mapInPandas(run, current.schema)
+        return current.mapInArrow(run, current.schema)
 
     for r in range(rounds):
         for column in order:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.operators.panel import complete_cases
 from panelwright.operators.quantiles import exact_quantiles, with_stats
+from panelwright.operators.sums import Columns
 
 MOMENT_SCHEMA = "fold int, pos int, val double"
 
@@ -59,19 +60,23 @@ def fold_gram(df: DataFrame, vars: Sequence[str], fold: str = "fold") -> DataFra
     upper = np.triu_indices(len(vars) + 1)
     names = list(vars)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            folds = batch["_f"].to_numpy()
-            x = np.column_stack([np.ones(len(batch)), *[batch[c].to_numpy(dtype=float) for c in names]])
+            cols = Columns(batch)
+            folds, x = cols["_f"], cols.matrix(names)
+            z = np.column_stack([np.ones(len(x)), x])
             for f in np.unique(folds):
-                z = x[folds == f]
-                total[int(f)] = total.get(int(f), 0.0) + (z.T @ z)[upper]
+                part = z[folds == f]
+                total[int(f)] = total.get(int(f), 0.0) + (part.T @ part)[upper]
         for f, v in total.items():
-            yield pd.DataFrame({"fold": np.int32(f), "pos": np.arange(len(v), dtype="int32"), "val": v})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(v), f, dtype="int32")), pa.array(np.arange(len(v), dtype="int32")), pa.array(v)],
+                names=["fold", "pos", "val"],
+            )
 
     rows = df.select(F.col(fold).cast("int").alias("_f"), *[F.col(quoted(c)).cast("double").alias(c) for c in names])
-    return rows.mapInPandas(run, MOMENT_SCHEMA).groupBy("fold", "pos").agg(F.sum("val").alias("val"))
+    return rows.mapInArrow(run, MOMENT_SCHEMA).groupBy("fold", "pos").agg(F.sum("val").alias("val"))
 
 
 def gram_entries(gram: DataFrame, vars: Sequence[str]) -> DataFrame:

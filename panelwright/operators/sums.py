@@ -7,42 +7,63 @@ the size of the accumulators, never of the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 SCHEMA = "k int, pos int, val double"
 
 
-def vector_sums(df: DataFrame, widths: list[int], accumulate: Callable[[pd.DataFrame, list[np.ndarray]], None]) -> list[np.ndarray]:
+class Columns:
+    """Numpy view of an Arrow batch; missing doubles read as NaN."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+
+    def __len__(self) -> int:
+        return self.batch.num_rows
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.batch.column(name).to_numpy(zero_copy_only=False)
+
+    def matrix(self, names: Sequence[str]) -> np.ndarray:
+        """Columns side by side, each contiguous in memory."""
+        out = np.empty((len(self), len(names)), order="F")
+        for i, name in enumerate(names):
+            out[:, i] = self[name]
+        return out
+
+
+def vector_sums(df: DataFrame, widths: list[int], accumulate: Callable[[Columns, list[np.ndarray]], None]) -> list[np.ndarray]:
     """Add up ``accumulate(batch, accumulators)`` over all batches.
 
     ``widths[k]`` is the length of accumulator ``k``.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = [np.zeros(w) for w in widths]
         seen = False
         for batch in batches:
-            if len(batch):
+            if batch.num_rows:
                 seen = True
-                accumulate(batch, acc)
+                accumulate(Columns(batch), acc)
         if seen:
-            yield pd.DataFrame(
-                {
-                    "k": np.repeat(np.arange(len(widths), dtype="int32"), widths),
-                    "pos": np.concatenate([np.arange(w, dtype="int32") for w in widths]),
-                    "val": np.concatenate(acc),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.arange(len(widths), dtype="int32"), widths)),
+                    pa.array(np.concatenate([np.arange(w, dtype="int32") for w in widths])),
+                    pa.array(np.concatenate(acc)),
+                ],
+                names=["k", "pos", "val"],
             )
 
     # A task emits one partial per key: bound their number by the cores, not by
     # the partitions of the input. Narrow, and a no-op on smaller inputs.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    added = df.coalesce(2 * cores).mapInPandas(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
+    added = df.coalesce(2 * cores).mapInArrow(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
     out = [np.zeros(w) for w in widths]
     for k, part in added.groupby("k"):
         out[int(k)][part["pos"].to_numpy()] = part["val"].to_numpy(dtype=float)
