@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from panelwright.functions.codes import quoted
 from panelwright.operators.matrix import informative, unpack
-from panelwright.operators.sums import vector_sums
+from panelwright.operators.sums import keep_blocks, vector_sums
 
 EDGE_SCHEMA = "subset string, method string, fold int, src string, dst string, coef double"
 
@@ -245,7 +246,7 @@ def direct_lingam(
         n, mean, cov = unpack(np.asarray(r.gram, dtype=float), d)
         folds.append({"subset": r.subset, "fold": int(r.fold), "n": n, "mean": mean, "cov": cov, "maps": np.eye(d),
                       "left": [int(i) for i in informative(cov)], "order": [], "rung": 0})
-    plain = rows.select(fold, *names)
+    passes = keep_blocks(rows.select(*[F.col(quoted(v)).cast("double").alias(v) for v in names], F.col(fold).cast("int").alias(fold)))
 
     while any(len(f["left"]) > 1 for f in folds):
         jobs = []
@@ -277,7 +278,7 @@ def direct_lingam(
                     acc[k][: len(probe)] += (a + np.log1p(np.exp(-2.0 * a)) - np.log(2.0)).sum(axis=0)
                     acc[k][len(probe) :] += (v * np.exp(-0.5 * v * v)).sum(axis=0)
 
-        sums = vector_sums(plain, [2 * len(p) for _, _, p in packed], accumulate)
+        sums = vector_sums(passes, [2 * len(p) for _, _, p in packed], accumulate)
         for (f, i, j, probe, u), total in zip(jobs, sums):
             mean = total / f["n"]
             h = _entropy(mean[: len(probe)], mean[len(probe) :])
@@ -295,6 +296,7 @@ def direct_lingam(
                     c[v] = c[v] - (c[v] @ cov @ c[chosen]) / var * c[chosen]
             f["order"].append(chosen)
             f["left"] = [v for v in f["left"] if v != chosen]
+    passes.unpersist()
     edges = []
     for f in folds:
         order = f["order"] + f["left"]

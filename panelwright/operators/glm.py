@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.functions.codes import quoted
-from panelwright.operators.sums import keep_for_passes, vector_sums
+from panelwright.operators.sums import BlockFrame, keep_blocks, vector_sums
 
 FIT_SCHEMA = (
     "model_id string, outcome string, label string, rep int, status string, iters int, n bigint, "
@@ -157,7 +157,7 @@ class GlmBatch:
         self.design = self._prepare(df, weight, compress)
         self.fits: list[Fit] = []
 
-    def _prepare(self, df: DataFrame, weight: str | None, compress: bool | str) -> DataFrame:
+    def _prepare(self, df: DataFrame, weight: str | None, compress: bool | str) -> BlockFrame:
         w = F.lit(1.0) if weight is None else F.col(quoted(weight)).cast("double")
         x = [F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(self.design_cols)]
         y = [F.col(quoted(c)).cast("double").alias(f"y{i}") for i, c in enumerate(self.outcomes)]
@@ -169,7 +169,7 @@ class GlmBatch:
             compress = seen["d"] * 10 <= seen["n"]
         self.compressed = bool(compress)
         if not self.compressed:
-            return keep_for_passes(rows)
+            return keep_blocks(rows)
         sums = []
         for i in range(len(self.outcomes)):
             yi = F.col(f"y{i}")
@@ -179,7 +179,7 @@ class GlmBatch:
                 SUMS, (there.cast("double"), yi, wi, wi * yi, wi * wi, wi * wi * yi, wi * wi * yi * yi)
             ):
                 sums.append(F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{name}{i}"))
-        return keep_for_passes(rows.groupBy(*xs).agg(*sums))
+        return keep_blocks(rows.groupBy(*xs).agg(*sums))
 
     def close(self) -> None:
         self.design.unpersist()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.operators.panel import replicate
-from panelwright.operators.sums import Columns, keep_for_passes, vector_sums
+from panelwright.operators.sums import Columns, keep_blocks, vector_sums
 from panelwright.session import cut_lineage
 
 # Shape and rate of the gamma priors of the ridge regression.
@@ -123,7 +123,7 @@ def _replay(x: np.ndarray, chain: np.ndarray, missing: np.ndarray, h: np.ndarray
 
 
 def _arrays(batch: Columns, p: int):
-    x = batch.matrix([f"x{i}" for i in range(p)])
+    x = np.array(batch.matrix([f"x{i}" for i in range(p)]), order="F")  # a copy: cells get redrawn
     return x, batch["chain"], batch["missing"], batch["h"].view(np.uint64)
 
 
@@ -186,7 +186,9 @@ def mice(
         acc[0] += products(batch.matrix([f"x{i}" for i in range(p)]))
 
     constant = vector_sums(complete, [len(upper[0])], complete_products)[0]
-    state = keep_for_passes(cut_lineage(state))
+    numeric = [*[f"x{i}" for i in range(p)], "chain", "missing", "h"]
+    state = cut_lineage(state)
+    passes = keep_blocks(state.select(*numeric))
     pending: list[_Update] = []
 
     def observed_products(column: int):
@@ -201,7 +203,7 @@ def mice(
                 if rows.any():
                     acc[k] += products(x[rows])
 
-        return vector_sums(state, [len(upper[0])] * chains, accumulate)
+        return vector_sums(passes, [len(upper[0])] * chains, accumulate)
 
     def settle(current: DataFrame) -> DataFrame:
         replayed = list(pending)
@@ -226,9 +228,10 @@ def mice(
                 models.append(ridge_from_moments(gram, column, tol))
             pending.append(_Update(column, r * p + column, models))
         if (r + 1) % checkpoint_every == 0 or r + 1 == rounds:
-            settled = keep_for_passes(cut_lineage(settle(state)))
-            state.unpersist()
-            state, pending = settled, []
+            state, pending = cut_lineage(settle(state)), []
+            passes.unpersist()
+            if r + 1 < rounds:
+                passes = keep_blocks(state.select(*numeric))
 
     def finish(i, c):
         x = F.col(f"x{i}")
