@@ -46,6 +46,24 @@ def with_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_rang
     return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="error").transform(df)
 
 
+def range_offsets(ranged: DataFrame, amount: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group and value range: its sum, the sum before it and the group total."""
+    by = list(by)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_in_range"))
+    across = W.partitionBy(*by).orderBy("_range")
+    return sums.select(
+        *by,
+        "_range",
+        "_in_range",
+        (F.sum("_in_range").over(across) - F.col("_in_range")).alias("_before"),
+        F.sum("_in_range").over(W.partitionBy(*by)).alias("total"),
+    )
+
+
+def _inside(col: str, by: Sequence[str]) -> W:
+    return W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
+
+
 def running_totals(
     values: DataFrame, col: str, amount: str, cuts: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -57,18 +75,9 @@ def running_totals(
     """
     by = list(by)
     ranged = with_range(values, col, cuts)
-    sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_in_range"))
-    across = W.partitionBy(*by).orderBy("_range")
-    offsets = sums.select(
-        *by,
-        "_range",
-        (F.sum("_in_range").over(across) - F.col("_in_range")).alias("_before"),
-        F.sum("_in_range").over(W.partitionBy(*by)).alias("total"),
-    )
-    inside = W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
     return (
-        ranged.withColumn("_cum", F.sum(amount).over(inside))
-        .join(offsets, [*by, "_range"])
+        ranged.withColumn("_cum", F.sum(amount).over(_inside(col, by)))
+        .join(range_offsets(ranged, amount, by).drop("_in_range"), [*by, "_range"])
         .withColumn("cum", F.col("_cum") + F.col("_before"))
         .drop("_range", "_cum", "_before")
     )
@@ -91,20 +100,31 @@ def suffix_min(values: DataFrame, col: str, amount: str, cuts: Sequence[float],
 
 
 def _ranged_quantiles(df, col, probs, by, cuts, out):
-    """Order statistics around each position, interpolated like ``percentile``."""
+    """Order statistics around each position, interpolated like ``percentile``.
+
+    The range totals tell which ranges hold a wanted rank; only those are sorted.
+    """
     value = F.col(quoted(col)).cast("double")
     counted = (
         df.filter(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counted, "_v", "_n", cuts, by)
+    ranged = with_range(counted, "_v", cuts)
     ranks = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("total") - 1)
         for side in (F.floor(position), F.ceil(position)):
             ranks.append(F.struct(F.lit(i).alias("i"), position.alias("pos"), side.cast("bigint").alias("rank")))
+    wanted = (
+        range_offsets(ranged, "_n", by)
+        .select(*by, "_range", "_in_range", "_before", F.explode(F.array(*ranks)).alias("r"))
+        .filter((F.col("_before") <= F.col("r.rank")) & (F.col("r.rank") < F.col("_before") + F.col("_in_range")))
+        .groupBy(*by, "_range", "_before").agg(F.collect_list("r").alias("_ranks"))
+    )
+    cum = F.col("_before") + F.sum("_n").over(_inside("_v", by))
+    ranked = ranged.join(wanted, [*by, "_range"]).withColumn("cum", cum)
     first = F.col("cum") - F.col("_n")
-    hits = (
-        ranked.select(*by, "_v", F.explode(F.filter(F.array(*ranks), lambda r: (first <= r["rank"]) & (r["rank"] < F.col("cum")))).alias("r"))
+    hits = ranked.select(
+        *by, "_v", F.explode(F.filter("_ranks", lambda r: (first <= r["rank"]) & (r["rank"] < F.col("cum")))).alias("r")
     )
     pairs = hits.groupBy(*by, "r.i").agg(
         F.first("r.pos").alias("pos"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
@@ -242,6 +262,16 @@ def weighted_quantile(
     c, w = F.col(quoted(col)).cast("double"), F.col(quoted(weight))
     kept = df.filter(c.isNotNull() & w.isNotNull()).select(*by, c.alias("_v"), w.alias("_w"))
     values = kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))
-    ranked = running_totals(values, "_v", "_w", range_cuts(kept, "_v", ranges), by)
-    reached = ranked.filter(F.col("cum") >= as_lit(q) * F.col("total"))
-    return reached.groupBy(*by).agg(F.min("_v").alias("quantile"), F.first("total").alias("sum_weights"))
+    ranged = with_range(values, "_v", range_cuts(kept, "_v", ranges))
+    # the first range whose end reaches the share holds the answer; only it is sorted
+    holds = (
+        range_offsets(ranged, "_w", by)
+        .filter(F.col("_before") + F.col("_in_range") >= as_lit(q) * F.col("total"))
+        .groupBy(*by).agg(F.min_by(F.struct("_range", "_before", "total"), "_range").alias("h"))
+        .select(*by, "h._range", "h._before", "h.total")
+    )
+    ranked = ranged.join(holds, [*by, "_range"]).withColumn("cum", F.col("_before") + F.sum("_w").over(_inside("_v", by)))
+    reached = F.when(F.col("cum") >= as_lit(q) * F.col("total"), F.col("_v"))
+    return ranked.groupBy(*by).agg(
+        F.coalesce(F.min(reached), F.max("_v")).alias("quantile"), F.first("total").alias("sum_weights")
+    )

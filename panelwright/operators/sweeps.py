@@ -18,6 +18,18 @@ from panelwright.operators.glm import GlmBatch, ModelSpec, estimates
 from panelwright.operators.multiplicity import bonferroni, fdr_bh
 
 
+SWEEP_SCHEMA = (
+    "outcome string, status string, N_total bigint, N_events bigint, m bigint, RR double, LCL double, UCL double, "
+    "beta_bar double, se_bar double, aRD double, aRD_LCL double, aRD_UCL double, AbsoluteRisk_pct double, "
+    "E_value_point double, E_value_CI_lower double, E_value_CI_upper double"
+)
+TEST_SCHEMA = ", p double, FDR_q double, FDR_reject boolean, Bonf_threshold double, Bonf_reject boolean"
+COMPLETE_SCHEMA = (
+    "outcome string, status string, N_complete bigint, N_events bigint, completeness_pct double, RR double, LCL double, "
+    "UCL double, {p}E_value_point double, E_value_CI_lower double, E_value_CI_upper double, AbsoluteRisk_pct double"
+)
+
+
 def _where(chain_col: str | None, rep: int, *more: tuple[str, float]) -> tuple:
     return (*(((chain_col, float(rep)),) if chain_col else ()), *more)
 
@@ -41,6 +53,8 @@ def outcome_sweep(
     ``stack`` holds ``m`` imputations; prevalence and counts come from ``panel``.
     """
     outcomes = [o for o in outcomes if o in panel.columns]
+    if not outcomes:
+        return panel.sparkSession.createDataFrame([], SWEEP_SCHEMA + (TEST_SCHEMA if with_p else ""))
     terms = (exposure, *adjust)
     specs = [
         ModelSpec(f"{o}|{k}", o, terms, _where(chain_col, k), rep=k) for o in outcomes for k in range(1, m + 1)
@@ -72,6 +86,8 @@ def complete_case_sweep(
     """Refit every outcome on complete rows; fewer than ``min_n`` rows gives
     status ``too_few``."""
     outcomes = [o for o in outcomes if o in panel.columns]
+    if not outcomes:
+        return panel.sparkSession.createDataFrame([], COMPLETE_SCHEMA.format(p="p double, " if with_p else ""))
     needed = F.lit(True)
     for c in (exposure, *adjust):
         needed = needed & F.col(quoted(c)).isNotNull()

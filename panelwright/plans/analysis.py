@@ -135,6 +135,8 @@ def run(
     out["baseline_table"] = baseline(panel)
     out["absolute_risk"] = risks(panel)
     out["spline"] = spline.spline_rr(panel, cb.PRIMARY_OUTCOME, cb.SCORE, cb.WEIGHT, cb.COVARIATES, *cb.SCORE_RANGE, cb.SCORE_REFERENCE)
+    if out["spline"].first()["status"] not in ("ok", "rank_deficient"):
+        out["spline_fallback"] = spline.quantile_means(panel, cb.PRIMARY_OUTCOME, cb.SCORE)
     if graphs:
         from panelwright.plans.graphs import discover, network_tables
 

@@ -156,6 +156,17 @@ def test_sweep_keeps_failed_outcomes_with_their_status(cohort):
     assert out["y"]["status"] == "ok" and out["y"]["Bonf_threshold"] == 0.05 and out["y"]["m"] == 2
 
 
+def test_sweeps_without_outcomes_keep_their_schema(cohort):
+    df, _ = cohort
+    for with_p in (True, False):
+        full = sweeps.outcome_sweep(df, df, ["y"], "x", [], "w", 1, None, with_p=with_p)
+        none = sweeps.outcome_sweep(df, df, ["absent"], "x", [], "w", 1, None, with_p=with_p)
+        assert none.count() == 0 and none.dtypes == full.dtypes
+        cc = sweeps.complete_case_sweep(df, ["y"], "x", [], "w", with_p=with_p)
+        none = sweeps.complete_case_sweep(df, ["absent"], "x", [], "w", with_p=with_p)
+        assert none.count() == 0 and none.dtypes == cc.dtypes
+
+
 def test_strata_below_the_gate_are_left_out(cohort):
     df, pdf = cohort
     wide = df.withColumn("tiny", (F.col("id") < 90).cast("double"))
