@@ -34,7 +34,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wave(spark: SparkSession, sf: str, year: int, *aggs) -> DataFrame:
-    o = table(spark, sf, "orders").filter(F.year("o_orderdate") == year)
+    day = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")  # a range, so that it reaches the scan
+    date = F.col("o_orderdate").cast("timestamp_ntz")
+    o = table(spark, sf, "orders").filter((date >= day(year)) & (date < day(year + 1)))
     return o.groupBy(F.col("o_custkey").alias("custkey")).agg(*aggs)
 
 

@@ -54,13 +54,14 @@ def trim(df: DataFrame, weight: str, followed: str, out: str, probs: tuple[float
 
 def ipcw(
     wave: DataFrame, followed_ids: DataFrame, key: Sequence[str], covars: Sequence[str],
-    weight: str = "ipcw_weight", flag: str = "complete3", penalty: float = 1.0, compress: bool | str = "auto",
+    weight: str = "ipcw_weight", flag: str = "complete3", penalty: float = 1.0, compress: bool | str = False,
 ) -> DataFrame:
     """Key, trimmed stabilised weight and follow-up flag for the first wave.
 
     The follow-up model is logistic on median-filled, standardised covariates
     with an L2 penalty of ``penalty`` (intercept unpenalised). Without any
-    covariate present every weight is 1.
+    covariate present every weight is 1. Raw answers rarely repeat as a whole,
+    so rows are not merged by default.
     """
     covars = [c for c in covars if c in wave.columns]
     flagged = membership_flag(wave.select(*key, *[quoted(c) for c in covars]), followed_ids, key, flag)
@@ -69,9 +70,9 @@ def ipcw(
     names = [f"c{i}" for i in range(len(covars))]
     raw = flagged.select(*key, flag, *[to_num(F.col(quoted(c))).alias(n) for c, n in zip(covars, names)])
     raw = keep_for_passes(raw)  # read by the median, moment and model passes
-    present = raw.agg(*[F.count(n).alias(n) for n in names]).first()
-    names = [n for n in names if present[n] > 0]
-    ready = standardise(median_fill(raw, names), names)
+    med = exact_quantiles(raw, names, [0.5]).first()
+    names = [n for n in names if med[n] is not None]
+    ready = standardise(raw.fillna({n: med[n][0] for n in names}), names)
     batch = GlmBatch(ready, [ModelSpec("followed", flag, tuple(names))], family="binomial", ridge=penalty, compress=compress)
     fit = batch.fit()[0]
     batch.close()
