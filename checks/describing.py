@@ -305,10 +305,20 @@ def tier_positions(spark, sf):
     return rounded(charts.tier_layout(n))
 
 
-@check()
+_GRID = "min(a) + g.point * ((min(b) - min(a)) / 199)"
+
+
+@check(f"""WITH {L}, k AS (SELECT score, w FROM l WHERE score IS NOT NULL), e AS (SELECT min(score) - 5 AS a, max(score) + 5 AS b FROM k),
+v AS (SELECT 'before' AS series, score AS v, count(*)::DOUBLE AS w, count(*)::DOUBLE AS w2 FROM k GROUP BY 2 UNION ALL SELECT 'after', score, sum(w), sum(w * w) FROM k GROUP BY 2),
+s AS (SELECT series, sum(w) AS sw, sum(w) ** 2 / sum(w2) AS ne, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2 AS va FROM v GROUP BY 1),
+h AS (SELECT *, ne ** -0.2 * sqrt(va / (1 - 1 / ne)) AS h FROM s), g AS (SELECT unnest(range(200)) AS point)
+SELECT v.series, g.point, round({_GRID}, 6) AS x, round(sum(v.w * exp(-0.5 * (((a + g.point * ((b - a) / 199)) - v.v) / h.h) ** 2)) / min(h.sw * h.h * sqrt(2 * pi())), 8) AS density
+ FROM v JOIN h ON h.series = v.series, g, e GROUP BY 1, 2
+UNION ALL SELECT 'normal', g.point, round({_GRID}, 6), round(exp(-0.5 * ((min(a) + g.point * ((min(b) - min(a)) / 199) - min(m)) ** 2) / min(va)) / sqrt(min(va) * 2 * pi()), 8) FROM g, e, s WHERE s.series = 'after' GROUP BY 2""")
 def score_distribution(spark, sf):
     """Chart table: densities before and after weighting and the normal fit, on one grid."""
     from panelwright.plans.analysis import distribution
 
     l = lines(spark, sf)
-    return distribution(l, l, "score", "w")["density"]
+    d = distribution(l, l, "score", "w")["density"]
+    return d.select("series", F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
