@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,20 @@ def get_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application: tasks import it from wherever they run."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_shipped_panelwright", None) != str(root):
+        archive = os.path.join(tempfile.mkdtemp(prefix="panelwright-code-"), "panelwright.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        sc.addPyFile(archive)
+        sc._shipped_panelwright = str(root)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
