@@ -271,8 +271,9 @@ def tree_links(ids: np.ndarray, first: np.ndarray, num: int, den: int, side: np.
 
     def down(level: int, p: np.ndarray, q: np.ndarray) -> None:
         """Node pairs p <= q of a level; depth first in runs, so that the pairs at hand stay few and unions prune early."""
-        for k in range(0, len(p), 1 << 14):
-            a, b = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+        run = 1 << 14 if level == 0 else 1 << 10  # node pairs at hand; each makes up to fan * fan pairs below
+        for k in range(0, len(p), run):
+            a, b = p[k : k + run], q[k : k + run]
             if level == 0:
                 x, y = order[a], order[b]
                 ok = (a < b) & (forest.roots(x) != forest.roots(y))
@@ -359,7 +360,7 @@ def _only_present(docs: DataFrame, keys: DataFrame, most_bits: int) -> DataFrame
 
 
 def link_components(
-    docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, block: int = 4_000_000, bitmap_bits: int = 1 << 24,
+    docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, block: int = 1_000_000, bitmap_bits: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, key, n_shingles, component (a, b of the smallest class), component_id: one row per document.
 

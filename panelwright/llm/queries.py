@@ -2,22 +2,87 @@
 
 from __future__ import annotations
 
+import json
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import jaccard
+from panelwright.llm import decontaminate, jaccard, mixing, pii, quality, secrets, shared, tokenbin, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and benchmark item that match, over all documents and items."""
+    found = decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "similarity", "first_word")
+
+
+def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    mixed, plan = mixing.mix(_table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2)
+    per_source = [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), int(plan["sizes"][s]), float(plan["targets"][s])) for s in plan["sizes"]]
+    told = F.broadcast(spark.createDataFrame(per_source, "pattern string, source_size long, target double"))  # one row per source
+    return mixed.join(told, "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_table(spark, sf, "documents")), pii.KINDS)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     found = jaccard.link_components(_table(spark, sf, "documents"), size=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(secrets.find_secrets(_table(spark, sf, "documents")), secrets.KINDS)
+
+
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
+
+
+def op8_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared.fresh_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf, "pages"), folder)
+    return warc.read_pages(spark, folder)
+
+
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(_table(spark, sf, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenbin.token_files(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_pii": op3_pii,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_secrets": op5_secrets,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_warc_segments": op8_warc_segments,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
+}
+#: DuckDB SQL where it can express the query on whole tables: the archives' round trip has one.
+SQL: dict[str, str] = {
+    "op8_warc_segments": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, html FROM p),
+l AS (SELECT html, max(page_id) AS last FROM s WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT s.page_id, s.payload_bytes, s.payload_digest,
+       CASE WHEN l.last IS NOT NULL AND l.last <> s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN l.last IS NOT NULL AND l.last <> s.page_id THEN l.last END AS refers_to
+FROM s LEFT JOIN l ON s.html = l.html AND s.payload_bytes >= 1000""",
 }
-#: DuckDB SQL where it can express the query on whole tables.
-SQL: dict[str, str] = {}
