@@ -57,7 +57,7 @@ def base_test(kind: str, text: Column) -> Column:
         bare = lambda part: F.ltrim(part, F.lit("0"))
         return F.forall(F.split(text, r"\."), lambda p: (F.length(bare(p)) <= 3) & (F.coalesce(bare(p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
-        return F.luhn_check(_digits(text))
+        return F.call_function("luhn_check", _digits(text))
     return F.length(_digits(text)).between(8, 15)
 
 
@@ -72,7 +72,7 @@ def votes(kind: str, text: Column, lead: Column) -> list[Column]:
         out = [text.rlike(r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*)){3}$|::|[0-9A-Fa-f]{4}:"), ~text.rlike(r"^(0|10|127|2[4-9][0-9]|22[4-9]|23[0-9])\."), near, ~F.lower(lead).rlike(r"(version|section|release|v|§) ?$")]
         shape = [F.length(text) > 10, text.contains(":")]
     elif kind == "card":
-        out = [F.luhn_check(digits), digits.rlike(f"^({ISSUERS})"), near, text.rlike("^([0-9]{4}[ -]){3}|^[0-9]{15,16}$|^3[0-9]{3}[ -][0-9]{6}[ -]")]
+        out = [F.call_function("luhn_check", digits), digits.rlike(f"^({ISSUERS})"), near, text.rlike("^([0-9]{4}[ -]){3}|^[0-9]{15,16}$|^3[0-9]{3}[ -][0-9]{6}[ -]")]
         shape = [F.length(digits) >= 15, text.rlike("[ -]")]
     else:
         out = [text.rlike(r"^\+[0-9]{1,3}[ (.-]*[0-9]"), text.rlike(rf"^(\+|00)({CODES})"), near, F.length(digits).between(9, 13)]
