@@ -1,7 +1,9 @@
 """Toxic passages as maximum-scoring segments over token log-odds, and a calibrated score per document.
 
-1. Token weights: log-odds of toxic against clean labelled documents with an informative Dirichlet prior (the corpus of the
-   labelled rows); tokens whose z-score is under ``least_z`` share one weight, which makes the expected score of clean text negative.
+1. Token weights: log-odds of toxic against clean labelled documents with an informative Dirichlet prior (the tokens' shares
+   in all labelled rows). A word's tokens are itself and its first 6 and 4 bytes; the longest one with a z-score of at least
+   ``least_z`` weighs the word. All other words share one weight, which makes the expected score of clean text negative. A token
+   counts once per document, and documents with the same smallest shingle hash (copies, mostly) count once.
 2. Every text is scanned once: all maximal scoring segments by the linear-time method of Ruzzo and Tompa. Only tokens
    with a positive weight start or end a segment, so the scan's steps are the positive tokens, on prefix sums of all weights.
 3. Extreme-value calibration: lambda solves sum p(w) exp(lambda s(w)) = 1 over clean tokens, and K comes from the clean
@@ -23,30 +25,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.llm import shared
-from panelwright.llm.words import PUNCTUATION, U, WHITE, fold_table, pieces
+from panelwright.llm.words import PUNCTUATION, U, WHITE, Words, fold_table, pieces, shingles
 
 _TABLE = fold_table(WHITE + PUNCTUATION)
 
 
+_PREFIXES = (6, 4)
+
+
 @dataclass
 class Weights:
-    """Sorted token hashes with their weights, the weight of all other tokens, and lambda."""
+    """Sorted token hashes with their weights, the weight of all other words, and lambda."""
 
     token: np.ndarray
     weight: np.ndarray
     other: float
     scale: float
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.other)
+    def of(self, w: Words) -> np.ndarray:
+        out = np.full(len(w.hash), self.other)
         if len(self.token):
-            # one byte per 2**16 hash prefixes: most tokens are done with one look
-            near = np.zeros(1 << 16, bool)
+            near = np.zeros(1 << 16, bool)  # most tokens are done with one look at their hash prefix
             near[(self.token >> U(48)).astype(np.int64)] = True
-            at = np.flatnonzero(near[(h >> U(48)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.token, h[at]), len(self.token) - 1)
-            hit = self.token[place] == h[at]
-            out[at[hit]] = self.weight[place[hit]]
+            for h in [*reversed(w.prefixes), w.hash]:  # longer tokens have the last word
+                at = np.flatnonzero(near[(h >> U(48)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(self.token, h[at]), len(self.token) - 1)
+                hit = self.token[place] == h[at]
+                out[at[hit]] = self.weight[place[hit]]
         return out
 
 
@@ -62,37 +67,61 @@ def training_rows(labels: DataFrame, most: int, seed: int) -> DataFrame:
     return own.filter("toxic = 1").orderBy(order).limit(most).union(own.filter("toxic = 0").orderBy(order).limit(most))
 
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """key, toxic and the smallest five-word shingle hash of labelled documents."""
+
+    def run(batches):
+        for batch in batches:
+            low = []
+            for _, _, w in pieces(batch.column("text"), _TABLE):
+                s, first = shingles(w, 5)
+                none = first[1:] == first[:-1]
+                own = np.minimum.reduceat(np.r_[s, U(0)], first[:-1]) if w.rows else s
+                low.append(np.where(none, U(0), own))
+            if low:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(np.concatenate(low).view(np.int64))], names=["key", "toxic", "sketch"])
+
+    return docs.select("key", "toxic", "text").mapInArrow(run, "key long, toxic int, sketch long")
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """token (hash), toxic and clean counts over labelled documents (columns text, toxic)."""
+    """token (hash), and in how many toxic and clean documents it is (columns text, toxic)."""
 
     def run(batches):
         for batch in batches:
-            flag = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for a, b, w in pieces(batch.column("text"), _TABLE):
-                toxic = np.repeat(flag[a:b], np.diff(w.first))
-                token, inverse = np.unique(w.hash, return_inverse=True)
-                y1 = np.bincount(inverse, toxic, len(token)).astype(np.int64)
-                y0 = np.bincount(inverse, 1 - toxic, len(token)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(y1), pa.array(y0)], names=["token", "toxic", "clean"])
+            flag = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, w in pieces(batch.column("text"), _TABLE, prefixes=_PREFIXES):
+                row = w.row_of()
+                found = []
+                for h in (w.hash, *w.prefixes):
+                    order = np.lexsort((row, h))
+                    t, r = h[order], row[order]
+                    new = np.r_[True, (t[1:] != t[:-1]) | (r[1:] != r[:-1])] if len(t) else np.zeros(0, bool)
+                    found.append((t[new], r[new]))
+                t, r = (np.concatenate(x) for x in zip(*found))
+                token, inverse = np.unique(t, return_inverse=True)
+                y = np.bincount(inverse, flag[a:b][r], len(token)).astype(np.int64)
+                n = np.bincount(inverse, minlength=len(token)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(y), pa.array(n - y)], names=["token", "toxic", "clean"])
 
     return docs.mapInArrow(run, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_odds(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds with Dirichlet prior ``strength`` times the tokens' share of all, and their z-scores."""
-    prior = strength * (y1 + y0) / (n1 + n0)
-    odds = lambda y, n: np.log((y + prior) / (n + strength - y - prior))
+    """Log-odds with a Dirichlet prior of ``strength`` of the tokens seen, shared as all of them are, and their z-scores."""
+    prior, all_ = strength * (y1 + y0), strength * (n1 + n0)
+    odds = lambda y, n: np.log((y + prior) / (n + all_ - y - prior))
     return odds(y1, n1) - odds(y0, n0), (odds(y1, n1) - odds(y0, n0)) / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
 
-def fit_weights(counts: DataFrame, strength: float = 500.0, least_z: float = 3.0, least_count: int = 5, vocabulary: int = 50_000) -> Weights:
+def fit_weights(counts: DataFrame, strength: float = 0.05, least_z: float = 3.5, least_count: int = 4, vocabulary: int = 50_000) -> Weights:
     """Weights of the (at most ``vocabulary``) most significant tokens; only these reach the driver."""
     total = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).first()
     n1, n0 = float(total["n1"] or 0), float(total["n0"] or 0)
     if not n1 or not n0:
         return Weights(np.zeros(0, U), np.zeros(0), -1.0, 1.0)
-    prior = F.lit(strength / (n1 + n0)) * (F.col("toxic") + F.col("clean"))
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + strength) - F.col(y) - prior))
+    prior, all_ = F.lit(strength) * (F.col("toxic") + F.col("clean")), strength * (n1 + n0)
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + all_) - F.col(y) - prior))
     z = (odds("toxic", n1) - odds("clean", n0)) / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     best = counts.filter(F.col("toxic") + F.col("clean") >= least_count).withColumn("z", z).filter(F.abs("z") >= least_z)
     found = best.orderBy(F.abs("z").desc(), "token").limit(vocabulary).select("token", "toxic", "clean").toPandas()
@@ -145,8 +174,8 @@ def scan(docs: DataFrame, weights: Weights) -> DataFrame:
         w8 = held.value
         for batch in batches:
             count, found = [], []
-            for _, _, w in pieces(batch.column("text"), _TABLE):
-                s = w8.of(w.hash)
+            for _, _, w in pieces(batch.column("text"), _TABLE, prefixes=_PREFIXES):
+                s = w8.of(w)
                 positive = np.concatenate([[0], np.cumsum(s > 0)])
                 count.append(np.diff(w.first))
                 some = positive[w.first[1:]] > positive[w.first[:-1]]
@@ -176,7 +205,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 50_000, cut:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).withColumn("key", shared.row_key("doc_id", "text"))
     rows = shared.written(training_rows(labels, most, seed), "training")
     few = F.broadcast(rows)  # at most 2 * most rows
-    weights = fit_weights(shared.written(token_counts(d.join(few, "doc_id").select("text", "toxic")), "tokens"))
+    own = shared.written(sketches(d.join(few, "doc_id")), "sketches").groupBy("sketch", "toxic").agg(F.min("key").alias("key")).select("key", "toxic")
+    weights = fit_weights(shared.written(token_counts(d.join(F.broadcast(own), "key").select("text", "toxic")), "tokens"))
     raw = shared.written(scan(d, weights), "segments")
     lam = weights.scale
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))

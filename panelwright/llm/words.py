@@ -8,7 +8,7 @@ of other characters always belong to words. NULL has no words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,7 @@ class Words:
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    prefixes: list[np.ndarray] = field(default_factory=list)
 
     @property
     def rows(self) -> int:
@@ -86,11 +87,12 @@ def text_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of the rows; ``prefixes``: also hashes of each word's first so many bytes (its own hash's basis if it is shorter)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U), np.zeros(len(offsets), np.int64), none, none)
+        return Words(np.zeros(0, U), np.zeros(len(offsets), np.int64), none, none, [np.zeros(0, U) for _ in prefixes])
     _grow(n + 1)
     value = table[data]
     inside = value != 0
@@ -108,15 +110,18 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     with np.errstate(over="ignore"):
         value *= _powers["up"][:n]
         np.cumsum(value, out=value)
-        h = value[end - 1]
-        h[begin > 0] -= value[begin[begin > 0] - 1]
-        h *= _powers["down"][begin]
+        before = np.where(begin > 0, value[begin - 1], U(0))
+
+        def upto(stop: np.ndarray) -> np.ndarray:
+            return mix((value[stop - 1] - before) * _powers["down"][begin])
+
+        h, short = upto(end), [mix(upto(np.minimum(begin + k, end)), 500 + k) for k in prefixes]
     first = np.searchsorted(begin, offsets)
     shift = np.repeat(offsets[:-1], np.diff(first))
-    return Words(mix(h), first, begin - shift, end - shift)
+    return Words(h, first, begin - shift, end - shift, short)
 
 
-def pieces(texts, table: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def pieces(texts, table: np.ndarray, most: int = 1 << 20, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, Words]]:
     """Words of a column in runs of whole rows of about ``most`` bytes: (first row, end row, words)."""
     data, offsets = text_buffers(texts)
     row, rows = 0, len(offsets) - 1
@@ -124,7 +129,7 @@ def pieces(texts, table: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int,
         stop = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1
         stop = min(rows, max(row + 1, stop))
         lo, hi = offsets[row], offsets[stop]
-        yield row, stop, words(data[lo:hi], offsets[row : stop + 1] - lo, table)
+        yield row, stop, words(data[lo:hi], offsets[row : stop + 1] - lo, table, prefixes)
         row = stop
 
 
