@@ -185,7 +185,7 @@ _indexes: dict[int, Index] = {}
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, walks: int = 3, samples: int = 3, bits: int = 5, block: int = 200_000, seed: int = 17,
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, walks: int = 4, samples: int = 3, bits: int = 4, block: int = 200_000, seed: int = 17,
 ) -> DataFrame:
     """doc_id, key, item_id, distance (edits in words), similarity, first_word: one row for each document and item that match."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).withColumn("key", shared.row_key("doc_id", "text"))
