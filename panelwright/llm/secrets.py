@@ -72,7 +72,9 @@ def train(found: DataFrame, docs: DataFrame, sample: int, seed: int) -> np.ndarr
     words = part.select(F.explode(F.split(shared.whole_text(), r"[^\p{L}_]+")).alias("w")).filter(F.length("w") >= 4)
     plain = words.select(F.explode(_bigrams(F.col("w"))).alias("g"))
     count = lambda d: {r["g"]: r["n"] for r in d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _transitions(count(pairs), 2.0) - _transitions(count(plain), 0.5)
+    # half uniform: random strings of alphabets that the samples do not have
+    random = np.logaddexp(_transitions(count(pairs), 2.0), -np.log(_N)) - np.log(2)
+    return random - _transitions(count(plain), 0.5)
 
 
 def find_secrets(docs: DataFrame, cut: float = 12.0, sample: int = 5_000, seed: int = 3) -> DataFrame:

@@ -13,20 +13,23 @@ NULL text is empty (only the end id); NULL doc_ids come first; equal doc_ids are
 from __future__ import annotations
 
 import json
-import os
 import uuid
 import zlib
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwright.llm import shared
+from panelwright.llm.bytelevel import Model
+from panelwright.llm.words import U, fold_table, pieces, text_buffers
 
 MAGIC = b"WVM1"
 _BLOCK = 64  # bytes of a plane per running count
-_encoders: dict[tuple, "WordEncoder"] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
 class WaveletMatrix:
@@ -37,7 +40,7 @@ class WaveletMatrix:
         self._ones: list[np.ndarray] | None = None
 
     @classmethod
-    def of(cls, ids: np.ndarray, levels: int) -> "WaveletMatrix":
+    def of(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
         planes, zeros = [], []
         for k in range(levels - 1, -1, -1):
             bit = (ids & ids.dtype.type(1 << k)).astype(bool)
@@ -152,74 +155,101 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.nd
 
 
 class WordEncoder:
-    """Token ids of texts, white-space words looked up in the worker's own table of at most ``most`` words.
+    """Token ids of texts, word by word, for tokenizers that drop white space.
 
-    For tokenizers whose pre-tokens never cross white space and that drop it; each word is encoded by the library once.
+    Words are hashed on the column's bytes (see ``words``) and looked up in the worker's table of 2 * ``most`` slots, two places
+    for each hash. Only a word that is not there becomes a string: it is normalised, cut into pre-tokens by the tokenizer's own
+    pattern, and these go through its model (or, if they are known, not even that); unusual words go through the library whole.
     """
 
-    #: Fixed value: control characters that Python's split() drops and the tokenizers do not.
-    ODD = "\x1c\x1d\x1e\x1f"
+    _TABLE = fold_table(lower=False)
 
     def __init__(self, path: str, most: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("aa bb", "aa \n\t bb "))
-        if one != two or self.tokenizer.encode(" aa", add_special_tokens=False).ids != self.tokenizer.encode("aa", add_special_tokens=False).ids:
-            raise ValueError("a tokenizer that drops white space is needed")
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, self.kind)
-        self.size = np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        sizes, pools = [], []
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            at = np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids))
-            sizes.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(part)))
-            pools.append(np.array(whole.ids, self.kind))
-        first = len(self.place)
-        self.place.update(zip(new, range(first, first + len(new))))
-        self.size = np.concatenate([self.size, *sizes])
-        self.pool = np.concatenate([self.pool, *pools])
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts with the end id after each, and the ids of each."""
-        if len(self.place) > self.most:
-            self.clear()
-        words, n, whole = [], np.zeros(len(texts), np.int64), {}
-        for k, text in enumerate(texts):
-            if any(c in text for c in self.ODD):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-                continue
-            own = text.split()
-            words += own
-            n[k] = len(own)
-        index = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        if (index < 0).any():
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, index.tolist()) if i < 0)))
-            index = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        import regex
+
+        with open(path) as f:
+            told = json.load(f)
+        steps = [s["type"] for s in (told["normalizer"] or {}).get("normalizers", [])]
+        cut = [s for s in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cut] != ["Split", "ByteLevel"] or cut[0]["behavior"] != "Removed" or not cut[0]["invert"]:
+            raise ValueError("a tokenizer with lower-cased words and white space dropped is needed")
+        self.model, self.most = Model(path), most
+        self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
+        self.kind = np.uint16 if self.model.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.mask = U((1 << max(8, (2 * most - 1).bit_length())) - 1)
+        self.parts: dict[str, list[int]] = {}
+        self._restart(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, self.kind))
+
+    def _restart(self, hashes: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        self.hashes, self.size, self.pool = hashes, size, pool
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.key = np.zeros(int(self.mask) + 1, U)
+        self.value = np.full(int(self.mask) + 1, -1, np.int32)
+        self._enter(hashes, 0)
+
+    def _enter(self, h: np.ndarray, first: int) -> None:
+        number = np.arange(first, first + len(h), dtype=np.int32)
+        one = (h & self.mask).astype(np.int64)
+        free = self.value[one] < 0
+        self.key[one[free]], self.value[one[free]] = h[free], number[free]
+        rest = self.value[one] != number  # taken before, or by another new word
+        two = (h[rest] >> U(32) & self.mask).astype(np.int64)
+        self.key[two], self.value[two] = h[rest], number[rest]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        one = (h & self.mask).astype(np.int64)
+        found = np.where(self.key[one] == h, self.value[one], -1)
+        rest = np.flatnonzero(found < 0)
+        two = (h[rest] >> U(32) & self.mask).astype(np.int64)
+        found[rest] = np.where(self.key[two] == h[rest], self.value[two], -1)
+        return found
+
+    def word(self, word: str) -> list[int]:
+        if not self.model.usual(word):
+            return self.model.whole(word)
+        out: list[int] = []
+        for part in self.find((word if word.isascii() else normalize("NFC", word)).lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = self.model.ids(part)
+            out += ids
+        return out
+
+    def _learn(self, h: np.ndarray, new: list[str]) -> None:
+        ids = list(map(self.word, new))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.hashes)
+        self.hashes, self.size = np.concatenate([self.hashes, h]), np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self._enter(h, first)
+
+    def encode(self, texts, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of rows: ids of all texts with the end id after each, and how many ids each has."""
+        data, offsets = text_buffers(texts)
+        for a, b, w in pieces(texts, self._TABLE, most=1 << 22):
+            if len(self.hashes) > self.most:  # keep the words learnt first: the frequent ones come early
+                n = self.most // 4
+                self._restart(self.hashes[:n], self.size[:n], self.pool[: self.start[n]].copy())
+            if len(self.parts) > self.most // 4:
+                self.parts = dict(islice(self.parts.items(), self.most // 16))
+            index = self._find(w.hash)
+            missing = np.flatnonzero(index < 0)
+            if len(missing):
+                h, first, inverse = np.unique(w.hash[missing], return_index=True, return_inverse=True)
+                at = missing[first]
+                shift = offsets[a + np.searchsorted(w.first, at, "right") - 1]
+                raw = [data[x:y].tobytes().decode() for x, y in zip((shift + w.start[at]).tolist(), (shift + w.end[at]).tolist())]
+                self._learn(h, raw)
+                index[missing] = len(self.hashes) - len(h) + inverse
+            yield self._joined(index, w.first, end)
+
+    def _joined(self, index: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[index] if len(index) else np.zeros(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.start[index] - upto[:-1], size)] if len(index) else np.zeros(0, self.kind)
-        doc_end = upto[np.cumsum(n)]
-        lengths = np.diff(np.concatenate([[0], doc_end]))
-        if whole:  # rare: texts that the library encoded whole
-            cut = np.split(ids, doc_end[:-1])
-            for k, own in whole.items():
-                cut[k] = own
-            lengths = np.array([len(c) for c in cut], np.int64)
-            ids, doc_end = np.concatenate(cut), np.cumsum(lengths)
-        return np.insert(ids, doc_end, self.kind(end)), lengths + 1
-
+        stop = upto[first[1:]]
+        return np.insert(ids, stop, self.kind(end)), np.diff(np.concatenate([[0], stop])) + 1
 
 def _encoder(path: str, most: int) -> WordEncoder:
     if (path, most) not in _encoders:
@@ -227,7 +257,7 @@ def _encoder(path: str, most: int) -> WordEncoder:
     return _encoders[path, most]
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_bytes: int = 16 << 20, cache: int = 500_000) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_bytes: int = 16 << 20, cache: int = 1_000_000) -> DataFrame:
     """Encode and write all documents; the manifest: part, seq, name, docs, ids of each file.
 
     Shards are ranges of doc_id with about ``shard_bytes`` of text; a task starts another file beyond 4 * ``shard_bytes`` ids.
@@ -243,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_by
         encoder, part = _encoder(path, cache), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        levels = max(1, (encoder.tokenizer.get_vocab_size() - 1).bit_length())
+        levels = max(1, (encoder.model.tokenizer.get_vocab_size() - 1).bit_length())
         held: list[tuple] = []
 
         def flush(seq: int):
@@ -262,11 +292,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_by
             keys = batch.column("doc_id")
             flags = np.array(keys.is_null())
             values = keys.fill_null(0).to_numpy()
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 400):
-                ids, lengths = encoder.encode(texts[a : a + 400], end)
-                held.append((ids, lengths, values[a : a + 400], flags[a : a + 400]))
-                n += len(ids)
+            a = 0
+            for ids, lengths in encoder.encode(batch.column("text"), end):
+                b = a + len(lengths)
+                held.append((ids, lengths, values[a:b], flags[a:b]))
+                a, n = b, n + len(ids)
                 if n >= 4 * shard_bytes:
                     yield flush(seq)
                     seq, n = seq + 1, 0

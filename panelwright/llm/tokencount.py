@@ -11,8 +11,7 @@ NULL text is empty and has no tokens; empty tables give no rows.
 
 from __future__ import annotations
 
-import os
-import unicodedata
+import json
 import zlib
 from collections import Counter
 
@@ -20,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm import shared
+from panelwright.llm.bytelevel import Model
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_workers: dict[tuple, "Counting"] = {}
+_workers: dict[tuple, Counting] = {}
 
 
 def pack(lengths: dict[str, int]) -> bytes:
@@ -44,37 +44,19 @@ class Counting:
     """A worker's tokenizer, its tables and its cache."""
 
     def __init__(self, path: str, table: bytes, cache: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        state = self.tokenizer.pre_tokenizer.__getstate__()
-        state = state.decode() if isinstance(state, bytes) else str(state)
-        if '"ByteLevel"' not in state or '"add_prefix_space":false' not in state or self.tokenizer.normalizer is not None:
+        with open(path) as f:
+            told = json.load(f)
+        cut = told["pre_tokenizer"] or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or told["normalizer"] or told["model"].get("ignore_merges"):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
-        self.find = regex.compile(PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.find = Model(path), regex.compile(PATTERN).findall
         self.frequent, self.cache, self.most = unpack(table), {}, cache
-        self.usual: set[str] = set()
-
-    def usual_text(self, text: str) -> bool:
-        if text.isascii():
-            return True
-        new = set(text) - self.usual
-        if any(unicodedata.category(c) == "Cn" for c in new):
-            return False
-        self.usual |= new
-        return True
-
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pre_tokens(self, text: str) -> list[str] | None:
         """None: the text has to be encoded whole."""
-        if any(s in text for s in self.special) or not self.usual_text(text):
-            return None
-        return self.find(text)
+        return self.find(text) if self.model.usual(text) else None
 
     def counts(self, texts: list[str]) -> list[int]:
         out: list = [0] * len(texts)
@@ -84,7 +66,7 @@ class Counting:
         for k, text in enumerate(texts):
             tokens = self.pre_tokens(text)
             if tokens is None:
-                out[k] = self.whole(text)
+                out[k] = len(self.model.whole(text))
                 continue
             known = list(map(first, tokens))
             rest = [t for t, n in zip(tokens, known) if n is None]
@@ -98,10 +80,8 @@ class Counting:
                     again.append((k, unknown))
             out[k] = total
         if missed:
-            new = list(missed)
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                missed.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            for t in missed:
+                missed[t] = len(self.model.ids(t))
             for k, unknown in again:
                 out[k] += sum(map(missed.__getitem__, unknown))
             if len(self.cache) + len(missed) > self.most:  # the older half goes
@@ -139,8 +119,8 @@ def frequent_table(docs: DataFrame, path: str, table_size: int, sample: int, see
     for row in texts.mapInArrow(run, "token string, n long").toLocalIterator():
         total[row["token"]] += row["n"]
     tokens = [t for t, _ in total.most_common(table_size)]
-    worker = Counting(path, b"", 1)
-    return pack({t: worker.whole(t) for t in tokens})
+    model = Model(path)
+    return pack({t: len(model.ids(t)) for t in tokens})
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, table_size: int = 1 << 16, sample: int = 5_000, cache: int = 300_000) -> DataFrame:
