@@ -48,7 +48,7 @@ def quantile_bins(spark, sf):
 FROM (SELECT flag, quantile_cont(price, [0, 0.25, 0.5, 0.9, 1]) AS q FROM l GROUP BY 1)""")
 def ranged_quantiles(spark, sf):
     """Exact quantiles of a high-cardinality column by value ranges instead of one map per group."""
-    q = qn.exact_quantiles(lines(spark, sf), ["price"], [0, 0.25, 0.5, 0.9, 1], ["flag"], method="range", ranges=64)
+    q = qn.exact_quantiles(lines(spark, sf), ["price"], [0, 0.25, 0.5, 0.9, 1], ["flag"], per_range=4_000)
     return rounded(q.select("flag", *[F.col("price")[i].alias(n) for i, n in enumerate(("lo", "q25", "q50", "q90", "hi"))]))
 
 
@@ -93,7 +93,7 @@ def absolute_risk(spark, sf):
 r AS ({_risk_sql('b', 'urgent', 'high')}), v AS (SELECT 'urgent' AS outcome, unnest([0, 1])::BIGINT AS level) {_RISK_OUT}""")
 def panel_risk(spark, sf):
     """Flagship: three waves joined, median-split exposure, weighted risk by group."""
-    b = qn.median_split(panel(spark, sf), "score", "high", method="auto").withColumn("w", F.col("n_base"))
+    b = qn.median_split(panel(spark, sf), "score", "high").withColumn("w", F.col("n_base"))
     return rounded(ds.absolute_risk(b, ["urgent"], "w", "high", [0, 1]))
 
 

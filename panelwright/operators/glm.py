@@ -138,7 +138,7 @@ class GlmBatch:
         weight: str | None = None,
         family: str = "poisson",
         ridge: float = 0.0,
-        compress: bool | str = "auto",
+        compress: bool = False,
         min_n: int = 1,
         tol: float = 1e-9,
         max_passes: int = 60,
@@ -157,17 +157,13 @@ class GlmBatch:
         self.design = self._prepare(df, weight, compress)
         self.fits: list[Fit] = []
 
-    def _prepare(self, df: DataFrame, weight: str | None, compress: bool | str) -> BlockFrame:
+    def _prepare(self, df: DataFrame, weight: str | None, compress: bool) -> BlockFrame:
         w = F.lit(1.0) if weight is None else F.col(quoted(weight)).cast("double")
         x = [F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(self.design_cols)]
         y = [F.col(quoted(c)).cast("double").alias(f"y{i}") for i, c in enumerate(self.outcomes)]
         rows = df.filter(w.isNotNull()).select(*x, *y, w.alias("w"))
         xs = [f"x{i}" for i in range(len(self.design_cols))]
-        if compress == "auto":
-            patterns = F.approx_count_distinct(F.xxhash64(*xs)) if xs else F.lit(1)
-            seen = rows.agg(F.count(F.lit(1)).alias("n"), patterns.alias("d")).first()
-            compress = seen["d"] * 10 <= seen["n"]
-        self.compressed = bool(compress)
+        self.compressed = bool(compress)  # the caller knows whether design rows repeat
         if not self.compressed:
             return keep_blocks(rows)
         sums = []

@@ -22,7 +22,7 @@ def binary_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
 
 
 def prepare_matrix(
-    df: DataFrame, vars: Sequence[str], keep: Sequence[str] = (), method: str = "auto"
+    df: DataFrame, vars: Sequence[str], keep: Sequence[str] = ()
 ) -> tuple[DataFrame, list[str]]:
     """Complete rows of the variables that exist, non-binary ones centred on the
     median and divided by the interquartile range (1 when that is 0)."""
@@ -32,7 +32,7 @@ def prepare_matrix(
     cont = [v for v in use if v not in binary]
     if not cont:
         return rows, use
-    q = exact_quantiles(rows, cont, [0.25, 0.5, 0.75], method=method)
+    q = exact_quantiles(rows, cont, [0.25, 0.5, 0.75])
 
     def scaled(d, s):
         def one(c):

@@ -4,35 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from panelwright.functions.codes import as_col
-from panelwright.operators.quantiles import range_cuts, running_totals, suffix_min
+from panelwright.functions.codes import as_col, nan_to_null
+from panelwright.operators.quantiles import PER_RANGE, running_totals, suffix_min, value_cuts
 
 
 def fdr_bh(
-    df: DataFrame, p: str = "p", family: Sequence[str] = (), alpha: float = 0.05, ranges: int | None = None
+    df: DataFrame, p: str = "p", family: Sequence[str] = (), alpha: float = 0.05, per_range: int = PER_RANGE
 ) -> DataFrame:
     """Step-up q-values and reject flags.
 
-    Tests are first merged by equal p (equal p-values share a q-value), then
-    ranked per family. A result table needs no more; for families whose size
-    grows with the data, ``ranges`` splits the ranking into that many ranges of
-    p at the price of one sketch pass.
+    Tests are first merged by equal p (equal p-values share a q-value), then ranked per family over as many ranges of p
+    as the merged values need. NaN is no test, as NULL is.
     """
     family = list(family)
-    by_p = df.filter(as_col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
-    raw = F.col(p) * F.col("total") / F.col("cum")
-    if ranges:
-        cuts = range_cuts(df, p, ranges)
-        ranked = running_totals(by_p, p, "_n", cuts, family).withColumn("_raw", raw)
-        lowest = suffix_min(ranked, p, "_raw", cuts, "_q", family)
-    else:
-        part = W.partitionBy(*(family or [F.lit(0)]))
-        up = part.orderBy(p).rowsBetween(W.unboundedPreceding, 0)
-        down = part.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-        ranked = by_p.withColumn("cum", F.sum("_n").over(up)).withColumn("total", F.sum("_n").over(part))
-        lowest = ranked.withColumn("_q", F.min(raw).over(down))
+    value = nan_to_null(as_col(p))
+    by_p = df.filter(value.isNotNull()).groupBy(*family, value.alias(p)).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = value_cuts(by_p, p, per_range)
+    ranked = running_totals(by_p, p, "_n", cuts, family).withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
+    lowest = suffix_min(ranked, p, "_raw", cuts, "_q", family)
     q = lowest.select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias("FDR_q"))
     out = df.join(q, [*family, p], "left")
     return out.select(*df.columns, "FDR_q", (F.col("FDR_q") <= alpha).alias("FDR_reject"))

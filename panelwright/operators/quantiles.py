@@ -1,11 +1,8 @@
 """Exact quantiles, ranks by weight and bins that hold at any cardinality.
 
-``percentile`` keeps one value-to-count map per group in one task. That is
-the right plan for scores, codes and ages, and the wrong one for a column with
-billions of distinct values. :func:`exact_quantiles` therefore looks at a
-sketch first and uses the map only under a distinct-value bound; beyond it the
-order statistics are located with :func:`running_totals`, which splits the
-sorted domain into many value ranges.
+Equal values are merged once, into a counted table that every later step of a call reads. Order statistics are located
+with running totals over value ranges: as many ranges as the counted values need, so no task ever sorts more than about
+``per_range`` of them. NaN is missing, as NULL is.
 """
 
 from __future__ import annotations
@@ -16,24 +13,32 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelwright.functions.codes import as_lit, quoted
+from panelwright.functions.codes import as_lit, nan_to_null, quoted
+from panelwright.session import cut_lineage
 
-MAP_LIMIT = 200_000
-RANGES = 512
+PER_RANGE = 1_000_000
+_SKETCHES = 32
 
 
-def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    """Approximate distinct counts, in one pass with bounded state."""
-    row = df.agg(
-        *[F.approx_count_distinct(F.col(quoted(c)).cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
-    ).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(cols)}
+def number(col: str) -> Column:
+    """The column as a double, NaN as NULL."""
+    return nan_to_null(F.col(quoted(col)).cast("double"))
 
 
-def range_cuts(df: DataFrame, col: str, ranges: int = RANGES) -> list[float]:
-    """Approximate value-range boundaries (a bounded sketch)."""
+def value_cuts(values: DataFrame, col: str, per_range: int = PER_RANGE, rows: int | None = None) -> list[float]:
+    """Boundaries of value ranges that hold about ``per_range`` rows each.
+
+    Sketches of hashed parts are sketched again, so no task merges one per input partition. ``rows`` spares the count.
+    """
+    rows = values.count() if rows is None else rows
+    ranges = -(-rows // per_range)
+    if ranges <= 1:
+        return []
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.agg(F.percentile_approx(F.col(quoted(col)).cast("double"), probs, F.lit(8 * ranges))).first()[0]
+    sketch = lambda: F.percentile_approx("_c", probs, F.lit(8 * ranges))
+    v = values.select(number(col).alias("_c")).filter(F.col("_c").isNotNull())
+    parts = v.groupBy(F.pmod(F.xxhash64("_c"), F.lit(_SKETCHES)).alias("_k")).agg(sketch().alias("_q"))
+    cuts = parts.select(F.explode("_q").alias("_c")).agg(sketch()).first()[0]
     return sorted(set(cuts or []))
 
 
@@ -99,15 +104,11 @@ def suffix_min(values: DataFrame, col: str, amount: str, cuts: Sequence[float],
     )
 
 
-def _ranged_quantiles(df, col, probs, by, cuts, out):
-    """Order statistics around each position, interpolated like ``percentile``.
+def _ranged_quantiles(counted, probs, by, cuts, out):
+    """Order statistics around each position of (by, _v, _n), interpolated linearly.
 
     The range totals tell which ranges hold a wanted rank; only those are sorted.
     """
-    value = F.col(quoted(col)).cast("double")
-    counted = (
-        df.filter(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
     ranged = with_range(counted, "_v", cuts)
     ranks = []
     for i, p in enumerate(probs):
@@ -121,7 +122,7 @@ def _ranged_quantiles(df, col, probs, by, cuts, out):
         .groupBy(*by, "_range", "_before").agg(F.collect_list("r").alias("_ranks"))
     )
     cum = F.col("_before") + F.sum("_n").over(_inside("_v", by))
-    ranked = ranged.join(wanted, [*by, "_range"]).withColumn("cum", cum)
+    ranked = join_null_safe(ranged, wanted, [*by, "_range"]).withColumn("cum", cum)
     first = F.col("cum") - F.col("_n")
     hits = ranked.select(
         *by, "_v", F.explode(F.filter("_ranks", lambda r: (first <= r["rank"]) & (r["rank"] < F.col("cum")))).alias("r")
@@ -136,48 +137,44 @@ def _ranged_quantiles(df, col, probs, by, cuts, out):
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    method: str = "auto",
-    map_limit: int = MAP_LIMIT,
-    ranges: int = RANGES,
-) -> DataFrame:
-    """Linear-interpolated quantiles as ``array<double>``, one column per input column.
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join where NULL keys meet; the right side's keys are dropped."""
+    named = right.select(*[F.col(quoted(c)).alias(f"_on_{i}" if c in on else c) for i, c in enumerate(right.columns)])
+    where = {c: f"_on_{i}" for i, c in enumerate(right.columns) if c in on}
+    test = reduce(lambda a, b: a & b, [F.col(quoted(c)).eqNullSafe(F.col(where[c])) for c in on])
+    return left.join(named, test).drop(*where.values())
 
-    ``method``: ``map`` (one pass, for columns known to be coded), ``range``
-    (distributed order statistics) or ``auto`` (decided by a sketch pass).
-    """
-    by, cols = list(by), list(cols)
-    distinct = distinct_estimates(df, cols) if method == "auto" else {}
-    mapped = [c for c in cols if method == "map" or (method == "auto" and distinct[c] <= map_limit)]
-    parts = []
-    if mapped:
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        parts.append(
-            df.groupBy(*by).agg(*[F.percentile(F.col(quoted(c)).cast("double"), array).alias(c) for c in mapped])
-        )
-    for c in cols:
-        if c not in mapped:
-            parts.append(_ranged_quantiles(df, c, probs, by, range_cuts(df, c, ranges), c))
-    if by:
-        return reduce(lambda a, b: a.join(b, by, "full"), parts)
-    if len(parts) == 1:
-        return parts[0]
-    one = df.sparkSession.range(1)
-    picked = []
-    for part in parts:
-        picked += [part.select(c).scalar().alias(c) for c in part.columns]
-    return one.select(*picked)
+
+def counted_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, _i, _v, _n): how often each value of column number ``_i`` occurs, NULL included; one pass, then a stored table."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), number(c).alias("v")) for i, c in enumerate(cols)])
+    long = df.select(*[F.col(quoted(b)) for b in by], F.explode(pairs).alias("_p"))
+    return cut_lineage(long.groupBy(*[quoted(b) for b in by], F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def moments(df: DataFrame, col: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), per_range: int = PER_RANGE
+) -> DataFrame:
+    """Linear-interpolated quantiles as ``array<double>``, one column per input column; NULL for a group without values."""
+    by, cols = list(by), list(cols)
+    counted = counted_values(df, cols, by)
+    sizes = {r["_i"]: r["n"] for r in counted.groupBy("_i").agg(F.count("_v").alias("n")).collect()}
+    none = F.lit(None).cast("array<double>").alias("_q")
+    parts = [counted.select(*by, F.lit(-1).alias("_i"), none).distinct()]  # every group has its row
+    for i in range(len(cols)):
+        if sizes.get(i):
+            values = counted.filter((F.col("_i") == i) & F.col("_v").isNotNull()).drop("_i")
+            cuts = value_cuts(values, "_v", per_range, sizes[i])
+            parts.append(_ranged_quantiles(values, probs, by, cuts, "_q").select(*by, F.lit(i).alias("_i"), "_q"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(c) for i, c in enumerate(cols)])
+
+
+def moments(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, sample sd and median of a score."""
-    c = F.col(quoted(col))
+    c = number(col)
     base = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"))
-    med = exact_quantiles(df, [col], [0.5], by, method).withColumnRenamed(col, "_q")
+    med = exact_quantiles(df, [col], [0.5], by).withColumnRenamed(col, "_q")
     if by:
         return base.join(med, list(by)).withColumn("median", F.col("_q")[0]).drop("_q")
     return base.withColumn("median", med.scalar()[0])
@@ -205,16 +202,15 @@ def with_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], fn) -> DataFr
     return fn(df.join(packed, by, "left"), lambda name: F.col("_stats")[name]).drop("_stats")
 
 
-def score_stats(df: DataFrame, col: str, probs: Sequence[float], method: str = "auto") -> DataFrame:
+def score_stats(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     """One row: mean, sample sd and the quantiles ``q`` of a score."""
-    c = F.col(quoted(col)).cast("double")
-    q = exact_quantiles(df, [col], probs, method=method)
-    return df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).withColumn("q", q.scalar())
+    q = exact_quantiles(df, [col], probs)
+    return df.agg(F.avg(number(col)).alias("mean"), F.stddev_samp(number(col)).alias("sd")).withColumn("q", q.scalar())
 
 
 def zscore(df: DataFrame, col: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """(x - mean) / sample sd over the whole frame: score first, join later."""
-    c = F.col(quoted(col))
+    c = number(col)
     stats = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"))
     return with_stats(df, stats, by, lambda d, s: d.withColumn(out, F.try_divide(c - s("mean"), s("sd"))))
 
@@ -230,21 +226,19 @@ def bin_of(c: Column, edges: Column, q: int) -> Column:
     return out.otherwise(label + (edges[q] > edges[q - 1]).cast("int")).cast("int")
 
 
-def qcut(df: DataFrame, col: str, q: int, out: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+def qcut(df: DataFrame, col: str, q: int, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Quantile bins from exact edges; tied values always share a bin (unlike ``ntile``)."""
-    edges = exact_quantiles(df, [col], [i / q for i in range(q + 1)], by, method).withColumnRenamed(col, "edges")
-    c = F.col(quoted(col))
-    return with_stats(df, edges, by, lambda d, s: d.withColumn(out, bin_of(c, s("edges"), q)))
+    edges = exact_quantiles(df, [col], [i / q for i in range(q + 1)], by).withColumnRenamed(col, "edges")
+    return with_stats(df, edges, by, lambda d, s: d.withColumn(out, bin_of(number(col), s("edges"), q)))
 
 
 def median_split(
-    df: DataFrame, col: str, out: str, by: Sequence[str] = (), null_as_low: bool = True,
-    strict: bool = False, method: str = "auto",
+    df: DataFrame, col: str, out: str, by: Sequence[str] = (), null_as_low: bool = True, strict: bool = False
 ) -> DataFrame:
     """1.0 at or above the median (``strict``: above). A missing score counts as
     0.0 unless ``null_as_low`` is off."""
-    med = exact_quantiles(df, [col], [0.5], by, method).withColumnRenamed(col, "med")
-    c = F.col(quoted(col))
+    med = exact_quantiles(df, [col], [0.5], by).withColumnRenamed(col, "med")
+    c = number(col)
 
     def flag(d, s):
         hit = (c > s("med")[0]) if strict else (c >= s("med")[0])
@@ -255,14 +249,14 @@ def median_split(
 
 
 def weighted_quantile(
-    df: DataFrame, col: str, weight: str, q: float = 0.5, by: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, col: str, weight: str, q: float = 0.5, by: Sequence[str] = (), per_range: int = PER_RANGE
 ) -> DataFrame:
     """First value, in order, whose cumulative weight reaches ``q`` of the total."""
     by = list(by)
-    c, w = F.col(quoted(col)).cast("double"), F.col(quoted(weight))
+    c, w = number(col), number(weight)
     kept = df.filter(c.isNotNull() & w.isNotNull()).select(*by, c.alias("_v"), w.alias("_w"))
-    values = kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))
-    ranged = with_range(values, "_v", range_cuts(kept, "_v", ranges))
+    values = cut_lineage(kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")))
+    ranged = with_range(values, "_v", value_cuts(values, "_v", per_range))
     # the first range whose end reaches the share holds the answer; only it is sorted
     holds = (
         range_offsets(ranged, "_w", by)
@@ -270,7 +264,7 @@ def weighted_quantile(
         .groupBy(*by).agg(F.min_by(F.struct("_range", "_before", "total"), "_range").alias("h"))
         .select(*by, "h._range", "h._before", "h.total")
     )
-    ranked = ranged.join(holds, [*by, "_range"]).withColumn("cum", F.col("_before") + F.sum("_w").over(_inside("_v", by)))
+    ranked = join_null_safe(ranged, holds, [*by, "_range"]).withColumn("cum", F.col("_before") + F.sum("_w").over(_inside("_v", by)))
     reached = F.when(F.col("cum") >= as_lit(q) * F.col("total"), F.col("_v"))
     return ranked.groupBy(*by).agg(
         F.coalesce(F.min(reached), F.max("_v")).alias("quantile"), F.first("total").alias("sum_weights")

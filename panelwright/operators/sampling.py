@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelwright.functions.codes import quoted
-from panelwright.operators.quantiles import RANGES, range_cuts, running_totals
+from panelwright.operators.quantiles import PER_RANGE, number, running_totals, value_cuts
+from panelwright.session import cut_lineage
 
 
-def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, ranges: int = RANGES) -> DataFrame:
+def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, per_range: int = PER_RANGE) -> DataFrame:
     """``n`` draws of ``col`` with probability proportional to ``weight``.
 
     Equal values are merged into cumulative-weight intervals; each draw is a
     hash of its number, so results do not depend on partitioning. Draws and
     interval starts meet in slices of [0, 1) and each draw takes the interval
     that starts last before it; an interval is repeated at the start of every
-    slice that it reaches into.
+    slice that it reaches into. There are as many slices as draws and distinct
+    values need at ``per_range`` rows each.
     """
-    x, w = F.col(quoted(col)).cast("double"), F.col(quoted(weight)).cast("double")
+    x, w = number(col), number(weight)
     kept = df.filter(x.isNotNull() & (w > 0)).select(x.alias("v"), w.alias("w"))
-    values = kept.groupBy("v").agg(F.sum("w").alias("w"))
-    cum = running_totals(values, "v", "w", range_cuts(kept, "v", ranges))
+    values = cut_lineage(kept.groupBy("v").agg(F.sum("w").alias("w")))
+    distinct = values.count()
+    ranges = max(1, -(-(n + distinct) // per_range))
+    cum = running_totals(values, "v", "w", value_cuts(values, "v", per_range, distinct))
     start = (F.col("cum") - F.col("w")) / F.col("total")
     end = F.col("cum") / F.col("total")
     slice_of = lambda u: F.least(F.floor(u * ranges), F.lit(ranges - 1)).cast("int")

@@ -62,7 +62,7 @@ def spline_terms(df: DataFrame, x: str, lo: float, hi: float, df_spline: int = 3
 
 def spline_rr(
     df: DataFrame, outcome: str, x: str, weight: str, adjust: Sequence[str], lo: float = 13, hi: float = 52,
-    ref: float = 29, df_spline: int = 3, min_n: int = 100, step: float = 1.0, compress: bool | str = "auto",
+    ref: float = 29, df_spline: int = 3, min_n: int = 100, step: float = 1.0, compress: bool = False,
 ) -> DataFrame:
     """Ratio at every grid point against ``ref``. Covariates cancel in the
     contrast, so only the spline block of the covariance matters. With fewer
@@ -92,9 +92,9 @@ def spline_rr(
     )
 
 
-def quantile_means(df: DataFrame, outcome: str, x: str, q: int = 4, method: str = "auto") -> DataFrame:
+def quantile_means(df: DataFrame, outcome: str, x: str, q: int = 4) -> DataFrame:
     """Fallback curve: plain mean of score and outcome per quantile bin."""
     kept = df.filter(F.col(quoted(outcome)).isNotNull() & F.col(quoted(x)).isNotNull())
-    return qcut(kept, x, q, "bin", method=method).groupBy("bin").agg(
+    return qcut(kept, x, q, "bin").groupBy("bin").agg(
         F.avg(quoted(x)).alias("mean_x"), F.avg(quoted(outcome)).alias("mean_y"), F.count(F.lit(1)).alias("n")
     )

@@ -78,8 +78,7 @@ class BlockFrame:
 
 
 def keep_blocks(df: DataFrame) -> BlockFrame:
-    """Pack a frame of doubles (NULL becomes NaN) and non-null integers, cached
-    over at least one partition per core where there are enough blocks."""
+    """Pack a frame of doubles (NULL becomes NaN) and non-null integers, cached."""
     names = df.columns
     whole = frozenset(n for n, t in df.dtypes if t != "double")
     cast = df.select(*[F.col(n) if n not in whole else F.col(n).cast("bigint").alias(n) for n in names])
@@ -136,10 +135,8 @@ def vector_sums(
                 names=["k", "pos", "val"],
             )
 
-    # A task emits one partial per key: bound their number by the cores, not by
-    # the partitions of the input. Narrow, and a no-op on smaller inputs.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    added = df.coalesce(2 * cores).mapInArrow(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
+    # a task emits one partial per key and position; they are combined per position, over the session's shuffle partitions
+    added = df.mapInArrow(run, SCHEMA).groupBy("k", "pos").agg(F.sum("val").alias("val")).toPandas()
     out = [np.zeros(w) for w in widths]
     for k, part in added.groupby("k"):
         out[int(k)][part["pos"].to_numpy()] = part["val"].to_numpy(dtype=float)
@@ -147,13 +144,5 @@ def vector_sums(
 
 
 def keep_for_passes(df: DataFrame) -> DataFrame:
-    """Cache a narrow frame that several passes read, over at least one
-    partition per core. Lost blocks are recomputed from lineage."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cached.rdd.getNumPartitions() >= cores:
-        return cached
-    wide = cached.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    wide.count()
-    cached.unpersist()
-    return wide
+    """Cache a narrow frame that several passes read, in the partitions it has. Lost blocks are recomputed from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

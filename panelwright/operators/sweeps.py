@@ -45,7 +45,7 @@ def _with_status(pooled: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataF
 def outcome_sweep(
     stack: DataFrame, panel: DataFrame, outcomes: Sequence[str], exposure: str, adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", delta: float = 1.0, family_alpha: float = 0.05,
-    compress: bool | str = "auto", with_p: bool = True,
+    compress: bool = False, with_p: bool = True,
 ) -> DataFrame:
     """Per outcome: pooled ratio and risk difference, E-values, weighted risk,
     and (``with_p``) p-values with both multiplicity corrections.
@@ -81,7 +81,7 @@ def outcome_sweep(
 
 def complete_case_sweep(
     panel: DataFrame, outcomes: Sequence[str], exposure: str, adjust: Sequence[str], weight: str,
-    min_n: int = 100, compress: bool | str = "auto", with_p: bool = True,
+    min_n: int = 100, compress: bool = False, with_p: bool = True,
 ) -> DataFrame:
     """Refit every outcome on complete rows; fewer than ``min_n`` rows gives
     status ``too_few``."""
@@ -112,7 +112,7 @@ def complete_case_sweep(
 def level_contrasts(
     stack: DataFrame, outcomes: Sequence[str], bin_col: str, levels: Sequence[int], adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", reference: str = "rest", prefix: str = "Q",
-    null_in_reference: bool = True, compress: bool | str = "auto", with_p: bool = True,
+    null_in_reference: bool = True, compress: bool = False, with_p: bool = True,
 ) -> DataFrame:
     """Pooled ratio of each level.
 
@@ -142,7 +142,7 @@ def level_contrasts(
 
 def interaction_test(
     stack: DataFrame, outcome: str, exposure: str, modifier: str, adjust: Sequence[str], weight: str, m: int = 1,
-    chain_col: str | None = "mi_id", compress: bool | str = "auto",
+    chain_col: str | None = "mi_id", compress: bool = False,
 ) -> DataFrame:
     """Pooled estimates of the product term and of the exposure main effect."""
     term = f"{exposure}_X_{modifier}"
@@ -188,7 +188,7 @@ def strata_counts(stack: DataFrame, outcome: str, weight: str, categories: Seque
 def stratified_rr(
     stack: DataFrame, outcome: str, exposure: str, categories: Sequence[Category], adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", min_rows: int = 100,
-    compress: bool | str = "auto", with_p: bool = True,
+    compress: bool = False, with_p: bool = True,
 ) -> DataFrame:
     """Pooled ratio per stratum, from imputations with more than ``min_rows`` rows.
 
@@ -226,7 +226,7 @@ def stratified_rr(
 
 def effect_modification(
     stack: DataFrame, outcome: str, exposure: str, modifier: str, adjust: Sequence[str], weight: str, m: int = 1,
-    chain_col: str | None = "mi_id", cut_at: float | None = None, min_rows: int = 50, compress: bool | str = "auto",
+    chain_col: str | None = "mi_id", cut_at: float | None = None, min_rows: int = 50, compress: bool = False,
 ) -> DataFrame:
     """Interaction, main effect and per-stratum ratios as rows ``(part, stratum, ...)``.
 

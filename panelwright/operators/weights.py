@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwright.functions.codes import quoted, to_num
 from panelwright.operators.glm import GlmBatch, ModelSpec
 from panelwright.operators.panel import membership_flag
-from panelwright.operators.quantiles import exact_quantiles, with_stats
+from panelwright.operators.quantiles import exact_quantiles, number, with_stats
 from panelwright.operators.sums import keep_for_passes
+from panelwright.session import cut_lineage
 
 # Probability clip and the trimming percentiles of followed rows.
 CLIP = 1e-6
 TRIM = (0.01, 0.99)
 
 
-def median_fill(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace missing values by the exact column median."""
-    med = exact_quantiles(df, cols, [0.5], method=method)
+    med = exact_quantiles(df, cols, [0.5])
     return with_stats(
-        df, med, (), lambda d, s: d.withColumns({c: F.coalesce(F.col(quoted(c)), s(c)[0]) for c in cols})
+        df, med, (), lambda d, s: d.withColumns({c: F.coalesce(number(c), s(c)[0]) for c in cols})
     )
 
 
@@ -54,7 +55,7 @@ def trim(df: DataFrame, weight: str, followed: str, out: str, probs: tuple[float
 
 def ipcw(
     wave: DataFrame, followed_ids: DataFrame, key: Sequence[str], covars: Sequence[str],
-    weight: str = "ipcw_weight", flag: str = "complete3", penalty: float = 1.0, compress: bool | str = False,
+    weight: str = "ipcw_weight", flag: str = "complete3", penalty: float = 1.0, compress: bool = False,
 ) -> DataFrame:
     """Key, trimmed stabilised weight and follow-up flag for the first wave.
 
@@ -81,8 +82,9 @@ def ipcw(
     eta = F.lit(float(fit.beta[0]))
     for b, n in zip(fit.beta[1:], names):
         eta = eta + F.lit(float(b)) * F.col(n)
-    scored = ready.select(
+    scored = cut_lineage(ready.select(
         *key, flag,
         stabilised(1 / (1 + F.exp(-eta)), F.lit(fit.events / fit.n), F.col(flag)).alias("_raw"),
-    )
+    ))
+    raw.unpersist()
     return trim(scored, "_raw", flag, weight).select(*key, weight, flag)

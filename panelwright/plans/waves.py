@@ -50,7 +50,7 @@ def baseline(df: DataFrame) -> DataFrame:
     return df.select(cb.KEY, *[cols[c].alias(c) for c in cb.COVARIATES])
 
 
-def exposure(df: DataFrame, method: str = "auto") -> DataFrame:
+def exposure(df: DataFrame) -> DataFrame:
     """Key, score, z-score, quantile bins and median split of the second wave.
 
     Cut-offs come from the whole wave, before any join.
@@ -68,7 +68,7 @@ def exposure(df: DataFrame, method: str = "auto") -> DataFrame:
     out = df.select(cb.KEY, row_sum(scored, cb.SCORE_MIN_ANSWERED).alias(cb.SCORE))
     c = F.col(cb.SCORE)
     quarters, thirds = [0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 1 / 3, 2 / 3, 1.0]
-    cuts = score_stats(out, cb.SCORE, [*quarters, *thirds], method)
+    cuts = score_stats(out, cb.SCORE, [*quarters, *thirds])
 
     def derive(d, s):
         q = s("q")

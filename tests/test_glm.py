@@ -54,7 +54,7 @@ def fitted(df, specs, w="w", **kw):
     return out
 
 
-@pytest.mark.parametrize("compress", [False, True, "auto"])
+@pytest.mark.parametrize("compress", [False, True])
 def test_matches_plain_newton_with_listwise_deletion(cohort, compress):
     df, pdf = cohort
     specs = [

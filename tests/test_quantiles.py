@@ -17,13 +17,13 @@ def scores(spark):
     return df, pdf
 
 
-@pytest.mark.parametrize("method", ["map", "range", "auto"])
-def test_quantiles_match_linear_interpolation(scores, method):
+@pytest.mark.parametrize("per_range", [1_000_000, 90])
+def test_quantiles_match_linear_interpolation(scores, per_range):
     df, pdf = scores
     probs = [0, 0.1, 0.25, 0.5, 1 / 3, 0.99, 1]
-    got = qn.exact_quantiles(df, ["x"], probs, method=method, map_limit=100, ranges=16).first()[0]
+    got = qn.exact_quantiles(df, ["x"], probs, per_range=per_range).first()[0]
     assert got == pytest.approx(np.nanquantile(pdf["x"], probs), abs=1e-12)
-    by = {r["g"]: r["x"] for r in qn.exact_quantiles(df, ["x"], probs, ["g"], method=method, map_limit=100, ranges=16).collect()}
+    by = {r["g"]: r["x"] for r in qn.exact_quantiles(df, ["x"], probs, ["g"], per_range=per_range).collect()}
     for k, part in pdf.groupby("g"):
         assert by[k] == pytest.approx(np.nanquantile(part["x"], probs), abs=1e-12)
 
@@ -70,14 +70,14 @@ def test_weighted_quantile_is_first_value_reaching_the_share(scores):
     kept = pdf.dropna(subset=["x"]).sort_values("x")
     cum = kept["w"].cumsum().to_numpy()
     want = kept["x"].to_numpy()[np.searchsorted(cum, cum[-1] / 2)]
-    assert qn.weighted_quantile(df, "x", "w", ranges=8).first()["quantile"] == want
+    assert qn.weighted_quantile(df, "x", "w", per_range=100).first()["quantile"] == want
 
 
 def test_running_totals_do_not_depend_on_the_ranges(scores):
     df, _ = scores
     v = df.filter("x is not null").groupBy("g", "x").agg(F.count("*").alias("n"))
     whole = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", [], ["g"]).collect()}
-    split = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", qn.range_cuts(df, "x", 20), ["g"]).collect()}
+    split = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", qn.value_cuts(v, "x", 100), ["g"]).collect()}
     assert whole == split
 
 
@@ -89,12 +89,12 @@ def _bh(p):
     return out
 
 
-@pytest.mark.parametrize("ranges", [None, 8])
-def test_step_up_q_values(spark, ranges):
+@pytest.mark.parametrize("per_range", [1_000_000, 30])
+def test_step_up_q_values(spark, per_range):
     rng = np.random.default_rng(0)
     p = np.round(rng.random(400) ** 3, 3)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "f": np.arange(400) % 2, "p": p}))
-    out = bonferroni(fdr_bh(df, family=["f"], ranges=ranges), family=["f"]).toPandas().sort_values("id")
+    out = bonferroni(fdr_bh(df, family=["f"], per_range=per_range), family=["f"]).toPandas().sort_values("id")
     for f in (0, 1):
         mine = out[out["f"] == f]
         assert mine["FDR_q"].to_numpy() == pytest.approx(_bh(p[f::2]), abs=1e-12)
@@ -105,10 +105,26 @@ def test_step_up_q_values(spark, ranges):
 
 def test_resample_follows_the_weights_and_is_reproducible(spark):
     df = spark.createDataFrame([(float(i), 10.0 if i == 3 else 1.0, i) for i in range(20)] + [(99.0, 0.0, 20)], "x double, w double, i int")
-    one = weighted_resample(df, "x", "w", 20000, 5, ranges=16).toPandas()
-    two = weighted_resample(df.repartition(5), "x", "w", 20000, 5, ranges=4).toPandas()
+    one = weighted_resample(df, "x", "w", 20000, 5, per_range=1000).toPandas()
+    two = weighted_resample(df.repartition(5), "x", "w", 20000, 5).toPandas()
     assert len(one) == 20000 and one["x"].notna().all()
     a, b = one.sort_values("draw")["x"].to_numpy(), two.sort_values("draw")["x"].to_numpy()
     assert (a == b).all()
     share = one["x"].value_counts(normalize=True)
     assert share[3.0] == pytest.approx(10 / 29, abs=0.02) and 99.0 not in share.index
+
+
+def test_nan_is_missing_at_any_number_of_ranges(spark):
+    rows = [(float(i), i % 2) for i in range(200)] + [(float("nan"), 0), (None, 1), (float("nan"), None), (5.0, None)]
+    df = spark.createDataFrame(rows, "x double, g int")
+    for per_range in (1_000_000, 20):
+        got = {r["g"]: r["x"] for r in qn.exact_quantiles(df, ["x"], [0, 0.5, 1], ["g"], per_range=per_range).collect()}
+        assert got == {0: [0.0, 99.0, 198.0], 1: [1.0, 100.0, 199.0], None: [5.0, 5.0, 5.0]}
+    split = qn.median_split(df, "x", "h").filter("x IS NULL OR isnan(x)").collect()
+    assert [r["h"] for r in split] == [0.0] * 3
+    assert qn.qcut(df, "x", 2, "b").filter("b IS NULL").count() == 3
+
+
+def test_groups_without_values_keep_their_row(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "g int, x double")
+    assert {r["g"]: r["x"] for r in qn.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()} == {1: None, 2: [3.0]}
