@@ -56,12 +56,13 @@ def _candidates(text: Column) -> Column:
     return F.transform(F.array(sure), lambda b: F.concat(b, apart(b)))[0]
 
 
-def _transitions(counts: dict[int, int], prior: float) -> np.ndarray:
-    """Log P(next | character); ``prior`` virtual counts of each pair."""
-    table = np.full((_N, _N), prior)
+def _transitions(counts: dict[int, int], strength: float = 5.0) -> np.ndarray:
+    """P(next | character), drawn towards the next character's own frequency with ``strength`` virtual pairs."""
+    table = np.zeros((_N, _N))
     for code, n in counts.items():
         table[divmod(code, _N)] += n
-    return np.log(table / table.sum(1, keepdims=True))
+    own = (table.sum(0) + 0.1) / (table.sum() + 0.1 * _N)
+    return (table + strength * own) / (table.sum(1, keepdims=True) + strength)
 
 
 def train(found: DataFrame, docs: DataFrame, sample: int, seed: int) -> np.ndarray:
@@ -73,11 +74,11 @@ def train(found: DataFrame, docs: DataFrame, sample: int, seed: int) -> np.ndarr
     plain = words.select(F.explode(_bigrams(F.col("w"))).alias("g"))
     count = lambda d: {r["g"]: r["n"] for r in d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     # half uniform: random strings of alphabets that the samples do not have
-    random = np.logaddexp(_transitions(count(pairs), 2.0), -np.log(_N)) - np.log(2)
-    return random - _transitions(count(plain), 0.5)
+    random = 0.5 * _transitions(count(pairs)) + 0.5 / _N
+    return np.log(random / _transitions(count(plain)))
 
 
-def find_secrets(docs: DataFrame, cut: float = 12.0, sample: int = 5_000, seed: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, cut: float = 5.0, sample: int = 5_000, seed: int = 3) -> DataFrame:
     """doc_id and spans of each document: array<struct<kind, start, end, base>> in the order of start and kind."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spans.clean_marks(shared.whole_text()).alias("text"))
     found = shared.written(d.select("doc_id", _candidates(F.col("text")).alias("spans")), "spans")
