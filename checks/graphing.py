@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.tables import LINES_SQL, lines, rounded, table
@@ -84,16 +85,13 @@ def training_moments(spark, sf):
  unnest([var_pop(quantity), var_pop(price), var_pop(discount), var_pop(tax), var_pop(closed)]) AS v FROM c)""")
 def column_variances(spark, sf):
     """Low-variance columns are found on the diagonal of the moments."""
-    rows = _base(spark, sf).na.drop().withColumn("fold", F.lit(0))
-    gram = mx.gram_entries(mx.fold_gram(rows, _VARS), _VARS)
-    n = F.max(F.when((F.col("var_i") == "1") & (F.col("var_j") == "1"), F.col("val")))
-    wide = gram.groupBy().agg(
-        n.alias("n"), *[F.max(F.when((F.col("var_i") == "1") & (F.col("var_j") == v), F.col("val"))).alias(f"s_{v}") for v in _VARS],
-        *[F.max(F.when((F.col("var_i") == v) & (F.col("var_j") == v), F.col("val"))).alias(f"q_{v}") for v in _VARS],
-    )
-    var = lambda v: F.col(f"q_{v}") / F.col("n") - F.pow(F.col(f"s_{v}") / F.col("n"), F.lit(2))
-    items = F.array(*[F.struct(F.lit(v).alias("var"), var(v).alias("variance")) for v in _VARS])
-    return rounded(wide.select(F.explode(items).alias("s")).select("s.var", "s.variance", (F.col("s.variance") > 10).alias("kept")), 4)
+    rows = _base(spark, sf).na.drop().withColumn("fold", (F.col("orderkey") % 2).cast("int"))
+    packed = mx.training_moments(mx.fold_gram(rows, _VARS), "all", _VARS).toPandas()["gram"]
+    # the training moments of both folds, each the other's complement, add up to all rows
+    _, _, cov = mx.unpack(np.sum([np.array(x) for x in packed], axis=0), len(_VARS))
+    kept = set(mx.informative(cov, 10.0).tolist())
+    told = [(v, float(cov[i, i]), i in kept) for i, v in enumerate(_VARS)]
+    return rounded(spark.createDataFrame(told, "var string, variance double, kept boolean"), 4)
 
 
 # ---- constraints and edge tables -----------------------------------------
@@ -141,7 +139,7 @@ def _edges(spark, sf):
 @check(f"""WITH {_NODES_SQL}, {_EDGES_SQL} SELECT subset, method, fold::BIGINT AS fold, src, dst, round(coef, 6) AS coef FROM e JOIN n a ON a.var = src JOIN n b ON b.var = dst
 WHERE src <> dst AND abs(coef) > 0.505 AND a.tier <= b.tier AND dst NOT IN (SELECT v FROM im)""")
 def constrained_edges(spark, sf):
-    kept = g.apply_constraints(g.threshold_edges(_edges(spark, sf), 0.505), g.forbidden_edges(_nodes(spark, sf), _IMMUTABLE))
+    kept = g.apply_constraints(g.threshold_edges(_edges(spark, sf), 0.505), _nodes(spark, sf), _IMMUTABLE)
     return rounded(kept)
 
 
@@ -199,6 +197,17 @@ def _learning_rows(spark, sf):
     return rows, mx.training_moments(mx.fold_gram(rows, use), "lines", use), use
 
 
+@check(f"""WITH {_NODES_SQL}, {_CONSENSUS}, nd AS (SELECT 'AFRICA' AS subset, var, tier FROM n), u AS (SELECT DISTINCT src, dst FROM k WHERE subset = 'AFRICA'),
+d AS (SELECT var, sum(x)::BIGINT AS degree FROM (SELECT var, 0 AS x FROM nd UNION ALL SELECT src, 1 FROM u UNION ALL SELECT dst, 1 FROM u) GROUP BY 1),
+t AS (SELECT var, degree, CASE WHEN var = 'FRANCE' THEN 1 ELSE CASE WHEN regexp_matches(var, '_2[23]$') THEN 2 ELSE 0 END END AS tier FROM d)
+SELECT var, degree, CASE var WHEN 'FRANCE' THEN 'Exposed' WHEN 'JAPAN' THEN 'East' ELSE regexp_replace(var, '_2[23]$', '') END AS label FROM t""")
+def network_node_labels(spark, sf):
+    """Degrees and labels of a network built from table-derived edges: no learner."""
+    variables = _nodes(spark, sf).select(F.lit("AFRICA").alias("subset"), "var")
+    nodes = network_tables(_consensus(spark, sf), variables, "AFRICA", ["FRANCE"], labels={"FRANCE": "Exposed", "JAPAN": "East"})[0]
+    return rounded(nodes.select("var", F.col("degree").cast("bigint").alias("degree"), "label"))
+
+
 @check()
 def learn_pairwise_order(spark, sf):
     rows, moments, use = _learning_rows(spark, sf)

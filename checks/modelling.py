@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.newton import fit_sql, se_of, variance
 from checks.tables import LINES_SQL, WAVES_SQL, baseline_wave, lines, panel, rounded, table
+from panelwright.functions import tails
 from panelwright.operators import effects, glm, impute, quantiles as qn, spline, sweeps, weights
 
 CHECKS: dict = {}
@@ -150,10 +151,29 @@ def pooled_estimates(spark, sf):
     return rounded(effects.rubin_pool(e, ["flag"]), 4)
 
 
-@check()
+# two-sided normal tail by Simpson's rule over [|z|, |z| + 12]
+_TAIL = """(SELECT 12.0 / 6000 * sum(CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3.0 * exp(-0.5 * (abs(z) + 12.0 * i / 6000) ** 2)) * 2 / sqrt(2 * pi()) FROM range(6001) t(i))"""
+
+
+@check(f"""WITH {L}, e AS (SELECT flag, line, avg(price) - 53000 AS b, stddev_samp(price) / sqrt(count(*)) AS se FROM l GROUP BY 1, 2),
+p AS (SELECT flag, avg(b) AS bb, sqrt(avg(se * se) + (1 + 1.0 / count(*)) * var_samp(b)) AS s FROM e GROUP BY 1), z AS (SELECT flag, s, bb / s AS z FROM p)
+SELECT flag, round(s, 4) AS se_bar, round(z, 6) AS z, round({_TAIL}, 8) AS p FROM z""")
 def wald_p_values(spark, sf):
     e = lines(spark, sf).groupBy("flag", "line").agg((F.avg("price") - 53000).alias("b"), (F.stddev_samp("price") / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"))
-    return effects.rubin_pool(e, ["flag"]).withColumn("p", effects.wald_p("beta_bar", "se_bar"))
+    out = effects.rubin_pool(e, ["flag"]).withColumn("p", effects.wald_p("beta_bar", "se_bar"))
+    return out.select("flag", F.round("se_bar", 4).alias("se_bar"), F.round(F.col("beta_bar") / F.col("se_bar"), 6).alias("z"), F.round("p", 8).alias("p"))
+
+
+@check(f"""WITH {L}, m AS (SELECT returned, avg(price) AS a, var_samp(price) AS v, count(*) AS n FROM l GROUP BY 1),
+z AS (SELECT (h.a - g.a) / sqrt(h.v / h.n + g.v / g.n) AS z FROM m h, m g WHERE h.returned = 1 AND g.returned = 0),
+s AS (SELECT k::BIGINT AS k, z * k / 4.0 AS z FROM z, range(0, 60) t(k)) SELECT k, round({_TAIL}, 8) AS p FROM s""")
+def normal_tail(spark, sf):
+    """The native normal tail over a range of z values taken from the data."""
+    m = lines(spark, sf).groupBy("returned").agg(F.avg("price").alias("a"), F.var_samp("price").alias("v"), F.count(F.lit(1)).alias("n"))
+    one = lambda g, c: F.max(F.when(F.col("returned") == g, F.col(c)))
+    z = m.agg(((one(1, "a") - one(0, "a")) / F.sqrt(one(1, "v") / one(1, "n") + one(0, "v") / one(0, "n"))).alias("z"))
+    rows = z.select("z", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k"))
+    return rows.select(F.col("k").cast("bigint").alias("k"), F.round(tails.normal_p(F.col("z") * F.col("k") / 4.0), 8).alias("p"))
 
 
 _RD = f"""{fit_sql("SELECT o AS m, CASE o WHEN 'returned' THEN returned ELSE finished END AS y, w, score / 10 AS x1, tax AS x2 FROM l, (SELECT unnest(['returned', 'finished']) AS o)", 2)}, {se_of(1, 2)},
@@ -185,7 +205,7 @@ FROM ev JOIN ab ON ab.outcome = ev.outcome""")
 def outcome_sweep(spark, sf):
     """Primary sweep over outcomes: ratios, risk differences, E-values, prevalence."""
     l = lines(spark, sf).withColumn("score", F.col("score") / 10)
-    out = sweeps.outcome_sweep(l, l, ["returned", "finished"], "score", ["tax"], "w", 1, None, with_p=False)
+    out = sweeps.outcome_sweep(l, l, ["returned", "finished"], "score", ["tax"], "w", 1, None, with_p=False).drop("m_requested", "m_fitted")
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("E_value_point", "E_value_CI_lower", "E_value_CI_upper")}))
 
 
@@ -225,7 +245,7 @@ def _contrast(spark, sf, q, prefix, reference="rest", null_in_reference=True):
     b = qn.qcut(lines(spark, sf), "score", q, "level")
     return rounded(sweeps.level_contrasts(
         b, ["returned"], "level", list(range(2, q + 1)), ["tax"], "w", 1, None, reference, prefix, null_in_reference, with_p=False
-    ))
+    ).drop("status", "m_requested", "m_fitted"))
 
 
 @check(_rest_sql("quartile", [2, 3, 4], "Q"))
@@ -234,6 +254,15 @@ def quartile_contrasts(spark, sf):
     return _contrast(spark, sf, 4, "Q")
 
 
+@check(f"""WITH {L} SELECT o AS outcome, 'Q' || q || ' vs Q1' AS comparison, CASE o WHEN 'none' THEN 'no_events' ELSE 'ok' END AS status, 1::BIGINT AS m_requested, CASE o WHEN 'none' THEN 0 ELSE 1 END::BIGINT AS m_fitted,
+ CASE o WHEN 'none' THEN NULL ELSE 1 END::BIGINT AS m FROM (SELECT unnest(['returned', 'none']) AS o), (SELECT unnest([2, 3, 4]) AS q) WHERE (SELECT count(*) FROM l) > 0""")
+def contrasts_without_events(spark, sf):
+    """An outcome that never happens keeps its rows, with their status."""
+    b = qn.qcut(lines(spark, sf), "score", 4, "level").withColumn("none", F.lit(0.0))
+    out = sweeps.level_contrasts(b, ["returned", "none"], "level", [2, 3, 4], ["tax"], "w", 1, None, with_p=False)
+    return rounded(out.select("outcome", "comparison", "status", "m_requested", "m_fitted", "m"))
+
+
 @check(_rest_sql("tertile", [2, 3], "T"))
 def tertile_contrasts(spark, sf):
     return _contrast(spark, sf, 3, "T")
@@ -257,7 +286,7 @@ c AS (SELECT sum(lp) FILTER (bulk = 1 AND high_tax = 1) - sum(lp) FILTER (bulk =
 SELECT 'high_tax' AS modifier, 'interaction' AS part, 1::BIGINT AS m, round(b, 6) AS beta_bar, round(sqrt(var), 6) AS se_bar FROM c UNION ALL SELECT 'high_tax', 'main_effect', 1, round(mb, 6), round(sqrt(mvar), 6) FROM c""")
 def interaction(spark, sf):
     """Saturated binary by binary model: the product term is a log ratio of ratios."""
-    return rounded(sweeps.interaction_test(lines(spark, sf), "returned", "bulk", "high_tax", ["high_tax"], "w", 1, None))
+    return rounded(sweeps.interaction_test(lines(spark, sf), "returned", "bulk", "high_tax", ["high_tax"], "w", 1, None).select("modifier", "part", "m", "beta_bar", "se_bar"))
 
 
 @check()
@@ -274,7 +303,18 @@ def stratified_ratios(spark, sf):
     l = lines(spark, sf).withColumn("score", F.col("score") / 10)
     return rounded(sweeps.stratified_rr(
         l, "returned", "score", [("Tax", "high_tax", [(0, "low tax"), (1, "high tax")])], ["line", "high_tax"], "w", 1, None, with_p=False
-    ))
+    ).drop("status", "m_requested", "m_fitted"))
+
+
+@check(f"""WITH {L}, s AS (SELECT unnest([1, 2, 99]) AS line, unnest(['one', 'two', 'absent']) AS stratum),
+c AS (SELECT line, count(*) AS n FROM l GROUP BY 1) SELECT s.stratum, coalesce(n, 0)::BIGINT AS rows_first, CASE WHEN coalesce(n, 0) > g THEN 'ok' ELSE 'below_gate' END AS status,
+ CASE WHEN coalesce(n, 0) > g THEN 1 ELSE 0 END::BIGINT AS m_fitted FROM s LEFT JOIN c ON c.line = s.line, (SELECT n AS g FROM c WHERE line = 2)""")
+def strata_below_gate(spark, sf):
+    """Strata at or under the size gate keep their rows, with their status."""
+    l = lines(spark, sf)
+    gate = l.filter("line = 2").count()
+    out = sweeps.stratified_rr(l, "returned", "tax", [("Line", "line", [(1, "one"), (2, "two"), (99, "absent")])], ["high_tax"], "w", 1, None, gate, with_p=False)
+    return rounded(out.select("stratum", "rows_first", "status", "m_fitted"))
 
 
 _U = "((least(greatest(score, 1), 50) - 1) / 49.0::DOUBLE)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,26 @@ def csv_scan(spark, sf):
     )
 
 
+@check("""SELECT e.asked, e.found, c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, sum(length(c_name || chr(10) || '健康'))::BIGINT AS note_chars
+FROM customer, (SELECT unnest(['UTF-8', 'windows-31j', 'Shift_JIS']) AS asked, unnest(['utf-8', 'cp932', 'cp932']) AS found) e GROUP BY ALL""")
+def csv_encodings(spark, sf):
+    """The customers as CSV in three charsets, with line breaks inside quoted fields, read back as found."""
+    rows = table(spark, sf, "customer").select("c_mktsegment", "c_acctbal", F.concat("c_name", F.lit("\n健康")).alias("note"))
+    out = []
+    for asked in ("UTF-8", "windows-31j", "Shift_JIS"):
+        path, setting = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}", "spark.sql.legacy.javaCharsets"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "true")  # to write the legacy charsets; reading them needs no setting
+        try:
+            rows.write.option("header", True).option("encoding", asked).option("escape", '"').csv(path)
+        finally:
+            spark.conf.set(setting, before)
+        df, found = read_csv_any_encoding(spark, path)
+        out.append(df.groupBy(F.lit(asked).alias("asked"), F.lit(found).alias("found"), F.col("c_mktsegment").alias("segment")).agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum(numeric(df, "c_acctbal")), 2).alias("balance"), F.sum(F.length("note")).alias("note_chars")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @check("""
 WITH t AS (SELECT p_partkey, p_size, p_brand, p_name, substr(p_brand, 7) AS a, ' ' || p_size || ' ' AS b, p_size || 'd' AS d,
                   p_size || '.5e1' AS e, '-.' || p_size AS f, '' AS g FROM part),

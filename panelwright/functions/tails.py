@@ -1,7 +1,8 @@
-"""Tail probabilities as Arrow UDFs.
+"""Tail probabilities.
 
-They run on aggregated rows (one per model, contrast or table row), never on
-raw data, because Spark SQL has no error function or incomplete gamma/beta.
+The normal tail is a native expression, so that it also serves families of
+tests that grow with the data. The others are Arrow UDFs for aggregated rows
+(one per model, contrast or table row): Spark SQL has no incomplete gamma or beta.
 """
 
 from __future__ import annotations
@@ -10,13 +11,51 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
+
+from panelwright.functions.codes import as_col
 
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def _scaled_erfc(x: float) -> float:
+    """erfc(x) exp(x^2) without underflow (continued fraction from 4 on)."""
+    if x < 4.0:
+        return math.erfc(x) * math.exp(x * x)
+    tail = 0.0
+    for k in range(80, 0, -1):
+        tail = 0.5 * k / (x + tail)
+    return 1.0 / (math.sqrt(math.pi) * (x + tail))
+
+
+def _erfc_pieces(pieces: int = 8, degree: int = 10) -> list[tuple[float, list[float]]]:
+    """Polynomials of log(erfc(x) exp(x^2) / t) in t - middle, t = 1 / (1 + x / 2), on equal parts of [0, 1]."""
+    out = []
+    for i in range(pieces):
+        a, b = i / pieces, (i + 1) / pieces
+        nodes = 0.5 * (a + b) + 0.5 * (b - a) * np.cos(np.pi * (np.arange(2 * degree) + 0.5) / (2 * degree))
+        values = [math.log(_scaled_erfc(2.0 / t - 2.0) / t) for t in nodes]
+        unit = np.polynomial.Polynomial.fit(nodes, values, degree, domain=[a, b], window=[-1, 1])
+        out.append((0.5 * (a + b), [float(c) * (2.0 * pieces) ** k for k, c in enumerate(unit.coef)]))
+    return out
+
+
+def normal_p(z: Column | str) -> Column:
+    """Two-sided normal tail, to about 1e-12 of its value; NaN and NULL give NULL."""
+    x = F.abs(as_col(z).cast("double")) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + x / 2.0)
+    pieces = _erfc_pieces()
+    log = None
+    for i, (middle, coef) in reversed(list(enumerate(pieces))):
+        value = F.lit(coef[-1])
+        for c in reversed(coef[:-1]):
+            value = value * (t - F.lit(middle)) + F.lit(c)
+        log = value if log is None else F.when(t <= F.lit((i + 1) / len(pieces)), value).otherwise(log)
+    return F.when(~F.isnan(x), F.when(x > 1e8, F.lit(0.0)).otherwise(t * F.exp(log - x * x)))
+
+
 def chi2_upper(x: float, df: float) -> float:
     """Regularised upper incomplete gamma Q(df/2, x/2)."""
     if x <= 0:
@@ -151,11 +190,6 @@ def _mapped(fn, *series):
     return pd.Series(np.array([math.nan if o is None else o for o in out], dtype="float64")).replace({math.nan: None}).astype("Float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    return _mapped(normal_two_sided, z)
-
-
 @F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _mapped(chi2_upper, x, df)

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.functions.formats import fmt_count_pct, fmt_mean_sd, fmt_n, fmt_p, fmt_smd
 from panelwright.functions.tails import t_p, two_by_two_p
-from panelwright.operators.quantiles import exact_quantiles, weighted_quantile, with_stats
+from panelwright.operators.quantiles import exact_quantiles, number, weighted_quantile
+from panelwright.operators.sums import vector_sums
 
 Z95 = 1.96
 
@@ -32,39 +34,57 @@ def to_long(df: DataFrame, keys: Sequence[str], names: Sequence[str], fields: Se
 
 
 def _weight(weight: str | None) -> Column:
-    return F.lit(1.0) if weight is None else F.col(quoted(weight)).cast("double")
+    return F.lit(1.0) if weight is None else number(weight)
 
 
-def _sums(x: Column, w: Column, i: int) -> list[Column]:
+def pilot(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Some value in the middle of each column's range (mean of a few rows): sums of squares around it lose no digits.
+
+    Any constant gives the same statistics; a column without a number there starts from its first one.
+    """
+    few = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(cols)]).limit(1000)
+    row = few.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(cols))]).first() if cols else {}
+    out = {c: row[f"x{i}"] for i, c in enumerate(cols)}
+    for c in [c for c, v in out.items() if v is None]:
+        first = df.select(number(c).alias("x")).filter("x IS NOT NULL").first()
+        out[c] = first["x"] if first else 0.0
+    return out
+
+
+def _sums(x: Column, w: Column, i: int, around: float) -> list[Column]:
     there = x.isNotNull() & w.isNotNull()
     xv, wv = F.when(there, x), F.when(there, w)
+    d = F.when(there, x - F.lit(around))
     zero = F.lit(0.0)
     return [
         F.count(xv).alias(f"n__{i}"),
         F.coalesce(F.sum(wv), zero).alias(f"sw__{i}"),
-        F.coalesce(F.sum(wv * xv), zero).alias(f"swx__{i}"),
-        F.coalesce(F.sum(wv * xv * xv), zero).alias(f"swxx__{i}"),
+        F.coalesce(F.sum(wv * d), zero).alias(f"swd__{i}"),
+        F.coalesce(F.sum(wv * d * d), zero).alias(f"swdd__{i}"),
         F.coalesce(F.sum(xv), zero).alias(f"sx__{i}"),
-        F.coalesce(F.sum(xv * xv), zero).alias(f"sxx__{i}"),
+        F.coalesce(F.sum(d), zero).alias(f"dx__{i}"),
+        F.coalesce(F.sum(d * d), zero).alias(f"dxx__{i}"),
+        F.lit(around).alias(f"at__{i}"),
     ]
 
 
-SUM_FIELDS = ("n", "sw", "swx", "swxx", "sx", "sxx")
+#: Sums around the pilot value ``at``: d = x - at.
+SUM_FIELDS = ("n", "sw", "swd", "swdd", "sx", "dx", "dxx")
 
 
 def _wmean(p: str = "") -> Column:
-    return F.try_divide(F.col(f"{p}swx"), F.col(f"{p}sw"))
+    return F.col("at") + F.try_divide(F.col(f"{p}swd"), F.col(f"{p}sw"))
 
 
 def _wvar(p: str = "") -> Column:
-    m = _wmean(p)
-    return F.greatest(F.try_divide(F.col(f"{p}swxx"), F.col(f"{p}sw")) - m * m, F.lit(0.0))
+    m = F.try_divide(F.col(f"{p}swd"), F.col(f"{p}sw"))
+    return F.greatest(F.try_divide(F.col(f"{p}swdd"), F.col(f"{p}sw")) - m * m, F.lit(0.0))
 
 
 def variable_sums(df: DataFrame, cols: Sequence[str], weight: str | None, by: Sequence[str]) -> DataFrame:
-    w = _weight(weight)
-    aggs = [a for i, c in enumerate(cols) for a in _sums(F.col(quoted(c)).cast("double"), w, i)]
-    return to_long(df.groupBy(*by).agg(*aggs), list(by), cols, SUM_FIELDS, "variable")
+    w, middle = _weight(weight), pilot(df, cols)
+    aggs = [a for i, c in enumerate(cols) for a in _sums(number(c), w, i, middle[c])]
+    return to_long(df.groupBy(*by).agg(*aggs), list(by), cols, (*SUM_FIELDS, "at"), "variable")
 
 
 def weighted_stats(df: DataFrame, cols: Sequence[str], weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -85,10 +105,10 @@ def absolute_risk(
 
     sum(w^2 (y-p)^2) = sum(w^2 y^2) - 2 p sum(w^2 y) + p^2 sum(w^2): one pass.
     """
-    w = F.col(quoted(weight)).cast("double")
+    w = number(weight)
     aggs = []
     for i, o in enumerate(outcomes):
-        y = F.col(quoted(o)).cast("double")
+        y = number(o)
         there = y.isNotNull() & w.isNotNull()
         yv, wv = F.when(there, y), F.when(there, w)
         zero = F.lit(0.0)
@@ -134,7 +154,7 @@ def baseline_table(
     sums = variable_sums(keyed, [v for v, _ in present], weight, ["_g"])
     pick = lambda g, f: F.coalesce(F.sum(F.when(F.col("_g") == g, F.col(f))), F.lit(0.0))
     wide = sums.groupBy("variable").agg(
-        *[pick(g, f).alias(f"{n}_{f}") for g, n in ((0, "low"), (1, "high")) for f in SUM_FIELDS]
+        *[pick(g, f).alias(f"{n}_{f}") for g, n in ((0, "low"), (1, "high")) for f in SUM_FIELDS], F.max("at").alias("at")
     )
     for f in SUM_FIELDS:
         wide = wide.withColumn(f"all_{f}", F.col(f"low_{f}") + F.col(f"high_{f}"))
@@ -162,10 +182,10 @@ def baseline_table(
     )
     rows = rows.withColumn("smd", F.when(both, smd))
     # unweighted pooled-variance t statistic
-    ss = lambda g: F.greatest(F.col(f"{g}_sxx") - F.col(f"{g}_sx") * F.col(f"{g}_sx") / F.col(f"{g}_n"), F.lit(0.0))
+    ss = lambda g: F.greatest(F.col(f"{g}_dxx") - F.col(f"{g}_dx") * F.col(f"{g}_dx") / F.col(f"{g}_n"), F.lit(0.0))
     dof = F.col("low_n") + F.col("high_n") - 2
     pv = F.try_divide(ss("low") + ss("high"), dof)
-    diff = F.col("low_sx") / F.col("low_n") - F.col("high_sx") / F.col("high_n")
+    diff = F.col("low_dx") / F.col("low_n") - F.col("high_dx") / F.col("high_n")
     t = F.try_divide(diff, F.sqrt(pv * (1 / F.col("low_n") + 1 / F.col("high_n"))))
     rows = rows.withColumn("t_stat", F.when(both & kind, t)).withColumn("t_df", F.when(both & kind, dof))
     cells = [
@@ -265,32 +285,40 @@ def kde(
 ) -> DataFrame:
     """Exact weighted Gaussian density on an even grid.
 
-    Equal values are merged first; each merged value then adds to the fixed
-    ``points`` grid entries and partial sums are combined before the shuffle.
+    Equal values are merged first; each task adds its merged values to one
+    vector of ``points`` grid entries.
     Without ``bandwidth`` Scott's rule is used with the effective sample size.
     """
-    x, w = F.col(quoted(col)).cast("double"), _weight(weight)
+    x, w = number(col), _weight(weight)
+    at = pilot(df, [col])[col]
     values = (
-        df.filter(x.isNotNull() & w.isNotNull()).select(x.alias("v"), w.alias("w"))
+        df.filter(x.isNotNull() & w.isNotNull()).select((x - F.lit(at)).alias("v"), w.alias("w"))
         .groupBy("v").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
     )
     s = values.agg(
         F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.sum(F.col("w") * F.col("v")).alias("wx"),
         F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wxx"),
-    )
-    neff = F.col("w") * F.col("w") / F.col("w2")
-    var = (F.col("wxx") / F.col("w") - F.pow(F.col("wx") / F.col("w"), F.lit(2))) / (1 - 1 / neff)
-    h = F.lit(float(bandwidth)) if bandwidth else F.pow(neff, F.lit(-0.2)) * F.sqrt(var)
-    step = (hi - lo) / (points - 1)
-    grid = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("point"), (F.lit(float(lo)) + i * step).alias("x"))
-    )
-    z = (F.col("g.x") - F.col("v")) / F.col("h")
-    return with_stats(
-        values.select("v", "w"), s.select(F.col("w").alias("sw"), h.alias("h")), (),
-        lambda d, stat: d.select("v", (F.col("w") / stat("sw")).alias("share"), stat("h").alias("h")),
-    ).select("v", "share", "h", F.explode(grid).alias("g")).groupBy("g.point", "g.x").agg(
-        F.sum(F.col("share") * F.exp(-0.5 * z * z) / (F.col("h") * F.sqrt(2 * F.pi()))).alias("density")
+    ).first()
+    grid = np.linspace(lo, hi, points)
+    frame = df.sparkSession.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "point int, x double")
+    if not s["w"]:
+        return frame.withColumn("density", F.lit(None).cast("double"))
+    neff = s["w"] ** 2 / s["w2"]
+    spread = (s["wxx"] / s["w"] - (s["wx"] / s["w"]) ** 2) / (1 - 1 / neff) if neff > 1 else 0.0
+    h = float(bandwidth) if bandwidth else neff**-0.2 * np.sqrt(max(spread, 0.0))
+    if h <= 0:  # one value: no width to smooth with
+        return frame.withColumn("density", F.lit(None).cast("double"))
+    places, norm = grid - at, float(s["w"]) * h * np.sqrt(2 * np.pi)
+
+    def add(batch, acc):
+        v, share = batch["v"], batch["w"] / norm
+        for a in range(0, len(v), 4096):
+            z = (places[:, None] - v[None, a : a + 4096]) / h
+            acc[0] += np.exp(-0.5 * z * z) @ share[a : a + 4096]
+
+    density = vector_sums(values.select("v", "w"), [points], add)[0]
+    return df.sparkSession.createDataFrame(
+        [(i, float(g), float(d)) for i, (g, d) in enumerate(zip(grid, density))], "point int, x double, density double"
     )
 
 
@@ -301,7 +329,7 @@ def normal_curve(df: DataFrame, x: str, mean: Column, sd: Column, out: str = "no
 
 def weighting_shift(before: DataFrame, after: DataFrame, col: str, weight: str | None) -> DataFrame:
     """Mean, sd and median before and after weighting, with the changes."""
-    c = F.col(quoted(col)).cast("double")
+    c = number(col)
     a = before.agg(
         F.count(c).alias("n_before"), F.avg(c).alias("mean_before"), F.stddev_samp(c).alias("sd_before")
     ).withColumn("median_before", exact_quantiles(before, [col], [0.5]).scalar()[0])

@@ -23,8 +23,8 @@ def forbidden_edges(cat: DataFrame, immutables: Sequence[str], same_tier_only: b
     """Edges that may not exist: later to earlier tier, and into immutables.
 
     ``same_tier_only`` limits the second rule to sources of the immutable's own
-    tier. ``cat`` is a codebook (one row per variable), so its list of
-    variables is a bounded value.
+    tier. This is the matrix that a learner masks with, so it has variables
+    squared rows; edges are filtered by :func:`apply_constraints` instead.
     """
     everyone = cat.agg(F.collect_list(F.struct("var", "tier"))).scalar()
     pairs = cat.select(F.col("var").alias("src"), F.col("tier").alias("ts"), F.explode(everyone).alias("d")).select(
@@ -37,9 +37,18 @@ def forbidden_edges(cat: DataFrame, immutables: Sequence[str], same_tier_only: b
     return pairs.filter(back | into).select("src", "dst", F.when(back, "tier").otherwise("immutable").alias("reason"))
 
 
-def apply_constraints(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """Drop forbidden edges and self loops."""
-    return edges.filter(F.col("src") != F.col("dst")).join(forbidden, ["src", "dst"], "left_anti")
+def apply_constraints(edges: DataFrame, cat: DataFrame, immutables: Sequence[str], same_tier_only: bool = False) -> DataFrame:
+    """Drop self loops and the edges that :func:`forbidden_edges` lists, without listing them.
+
+    The edges look up both ends' tiers; an end outside the catalogue has no tier and forbids nothing.
+    """
+    tiers = lambda end, out: cat.select(F.col("var").alias(end), F.col("tier").alias(out))
+    told = edges.filter(F.col("src") != F.col("dst")).join(tiers("src", "_ts"), "src", "left").join(tiers("dst", "_td"), "dst", "left")
+    into = F.col("dst").isin(*immutables) & F.col("_ts").isNotNull() & F.col("_td").isNotNull() if immutables else F.lit(False)
+    if same_tier_only:
+        into = into & (F.col("_ts") == F.col("_td"))
+    bad = F.coalesce(F.col("_ts") > F.col("_td"), F.lit(False)) | F.coalesce(into, F.lit(False))
+    return told.filter(~bad).select(*edges.columns)
 
 
 def matrix_edges(matrices: DataFrame, threshold: float, names: str = "names", values: str = "matrix") -> DataFrame:

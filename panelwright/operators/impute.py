@@ -7,7 +7,11 @@ redrawn, round after round. The regressions need only sums of products, so
 * rows with gaps exist once per chain, and one pass per (round, column) over
   them adds their current products for all chains;
 * a pass rebuilds the current cells from the last checkpoint by replaying the
-  few fitted regressions since then, so no pass writes rows.
+  few fitted regressions since then; every round ends with a checkpoint, so a
+  pass never replays more than one round.
+
+All sums are taken around the columns' means. Rows keep all their columns on
+the way, so nothing is joined back: a key may repeat.
 
 Draws are hashes of (key, chain, round, column, seed): results depend neither
 on partitioning nor on retries.
@@ -18,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
 from panelwright.operators.panel import replicate
+from panelwright.operators.quantiles import number
 from panelwright.operators.sums import Columns, keep_blocks, vector_sums
 from panelwright.session import cut_lineage
 
@@ -137,22 +142,25 @@ def mice(
     sample: bool = True,
     round_binary: bool = False,
     tol: float = 1e-3,
-    checkpoint_every: int = 5,
+    checkpoint_every: int = 1,
     chain_col: str = "mi_id",
 ) -> DataFrame:
     """``m`` completed copies of the frame, tagged ``mi_id`` = 1..m.
 
-    ``key`` must be unique. With ``sample=False`` cells get their conditional
-    mean and all copies agree. 0/1 columns get continuous values unless
-    ``round_binary`` is set. Columns without any value stay missing.
+    ``key`` seeds the draws together with the row's values: it may repeat (rows equal in everything get equal draws)
+    but not be NULL. With ``sample=False`` cells get their conditional mean and all copies agree. 0/1 columns get
+    continuous values unless ``round_binary`` is set. Columns without any value stay missing; NaN is missing.
     """
     key, cols = list(key), list(cols)
-    value = lambda c: F.col(quoted(c)).cast("double")
+    value = number
+    no_key = reduce(or_, [F.col(quoted(k)).isNull() for k in key])
     counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(no_key).alias("no_key"),
         *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(cols)],
     ).first()
+    if counts["no_key"]:
+        raise ValueError(f"{counts['no_key']} rows have no {', '.join(key)}")
     kept = [c for i, c in enumerate(cols) if counts[f"n{i}"] > 0]
     mean = {c: counts[f"m{i}"] for i, c in enumerate(cols)}
     gaps = {c: counts["rows"] - counts[f"n{i}"] for i, c in enumerate(cols) if c in kept}
@@ -163,15 +171,17 @@ def mice(
 
     full = reduce(and_, [value(c).isNotNull() for c in kept])
     bits = reduce(lambda a, b: a + b, [F.when(value(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(kept)])
-    complete = df.filter(full).select(*[value(c).alias(f"x{i}") for i, c in enumerate(kept)])
+    centred = lambda c: value(c) - F.lit(mean[c])
+    complete = df.filter(full).select(*[centred(c).alias(f"x{i}") for i, c in enumerate(kept)])
     open_rows = df.filter(~full)
     chains = m if sample else 1
+    row = [F.col(quoted(c)) for c in df.columns]
     state = replicate(
         open_rows.select(
-            *key,
-            F.xxhash64(*key, F.lit(seed)).alias("h"),
+            F.struct(*[c.alias(f"c{i}") for i, c in enumerate(row)]).alias("row"),
+            F.xxhash64(*[F.col(quoted(k)) for k in key], *[value(c) for c in kept], F.lit(seed)).alias("h"),
             bits.cast("bigint").alias("missing"),
-            *[F.coalesce(value(c), F.lit(mean[c])).alias(f"x{i}") for i, c in enumerate(kept)],
+            *[F.coalesce(centred(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(kept)],
         ),
         chains,
         "chain",
@@ -233,23 +243,24 @@ def mice(
             if r + 1 < rounds:
                 passes = keep_blocks(state.select(*numeric))
 
-    def finish(i, c):
-        x = F.col(f"x{i}")
-        return F.when(F.col("_missing").bitwiseAND(F.lit(1 << i)) != 0, F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))).otherwise(x)
-
     binary = set()
     if round_binary:
         flags = df.agg(*[F.bool_and(value(c).isin(0.0, 1.0)).alias(f"b{i}") for i, c in enumerate(kept)]).first()
         binary = {c for i, c in enumerate(kept) if flags[f"b{i}"]}
-    drawn = state.withColumnRenamed("missing", "_missing").select(
-        *key, F.col("chain").alias(chain_col),
-        *[(finish(i, c) if c in binary else F.col(f"x{i}")).alias(f"_x{i}") for i, c in enumerate(kept)],
-    )
+    passes.unpersist()
+
+    def cell(c):
+        """A column of the completed rows: what was observed, else the current draw."""
+        own = F.col(f"row.c{df.columns.index(c)}")
+        if c not in kept:
+            return own.alias(c)
+        x = F.col(f"x{kept.index(c)}") + F.lit(mean[c])
+        x = F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) if c in binary else x
+        return F.when(F.col("missing").bitwiseAND(F.lit(1 << kept.index(c))) != 0, x).otherwise(own.cast("double")).alias(c)
+
+    completed = state.select(*[cell(c) for c in df.columns], F.col("chain").alias(chain_col))
     if not sample:
-        drawn = replicate(drawn.drop(chain_col), m, chain_col)
-    completed = open_rows.join(drawn, key).select(
-        *[F.col(f"_x{kept.index(c)}").alias(c) if c in kept else F.col(quoted(c)) for c in df.columns], chain_col
-    )
+        completed = replicate(completed.drop(chain_col), m, chain_col)
     as_double = df.select(*[value(c).alias(c) if c in kept else F.col(quoted(c)) for c in df.columns])
     whole = replicate(as_double.filter(full), m, chain_col)
     return whole.unionByName(completed)

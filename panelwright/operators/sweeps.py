@@ -19,7 +19,7 @@ from panelwright.operators.multiplicity import bonferroni, fdr_bh
 
 
 SWEEP_SCHEMA = (
-    "outcome string, status string, N_total bigint, N_events bigint, m bigint, RR double, LCL double, UCL double, "
+    "outcome string, status string, m_requested bigint, m_fitted bigint, N_total bigint, N_events bigint, m bigint, RR double, LCL double, UCL double, "
     "beta_bar double, se_bar double, aRD double, aRD_LCL double, aRD_UCL double, AbsoluteRisk_pct double, "
     "E_value_point double, E_value_CI_lower double, E_value_CI_upper double"
 )
@@ -34,12 +34,21 @@ def _where(chain_col: str | None, rep: int, *more: tuple[str, float]) -> tuple:
     return (*(((chain_col, float(rep)),) if chain_col else ()), *more)
 
 
-def _with_status(pooled: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataFrame:
-    status = fits.groupBy(*by).agg(
-        F.when(F.count_if(F.col("status").isin("ok", "rank_deficient")) > 0, F.lit("ok"))
-        .otherwise(F.max("status")).alias("status")
+#: Severity of a fit's outcome, mildest first.
+_STATUSES = ("ok", "rank_deficient", "not_converged", "too_few", "no_events")
+
+
+def _status_of(fits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Requested and fitted models of each estimate, and the worst status among them."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in _STATUSES]), F.col("status"))
+    return fits.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("m_requested"), F.count_if(F.col("status").isin("ok", "rank_deficient")).alias("m_fitted"),
+        F.max_by("status", rank).alias("status"),
     )
-    return status.join(pooled, list(by), "left")
+
+
+def _with_status(pooled: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _status_of(fits, by).join(pooled, list(by), "left")
 
 
 def outcome_sweep(
@@ -73,7 +82,7 @@ def outcome_sweep(
     )
     out = _with_status(rr, fits, ["outcome"]).join(rd, "outcome", "left").join(about, "outcome", "left")
     return out.select(
-        "outcome", "status", "N_total", "N_events", "m", "RR", "LCL", "UCL", "beta_bar", "se_bar", "aRD", "aRD_LCL",
+        "outcome", "status", "m_requested", "m_fitted", "N_total", "N_events", "m", "RR", "LCL", "UCL", "beta_bar", "se_bar", "aRD", "aRD_LCL",
         "aRD_UCL", "AbsoluteRisk_pct", "E_value_point", "E_value_CI_lower", "E_value_CI_upper",
         *(["p", "FDR_q", "FDR_reject", "Bonf_threshold", "Bonf_reject"] if with_p else []),
     )
@@ -131,20 +140,23 @@ def level_contrasts(
                 specs.append(ModelSpec(f"{o}|{k}", o, (*flags.values(), *adjust), _where(chain_col, k), "joint", k))
     batch = GlmBatch(wide, specs, weight, compress=compress)
     batch.fit()
-    est = estimates(batch.fit_frame(), "*").filter(F.col("term").isin(*flags.values()))
+    fits = batch.fit_frame()
+    est = estimates(fits, "*").filter(F.col("term").isin(*flags.values()))
     batch.close()
     pooled = risk_ratio(rubin_pool(est, ["outcome", "term"]), with_p)
-    return pooled.select(
+    # every requested contrast has its row, whatever came of its models
+    asked = fits.withColumn("term", F.explode(F.when(F.col("label") == "joint", F.array(*[F.lit(n) for n in flags.values()])).otherwise(F.array("label"))))
+    return _with_status(pooled, asked, ["outcome", "term"]).select(
         "outcome", F.concat("term", F.lit(f" vs {prefix}1")).alias("comparison"), "m", "RR", "LCL", "UCL",
-        *(["p"] if with_p else []),
+        *(["p"] if with_p else []), "status", "m_requested", "m_fitted",
     )
 
 
 def interaction_test(
     stack: DataFrame, outcome: str, exposure: str, modifier: str, adjust: Sequence[str], weight: str, m: int = 1,
-    chain_col: str | None = "mi_id", compress: bool = False,
+    chain_col: str | None = "mi_id", compress: bool = False, alpha: float = 0.05,
 ) -> DataFrame:
-    """Pooled estimates of the product term and of the exposure main effect."""
+    """Pooled estimates of the product term and of the exposure main effect; ``significant`` is the product term's test."""
     term = f"{exposure}_X_{modifier}"
     wide = stack.withColumn(term, product(F.col(quoted(exposure)).cast("double"), F.col(quoted(modifier)).cast("double")))
     terms = (exposure, modifier, term, *[a for a in adjust if a != modifier])
@@ -156,8 +168,12 @@ def interaction_test(
     both = estimates(fits, "*").filter(F.col("term").isin(exposure, term)).withColumn(
         "part", F.when(F.col("term") == term, "interaction").otherwise("main_effect")
     )
-    pooled = rubin_pool(both, ["label", "part"])
-    return pooled.select(F.col("label").alias("modifier"), "part", "m", "beta_bar", "se_bar")
+    pooled = rubin_pool(both, ["label", "part"]).withColumn("p", wald_p("beta_bar", "se_bar"))
+    asked = fits.withColumn("part", F.explode(F.array(F.lit("interaction"), F.lit("main_effect"))))
+    return _with_status(pooled, asked, ["label", "part"]).select(
+        F.col("label").alias("modifier"), "part", "m", "beta_bar", "se_bar", "p",
+        F.when(F.col("part") == "interaction", F.col("p") < alpha).alias("significant"), "status", "m_requested", "m_fitted",
+    )
 
 
 Category = tuple[str, str, Sequence[tuple[float, str]]]
@@ -190,7 +206,8 @@ def stratified_rr(
     weight: str, m: int = 1, chain_col: str | None = "mi_id", min_rows: int = 100,
     compress: bool = False, with_p: bool = True,
 ) -> DataFrame:
-    """Pooled ratio per stratum, from imputations with more than ``min_rows`` rows.
+    """Pooled ratio per stratum, from imputations with more than ``min_rows`` rows; a stratum without any keeps its row
+    with status ``below_gate``.
 
     ``categories`` are (category, column, [(value, label), ...]); the strata of
     all categories are fitted in the same passes. ``n_sum`` adds up imputations
@@ -209,18 +226,24 @@ def stratified_rr(
             ]
     batch = GlmBatch(stack, specs, weight, compress=compress)
     batch.fit()
-    est = estimates(batch.fit_frame())
+    fits = batch.fit_frame()
     batch.close()
     order = stack.sparkSession.createDataFrame(names, "label string, category string, stratum string, position int")
-    counts = strata_counts(stack, outcome, weight, categories, chain_col).filter(F.col("rows") > min_rows)
-    pooled = risk_ratio(rubin_pool(est.join(counts, ["label", "rep"], "left_semi"), ["label"]), with_p)
-    about = counts.groupBy("label").agg(
+    every = strata_counts(stack, outcome, weight, categories, chain_col)
+    counts = every.filter(F.col("rows") > min_rows)
+    kept = fits.join(counts.select("label", "rep"), ["label", "rep"], "left_semi")
+    pooled = risk_ratio(rubin_pool(estimates(kept), ["label"]), with_p)
+    about = lambda c: c.groupBy("label").agg(
         F.sum("n").alias("n_sum"), F.avg("n").alias("n_mean"), F.min_by("rows", "rep").alias("rows_first"),
         F.floor(F.avg("events")).cast("bigint").alias("events"), (F.avg("risk") * 100).alias("absolute_risk_pct"),
     )
-    return order.join(about, "label").join(pooled, "label").select(
+    # strata above the gate are described by the imputations that passed it, the others by all
+    described = about(counts).unionByName(about(every.join(counts.select("label").distinct(), "label", "left_anti")))
+    status = _status_of(kept, ["label"]).select("label", "m_fitted", "status")
+    return order.join(described, "label", "left").join(pooled, "label", "left").join(status, "label", "left").select(
         "category", "stratum", "position", "rows_first", "n_sum", "n_mean", "events", "absolute_risk_pct",
-        "RR", "LCL", "UCL", *(["p"] if with_p else []),
+        "RR", "LCL", "UCL", *(["p"] if with_p else []), F.coalesce("status", F.lit("below_gate")).alias("status"),
+        F.lit(m).cast("bigint").alias("m_requested"), F.coalesce("m_fitted", F.lit(0)).alias("m_fitted"),
     )
 
 
@@ -234,12 +257,11 @@ def effect_modification(
     left out of the adjustment within strata.
     """
     inter = interaction_test(stack, outcome, exposure, modifier, adjust, weight, m, chain_col, compress)
-    z = inter.withColumn("p", wald_p("beta_bar", "se_bar"))
     ratio = lambda s: F.when(F.col("part") == "main_effect", F.exp(F.col("beta_bar") + s * 1.96 * F.col("se_bar")))
-    top = z.select(
+    top = inter.select(
         "modifier", "part", F.lit(None).cast("string").alias("stratum"), "beta_bar", "se_bar",
         ratio(0.0).alias("RR"), ratio(-1.0).alias("LCL"), ratio(1.0).alias("UCL"), "p",
-        F.lit(None).cast("bigint").alias("n"),
+        "significant", F.lit(None).cast("bigint").alias("n"), "status",
     )
     name = modifier
     if cut_at is not None:
@@ -253,6 +275,6 @@ def effect_modification(
     ).select(
         F.lit(modifier).alias("modifier"), F.lit("stratified").alias("part"), "stratum",
         F.lit(None).cast("double").alias("beta_bar"), F.lit(None).cast("double").alias("se_bar"),
-        "RR", "LCL", "UCL", "p", F.col("rows_first").alias("n"),
+        "RR", "LCL", "UCL", "p", F.lit(None).cast("boolean").alias("significant"), F.col("rows_first").alias("n"), "status",
     )
     return top.unionByName(strata)

@@ -63,7 +63,7 @@ def stratified(stack: DataFrame, outcome: str, m: int, adjust: Sequence[str] = c
 
 def main_table(sweep: DataFrame) -> DataFrame:
     """Published column order; the two intervals get distinct names."""
-    return sweep.filter(F.col("status") == "ok").select(
+    return sweep.filter(F.col("m_fitted") > 0).select(
         F.col("outcome").alias("Outcome"), "N_total", "N_events", F.col("RR").alias("rRR"), fmt_ci("LCL", "UCL").alias("rRR_CI"),
         "aRD", fmt_ci("aRD_LCL", "aRD_UCL").alias("aRD_CI"), "p", "beta_bar", "se_bar", "FDR_reject", "FDR_q",
         "Bonf_threshold", "Bonf_reject", "AbsoluteRisk_pct", "E_value_point", "E_value_CI_lower", "E_value_CI_upper",
@@ -109,12 +109,12 @@ def run(
     write_snapshot(sweep, f"{out_dir}/sweep")
     sweep = spark.read.parquet(f"{out_dir}/sweep")
     out["main_results"] = main_table(sweep)
-    done = sweep.filter(F.col("status") == "ok")
+    done = sweep.filter(F.col("m_fitted") > 0)
     book = spark.createDataFrame(list(cb.FOREST_LABELS.items()), "name string, label string")
     out["forest"] = charts.forest(done, book)
     cc = sweeps.complete_case_sweep(panel, cb.OUTCOMES, cb.SCORE_Z, cb.COVARIATES, cb.WEIGHT)
     write_snapshot(cc, f"{out_dir}/complete_case_numbers")
-    cc = spark.read.parquet(f"{out_dir}/complete_case_numbers").filter(F.col("status") == "ok")
+    cc = spark.read.parquet(f"{out_dir}/complete_case_numbers").filter(F.col("RR").isNotNull())
     out["complete_case"] = cc.withColumn("Completeness", fmt_pct("completeness_pct"))
     out["complete_case_comparison"] = charts.compare_results(done, cc, book)
     out["analysis_rollup"] = describe.rollup_results(done, cc)
@@ -125,9 +125,10 @@ def run(
     write_snapshot(strata, f"{out_dir}/strata_numbers")
     strata = spark.read.parquet(f"{out_dir}/strata_numbers")
     out["stratified"] = strata.withColumn("AbsoluteRisk", fmt_pct("absolute_risk_pct"))
+    strata = strata.filter(F.col("RR").isNotNull())
     out["heterogeneity"] = effects.cochran_q(strata, ["category"])
     overall = done.filter(F.col("outcome") == cb.PRIMARY_OUTCOME).select(
-        F.col("N_total").alias("n"), F.col("N_events").alias("events"), "RR", "LCL", "UCL"
+        F.col("N_total").alias("n"), F.col("N_events").alias("events"), "RR", "LCL", "UCL", "p"
     )
     out["stratified_forest"] = charts.stratified_forest(
         overall, strata.withColumnRenamed("n_sum", "n"), [(c, label) for c, _, levels in cb.STRATA for _, label in levels]

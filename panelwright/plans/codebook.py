@@ -107,6 +107,7 @@ NETWORK_LABELS = {
     "lack_social_support": "No social support", "current_smoking": "Smoking", "heavy_drinking": "Heavy Drink",
     "low_physical_activity": "Low physical activity", "no_health_checkup": "No health checkup",
     "poor_self_rated_health": "Poor self rated health", "bmi": "BMI",
+    "HI_sum_22": "Health indifference", "High_HI_22": "High health indifference",
     "HospitalizationPastYear_23": "Hospitalization",
     "COVID19_Infection_23": "COVID Infection", "COVID19_Vaccination_23": "COVID Vaccination",
     "InfluenzaVaccination_23": "Flu Vaccination", "Diabetes_23": "Diabetes mellitus", "DentalCaries_23": "Dental caries",

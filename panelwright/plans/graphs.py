@@ -34,7 +34,6 @@ def discover(
         moments = keep_for_passes(mx.training_moments(mx.fold_gram(rows, use), subset, use))
         nodes += [(subset, v) for v in use]
         cat = g.catalog(spark.createDataFrame([(v,) for v in use], "var string"), exposures)
-        after = g.forbidden_edges(cat, immutable_filter)
         mask = forbidden_set(g.forbidden_edges(cat, immutable_mask))
         for method in methods:
             extra = dict(settings.get(method, {}))
@@ -50,7 +49,7 @@ def discover(
                 edges = d.order_search_bic(moments, mask, **extra)
             else:
                 edges = d.dagma_linear(moments, mask, **extra)
-            found[f"{subset}|{method}"] = g.apply_constraints(g.threshold_edges(edges, 0.0), after)
+            found[f"{subset}|{method}"] = g.apply_constraints(g.threshold_edges(edges, 0.0), cat, immutable_filter)
     every = tag_union(found, "_run").drop("_run")
     return g.with_path(g.fold_consensus(every, min_folds)), spark.createDataFrame(nodes, "subset string, var string")
 

@@ -15,7 +15,7 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
     names = [c.lower() for c in df.columns]
     if len(set(names)) != len(names):
         raise ValueError("result columns must have distinct names")
-    _write(df.coalesce(1), path, fmt)
+    _write(df.repartition(1), path, fmt)  # the work before it keeps its tasks
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:

@@ -2,19 +2,31 @@
 
 Spark never fails on a wrong charset, it substitutes characters, so the bytes
 are checked before the parse. Only a file that is not valid UTF-8 pays for the
-second, legacy-charset pass.
+second pass and for a decoded copy.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# The encodings tried, in order, and their JVM charset names.
+from panelwright.session import ensure_checkpoint_dir
+
+# The encodings tried, in order, and those of them that the CSV reader does not know.
 ENCODINGS = ("utf-8", "utf-8-sig", "cp932", "shift_jis")
-JVM_CHARSET = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS"}
+LEGACY = ("cp932", "shift_jis")
+
+
+def _decodes(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
 
 
 def undecodable_lines(spark: SparkSession, path: str, encodings: Sequence[str]) -> dict[str, int]:
@@ -30,15 +42,20 @@ def undecodable_lines(spark: SparkSession, path: str, encodings: Sequence[str])
     if not legacy:
         return out
 
+    def bad_in(lines: list[bytes], enc: str) -> int:
+        """The batch is decoded at once; only when that fails, line by line."""
+        try:
+            b"\n".join(lines).decode(enc)
+            return 0
+        except UnicodeDecodeError:
+            return sum(not _decodes(x, enc) for x in lines)
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad = dict.fromkeys(legacy, 0)
         for batch in batches:
-            for raw in batch["raw"]:
-                for enc in legacy:
-                    try:
-                        bytes(raw).decode(enc)
-                    except UnicodeDecodeError:
-                        bad[enc] += 1
+            raw = [bytes(x) for x in batch["raw"]]
+            for enc in legacy:
+                bad[enc] += bad_in(raw, enc)
         yield pd.DataFrame({"encoding": list(bad), "bad": list(bad.values())})
 
     raw = lines.select(F.col("value").cast("binary").alias("raw"))
@@ -52,13 +69,28 @@ def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = E
     return next((e for e in encodings if bad.get(e) == 0), "default")
 
 
+def _as_utf8(spark: SparkSession, path: str, encoding: str) -> str:
+    """A UTF-8 copy in the shared folder, one file for each file (a file of a legacy charset is decoded by one task)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py().decode(encoding) for x in batch.column(0)], pa.string())], names=["value"])
+
+    copy = f"{ensure_checkpoint_dir(spark)}/utf8-{uuid.uuid4().hex}"
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("raw"))
+    whole.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(copy)
+    return copy
+
+
 def read_csv_any_encoding(
-    spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, encoding: str | None = None
+    spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, encoding: str | None = None, multi_line: bool = True
 ) -> tuple[DataFrame, str]:
-    """All columns as text, plus the encoding used. Pass ``encoding`` to skip detection."""
+    """All columns as text, plus the encoding used. Pass ``encoding`` to skip detection.
+
+    ``multi_line`` keeps records whose quoted fields hold line breaks; without it a file can be split over tasks.
+    """
     found = encoding or detect_encoding(spark, path, encodings)
-    charset = JVM_CHARSET.get(found, "UTF-8")
-    if charset != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.option("header", True).option("encoding", charset).option("escape", '"').csv(path)
+    if found in LEGACY:
+        path = _as_utf8(spark, path, found)
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return df, found

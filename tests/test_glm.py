@@ -167,11 +167,12 @@ def test_sweeps_without_outcomes_keep_their_schema(cohort):
         assert none.count() == 0 and none.dtypes == cc.dtypes
 
 
-def test_strata_below_the_gate_are_left_out(cohort):
+def test_strata_below_the_gate_keep_their_row(cohort):
     df, pdf = cohort
     wide = df.withColumn("tiny", (F.col("id") < 90).cast("double"))
     got = sweeps.stratified_rr(wide, "y", "x", [("Size", "tiny", [(0, "rest"), (1, "tiny")])], ["male", "tiny"], "w", 1, None).collect()
-    assert [r["stratum"] for r in got] == ["rest"]
+    assert {r["stratum"]: (r["status"], r["m_fitted"], r["RR"] is None) for r in got} == {"rest": ("ok", 1, False), "tiny": ("below_gate", 0, True)}
+    got = [r for r in got if r["stratum"] == "rest"]
     assert got[0]["rows_first"] == (pdf["id"] >= 90).sum()
 
 

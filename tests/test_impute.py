@@ -108,3 +108,22 @@ def test_hashed_normals_look_normal():
     assert abs(z.mean()) < 0.01 and z.std() == pytest.approx(1.0, abs=0.01)
     assert np.corrcoef(z[:-1], z[1:])[0, 1] == pytest.approx(0.0, abs=0.01)
     assert np.corrcoef(z, hashed_normal(np.arange(200000, dtype=np.uint64) * np.uint64(7919), 13))[0, 1] == pytest.approx(0.0, abs=0.01)
+
+
+def test_repeated_keys_keep_their_rows_and_missing_keys_are_refused(spark):
+    rows = [(i // 2, float(i), None if i % 5 == 0 else float(3 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    got = mice(df, ["id"], ["a", "b"], m=2, rounds=2).toPandas()
+    assert len(got) == 80 and got["b"].notna().all()
+    for _, part in got.groupby("mi_id"):
+        assert sorted(zip(part["id"], part["a"])) == sorted((r[0], r[1]) for r in rows)
+    with pytest.raises(ValueError, match="no id"):
+        mice(df.withColumn("id", F.when(F.col("a") > 1, F.col("id"))), ["id"], ["a", "b"])
+
+
+def test_large_means_lose_no_digits(gappy):
+    df, pdf, _ = gappy
+    shifted = df.withColumns({c: F.col(c) + 1e9 for c in ("a", "b")})
+    got = mice(shifted, ["id"], COLS, m=1, rounds=2, sample=False).toPandas().sort_values("id")
+    want = mice(df, ["id"], COLS, m=1, rounds=2, sample=False).toPandas().sort_values("id")
+    assert got["b"].to_numpy() - 1e9 == pytest.approx(want["b"].to_numpy(), abs=1e-4)

@@ -22,6 +22,11 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SF, QUERIES[name], SQL[name]) == ""
 
 
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("op") and n != "pipeline"))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 2
 

@@ -19,6 +19,15 @@ def test_encodings_are_told_apart(spark, tmp_path, encoding, found):
     assert [r[0] for r in df.orderBy("USER_ID").select(numeric(df, "Q7_1", "Q7.1")).collect()] == [2.0, None]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "cp932", "shift_jis"])
+def test_quoted_line_breaks_stay_in_their_record(spark, tmp_path, encoding):
+    path = tmp_path / "notes.csv"
+    path.write_bytes('USER_ID,note,x\n1,"健康\nソ ""q""",5\n2,"b\r\nc",6\n'.encode(encoding))
+    df, _ = read_csv_any_encoding(spark, str(path))
+    assert [tuple(r) for r in df.orderBy("USER_ID").collect()] == [("1", '健康\nソ "q"', "5"), ("2", "b\r\nc", "6")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
 def test_a_bad_byte_deep_in_the_file_is_seen(spark, tmp_path):
     path = tmp_path / "late.csv"
     body = "a,b\n" + "".join(f"{i},text\n" for i in range(20000))

@@ -48,3 +48,13 @@ def test_small_cell_takes_the_exact_test(spark):
     assert got[1] == pytest.approx(t.chi2_2x2(10, 20, 30, 40), rel=1e-12)
     assert got[2] is None
     assert [r[0] for r in df.select(t.normal_p(F.lit(None).cast("double"))).limit(1).collect()] == [None]
+
+
+def test_native_normal_tail(spark):
+    import math
+
+    z = [k / 8 for k in range(-20, 300)] + [0.0, 37.0, 1e3, math.inf]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(t.normal_p("z")).collect()]
+    for x, p in zip(z, got):
+        assert p == pytest.approx(t.normal_two_sided(x), rel=1e-11, abs=1e-300)
+    assert spark.createDataFrame([(math.nan,)], "z double").select(t.normal_p("z")).first()[0] is None
