@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.integrals import chi2_tail, normal_tail, student_tail
 from checks.tables import LINES_SQL, WAVES_SQL, lines, panel, rounded, table
+from panelwright.functions import tails
 from panelwright.operators import charts, describe as ds, effects, multiplicity as mt, quantiles as qn, sampling
 
 CHECKS: dict = {}
@@ -134,9 +136,38 @@ def baseline_table(spark, sf):
     return rounded(t.withColumns({c: F.round(c, d) for c, d in digits.items()})).withColumn("t_df", F.col("t_df").cast("double"))
 
 
+_CHI = "(abs(low_yes - (low_yes + low_no) * (low_yes + high_yes) / n) - 0.5) ** 2 * (1 / ((low_yes + low_no) * (low_yes + high_yes) / n) + 1 / ((low_yes + low_no) * (low_no + high_no) / n) + 1 / ((high_yes + high_no) * (low_yes + high_yes) / n) + 1 / ((high_yes + high_no) * (low_no + high_no) / n))"
+
+
+@check(f"""WITH t AS ({_TABLE_SQL}), c AS (SELECT variable, kind, t_stat, t_df, low_yes::DOUBLE AS low_yes, low_no::DOUBLE AS low_no, high_yes::DOUBLE AS high_yes, high_no::DOUBLE AS high_no,
+  (low_yes + low_no + high_yes + high_no)::DOUBLE AS n FROM t), z AS (SELECT variable, kind, t_stat AS t, t_df AS v, sqrt({_CHI}) AS z FROM c)
+SELECT variable, round(CASE kind WHEN 'continuous' THEN {student_tail("t", "v")} ELSE {normal_tail("z")} END, 4) AS p FROM z""")
+def baseline_p_numbers(spark, sf):
+    """t and corrected chi-square p-values as numbers."""
+    t = ds.baseline_table(_order_rows(spark, sf), _TABLE_VARS, "high", "w")
+    return t.select("variable", F.round("p", 4).alias("p"))
+
+
+_CELLS_SQL = """c AS (SELECT c_nationkey::BIGINT AS nation, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal < 0)::DOUBLE AS low_yes, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_acctbal >= 0)::DOUBLE AS low_no,
+ count(*) FILTER (c_mktsegment <> 'BUILDING' AND c_acctbal < 0)::DOUBLE AS high_yes, count(*) FILTER (c_mktsegment <> 'BUILDING' AND c_acctbal >= 0)::DOUBLE AS high_no, count(*)::DOUBLE AS n FROM customer GROUP BY 1)"""
+_LOGP = "lgamma(low_yes + high_yes + 1) - lgamma({k} + 1) - lgamma(low_yes + high_yes - {k} + 1) + lgamma(low_no + high_no + 1) - lgamma(low_yes + low_no - {k} + 1) - lgamma(low_no + high_no - (low_yes + low_no) + {k} + 1)"
+
+
+@check(f"""WITH {_CELLS_SQL}, k AS (SELECT c.*, unnest(range(greatest(0, low_yes + low_no + low_yes + high_yes - n)::BIGINT, least(low_yes + low_no, low_yes + high_yes)::BIGINT + 1)) AS k FROM c),
+q AS (SELECT *, {_LOGP.format(k='k')} AS lp, {_LOGP.format(k='low_yes')} AS la FROM k),
+e AS (SELECT nation, least(1, sum(CASE WHEN lp <= la + 1e-7 THEN exp(lp) ELSE 0 END) / sum(exp(lp))) AS exact FROM q GROUP BY 1), z AS (SELECT nation, sqrt({_CHI}) AS z FROM c)
+SELECT c.nation, round(CASE WHEN least(low_yes, low_no, high_yes, high_no) < 5 THEN exact ELSE {normal_tail("z")} END, 8) AS p FROM c JOIN e USING (nation) JOIN z USING (nation)""")
+def two_by_two_tests(spark, sf):
+    """Exact test where a cell is small, otherwise the corrected chi-square, per nation."""
+    first, below = F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") < 0
+    cells = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(
+        *[F.count_if(x).cast("double").alias(n) for n, x in (("a", first & below), ("b", first & ~below), ("c", ~first & below), ("d", ~first & ~below))])
+    return cells.select("nation", F.round(tails.two_by_two_p("a", "b", "c", "d"), 8).alias("p"))
+
+
 @check()
 def baseline_p_values(spark, sf):
-    """t, chi-square and exact p-values, and the printable table (tails have no SQL counterpart)."""
+    """The printable table with its p-values."""
     rows = _order_rows(spark, sf)
     labels = spark.createDataFrame([("c_acctbal", "Balance, mean±SD"), ("urgent", "Urgent, n (%)")], "variable string, label string")
     t = ds.baseline_table(rows, _TABLE_VARS, "high", "w")
@@ -152,7 +183,7 @@ def outcome_profile(spark, sf):
 @check(f"""WITH {L}, v AS (SELECT flag, price, sum(w) AS w FROM l GROUP BY 1, 2), c AS (SELECT flag, price, sum(w) OVER (PARTITION BY flag ORDER BY price) AS cum, sum(w) OVER (PARTITION BY flag) AS total FROM v)
 SELECT flag, min(price) AS quantile, round(min(total), 6) AS sum_weights FROM c WHERE cum >= 0.5 * total GROUP BY 1""")
 def weighted_median(spark, sf):
-    return rounded(qn.weighted_quantile(lines(spark, sf), "price", "w", 0.5, ["flag"], ranges=64))
+    return rounded(qn.weighted_quantile(lines(spark, sf), "price", "w", 0.5, ["flag"], per_range=4_000))
 
 
 @check(f"""WITH {L}, b AS (SELECT least(floor((score - 0.0) / (51.0 / 39)), 38)::BIGINT AS bin, w FROM l WHERE score BETWEEN 0 AND 51),
@@ -173,12 +204,14 @@ def kernel_density(spark, sf):
     return k.select(F.col("point").cast("bigint").alias("point"), F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
-@check()
+@check(f"""WITH {L}, v AS (SELECT qty AS v, sum(w) AS w FROM l GROUP BY 1), c AS (SELECT v, (sum(w) OVER (ORDER BY v) - w) / sum(w) OVER () AS s FROM v),
+d AS (SELECT ((row_number() OVER () - 1) * 2654435761 + 2025) % 4294967296 / 4294967296.0::DOUBLE AS u FROM l)
+SELECT c.v AS qty, count(*) AS n FROM d ASOF JOIN c ON d.u >= c.s GROUP BY 1""")
 def weighted_resample(spark, sf):
     """As many seeded weighted draws as there are order lines, summarised per value."""
     l = lines(spark, sf)
-    drawn = sampling.weighted_resample(l, "qty", "w", l.count(), 2025)
-    return drawn.groupBy("qty").agg(F.count(F.lit(1)).alias("n")).orderBy("qty")
+    drawn = sampling.weighted_resample(l, "qty", "w", l.count(), 2025, arithmetic=True)
+    return rounded(drawn.groupBy("qty").agg(F.count(F.lit(1)).alias("n")))
 
 
 @check(f"""WITH {L}, k AS (SELECT * FROM l WHERE score IS NOT NULL), a AS (SELECT sum(w * score) / sum(w) AS m, sqrt(sum(w * score * score) / sum(w) - (sum(w * score) / sum(w)) ** 2) AS s FROM k),
@@ -277,10 +310,12 @@ def heterogeneity_q(spark, sf):
     return rounded(effects.cochran_q(r, ["category"], with_p=False))
 
 
-@check()
+@check(f"""WITH {_RATIO_SQL}, h AS (SELECT CASE WHEN outcome < 'M' THEN 'first' ELSE 'second' END AS category, ln(rr) AS l, ((ln(hi) - ln(lo)) / 3.92) ** -2 AS w FROM t),
+q AS (SELECT category, sum(w * l * l) - sum(w * l) ** 2 / sum(w) AS q, (count(*) - 1)::DOUBLE AS v FROM h GROUP BY 1 HAVING count(*) >= 2)
+SELECT category, round(CASE WHEN v = 1 THEN {normal_tail("sqrt(q)")} ELSE {chi2_tail("q", "v")} END, 7) AS p FROM q""")
 def heterogeneity_p(spark, sf):
     r = ratios(spark, sf).withColumn("category", F.when(F.col("outcome") < "M", "first").otherwise("second"))
-    return effects.cochran_q(r, ["category"])
+    return effects.cochran_q(r, ["category"]).select("category", F.round("p_heterogeneity", 7).alias("p"))
 
 
 @check(f"""WITH {_RATIO_SQL}, s AS (SELECT outcome, CASE WHEN outcome < 'M' THEN 'first' ELSE 'second' END AS category, rr, lo, hi FROM t),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.integrals import normal_tail
 from checks.newton import fit_sql, se_of, variance
 from checks.tables import LINES_SQL, WAVES_SQL, baseline_wave, lines, panel, rounded, table
 from panelwright.functions import tails
@@ -80,26 +81,41 @@ def _priced(spark, sf):
     )
 
 
-# one predictor: the evidence iteration is a scalar recursion
-@check(f"""WITH RECURSIVE o AS ({_ORDERS_SQL}), s AS (SELECT count(*)::DOUBLE AS n, avg(balance) AS mx, avg(price) AS my, regr_sxx(price, balance) AS sxx, regr_sxy(price, balance) AS sxy, regr_syy(price, balance) AS syy
-  FROM o WHERE price IS NOT NULL),
+def _evidence(source: str, x: str, y: str) -> str:
+    """CTEs over ``o``; ``e`` holds slope b and means mx, my. One predictor: the evidence iteration is a scalar recursion."""
+    return f"""o AS ({source}), s AS (SELECT count(*)::DOUBLE AS n, avg({x}) AS mx, avg({y}) AS my, regr_sxx({y}, {x}) AS sxx, regr_sxy({y}, {x}) AS sxy, regr_syy({y}, {x}) AS syy
+  FROM o WHERE {y} IS NOT NULL),
 it AS (SELECT 0 AS i, 1 / (syy / n + 2.220446049250313e-16) AS al, 1.0::DOUBLE AS la, 0.0::DOUBLE AS b FROM s
  UNION ALL SELECT i + 1, (n - ga + 2e-6) / (rs + 2e-6), (ga + 2e-6) / (nb * nb + 2e-6), nb
   FROM (SELECT i, n, nb, al * sxx / (la + al * sxx) AS ga, greatest(syy - 2 * nb * sxy + nb * nb * sxx, 0) AS rs FROM (SELECT i, al, la, sxy / (sxx + la / al) AS nb, n, sxx, sxy, syy FROM it, s WHERE i < 300))),
-e AS (SELECT sxy / (sxx + la / al) AS b, mx, my FROM it, s WHERE i = 300)
+e AS (SELECT sxy / (sxx + la / al) AS b, mx, my FROM it, s WHERE i = 300)"""
+
+
+@check(f"""WITH RECURSIVE {_evidence(_ORDERS_SQL, "balance", "price")}
 SELECT o_orderkey, round(o.balance, 6) AS balance, round(coalesce(o.price, my + e.b * (o.balance - mx)), 6) AS price FROM o, e""")
 def conditional_mean_imputation(spark, sf):
     """Deterministic mode: missing prices get their regression prediction."""
     o = _priced(spark, sf).select("o_orderkey", "balance", "price")
-    done = impute.mice(o, ["o_orderkey"], ["balance", "price"], m=1, rounds=2, sample=False, tol=1e-13).drop("mi_id")
+    done = impute.mice(o, ["o_orderkey"], ["balance", "price"], m=1, sample=False, tol=1e-13).drop("mi_id")
     return rounded(done)
 
 
+_LINE_PRICES = "SELECT l_orderkey, l_quantity AS q, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice / 1000 END AS price FROM lineitem"
+
+
+@check(f"""WITH RECURSIVE {_evidence(_LINE_PRICES, "q", "price")} SELECT l_orderkey, count(*) AS n, round(sum(q), 2) AS quantity, round(sum(coalesce(price, my + e.b * (q - mx))), 2) AS price FROM o, e GROUP BY 1""")
+def imputation_with_repeated_keys(spark, sf):
+    """A panel whose key repeats: every line of an order keeps its row."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("q"), F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 1000).alias("price"))
+    done = impute.mice(l, ["l_orderkey"], ["q", "price"], m=1, rounds=1, sample=False, tol=1e-13)
+    return rounded(done.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("q"), 2).alias("quantity"), F.round(F.sum("price"), 2).alias("price")))
+
+
 @check()
 def multiple_imputation(spark, sf):
-    """Two chains of posterior draws for two columns with gaps, summarised per chain."""
+    """Five chains of posterior draws for two columns with gaps, summarised per chain."""
     o = _priced(spark, sf).withColumn("balance", F.when(F.col("priority") != "5-LOW", F.col("balance")))
-    done = impute.mice(o, ["o_orderkey"], ["balance", "price", "closed"], m=2, rounds=2)
+    done = impute.mice(o, ["o_orderkey"], ["balance", "price", "closed"])
     return rounded(done.groupBy("mi_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("price").alias("n_price"), F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd"), F.avg("balance").alias("balance")
     ), 3)
@@ -151,13 +167,9 @@ def pooled_estimates(spark, sf):
     return rounded(effects.rubin_pool(e, ["flag"]), 4)
 
 
-# two-sided normal tail by Simpson's rule over [|z|, |z| + 12]
-_TAIL = """(SELECT 12.0 / 6000 * sum(CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3.0 * exp(-0.5 * (abs(z) + 12.0 * i / 6000) ** 2)) * 2 / sqrt(2 * pi()) FROM range(6001) t(i))"""
-
-
 @check(f"""WITH {L}, e AS (SELECT flag, line, avg(price) - 53000 AS b, stddev_samp(price) / sqrt(count(*)) AS se FROM l GROUP BY 1, 2),
 p AS (SELECT flag, avg(b) AS bb, sqrt(avg(se * se) + (1 + 1.0 / count(*)) * var_samp(b)) AS s FROM e GROUP BY 1), z AS (SELECT flag, s, bb / s AS z FROM p)
-SELECT flag, round(s, 4) AS se_bar, round(z, 6) AS z, round({_TAIL}, 8) AS p FROM z""")
+SELECT flag, round(s, 4) AS se_bar, round(z, 6) AS z, round({normal_tail('z')}, 8) AS p FROM z""")
 def wald_p_values(spark, sf):
     e = lines(spark, sf).groupBy("flag", "line").agg((F.avg("price") - 53000).alias("b"), (F.stddev_samp("price") / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"))
     out = effects.rubin_pool(e, ["flag"]).withColumn("p", effects.wald_p("beta_bar", "se_bar"))
@@ -166,8 +178,8 @@ def wald_p_values(spark, sf):
 
 @check(f"""WITH {L}, m AS (SELECT returned, avg(price) AS a, var_samp(price) AS v, count(*) AS n FROM l GROUP BY 1),
 z AS (SELECT (h.a - g.a) / sqrt(h.v / h.n + g.v / g.n) AS z FROM m h, m g WHERE h.returned = 1 AND g.returned = 0),
-s AS (SELECT k::BIGINT AS k, z * k / 4.0 AS z FROM z, range(0, 60) t(k)) SELECT k, round({_TAIL}, 8) AS p FROM s""")
-def normal_tail(spark, sf):
+s AS (SELECT k::BIGINT AS k, z * k / 4.0 AS z FROM z, range(0, 60) t(k)) SELECT k, round({normal_tail('z')}, 8) AS p FROM s""")
+def normal_tails(spark, sf):
     """The native normal tail over a range of z values taken from the data."""
     m = lines(spark, sf).groupBy("returned").agg(F.avg("price").alias("a"), F.var_samp("price").alias("v"), F.count(F.lit(1)).alias("n"))
     one = lambda g, c: F.max(F.when(F.col("returned") == g, F.col(c)))
@@ -211,13 +223,13 @@ def outcome_sweep(spark, sf):
 
 @check()
 def outcome_sweep_imputed(spark, sf):
-    """The same sweep over two imputations of the score, with p-values and both corrections."""
+    """The same sweep over five imputations of the score, with p-values and both corrections."""
     base = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(
         "o_orderkey", F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_totalprice") / 100000).alias("price"), (F.col("c_acctbal") / 1000).alias("balance"),
         (F.col("o_orderstatus") == "F").cast("double").alias("closed"), (F.col("o_orderstatus") == "P").cast("double").alias("pending"), ((F.col("c_nationkey") + 5) / F.lit(20.0)).alias("w"),
     )
-    stack = impute.mice(base, ["o_orderkey"], ["price", "balance"], m=2, rounds=1)
-    return sweeps.outcome_sweep(stack, base, ["closed", "pending"], "price", ["balance"], "w", 2)
+    stack = impute.mice(base, ["o_orderkey"], ["price", "balance"])
+    return sweeps.outcome_sweep(stack, base, ["closed", "pending"], "price", ["balance"], "w", 5)
 
 
 @check(f"""WITH {L}, {_RD}, {_SWEEP}, cc AS (SELECT 'returned' AS outcome, count(returned) AS k, sum(returned)::BIGINT AS ke, sum(w * returned) / sum(w) AS kp FROM l WHERE score IS NOT NULL UNION ALL
@@ -289,11 +301,23 @@ def interaction(spark, sf):
     return rounded(sweeps.interaction_test(lines(spark, sf), "returned", "bulk", "high_tax", ["high_tax"], "w", 1, None).select("modifier", "part", "m", "beta_bar", "se_bar"))
 
 
-@check()
+_PRODUCT_ROWS = "SELECT 1 AS m, returned AS y, w, tax * 10 AS x1, score / 10 AS x2, tax * score AS x3, line AS x4 FROM l"
+_HALF_ROWS = "SELECT CASE WHEN score >= 25 THEN 1 ELSE 0 END AS m, returned AS y, w, tax * 10 AS x1, line AS x2 FROM l"
+
+
+@check(f"""SELECT * FROM (WITH {L}, {fit_sql(_PRODUCT_ROWS, 4, 10)}, {se_of(1, 4, "v1")}, {se_of(3, 4, "v3")},
+ e AS (SELECT 'main_effect' AS part, b1 AS b, sqrt(v1.var) AS s FROM fit JOIN v1 USING (m) UNION ALL SELECT 'interaction', b3, sqrt(v3.var) FROM fit JOIN v3 USING (m)),
+ z AS (SELECT part, b, s, b / s AS z, part = 'main_effect' AS main FROM e), t AS (SELECT *, {normal_tail('z')} AS p FROM z)
+ SELECT 'score' AS modifier, part, NULL::VARCHAR AS stratum, round(b, 6) AS beta_bar, round(s, 6) AS se_bar, CASE WHEN main THEN round(exp(b), 6) END AS "RR", CASE WHEN main THEN round(exp(b - 1.96 * s), 6) END AS "LCL",
+  CASE WHEN main THEN round(exp(b + 1.96 * s), 6) END AS "UCL", round(p, 6) AS p, CASE WHEN NOT main THEN p < 0.05 END AS significant, NULL::BIGINT AS n, 'ok' AS status FROM t)
+UNION ALL SELECT * FROM (WITH {L}, {fit_sql(_HALF_ROWS, 2, 10)}, {se_of(1, 2)}, c AS (SELECT CASE WHEN score >= 25 THEN 1 ELSE 0 END AS m, count(*) AS n FROM l GROUP BY 1),
+ z AS (SELECT m, n, b1 AS b, sqrt(var) AS s, b1 / sqrt(var) AS z FROM fit JOIN v USING (m) JOIN c USING (m)), t AS (SELECT *, {normal_tail('z')} AS p FROM z)
+ SELECT 'score', 'stratified', 'score=' || m, NULL::DOUBLE, NULL::DOUBLE, round(exp(b), 6), round(exp(b - 1.96 * s), 6), round(exp(b + 1.96 * s), 6), round(p, 6), NULL::BOOLEAN, n, 'ok' FROM t)""")
 def effect_modification(spark, sf):
-    """Interaction, main effect and both strata of a continuous modifier cut at 25."""
-    l = lines(spark, sf)
-    return rounded(sweeps.effect_modification(l, "returned", "tax", "score", ["score", "line"], "w", 1, None, cut_at=25))
+    """Interaction, main effect and both strata of a continuous modifier cut at 25 (2.5 tens)."""
+    l = lines(spark, sf).withColumn("tax", F.col("tax") * 10).withColumn("score", F.col("score") / 10)
+    out = sweeps.effect_modification(l, "returned", "tax", "score", ["score", "line"], "w", 1, None, cut_at=2.5)
+    return rounded(out)
 
 
 @check(f"""WITH {L}, {fit_sql("SELECT high_tax AS m, returned AS y, w, score / 10 AS x1, line AS x2 FROM l", 2)}, {se_of(1, 2)},

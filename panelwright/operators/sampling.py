@@ -8,7 +8,7 @@ from panelwright.operators.quantiles import PER_RANGE, number, running_totals, v
 from panelwright.session import cut_lineage
 
 
-def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, per_range: int = PER_RANGE) -> DataFrame:
+def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, per_range: int = PER_RANGE, arithmetic: bool = False) -> DataFrame:
     """``n`` draws of ``col`` with probability proportional to ``weight``.
 
     Equal values are merged into cumulative-weight intervals; each draw is a
@@ -16,7 +16,7 @@ def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, p
     interval starts meet in slices of [0, 1) and each draw takes the interval
     that starts last before it; an interval is repeated at the start of every
     slice that it reaches into. There are as many slices as draws and distinct
-    values need at ``per_range`` rows each.
+    values need at ``per_range`` rows each. ``arithmetic`` uses a plain integer hash that any SQL engine can repeat.
     """
     x, w = number(col), number(weight)
     kept = df.filter(x.isNotNull() & (w > 0)).select(x.alias("v"), w.alias("w"))
@@ -31,10 +31,10 @@ def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, p
         "v", start.alias("s"), F.explode(F.sequence(slice_of(start), slice_of(end))).alias("slice")
     ).select("slice", F.greatest(F.col("s"), F.col("slice") / F.lit(float(ranges))).alias("u"), "v", F.lit(None).cast("bigint").alias("draw"))
     # a later interval wins when two start at the same point
-    draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"),
-        (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))).alias("u"),
-    ).select(slice_of(F.col("u")).alias("slice"), "u", F.lit(None).cast("double").alias("v"), "draw")
+    hashed = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+    if arithmetic:
+        hashed = (F.col("id") * F.lit(2654435761) + F.lit(seed)) % F.lit(2**32) / F.lit(float(2**32))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), hashed.alias("u")).select(slice_of(F.col("u")).alias("slice"), "u", F.lit(None).cast("double").alias("v"), "draw")
     order = W.partitionBy("slice").orderBy(F.col("u"), F.col("draw").isNotNull(), F.col("v")).rowsBetween(
         W.unboundedPreceding, 0
     )
