@@ -349,9 +349,13 @@ class GlmBatch:
         scale = np.sqrt(np.diag(a))
         return np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
 
-    def fit_frame(self) -> DataFrame:
-        """One row per model (the number of models is fixed by the specs)."""
-        fits = self.fits or self.fit()
+    def _of(self, only: Sequence[ModelSpec] | None) -> list[Fit]:
+        fits, ids = self.fits or self.fit(), None if only is None else {s.model_id for s in only}
+        return [f for f in fits if ids is None or f.spec.model_id in ids]
+
+    def fit_frame(self, only: Sequence[ModelSpec] | None = None) -> DataFrame:
+        """One row per model (the number of models is fixed by the specs); ``only``: the models of one question."""
+        fits = self._of(only)
         rows = [
             (
                 f.spec.model_id, f.spec.outcome, f.spec.label, f.spec.rep, f.status, f.iters, f.n, f.events, f.sum_w,
@@ -363,13 +367,14 @@ class GlmBatch:
         ]
         return self.spark.createDataFrame(rows, FIT_SCHEMA)
 
-    def risk_difference(self, delta: float = 1.0) -> DataFrame:
+    def risk_difference(self, delta: float = 1.0, only: Sequence[ModelSpec] | None = None) -> DataFrame:
         """Standardised risk difference for exposure + ``delta`` by g-computation,
-        with the delta-method variance; one more pass for all usable models."""
+        with the delta-method variance; one more pass for all usable models (of ``only``)."""
         fits = self.fits or self.fit()
+        wanted = {f.spec.model_id for f in self._of(only)}
         read = self._reader()
         members = list(self.groups.values())
-        live = [[(j, m) for j, m in enumerate(ms) if fits[m].usable] for ms in members]
+        live = [[(j, m) for j, m in enumerate(ms) if fits[m].usable and fits[m].spec.model_id in wanted] for ms in members]
         spots = [[j for j, _ in ms] for ms in live]
         widths, start = [], []
         for (terms, _), ms in zip(self.groups, live):

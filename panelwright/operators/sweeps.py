@@ -1,7 +1,8 @@
 """Model sweeps: many outcomes, levels, strata and imputations at once.
 
 Each function turns its question into model specs, lets one batch fit them all
-and pools the estimates. A model that cannot be fitted keeps its row with a
+and pools the estimates. Questions about the same rows can share a batch: fit
+the specs of all of them together and pass it on as ``batch``. A model that cannot be fitted keeps its row with a
 ``status`` instead of disappearing.
 """
 
@@ -51,10 +52,26 @@ def _with_status(pooled: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataF
     return _status_of(fits, by).join(pooled, list(by), "left")
 
 
+def sweep_specs(outcomes: Sequence[str], exposure: str, adjust: Sequence[str], m: int = 1, chain_col: str | None = "mi_id") -> list[ModelSpec]:
+    return [
+        ModelSpec(f"sweep|{o}|{k}", o, (exposure, *adjust), _where(chain_col, k), rep=k) for o in outcomes for k in range(1, m + 1)
+    ]
+
+
+def _fitted(batch: GlmBatch | None, stack: DataFrame, specs: Sequence[ModelSpec], weight: str, compress: bool, then):
+    """``then(batch)`` on the shared batch, or on one made for these specs and closed again."""
+    own = batch or GlmBatch(stack, specs, weight, compress=compress)
+    try:
+        return then(own)
+    finally:
+        if batch is None:
+            own.close()
+
+
 def outcome_sweep(
     stack: DataFrame, panel: DataFrame, outcomes: Sequence[str], exposure: str, adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", delta: float = 1.0, family_alpha: float = 0.05,
-    compress: bool = False, with_p: bool = True,
+    compress: bool = False, with_p: bool = True, batch: GlmBatch | None = None,
 ) -> DataFrame:
     """Per outcome: pooled ratio and risk difference, E-values, weighted risk,
     and (``with_p``) p-values with both multiplicity corrections.
@@ -64,15 +81,9 @@ def outcome_sweep(
     outcomes = [o for o in outcomes if o in panel.columns]
     if not outcomes:
         return panel.sparkSession.createDataFrame([], SWEEP_SCHEMA + (TEST_SCHEMA if with_p else ""))
-    terms = (exposure, *adjust)
-    specs = [
-        ModelSpec(f"{o}|{k}", o, terms, _where(chain_col, k), rep=k) for o in outcomes for k in range(1, m + 1)
-    ]
-    batch = GlmBatch(stack, specs, weight, compress=compress)
-    batch.fit()
-    fits = batch.fit_frame()
-    rd = percent_difference(rubin_pool(batch.risk_difference(delta), ["outcome"]))
-    batch.close()
+    specs = sweep_specs(outcomes, exposure, adjust, m, chain_col)
+    fits, diffs = _fitted(batch, stack, specs, weight, compress, lambda b: (b.fit_frame(specs), b.risk_difference(delta, specs)))
+    rd = percent_difference(rubin_pool(diffs, ["outcome"]))
     rr = e_value(risk_ratio(rubin_pool(estimates(fits), ["outcome"]), with_p))
     if with_p:  # on the few pooled rows, before the joins that read the panel
         rr = bonferroni(fdr_bh(rr, alpha=family_alpha), alpha=family_alpha)
@@ -118,10 +129,33 @@ def complete_case_sweep(
     )
 
 
+def level_flags(levels: Sequence[int], prefix: str = "Q") -> dict[int, str]:
+    return {q: f"{prefix}{q}" for q in levels}
+
+
+def with_levels(stack: DataFrame, bin_col: str, levels: Sequence[int], prefix: str = "Q", null_in_reference: bool = True) -> DataFrame:
+    """An indicator column per level."""
+    return stack.withColumns({n: bin_indicator(bin_col, q, null_in_reference) for q, n in level_flags(levels, prefix).items()})
+
+
+def level_specs(
+    outcomes: Sequence[str], levels: Sequence[int], adjust: Sequence[str], m: int = 1, chain_col: str | None = "mi_id",
+    reference: str = "rest", prefix: str = "Q",
+) -> list[ModelSpec]:
+    flags, specs = list(level_flags(levels, prefix).values()), []
+    for o in outcomes:
+        for k in range(1, m + 1):
+            if reference == "rest":
+                specs += [ModelSpec(f"level|{o}|{n}|{k}", o, (n, *adjust), _where(chain_col, k), n, k) for n in flags]
+            else:
+                specs.append(ModelSpec(f"level|{o}|{prefix}|{k}", o, (*flags, *adjust), _where(chain_col, k), "joint", k))
+    return specs
+
+
 def level_contrasts(
     stack: DataFrame, outcomes: Sequence[str], bin_col: str, levels: Sequence[int], adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", reference: str = "rest", prefix: str = "Q",
-    null_in_reference: bool = True, compress: bool = False, with_p: bool = True,
+    null_in_reference: bool = True, compress: bool = False, with_p: bool = True, batch: GlmBatch | None = None,
 ) -> DataFrame:
     """Pooled ratio of each level.
 
@@ -129,20 +163,11 @@ def level_contrasts(
     all other rows (parity). ``"first"``: all indicators together, so levels
     are compared with the first one.
     """
-    flags = {q: f"{prefix}{q}" for q in levels}
-    wide = stack.withColumns({n: bin_indicator(bin_col, q, null_in_reference) for q, n in flags.items()})
-    specs = []
-    for o in outcomes:
-        for k in range(1, m + 1):
-            if reference == "rest":
-                specs += [ModelSpec(f"{o}|{n}|{k}", o, (n, *adjust), _where(chain_col, k), n, k) for n in flags.values()]
-            else:
-                specs.append(ModelSpec(f"{o}|{k}", o, (*flags.values(), *adjust), _where(chain_col, k), "joint", k))
-    batch = GlmBatch(wide, specs, weight, compress=compress)
-    batch.fit()
-    fits = batch.fit_frame()
+    flags = level_flags(levels, prefix)
+    specs = level_specs(outcomes, levels, adjust, m, chain_col, reference, prefix)
+    wide = with_levels(stack, bin_col, levels, prefix, null_in_reference)
+    fits = _fitted(batch, wide, specs, weight, compress, lambda b: b.fit_frame(specs))
     est = estimates(fits, "*").filter(F.col("term").isin(*flags.values()))
-    batch.close()
     pooled = risk_ratio(rubin_pool(est, ["outcome", "term"]), with_p)
     # every requested contrast has its row, whatever came of its models
     asked = fits.withColumn("term", F.explode(F.when(F.col("label") == "joint", F.array(*[F.lit(n) for n in flags.values()])).otherwise(F.array("label"))))
@@ -201,10 +226,23 @@ def strata_counts(stack: DataFrame, outcome: str, weight: str, categories: Seque
     return to_long(wide, ["rep"], names, ("rows", "n", "events", "risk"), "label").drop("_pos")
 
 
+def strata_specs(
+    outcome: str, exposure: str, categories: Sequence[Category], adjust: Sequence[str], m: int = 1, chain_col: str | None = "mi_id",
+) -> list[ModelSpec]:
+    """A category's own column leaves its adjustment set."""
+    return [
+        ModelSpec(
+            f"strata|{category}|{label}|{k}", outcome, (exposure, *[a for a in adjust if a != column]),
+            _where(chain_col, k, (column, float(value))), f"{category}|{label}", k,
+        )
+        for category, column, strata in categories for value, label in strata for k in range(1, m + 1)
+    ]
+
+
 def stratified_rr(
     stack: DataFrame, outcome: str, exposure: str, categories: Sequence[Category], adjust: Sequence[str],
     weight: str, m: int = 1, chain_col: str | None = "mi_id", min_rows: int = 100,
-    compress: bool = False, with_p: bool = True,
+    compress: bool = False, with_p: bool = True, batch: GlmBatch | None = None,
 ) -> DataFrame:
     """Pooled ratio per stratum, from imputations with more than ``min_rows`` rows; a stratum without any keeps its row
     with status ``below_gate``.
@@ -214,20 +252,9 @@ def stratified_rr(
     (parity), ``n_mean`` is the average; events and risk are averages. A
     category's own column leaves its adjustment set.
     """
-    specs, names = [], []
-    for category, column, strata in categories:
-        keep = [a for a in adjust if a != column]
-        for i, (value, label) in enumerate(strata):
-            key = f"{category}|{label}"
-            names.append((key, category, label, i))
-            specs += [
-                ModelSpec(f"{key}|{k}", outcome, (exposure, *keep), _where(chain_col, k, (column, float(value))), key, k)
-                for k in range(1, m + 1)
-            ]
-    batch = GlmBatch(stack, specs, weight, compress=compress)
-    batch.fit()
-    fits = batch.fit_frame()
-    batch.close()
+    specs = strata_specs(outcome, exposure, categories, adjust, m, chain_col)
+    names = [(f"{category}|{label}", category, label, i) for category, _, strata in categories for i, (_, label) in enumerate(strata)]
+    fits = _fitted(batch, stack, specs, weight, compress, lambda b: b.fit_frame(specs))
     order = stack.sparkSession.createDataFrame(names, "label string, category string, stratum string, position int")
     every = strata_counts(stack, outcome, weight, categories, chain_col)
     counts = every.filter(F.col("rows") > min_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelwright.functions.codes import cut, quoted
 from panelwright.functions.formats import fmt_ci, fmt_pct, fmt_risk
 from panelwright.operators import charts, describe, effects, impute, panel as pn, quantiles, spline, sweeps, weights
+from panelwright.operators.glm import GlmBatch
 from panelwright.plans import codebook as cb, waves
 from panelwright.sources.columns import require_columns, resolve
 from panelwright.sources.sinks import write_result, write_snapshot
@@ -57,8 +58,23 @@ def with_age_group(stack: DataFrame) -> DataFrame:
     return stack.withColumn("age_group", cut("age", cb.AGE_EDGES, [0, 1]).cast("double"))
 
 
-def stratified(stack: DataFrame, outcome: str, m: int, adjust: Sequence[str] = cb.COVARIATES) -> DataFrame:
-    return sweeps.stratified_rr(with_age_group(stack), outcome, cb.SCORE_Z, cb.STRATA, adjust, cb.WEIGHT, m)
+def stratified(stack: DataFrame, outcome: str, m: int, adjust: Sequence[str] = cb.COVARIATES, batch: GlmBatch | None = None) -> DataFrame:
+    return sweeps.stratified_rr(with_age_group(stack), outcome, cb.SCORE_Z, cb.STRATA, adjust, cb.WEIGHT, m, batch=batch)
+
+
+def fit_together(stack: DataFrame, outcomes: Sequence[str], contrast: Sequence[str], m: int) -> GlmBatch:
+    """The models of the sweep, both level contrasts and the strata in one batch: one packing, shared passes."""
+    wide = sweeps.with_levels(with_age_group(stack), cb.SCORE_QUARTILE, [2, 3, 4], "Q")
+    wide = sweeps.with_levels(wide, cb.SCORE_TERTILE, [2, 3], "T")
+    specs = [
+        *sweeps.sweep_specs(outcomes, cb.SCORE_Z, cb.COVARIATES, m),
+        *sweeps.level_specs(contrast, [2, 3, 4], cb.COVARIATES, m, prefix="Q"),
+        *sweeps.level_specs(contrast, [2, 3], cb.COVARIATES, m, prefix="T"),
+        *sweeps.strata_specs(cb.PRIMARY_OUTCOME, cb.SCORE_Z, cb.STRATA, cb.COVARIATES, m),
+    ]
+    batch = GlmBatch(wide, specs, cb.WEIGHT)
+    batch.fit()
+    return batch
 
 
 def main_table(sweep: DataFrame) -> DataFrame:
@@ -105,7 +121,9 @@ def run(
     out: dict[str, DataFrame] = {"outcome_profile": describe.outcome_profile(panel, cb.PROFILED_OUTCOMES, [cb.SCORE_Z, cb.WEIGHT, *cb.COVARIATES])}
     for name, df in distribution(panel, panel, cb.SCORE, cb.WEIGHT).items():
         out[f"score_{name}"] = df
-    sweep = sweeps.outcome_sweep(stack, panel, cb.OUTCOMES, cb.SCORE_Z, cb.COVARIATES, cb.WEIGHT, m)
+    contrast = [o for o in cb.CONTRAST_OUTCOMES if o in panel.columns]
+    batch = fit_together(stack, [o for o in cb.OUTCOMES if o in panel.columns], contrast, m)
+    sweep = sweeps.outcome_sweep(stack, panel, cb.OUTCOMES, cb.SCORE_Z, cb.COVARIATES, cb.WEIGHT, m, batch=batch)
     write_snapshot(sweep, f"{out_dir}/sweep")
     sweep = spark.read.parquet(f"{out_dir}/sweep")
     out["main_results"] = main_table(sweep)
@@ -118,10 +136,10 @@ def run(
     out["complete_case"] = cc.withColumn("Completeness", fmt_pct("completeness_pct"))
     out["complete_case_comparison"] = charts.compare_results(done, cc, book)
     out["analysis_rollup"] = describe.rollup_results(done, cc)
-    contrast = [o for o in cb.CONTRAST_OUTCOMES if o in panel.columns]
-    out["quartiles"] = sweeps.level_contrasts(stack, contrast, cb.SCORE_QUARTILE, [2, 3, 4], cb.COVARIATES, cb.WEIGHT, m, prefix="Q")
-    out["tertiles"] = sweeps.level_contrasts(stack, contrast, cb.SCORE_TERTILE, [2, 3], cb.COVARIATES, cb.WEIGHT, m, prefix="T")
-    strata = stratified(stack, cb.PRIMARY_OUTCOME, m)
+    out["quartiles"] = sweeps.level_contrasts(stack, contrast, cb.SCORE_QUARTILE, [2, 3, 4], cb.COVARIATES, cb.WEIGHT, m, prefix="Q", batch=batch)
+    out["tertiles"] = sweeps.level_contrasts(stack, contrast, cb.SCORE_TERTILE, [2, 3], cb.COVARIATES, cb.WEIGHT, m, prefix="T", batch=batch)
+    strata = stratified(stack, cb.PRIMARY_OUTCOME, m, batch=batch)
+    batch.close()  # what is left works on the fitted rows
     write_snapshot(strata, f"{out_dir}/strata_numbers")
     strata = spark.read.parquet(f"{out_dir}/strata_numbers")
     out["stratified"] = strata.withColumn("AbsoluteRisk", fmt_pct("absolute_risk_pct"))
