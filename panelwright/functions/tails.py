@@ -43,17 +43,23 @@ def _erfc_pieces(pieces: int = 8, degree: int = 10) -> list[tuple[float, list[fl
 
 
 def normal_p(z: Column | str) -> Column:
-    """Two-sided normal tail, to about 1e-12 of its value; NaN and NULL give NULL."""
-    x = F.abs(as_col(z).cast("double")) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + x / 2.0)
+    """Two-sided normal tail, to about 1e-11 of its value; NaN and NULL give NULL."""
     pieces = _erfc_pieces()
-    log = None
-    for i, (middle, coef) in reversed(list(enumerate(pieces))):
-        value = F.lit(coef[-1])
-        for c in reversed(coef[:-1]):
-            value = value * (t - F.lit(middle)) + F.lit(c)
-        log = value if log is None else F.when(t <= F.lit((i + 1) / len(pieces)), value).otherwise(log)
-    return F.when(~F.isnan(x), F.when(x > 1e8, F.lit(0.0)).otherwise(t * F.exp(log - x * x)))
+
+    def log_ratio(t: Column) -> Column:
+        out = None
+        for i, (middle, coef) in reversed(list(enumerate(pieces))):
+            value = F.lit(coef[-1])
+            for c in reversed(coef[:-1]):
+                value = value * (t - F.lit(middle)) + F.lit(c)
+            out = value if out is None else F.when(t <= F.lit((i + 1) / len(pieces)), value).otherwise(out)
+        return out
+
+    # one-element transforms name x and t, which would otherwise be written out at every step
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    tail = lambda x: once(1.0 / (1.0 + x / 2.0), lambda t: t * F.exp(log_ratio(t) - x * x))
+    x = F.abs(as_col(z).cast("double")) / math.sqrt(2.0)
+    return F.when(~F.isnan(x), F.when(x > 1e8, F.lit(0.0)).otherwise(once(x, tail)))
 
 
 def chi2_upper(x: float, df: float) -> float:
