@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.integrals import normal_tail
 from checks.newton import fit_sql, se_of, variance
-from checks.tables import LINES_SQL, WAVES_SQL, baseline_wave, lines, panel, rounded, table
+from checks.tables import LINES_SQL, WAVES_SQL, baseline_wave, panel, rounded, spread_lines as lines, table
 from panelwright.functions import tails
 from panelwright.operators import effects, glm, impute, quantiles as qn, spline, sweeps, weights
 

@@ -33,6 +33,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in LINE_COLUMNS.items()])
 
 
+def spread_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows for models: a small file is one scan task, so they are dealt out before many passes read them."""
+    return lines(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+
+
 def wave(spark: SparkSession, sf: str, year: int, *aggs) -> DataFrame:
     day = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")  # a range, so that it reaches the scan
     date = F.col("o_orderdate").cast("timestamp_ntz")
