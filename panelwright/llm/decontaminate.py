@@ -27,6 +27,8 @@ from panelwright.llm.words import PUNCTUATION, U, WHITE, fold_table, mix, pieces
 
 _TABLE = fold_table(WHITE + PUNCTUATION)
 _CHUNK = 1 << 15
+#: Bits of a key that a first look takes.
+_NEAR = 17
 
 
 def window_size(n: int, shortest: int = 4) -> int:
@@ -109,8 +111,8 @@ class Index:
             start = np.concatenate([b + np.arange(len(items[k][1]) - w + 1) for b, k in zip(base, members)])
             for table, key in sampler.keys(flat, start):
                 order = np.argsort(key, kind="stable")
-                near = np.zeros(1 << 20, bool)
-                near[(key >> U(44)).astype(np.int64)] = True
+                near = np.zeros(1 << _NEAR, bool)
+                near[(key >> U(64 - _NEAR)).astype(np.int64)] = True
                 self.tables[w, table] = (key[order], owner[order], offset[order], near)
 
     def hits(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -127,7 +129,7 @@ class Index:
             start = first[row] + hop * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
             for table, key in sampler.keys(padded, start):
                 keys, owner, offset, near = self.tables[w, table]
-                at = np.flatnonzero(near[(key >> U(44)).astype(np.int64)])
+                at = np.flatnonzero(near[(key >> U(64 - _NEAR)).astype(np.int64)])
                 lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
                 many = hi - lo
                 if many.any():

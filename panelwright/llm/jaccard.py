@@ -6,7 +6,9 @@ Documents become sets of distinct word shingles; two link when ``den * |intersec
 1. *Classes*: equal sets are one class (128-bit set fingerprint), so exact copies cost one row per task.
 2. *Partitioning of the trees*: a set of size up to r differs from a linked one in at most
    D = 2r(den - num) / (den + num) shingles. Split by hash into m > D slices, two linked sets agree on m - D of them; by the
-   prefix principle the first D + 1 slices of each, fullest slices first, then have one in common. Slice signatures are ordered over the cluster by (signature, class), so even a signature that a third of all documents
+   prefix principle the first D + 1 slices of each, in any order of slice contents, then have one in common. The order is
+   fewest common shingles first (counted over all documents in runs, the most frequent kept), so that a passage that many
+   documents share does not bring them together; it decides the cost, never the result. Slice signatures are ordered over the cluster by (signature, class), so even a signature that a third of all documents
    share is cut over tasks; equal neighbours are chained, and the chains' components are the *candidate groups*.
 3. *Signature trees*: the members of a group (or blocks of a large one, each pair of blocks a task) form a tree whose nodes
    hold the OR of their members' shingle bitmaps and their size range. A dual traversal drops node pairs whose largest
@@ -27,8 +29,8 @@ from panelwright.llm.words import U, distinct_in_rows, fold_table, mix, pieces,
 
 #: Growth of the size classes that fix the number of slices.
 _STEP = 1.3
-_BITMAP_WORDS = 64
-_LEAF, _FAN = 16, 4
+#: Tree: bits of a bitmap per shingle of a mean set, most 64-bit words of one, children of a node, words of bitmaps compared at once.
+_BITS, _BITMAP_WORDS, _FAN, _AT_ONCE = 32, 1024, 4, 1 << 20
 
 
 def size_levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +42,15 @@ def size_levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return low, 2 * (np.append(low[1:], int(low[-1] * _STEP) + 1) - 1) * (den - num) // (den + num)
 
 
-def slice_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def slice_signatures(s: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndarray:
     """Signatures of one sorted set: its own size class, and larger classes that a linked larger set can be in."""
     n = len(s)
     low, differ = size_levels(n * den // num + 1, num, den)
     own, last = np.searchsorted(low, n, "right") - 1, np.searchsorted(low, n * den // num, "right") - 1
+    rare = np.ones(n, bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
+    rares = np.concatenate([[0], np.cumsum(rare)])
     out = []
     with np.errstate(over="ignore"):
         run = np.concatenate([np.zeros(1, U), np.cumsum(mix(s, 11), dtype=U)])
@@ -55,9 +61,9 @@ def slice_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             m = -(-(most + 1) * 13 // 10)  # some to spare: thin slices, which unlike sets share by chance, come last
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U)
             cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
-            part = run[cut[1:]] - run[cut[:-1]]
-            sig = mix(part + mix(np.arange(m, dtype=U), level + 100), 13)
-            out.append(sig[np.lexsort((sig, cut[:-1] - cut[1:]))[: most + 1]])
+            sig = mix(run[cut[1:]] - run[cut[:-1]] + mix(np.arange(m, dtype=U), level + 100), 13)
+            order = np.lexsort((sig, cut[:-1] - cut[1:], rares[cut[:-1]] - rares[cut[1:]]))
+            out.append(sig[order[: most + 1]])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -72,27 +78,67 @@ def _fingerprints(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sums_in_rows(mix(s, 1), first).view(np.int64), sums_in_rows(mix(s, 2), first).view(np.int64)
 
 
+#: Shingles in at least so many distinct sets of a run of about so many shingles are reported as common.
+_OFTEN, _RUN = 4, 1 << 20
+
+
+def _common(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (and counts) in ``_OFTEN`` or more distinct sets of a run of (shingles, firsts, fingerprints)."""
+    seen, parts = set(), []
+    for s, first, a in runs:
+        for r, x in enumerate(a.tolist()):
+            if x not in seen:
+                seen.add(x)
+                parts.append(s[first[r] : first[r + 1]])
+    values, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
+    return values[n >= _OFTEN], n[n >= _OFTEN]
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, n (set size) and the two halves a, b of the set's fingerprint; one row per document."""
+    """doc_id, key, n (set size) and the two halves a, b of the set's fingerprint; one row per document.
+
+    ``common``: on some rows, shingles that came often in a run of documents, with their counts.
+    """
+    pair = pa.struct([("s", pa.int64()), ("n", pa.int64())])
+
+    def told(rows: int, values: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The pairs on the first row, nothing on the others."""
+        flat = pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], fields=list(pair))
+        return pa.ListArray.from_arrays(pa.array([0] + [len(values)] * rows, pa.int32()), flat)
 
     def run(batches):
+        held, size_held = [], 0
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, often = [], [], [], []
             for _, _, s, first in _sets(batch.column("text"), size):
                 x, y = _fingerprints(s, first)
                 n.append(np.diff(first)), a.append(x), b.append(y)
+                held.append((s, first, x))
+                size_held += len(s)
+                if size_held >= _RUN:
+                    often.append(_common(held))
+                    held, size_held = [], 0
             if n:
                 cols = [np.concatenate(x).astype(np.int64) for x in (n, a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, cols)], names=["doc_id", "key", "n", "a", "b"])
+                values, counts = (np.concatenate(x) for x in zip(*often)) if often else (np.zeros(0, U), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("key"), *map(pa.array, cols), told(batch.num_rows, values, counts)],
+                    names=["doc_id", "key", "n", "a", "b", "common"])
+        if held:  # the last run: a row of its own, which is no document
+            values, counts = _common(held)
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([-1]), none, none, told(1, values, counts)], names=["doc_id", "key", "n", "a", "b", "common"])
 
-    return _input(docs).mapInArrow(run, "doc_id long, key long, n long, a long, b long")
+    return _input(docs).mapInArrow(run, "doc_id long, key long, n long, a long, b long, common array<struct<s:long,n:long>>")
 
 
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).withColumn("key", shared.row_key("doc_id", "text"))
 
 
-def _signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(common)
+
     def run(batches):
         seen: set[int] = set()  # classes of this task: copies add nothing
         for batch in batches:
@@ -103,7 +149,7 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     if x in seen or first[r] == first[r + 1]:
                         continue
                     seen.add(x)
-                    sig.append(slice_signatures(s[first[r] : first[r + 1]], num, den))
+                    sig.append(slice_signatures(s[first[r] : first[r + 1]], num, den, held.value))
                     node.append(np.full(len(sig[-1]), x, np.int64))
                 if sig:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], names=["sig", "node"])
@@ -200,9 +246,9 @@ class _Forest:
 
 
 def _bitmaps(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One bitmap per set; bits per set about four times the mean size, so that few shingles share a bit."""
+    """One bitmap per set, wide enough that a node of a few unlike sets still leaves most bits empty."""
     n = len(first) - 1
-    words = int(min(_BITMAP_WORDS, 4 * first[-1] // n // 64 + 1))
+    words = int(min(_BITMAP_WORDS, _BITS * first[-1] // n // 64 + 1))
     bit = mix(ids.astype(U), 5) % U(words * 64)
     out = np.zeros((n, words), U)
     row = np.repeat(np.arange(n), np.diff(first))
@@ -216,19 +262,21 @@ class SignatureTree:
     def __init__(self, bits: np.ndarray, size: np.ndarray):
         lost = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.levels = [(bits, size, size, lost)]
-        step = _LEAF
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, x = self.levels[-1]
-            cut = np.arange(0, len(b), step)
+            cut = np.arange(0, len(b), _FAN)
             self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(x, cut)))
-            step = _FAN
 
     def possible(self, level: int, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Whether some pair below the nodes p, q can still link: overlap bound and size ranges."""
+        """Whether some pair below the nodes p, q can still link: size ranges first, then the overlap bound of what they leave."""
         b, lo, hi, lost = self.levels[level]
-        overlap = np.bitwise_count(b[p] & b[q]).sum(1).astype(np.int64) + np.minimum(lost[p], lost[q])
+        ok = (den * hi[p] >= num * lo[q]) & (den * hi[q] >= num * lo[p])
+        at = np.flatnonzero(ok)
+        p, q = p[at], q[at]
+        overlap = np.bitwise_count(b[p] & b[q]).sum(1, dtype=np.int64) + np.minimum(lost[p], lost[q])
         overlap = np.minimum(overlap, np.minimum(hi[p], hi[q]))
-        return ((num + den) * overlap >= num * (lo[p] + lo[q])) & (den * hi[p] >= num * lo[q]) & (den * hi[q] >= num * lo[p])
+        ok[at] = (num + den) * overlap >= num * (lo[p] + lo[q])
+        return ok
 
 
 def tree_links(ids: np.ndarray, first: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -241,9 +289,9 @@ def tree_links(ids: np.ndarray, first: np.ndarray, num: int, den: int, side: np.
     links: list[tuple[int, int]] = []
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    # neighbours in the order of (smallest ids, size) are likely alike: tight bitmaps in the leaves
+    # neighbours in the order of (size class, smallest id) are likely alike: narrow sizes above, tight bitmaps in the leaves
     lead = np.array([ids[a] if a < b else -1 for a, b in zip(first[:-1], first[1:])])
-    order = np.lexsort((size, lead))
+    order = np.lexsort((size, lead, np.log(np.maximum(size, 1)) // np.log(den / num)))
     bits = _bitmaps(ids, first)[order]
     tree = SignatureTree(bits, size[order])
     forest = _Forest(n)
@@ -271,7 +319,7 @@ def tree_links(ids: np.ndarray, first: np.ndarray, num: int, den: int, side: np.
 
     def down(level: int, p: np.ndarray, q: np.ndarray) -> None:
         """Node pairs p <= q of a level; depth first in runs, so that the pairs at hand stay few and unions prune early."""
-        run = 1 << 14 if level == 0 else 1 << 10  # node pairs at hand; each makes up to fan * fan pairs below
+        run = max(256, _AT_ONCE // tree.levels[0][0].shape[1])
         for k in range(0, len(p), run):
             a, b = p[k : k + run], q[k : k + run]
             if level == 0:
@@ -286,7 +334,7 @@ def tree_links(ids: np.ndarray, first: np.ndarray, num: int, den: int, side: np.
                 continue
             ok = tree.possible(level, a, b, num, den)
             a, b = a[ok], b[ok]
-            fan = _LEAF if level == 1 else _FAN
+            fan = _FAN
             below = len(tree.levels[level - 1][0])
             i, j = np.divmod(np.arange(fan * fan), fan)
             c, d = (a[:, None] * fan + i).ravel(), (b[:, None] * fan + j).ravel()
@@ -361,15 +409,20 @@ def _only_present(docs: DataFrame, keys: DataFrame, most_bits: int) -> DataFrame
 
 def link_components(
     docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, block: int = 1_000_000, bitmap_bits: int = 1 << 24,
+    most_common: int = 200_000,
 ) -> DataFrame:
     """doc_id, key, n_shingles, component (a, b of the smallest class), component_id: one row per document.
 
     ``component_id`` is the smallest doc_id of the component. ``block``: shingles that one task's tree holds; a larger
-    candidate group is dealt to tasks by pairs of blocks. ``bitmap_bits`` bounds the broadcast prefilter (2 MB by default).
+    candidate group is dealt to tasks by pairs of blocks. ``bitmap_bits`` bounds the broadcast prefilter (2 MB by default),
+    ``most_common`` the broadcast common shingles (1.6 MB).
     """
-    feats = shared.written(features(docs, size), "features")
+    seen = shared.written(features(docs, size), "features")
+    often = seen.select(F.explode("common").alias("c")).groupBy("c.s").agg(F.sum("c.n").alias("n")).orderBy(F.desc("n"), "s").limit(most_common)
+    common = np.sort(often.select("s").toPandas()["s"].to_numpy(np.int64).view(U))
+    feats = seen.filter("n >= 0").drop("common")
     classes = feats.filter("n > 0").groupBy("a", "b").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    groups = components(_chains(_signatures(docs, size, num, den)))
+    groups = components(_chains(_signatures(docs, size, num, den, common)))
     members = shared.written(classes.join(groups, F.col("a") == F.col("node")).select("a", "b", "key", "n", "root"), "members")
     weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("t")).first()["t"]

@@ -37,9 +37,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder (smaller than a checkpoint, read by column)."""
-    path = fresh_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    """Cut the lineage with a Parquet table in the shared folder (smaller than a checkpoint, read by column).
+
+    Rows cross to Python in small batches meanwhile: texts can be long, and a task's memory is bounded.
+    """
+    path, setting, conf = fresh_folder(df.sparkSession, what), "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, "2000")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(setting, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -177,7 +177,8 @@ class WordEncoder:
         self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
         self.kind = np.uint16 if self.model.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.mask = U((1 << max(8, (2 * most - 1).bit_length())) - 1)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.same = list(range(self.model.tokenizer.get_vocab_size()))  # one object for each id
         self._restart(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, self.kind))
 
     def _restart(self, hashes: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
@@ -211,7 +212,7 @@ class WordEncoder:
         for part in self.find((word if word.isascii() else normalize("NFC", word)).lower()):
             ids = self.parts.get(part)
             if ids is None:
-                ids = self.parts[part] = self.model.ids(part)
+                ids = self.parts[part] = tuple(self.same[i] for i in self.model.ids(part))
             out += ids
         return out
 
@@ -227,12 +228,12 @@ class WordEncoder:
     def encode(self, texts, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of rows: ids of all texts with the end id after each, and how many ids each has."""
         data, offsets = text_buffers(texts)
-        for a, b, w in pieces(texts, self._TABLE, most=1 << 22):
+        for a, b, w in pieces(texts, self._TABLE):
             if len(self.hashes) > self.most:  # keep the words learnt first: the frequent ones come early
                 n = self.most // 4
                 self._restart(self.hashes[:n], self.size[:n], self.pool[: self.start[n]].copy())
-            if len(self.parts) > self.most // 4:
-                self.parts = dict(islice(self.parts.items(), self.most // 16))
+            if len(self.parts) > self.most // 10:
+                self.parts = dict(islice(self.parts.items(), self.most // 40))
             index = self._find(w.hash)
             missing = np.flatnonzero(index < 0)
             if len(missing):
