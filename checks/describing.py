@@ -238,7 +238,7 @@ def _tests(spark, sf):
 q AS (SELECT *, least(1.0::DOUBLE, min(p * m / k) OVER (PARTITION BY family ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM r)
 SELECT family, id, round(p, 8) AS p, round(q, 8) AS "FDR_q", q <= 0.05 AS "FDR_reject", round(0.05 / m, 8) AS "Bonf_threshold", p < 0.05 / m AS "Bonf_reject" FROM q""")
 def multiple_tests(spark, sf):
-    out = mt.bonferroni(mt.fdr_bh(_tests(spark, sf), "p", ["family"], ranges=32), "p", ["family"])
+    out = mt.bonferroni(mt.fdr_bh(_tests(spark, sf), "p", ["family"], per_range=500), "p", ["family"])
     return rounded(out, 8)
 
 
@@ -247,7 +247,7 @@ z AS (SELECT id, least(1.0::DOUBLE, min(p * m / k) OVER (ORDER BY p DESC, k DESC
 SELECT count(*) FILTER (q < 0.05) AS n_sig_primary, count(*) AS n_primary, count(*) FILTER (p < 0.05) AS n_sig_complete_case, count(*) AS n_complete_case, round(avg(p * 100), 6) AS mean_completeness_pct FROM z""")
 def result_rollup(spark, sf):
     t = _tests(spark, sf).drop("family")
-    return rounded(ds.rollup_results(mt.fdr_bh(t, ranges=32), t.withColumn("completeness_pct", F.col("p") * 100)))
+    return rounded(ds.rollup_results(mt.fdr_bh(t, per_range=500), t.withColumn("completeness_pct", F.col("p") * 100)))
 
 
 # closed-form ratios of a binary exposure, per part type
