@@ -217,7 +217,7 @@ def learn_pairwise_order(spark, sf):
 @check()
 def learn_likelihood(spark, sf):
     _, moments, _ = _learning_rows(spark, sf)
-    return g.fold_consensus(d.golem(moments, {("tax", "quantity")}, num_iter=2000, learning_rate=3e-3), 2)
+    return g.fold_consensus(d.golem(moments, {("tax", "quantity")}), 2)
 
 
 @check()
@@ -229,7 +229,7 @@ def learn_order_bic(spark, sf):
 @check()
 def learn_logdet(spark, sf):
     _, moments, _ = _learning_rows(spark, sf)
-    return g.fold_consensus(d.dagma_linear(moments, {("tax", "quantity")}, learning_rate=3e-3, max_iter=3000), 2)
+    return g.fold_consensus(d.dagma_linear(moments, {("tax", "quantity")}), 2)
 
 
 _FAST = {"GOLEM": {"num_iter": 500, "learning_rate": 5e-3}, "DAGMA_LINEAR": {"warm_iter": 300, "max_iter": 1000, "learning_rate": 3e-3}}
