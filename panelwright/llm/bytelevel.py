@@ -29,7 +29,9 @@ class Model:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, pre_token: str) -> list[int]:
-        letters = pre_token.encode().decode("latin-1").translate(self._letters)
+        letters = pre_token
+        if not (pre_token.isascii() and pre_token.isalnum()):  # those stand for themselves
+            letters = pre_token.encode().decode("latin-1").translate(self._letters)
         return [t.id for t in self._model.tokenize(letters)]
 
     def usual(self, text: str) -> bool:

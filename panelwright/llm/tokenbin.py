@@ -208,11 +208,18 @@ class WordEncoder:
     def word(self, word: str) -> list[int]:
         if not self.model.usual(word):
             return self.model.whole(word)
+        text = (word if word.isascii() else normalize("NFC", word)).lower()
+        if text.isalpha():  # letters alone are one pre-token, and so is one mark after them
+            cut = (text,)
+        elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+            cut = (text[:-1], text[-1])
+        else:
+            cut = self.find(text)
         out: list[int] = []
-        for part in self.find((word if word.isascii() else normalize("NFC", word)).lower()):
+        for part in cut:
             ids = self.parts.get(part)
             if ids is None:
-                ids = self.parts[part] = tuple(self.same[i] for i in self.model.ids(part))
+                ids = self.parts[part] = tuple(map(self.same.__getitem__, self.model.ids(part)))
             out += ids
         return out
 
@@ -232,8 +239,8 @@ class WordEncoder:
             if len(self.hashes) > self.most:  # keep the words learnt first: the frequent ones come early
                 n = self.most // 4
                 self._restart(self.hashes[:n], self.size[:n], self.pool[: self.start[n]].copy())
-            if len(self.parts) > self.most // 10:
-                self.parts = dict(islice(self.parts.items(), self.most // 40))
+            if len(self.parts) > self.most // 4:
+                self.parts = dict(islice(self.parts.items(), self.most // 16))
             index = self._find(w.hash)
             missing = np.flatnonzero(index < 0)
             if len(missing):
