@@ -1,16 +1,16 @@
-"""Benchmark passages in documents: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark passages in documents: keys of CGK walks over windows that edits must leave whole, exact edit verification.
 
-Words (lower-cased ASCII, punctuation and white space as separators) are the letters. The CGK walk of repetition r reads a window from
-its start; at each of up to 2w steps a random bit of the letter just read decides whether it moves on, so strings at a small edit
-distance soon walk in step and differ in few of the letters read. A key is the letters read at a few sampled steps.
+Words (lower-cased ASCII, punctuation and white space as separators) are the letters. At most ``k = (1 - least) * n`` edits cut an
+item of n words into k + 1 runs, of which the longest keeps at least ``(n - k) / (k + 1)`` words without an edit. An item's windows are no
+longer than that run and start at every word, in items and documents alike, so every copy within k edits has a window with the
+item's own letters: no length of item and no place of the edits loses one.
 
-Windows come in sizes 4, 8, 16, 32, ... An item uses the largest size w whose windows, taken at every multiple of w / 2 in a
-document, must have one inside any copy of the item; the item's windows start at every word. So a copy of n words
-meets about 2(n - w) / w + 1 aligned windows, each with ``walks`` walks of ``samples`` keys. Every
-hit is verified: banded edit distance between the item and the best place around the hit, at most ``(1 - least)`` of the item's words.
+A window's key is what a CGK walk reads: at each of 3w steps a random bit of the letter just read decides whether it moves on. Equal
+windows have equal keys. Every hit is verified: an item word that the place lacks costs an edit, then the edit distance
+between the item and the best stretch around the hit, at most k.
 
 The benchmark goes to the tasks in blocks of at most ``block`` items' words; more items mean more passes, not a larger broadcast.
-NULL or empty texts and items (or items under ``shortest`` words) match nothing; repeated rows are reported each; empty tables give no rows.
+NULL or empty texts and items (or items under ``SHORTEST`` words) match nothing; repeated rows are reported each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,52 +28,46 @@ from panelwright.llm.words import PUNCTUATION, U, WHITE, fold_table, mix, pieces
 _TABLE = fold_table(WHITE + PUNCTUATION)
 _CHUNK = 1 << 15
 #: Bits of a key that a first look takes.
-_NEAR = 17
+_NEAR = 21
+#: Words of the shortest item that is looked up: one word alone is no passage.
+SHORTEST = 2
+#: Words of the windows that are used; few sizes mean few walks over a document.
+SIZES = (1, 2, 3, 4, 8, 16)
 
 
-def window_size(n: int, shortest: int = 4) -> int:
-    """Largest power of two w with w + w / 2 - 1 <= n; 0 for a shorter item."""
-    w = shortest
-    if n < w + w // 2 - 1:
-        return 0
-    while 2 * w + w - 1 <= n:
-        w *= 2
-    return w
+def most_edits(n: int, least: float) -> int:
+    return int((1 - least) * n + 1e-9)
+
+
+def window_size(n: int, least: float = 0.8) -> int:
+    """Largest of ``SIZES`` within the run of words that any allowed edits leave whole; 0 for an item that is not looked up."""
+    k = most_edits(n, least)
+    whole = -(-(n - k) // (k + 1))
+    return max((w for w in SIZES if w <= whole), default=0) if n >= SHORTEST else 0
 
 
 class Sampler:
-    """Keys of windows of one size: ``walks`` embeddings, ``samples`` keys of ``bits`` letters each."""
-
-    def __init__(self, w: int, walks: int, samples: int, bits: int, seed: int):
-        self.w, self.walks, self.samples = w, walks, samples
-        self.steps = []
-        rng = np.random.default_rng([seed, w])
-        for _ in range(walks):
-            # on average a walk has read w letters after 2w steps; later steps would mostly see the window's last letter
-            self.steps.append([np.sort(rng.choice(2 * w, size=min(bits, w), replace=False)) for _ in range(samples)])
-
-    def keys(self, letters: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(key table number, key of each window); a walk never leaves its window."""
-        for walk in range(self.walks):
-            wanted = [set(s.tolist()) for s in self.steps[walk]]
-            last = 1 + max(map(max, wanted))
-            coins = [mix(letters, 1000 + 100 * walk + k) for k in range((last - 1) // 64 + 1)]
-            out = [np.empty(len(start), U) for _ in wanted]
-            for a in range(0, len(start), _CHUNK):
-                i = start[a : a + _CHUNK].astype(np.int64)
-                end = i + (self.w - 1)
-                keys = [np.full(len(i), k + 1, U) for k in range(len(wanted))]
-                for step in range(last):
-                    for k, at in enumerate(wanted):
-                        if step in at:
-                            keys[k] = (keys[k] ^ letters.take(i)) * U(0x9FB21C651E98DF25)
-                            keys[k] ^= keys[k] >> U(29)
-                    i += ((coins[step // 64].take(i) >> U(step % 64)) & U(1)).view(np.int64)
-                    np.minimum(i, end, out=i)
-                for k in range(len(wanted)):
-                    out[k][a : a + _CHUNK] = keys[k]
-            for k in range(len(wanted)):
-                yield walk * self.samples + k, out[k]
+    """Keys of windows of one size: the letters that a CGK walk reads."""
+
+    def __init__(self, w: int, seed: int):
+        self.w, self.seed = w, seed
+
+    def keys(self, letters: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Key of each window; a walk never leaves its window."""
+        steps = 3 * self.w
+        coins = [mix(letters, 1000 + 100 * self.seed + k) for k in range((steps - 1) // 64 + 1)]
+        out = np.empty(len(start), U)
+        for a in range(0, len(start), _CHUNK):
+            i = start[a : a + _CHUNK].astype(np.int64)
+            end = i + (self.w - 1)
+            key = np.full(len(i), self.w, U)
+            for step in range(steps):
+                key = (key ^ letters.take(i)) * U(0x9FB21C651E98DF25)
+                key ^= key >> U(29)
+                i += ((coins[step // 64].take(i) >> U(step % 64)) & U(1)).view(np.int64)
+                np.minimum(i, end, out=i)
+            out[a : a + _CHUNK] = key
+        return out
 
 
 def edit_place(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
@@ -94,48 +88,47 @@ def edit_place(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
 class Index:
     """Key tables of one block of items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], walks: int, samples: int, bits: int, least: float, seed: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: float, seed: int):
         self.items, self.least = items, least
+        self.words = [set(letters.tolist()) for _, letters in items]
         self.sizes: dict[int, Sampler] = {}
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for k, (_, letters) in enumerate(items):
-            if w := window_size(len(letters)):
+            if w := window_size(len(letters), least):
                 by.setdefault(w, []).append(k)
         for w, members in by.items():
-            sampler = self.sizes[w] = Sampler(w, walks, samples, bits, seed)
+            sampler = self.sizes[w] = Sampler(w, seed)
             owner = np.concatenate([np.full(len(items[k][1]) - w + 1, k) for k in members])
             offset = np.concatenate([np.arange(len(items[k][1]) - w + 1) for k in members])
-            flat = np.concatenate([items[k][1] for k in members] + [np.zeros(1, U)])
+            flat = np.concatenate([items[k][1] for k in members])
             base = np.concatenate([[0], np.cumsum([len(items[k][1]) for k in members])])
             start = np.concatenate([b + np.arange(len(items[k][1]) - w + 1) for b, k in zip(base, members)])
-            for table, key in sampler.keys(flat, start):
-                order = np.argsort(key, kind="stable")
-                near = np.zeros(1 << _NEAR, bool)
-                near[(key >> U(64 - _NEAR)).astype(np.int64)] = True
-                self.tables[w, table] = (key[order], owner[order], offset[order], near)
+            key = sampler.keys(flat, start)
+            order = np.argsort(key, kind="stable")
+            near = np.zeros(1 << _NEAR, bool)
+            near[(key >> U(64 - _NEAR)).astype(np.int64)] = True
+            self.tables[w] = (key[order], owner[order], offset[order], near)
 
     def hits(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (row, item, place where the item would start in ``letters``) of all key matches."""
         found = []
         n = np.diff(first)
-        padded = np.concatenate([letters, np.zeros(1, U)])
         for w, sampler in self.sizes.items():
-            hop = w // 2
-            count = np.maximum(0, (n - w) // hop + 1)
+            count = np.maximum(0, n - w + 1)
             row = np.repeat(np.arange(len(n)), count)
             if not len(row):
                 continue
-            start = first[row] + hop * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-            for table, key in sampler.keys(padded, start):
-                keys, owner, offset, near = self.tables[w, table]
-                at = np.flatnonzero(near[(key >> U(64 - _NEAR)).astype(np.int64)])
-                lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
-                many = hi - lo
-                if many.any():
-                    place = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    at = np.repeat(at, many)
-                    found.append(np.stack([row[at], owner[place], start[at] - offset[place]]))
+            start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            key = sampler.keys(letters, start)
+            keys, owner, offset, near = self.tables[w]
+            at = np.flatnonzero(near[(key >> U(64 - _NEAR)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+            many = hi - lo
+            if many.any():
+                place = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                at = np.repeat(at, many)
+                found.append(np.stack([row[at], owner[place], start[at] - offset[place]]))
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
 
     def matches(self, letters: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -144,7 +137,7 @@ class Index:
         tried: dict[tuple[int, int], int] = {}
         for row, k, place in self.hits(letters, first).T.tolist():
             item = self.items[k][1]
-            n, most = len(item), int((1 - self.least) * len(item) + 1e-9)
+            n, most = len(item), most_edits(len(item), self.least)
             key = (row, k)
             if best.get(key, (1, 0))[0] == 0 or place - tried.get(key, -(10**9)) <= most // 2:
                 continue  # found exactly, or looked at the same stretch before
@@ -153,6 +146,8 @@ class Index:
                 continue
             tried[key] = place
             lo, hi = max(int(first[row]), place - 2 * most - 1), min(int(first[row + 1]), place + n + 2 * most + 1)
+            if len(self.words[k].difference(letters[lo:hi].tolist())) > most:
+                continue
             distance, end = edit_place(item, letters[lo:hi], most)
             if distance <= most and distance < best.get(key, (most + 1, 0))[0]:
                 best[key] = (distance, max(0, lo + end - n - int(first[row])))
@@ -187,7 +182,7 @@ _indexes: dict[int, Index] = {}
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, walks: int = 4, samples: int = 3, bits: int = 4, block: int = 200_000, seed: int = 17,
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block: int = 200_000, seed: int = 17,
 ) -> DataFrame:
     """doc_id, key, item_id, distance (edits in words), similarity, first_word: one row for each document and item that match."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).withColumn("key", shared.row_key("doc_id", "text"))
@@ -199,7 +194,7 @@ def find_leaks(
             token = held.id if hasattr(held, "id") else id(held)
             if token not in _indexes:
                 _indexes.clear()
-                _indexes[token] = Index(held.value, walks, samples, bits, least, seed)
+                _indexes[token] = Index(held.value, least, seed)
             index = _indexes[token]
             for batch in batches:
                 rows = []

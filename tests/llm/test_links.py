@@ -99,6 +99,31 @@ def test_leaks_with_edits(spark):
     assert len({r["doc_id"] for r in found}) >= 0.9 * len(items)  # the stated recall
 
 
+def test_leaks_at_every_length(spark):
+    """One fifth of the words edited, all kinds of edits: each copy is found, however long the item; short items as they are."""
+    rng = random.Random(21)
+    items, docs = [], []
+    for n in (2, 3, 4, 5, 6, 10, 15, 23, 47, 55, 95, 191, 383):
+        for kinds in ("s", "i", "d", "sid"):
+            for _ in range(3):
+                w = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+                items.append((len(items), " ".join(w)))
+                for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                    kind = rng.choice(kinds)
+                    w[at : at + (kind != "i")] = [] if kind == "d" else [f"q{rng.randrange(10**6)}"]
+                docs.append((len(docs), " ".join([f"n{k}" for k in range(rng.randrange(9))] + w + ["tail"] * rng.randrange(3))))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k in range(len(items))}
+
+
+def test_windows_fit_into_what_edits_leave():
+    for least in (0.5, 0.7, 0.8, 0.9, 1.0):
+        for n in range(decontaminate.SHORTEST, 600):
+            k, w = decontaminate.most_edits(n, least), decontaminate.window_size(n, least)
+            assert w >= 1
+            assert (w - 1) * (k + 1) < n - k  # k + 1 runs without a whole window hold fewer words than the edits leave
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(5, 30))), (2, None), (3, ""), (4, "one"), (None, "no id here at all but some words")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(odd_docs, items).collect()), key=str)
