@@ -1,7 +1,7 @@
 """Secrets in whole texts: fixed patterns, and strings that a character Markov model calls random (DataFrame functions only).
 
-Two first-order character models are trained on labelled samples: the values of the base spans are the random strings, the
-words of at most ``sample`` documents (seeded hash order of a bounded sample) the ordinary identifiers. A candidate is a run
+Two first-order character models are counted over all documents: the values of the base spans are the random strings, the
+words of the texts the ordinary identifiers (words are counted first, so a word's pairs are made once and weighted). A candidate is a run
 of 20 or more token characters with letters and digits; it is added when the log-likelihood ratio of the two models is above ``cut``.
 
 NULL text is empty; empty text has no spans; without base spans the random model is the uniform prior alone.
@@ -65,24 +65,22 @@ def _transitions(counts: dict[int, int], strength: float = 5.0) -> np.ndarray:
     return (table + strength * own) / (table.sum(1, keepdims=True) + strength)
 
 
-def train(found: DataFrame, docs: DataFrame, sample: int, seed: int) -> np.ndarray:
+def train(found: DataFrame, docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each character pair (at most 67 * 67 counts reach the driver)."""
-    pairs = found.select(F.explode(F.filter("spans", lambda s: s["base"])).alias("s")).select(F.explode("s.grams").alias("g"))
-    rows = docs.count()
-    part = docs.sample(fraction=min(1.0, sample / max(1, rows)), seed=seed) if rows > sample else docs
-    words = part.select(F.explode(F.split(shared.whole_text(), r"[^\p{L}_]+")).alias("w")).filter(F.length("w") >= 4)
-    plain = words.select(F.explode(_bigrams(F.col("w"))).alias("g"))
-    count = lambda d: {r["g"]: r["n"] for r in d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pairs = found.select(F.explode(F.filter("spans", lambda s: s["base"])).alias("s")).select(F.explode("s.grams").alias("g"), F.lit(1).alias("n"))
+    words = docs.select(F.explode(F.split(shared.whole_text(), r"[^\p{L}_]+")).alias("w")).filter(F.length("w") >= 4)
+    plain = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(F.explode(_bigrams(F.col("w"))).alias("g"), "n")
+    count = lambda d: {r["g"]: r["n"] for r in d.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     # half uniform: random strings of alphabets that the samples do not have
     random = 0.5 * _transitions(count(pairs)) + 0.5 / _N
     return np.log(random / _transitions(count(plain)))
 
 
-def find_secrets(docs: DataFrame, cut: float = 5.0, sample: int = 5_000, seed: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, cut: float = 5.0) -> DataFrame:
     """doc_id and spans of each document: array<struct<kind, start, end, base>> in the order of start and kind."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spans.clean_marks(shared.whole_text()).alias("text"))
     found = shared.written(d.select("doc_id", _candidates(F.col("text")).alias("spans")), "spans")
-    ratio = F.array(*[F.lit(round(float(x), 4)) for x in train(found, docs, sample, seed).ravel()])
+    ratio = F.array(*[F.lit(round(float(x), 4)) for x in train(found, docs).ravel()])
     score = lambda s: F.aggregate(s["grams"], F.lit(0.0), lambda a, g: a + F.get(ratio, g))
     kept = F.filter("spans", lambda s: s["base"] | (score(s) > cut))
     ordered = F.sort_array(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))))

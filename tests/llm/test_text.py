@@ -1,7 +1,9 @@
 """Spans, quality rules, token counts and files, toxicity, archives against plain versions."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +50,17 @@ def test_secret_spans(tricky):
     assert got == sorted(want)
 
 
+def test_ordinary_words_of_all_documents(spark, monkeypatch):
+    """The ordinary model counts every document's words, also of a rare source beyond 5,000 rows."""
+    texts = [f"plain words number {k}" for k in range(6000)] + [f"ordxq{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    counted, real = [], secrets._transitions
+    monkeypatch.setattr(secrets, "_transitions", lambda counts: (counted.append(counts), real(counts))[1])
+    secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
+    code = lambda pair: secrets._N * (secrets.ALPHABET.index(pair[0]) + 1) + secrets.ALPHABET.index(pair[1]) + 1
+    want = Counter(code(w[k : k + 2]) for t in texts for w in re.split(r"[^a-z]+", t) if len(w) >= 4 for k in range(len(w) - 1))
+    assert counted[1] == want and counted[0] == {}
+
+
 def test_added_spans(spark):
     rng = random.Random(9)
     words = ["plain identifiers are long_variable_names and otherOrdinaryWordsHere1 in text"] * 50
