@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.tables import LINES_SQL, lines, rounded, table
 from panelwright.operators import discovery as d, graph as g, matrix as mx
 from panelwright.operators.sums import keep_for_passes
+from panelwright.plans import codebook as cb
 from panelwright.plans.graphs import discover, forbidden_set, network_tables
 
 CHECKS: dict = {}
@@ -193,7 +194,7 @@ _LEARN = ["quantity", "price", "discount", "tax"]
 def _learning_rows(spark, sf):
     base = _base(spark, sf).withColumn("price", F.col("price") + F.col("quantity") * 2).withColumn("tax", F.col("tax") + F.col("price") / 20)
     ready, use = mx.prepare_matrix(base, _LEARN, ["orderkey"])
-    rows = keep_for_passes(mx.kfold(ready, ["orderkey"], 3, 2025).select("fold", *use))
+    rows = keep_for_passes(mx.kfold(ready, ["orderkey"], cb.GRAPH_FOLDS, 2025).select("fold", *use))
     return rows, mx.training_moments(mx.fold_gram(rows, use), "lines", use), use
 
 
@@ -211,28 +212,25 @@ def network_node_labels(spark, sf):
 @check()
 def learn_pairwise_order(spark, sf):
     rows, moments, use = _learning_rows(spark, sf)
-    return g.fold_consensus(d.direct_lingam(rows, moments, use, [{("tax", "quantity")}]), 2)
+    return g.fold_consensus(d.direct_lingam(rows, moments, use, [{("tax", "quantity")}]), cb.GRAPH_MIN_FOLDS)
 
 
 @check()
 def learn_likelihood(spark, sf):
     _, moments, _ = _learning_rows(spark, sf)
-    return g.fold_consensus(d.golem(moments, {("tax", "quantity")}), 2)
+    return g.fold_consensus(d.golem(moments, {("tax", "quantity")}), cb.GRAPH_MIN_FOLDS)
 
 
 @check()
 def learn_order_bic(spark, sf):
     _, moments, _ = _learning_rows(spark, sf)
-    return g.fold_consensus(d.order_search_bic(moments, {("tax", "quantity")}), 2)
+    return g.fold_consensus(d.order_search_bic(moments, {("tax", "quantity")}), cb.GRAPH_MIN_FOLDS)
 
 
 @check()
 def learn_logdet(spark, sf):
     _, moments, _ = _learning_rows(spark, sf)
-    return g.fold_consensus(d.dagma_linear(moments, {("tax", "quantity")}), 2)
-
-
-_FAST = {"GOLEM": {"num_iter": 500, "learning_rate": 5e-3}, "DAGMA_LINEAR": {"warm_iter": 300, "max_iter": 1000, "learning_rate": 3e-3}}
+    return g.fold_consensus(d.dagma_linear(moments, {("tax", "quantity")}), cb.GRAPH_MIN_FOLDS)
 
 
 @check()
@@ -240,7 +238,7 @@ def discovered_graph(spark, sf):
     """All subsets, methods and folds in one flow: consensus edges with their class."""
     base = _base(spark, sf).withColumn("HI_price", F.col("price") + F.col("quantity") * 2).withColumn("tax_23", F.col("tax") + F.col("price") / 20)
     subsets = {"first": ["quantity", "discount", "HI_price", "tax_23"], "second": ["discount", "closed", "HI_price", "tax_23"]}
-    edges, variables = discover(base, ["orderkey"], subsets, ["HI_price"], 3, 2, immutable_mask=["quantity"], immutable_filter=["quantity", "discount"], settings=_FAST)
+    edges, variables = discover(base, ["orderkey"], subsets, ["HI_price"], immutable_mask=["quantity"], immutable_filter=["quantity", "discount"])
     return g.edge_classes(g.method_agreement(edges), ["HI_"])
 
 
@@ -249,6 +247,6 @@ def network_nodes(spark, sf):
     """Chart table: node positions and degrees of a learned graph."""
     rows, moments, use = _learning_rows(spark, sf)
     cat = g.catalog(spark.createDataFrame([(v,) for v in use], "var string"), ["price"])
-    edges = g.fold_consensus(d.order_search_bic(moments, forbidden_set(g.forbidden_edges(cat, ["quantity"]))), 2)
+    edges = g.fold_consensus(d.order_search_bic(moments, forbidden_set(g.forbidden_edges(cat, ["quantity"]))), cb.GRAPH_MIN_FOLDS)
     variables = spark.createDataFrame([("lines", v) for v in [*use, "unused"]], "subset string, var string")
     return network_tables(edges, variables, "lines", ["price"])[0]

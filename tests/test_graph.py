@@ -1,9 +1,12 @@
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from panelwright.operators import discovery as d, graph as g, matrix as mx
 from panelwright.operators.charts import stratified_forest, tier_layout
+from panelwright.plans import codebook as cb
 from panelwright.plans.graphs import discover
 
 TRUE = {("a", "b"): 0.8, ("b", "c"): -0.7, ("a", "d"): 0.5, ("c", "d"): 0.9}
@@ -130,3 +133,18 @@ def test_all_methods_in_one_flow(spark, system):
     assert set(found) == {"DirectLiNGAM", "GOLEM", "ORDER_BIC", "DAGMA_LINEAR"}
     assert all(want == v for v in found.values()), found
     assert variables.count() == 4
+
+
+def test_queries_learn_with_the_codebook_defaults(spark, monkeypatch):
+    """The registered learners run all folds, the full consensus and the learners' own iterations."""
+    from checks import graphing
+
+    seen = {}
+    monkeypatch.setattr(graphing, "discover", lambda *a, **k: seen.update(inspect.signature(discover).bind(*a, **k).arguments) or (None, None))
+    monkeypatch.setattr(graphing.g, "method_agreement", lambda edges: edges)
+    monkeypatch.setattr(graphing.g, "edge_classes", lambda edges, marks: edges)
+    monkeypatch.setattr(graphing, "_base", lambda spark, sf: spark.range(600).selectExpr("id AS orderkey", *[f"rand({k}) AS {v}" for k, v in enumerate(("quantity", "price", "discount", "tax"))]))
+    graphing.discovered_graph(spark, "")
+    assert seen.get("folds", cb.GRAPH_FOLDS) == cb.GRAPH_FOLDS and seen.get("min_folds", cb.GRAPH_MIN_FOLDS) == cb.GRAPH_MIN_FOLDS and not seen.get("settings")
+    rows, moments, _ = graphing._learning_rows(spark, "")
+    assert rows.select("fold").distinct().count() == moments.count() == cb.GRAPH_FOLDS
