@@ -2,7 +2,7 @@
 
 Cross-document line frequency: a line is lower-cased, its digits become 0 and its white space single spaces; its hash is
 counted once per distinct text of a host (exact copies are one document, so copied documents are not punished). Lines
-in more than ``limit`` distinct documents of the host, and in more than ``share`` of them, are removed; a document that
+in more than ``limit`` distinct documents of the host are removed, however large the host is; a document that
 keeps less than ``least`` of its word characters is depleted and rejected.
 
 Counts are combined map-side; the frequent lines are joined back by (host, hash) with no broadcast of unchecked size.
@@ -67,19 +67,17 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.btrim(line, F.lit(" \t\x0b\x0c\r")), WHITE + "+", " "), "[0-9]", "0"))
 
 
-def quality(docs: DataFrame, host: str = "source", limit: int = 50, share: float = 0.02, least: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", limit: int = 50, least: float = 0.3) -> DataFrame:
     """Base counts, base_failed, removed share of characters and the verdict ``kept`` of each document."""
     base = base_rules(docs, host)
     lines = F.transform("full", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.length(x).alias("n")))
     facts = shared.written(base.select(
         "doc_id", "host", "key", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lines.alias("lines")), "facts")
     texts = facts.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))  # one row per distinct text of a host
-    of_host = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     spread = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     seen = spread.groupBy("host", "h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > limit)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    often = seen.join(of_host.withColumnRenamed("host", "host2"), same("host", "host2")).filter(F.col("seen") > share * F.col("docs"))
-    often = often.select(F.col("host").alias("host3"), F.col("h").alias("h3"))
+    often = seen.select(F.col("host").alias("host3"), F.col("h").alias("h3"))
     one = facts.groupBy("key").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
     per_line = one.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     gone = per_line.join(often, same("host", "host3") & (F.col("h") == F.col("h3"))).groupBy("key").agg(F.sum("n").alias("removed"))

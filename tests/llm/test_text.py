@@ -105,6 +105,16 @@ def test_frequent_lines_deplete(spark):
     assert not any(got[k] for k in range(80)) and all(got[100 + k] for k in range(80)) and got[300]
 
 
+def test_frequent_lines_of_a_large_host(spark):
+    """A line in 60 documents goes from a host of 80 and from one of 4,000 texts alike."""
+    boiler = "Subscribe now and never miss a thing from this site, dear reader " * 6
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # digits of a line count as equal
+    own = lambda k: " ".join(f"w{letters(k)}x{letters(i)}" for i in range(25))
+    rows = [(k, f"{boiler}\nshort words {k}" if k % 5000 < 60 else own(k), "small" if k < 5000 else "large") for k in [*range(80), *range(5000, 9000)]]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(kept == (k % 5000 >= 60) for k, kept in got.items()) and len(got) == 4080
+
+
 def test_token_counts_equal_the_library(tricky):
     from tokenizers import Tokenizer
 
