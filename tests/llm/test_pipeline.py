@@ -43,7 +43,7 @@ def test_leaks_against_exact_search(spark, sf):
     assert not any(item in r["text"] for r in docs.collect() if r["doc_id"] in left for item in items)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n[2:4] not in ("11", "12", "13")))  # those have tests of their own
 def test_query_runs_with_a_row_for_each(spark, sf, name):
     rows = queries.QUERIES[name](spark, sf)
     table = "pages" if name.startswith("op8") else "documents"
