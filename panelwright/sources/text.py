@@ -2,19 +2,17 @@
 
 Spark never fails on a wrong charset, it substitutes characters, so the bytes
 are checked before the parse. Only a file that is not valid UTF-8 pays for the
-second pass and for a decoded copy.
+second check.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.session import ensure_checkpoint_dir
+from panelwright.sources.splits import read_records
 
 # The encodings tried, in order, and those of them that the CSV reader does not know.
 ENCODINGS = ("utf-8", "utf-8-sig", "cp932", "shift_jis")
@@ -69,28 +67,16 @@ def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = E
     return next((e for e in encodings if bad.get(e) == 0), "default")
 
 
-def _as_utf8(spark: SparkSession, path: str, encoding: str) -> str:
-    """A UTF-8 copy in the shared folder, one file for each file (a file of a legacy charset is decoded by one task)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py().decode(encoding) for x in batch.column(0)], pa.string())], names=["value"])
-
-    copy = f"{ensure_checkpoint_dir(spark)}/utf8-{uuid.uuid4().hex}"
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("raw"))
-    whole.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(copy)
-    return copy
-
-
 def read_csv_any_encoding(
     spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, encoding: str | None = None, multi_line: bool = True
 ) -> tuple[DataFrame, str]:
     """All columns as text, plus the encoding used. Pass ``encoding`` to skip detection.
 
-    ``multi_line`` keeps records whose quoted fields hold line breaks; without it a file can be split over tasks.
+    Files are split over tasks whatever their charset. ``multi_line`` keeps records whose quoted fields hold line breaks, for one more
+    scan of the quotes; without it, UTF-8 files go to Spark's reader directly.
     """
     found = encoding or detect_encoding(spark, path, encodings)
-    if found in LEGACY:
-        path = _as_utf8(spark, path, found)
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
-    return df, found
+    if found not in LEGACY and not multi_line:
+        return spark.read.option("header", True).option("escape", '"').csv(path), found
+    charset = found if found in LEGACY else "utf-8"
+    return read_records(spark, path, charset, "replace" if found == "default" else "strict"), found
