@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import as_col, nan_to_null
-from panelwright.operators.quantiles import PER_RANGE, running_totals, suffix_min, value_cuts
+from panelwright.operators.quantiles import PER_RANGE, running_totals, suffix_min
+from panelwright.session import cut_lineage
 
 
 def fdr_bh(
@@ -15,15 +16,14 @@ def fdr_bh(
 ) -> DataFrame:
     """Step-up q-values and reject flags.
 
-    Tests are first merged by equal p (equal p-values share a q-value), then ranked per family over as many ranges of p
-    as the merged values need. NaN is no test, as NULL is.
+    Tests are first merged by equal p (equal p-values share a q-value), then ranked per family over buckets of p's
+    leading bits. NaN is no test, as NULL is.
     """
     family = list(family)
     value = nan_to_null(as_col(p))
-    by_p = df.filter(value.isNotNull()).groupBy(*family, value.alias(p)).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = value_cuts(by_p, p, per_range)
-    ranked = running_totals(by_p, p, "_n", cuts, family).withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
-    lowest = suffix_min(ranked, p, "_raw", cuts, "_q", family)
+    by_p = cut_lineage(df.filter(value.isNotNull()).groupBy(*family, value.alias(p)).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running_totals(by_p, p, "_n", family, per_range).withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
+    lowest = suffix_min(ranked, p, "_raw", "_q", family, per_range)
     q = lowest.select(*family, p, F.least(F.col("_q"), F.lit(1.0)).alias("FDR_q"))
     out = df.join(q, [*family, p], "left")
     return out.select(*df.columns, "FDR_q", (F.col("FDR_q") <= alpha).alias("FDR_reject"))

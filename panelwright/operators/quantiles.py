@@ -1,8 +1,11 @@
 """Exact quantiles, ranks by weight and bins that hold at any cardinality.
 
-Equal values are merged once, into a counted table that every later step of a call reads. Order statistics are located
-with running totals over value ranges: as many ranges as the counted values need, so no task ever sorts more than about
-``per_range`` of them. NaN is missing, as NULL is.
+Equal values are merged once, into a counted table that every later step of a call reads. Order statistics are found by radix
+selection on the order-preserving 64-bit image of a double: a histogram of the leading 16 bits tells which bucket holds a wanted
+rank, the next 16 bits are counted inside those buckets only, and so on until the wanted buckets hold ``per_range`` values or
+less; these are put in order. All groups, columns and ranks go through the same rounds, no list of cut points is kept, and no
+task sorts more than ``per_range`` values of a bucket. Running totals split values by the same leading bits. NaN is
+missing, as NULL is.
 """
 
 from __future__ import annotations
@@ -10,14 +13,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.codes import as_lit, nan_to_null, quoted
 from panelwright.session import cut_lineage
 
-PER_RANGE = 1_000_000
-_SKETCHES = 32
+PER_RANGE = 1 << 16
+_DIGIT = 16  # bits a round: at most 65,536 buckets below a bucket
+_BROADCAST_ROWS = 50_000  # wanted ranks up to this number are sent to all tasks; more are joined
 
 
 def number(col: str) -> Column:
@@ -25,116 +30,139 @@ def number(col: str) -> Column:
     return nan_to_null(F.col(quoted(col)).cast("double"))
 
 
-def value_cuts(values: DataFrame, col: str, per_range: int = PER_RANGE, rows: int | None = None) -> list[float]:
-    """Boundaries of value ranges that hold about ``per_range`` rows each.
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    bits = (v.to_numpy(float) + 0.0).view(np.int64)  # -0.0 is 0.0
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
 
-    Sketches of hashed parts are sketched again, so no task merges one per input partition. ``rows`` spares the count.
+
+def order_image(col: str) -> Column:
+    """Whole numbers in the order of the doubles (not NULL, not NaN)."""
+    return F.pandas_udf(_ordered_bits, "long")(F.col(quoted(col)))
+
+
+def _leading(bits: str, shift: int) -> Column:
+    """The bits from ``shift`` on; 64 puts everything into one bucket."""
+    return F.lit(0).cast("bigint") if shift >= 64 else F.shiftright(bits, shift)
+
+
+def _range_shift(values: DataFrame, by: Sequence[str], per_range: int) -> int:
+    """How many trailing bits a bucket may span so that none holds more than ``per_range`` rows."""
+    for shift in range(64, 0, -_DIGIT):
+        sizes = values.groupBy(*by, _leading("_bits", shift).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= per_range:
+            return shift
+    return 0
+
+
+def _ranged(values: DataFrame, col: str, by: Sequence[str], per_range: int) -> tuple[DataFrame, int]:
+    """The rows with ``_range``, their bucket: a pure function of the value, so that a recomputed task agrees with the first attempt."""
+    imaged = values.withColumn("_bits", order_image(col))
+    shift = _range_shift(imaged, by, per_range)
+    return imaged.withColumn("_range", _leading("_bits", shift)).drop("_bits"), shift
+
+
+def _across(ranges: DataFrame, amount: str, fold, by: Sequence[str], shift: int, later: bool) -> DataFrame:
+    """(by, _range, _0, _1, ...): ``fold`` of ``amount`` over the buckets before (``later``: after) each one, level by level.
+
+    A level's window holds the buckets below one bucket of the level above: 65,536 rows at most.
     """
-    rows = values.count() if rows is None else rows
-    ranges = -(-rows // per_range)
-    if ranges <= 1:
-        return []
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = lambda: F.percentile_approx("_c", probs, F.lit(8 * ranges))
-    v = values.select(number(col).alias("_c")).filter(F.col("_c").isNotNull())
-    parts = v.groupBy(F.pmod(F.xxhash64("_c"), F.lit(_SKETCHES)).alias("_k")).agg(sketch().alias("_q"))
-    cuts = parts.select(F.explode("_q").alias("_c")).agg(sketch()).first()[0]
-    return sorted(set(cuts or []))
-
-
-def with_range(df: DataFrame, col: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
-    """Number of the value range: a pure function of the value, so that a
-    recomputed task always agrees with the first attempt."""
-    if len(cuts) == 0:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="error").transform(df)
-
-
-def range_offsets(ranged: DataFrame, amount: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per group and value range: its sum, the sum before it and the group total."""
-    by = list(by)
-    sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_in_range"))
-    across = W.partitionBy(*by).orderBy("_range")
-    return sums.select(
-        *by,
-        "_range",
-        "_in_range",
-        (F.sum("_in_range").over(across) - F.col("_in_range")).alias("_before"),
-        F.sum("_in_range").over(W.partitionBy(*by)).alias("total"),
-    )
+    out = ranges.select(*by, "_range")
+    for k, s in enumerate(range(64 - _DIGIT, shift - 1, -_DIGIT)):
+        here, above = F.shiftright("_range", s - shift), F.lit(0) if k == 0 else F.shiftright("_range", s + _DIGIT - shift)
+        level = ranges.groupBy(*by, here.alias("_here"), above.alias("_above")).agg(fold(amount).alias("_a"))
+        order = F.desc("_here") if later else F.col("_here")
+        side = W.partitionBy(*by, "_above").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        level = level.select(*by, "_here", fold("_a").over(side).alias(f"_{k}"))
+        out = join_null_safe(out.withColumn("_here", here), level, [*by, "_here"]).drop("_here")
+    return out
+
+
+def _levels(shift: int) -> list[str]:
+    return [f"_{k}" for k in range((64 - shift) // _DIGIT)]
 
 
 def _inside(col: str, by: Sequence[str]) -> W:
     return W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
 
 
-def running_totals(
-    values: DataFrame, col: str, amount: str, cuts: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
+def running_totals(values: DataFrame, col: str, amount: str, by: Sequence[str] = (), per_range: int = PER_RANGE) -> DataFrame:
     """Add ``cum`` (inclusive running sum of ``amount`` in value order) and ``total``.
 
-    ``values`` holds one row per (by, value). The running sum is taken inside
-    each value range and shifted by the totals of the ranges before it, so no
-    task sees more than one range of one group.
+    ``values`` holds one row per (by, value) and is read several times: store it first. The running sum is taken inside each bucket of
+    values and shifted by the totals of the buckets before it, so no task sees more than one bucket of one group.
     """
     by = list(by)
-    ranged = with_range(values, col, cuts)
-    return (
-        ranged.withColumn("_cum", F.sum(amount).over(_inside(col, by)))
-        .join(range_offsets(ranged, amount, by).drop("_in_range"), [*by, "_range"])
-        .withColumn("cum", F.col("_cum") + F.col("_before"))
-        .drop("_range", "_cum", "_before")
-    )
-
-
-def suffix_min(values: DataFrame, col: str, amount: str, cuts: Sequence[float], out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the smallest ``amount`` at this or any later value, split by ranges alike."""
+    ranged, shift = _ranged(values, col, by, per_range)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
+    before = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in _levels(shift)], F.lit(0))
+    offsets = _across(sums, "_sum", F.sum, by, shift, later=False).select(*by, "_range", before.alias("_before"))
+    totals = sums.groupBy(*by).agg(F.sum("_sum").alias("total"))
+    summed = ranged.withColumn("_cum", F.sum(amount).over(_inside(col, by)))
+    placed = join_null_safe(summed, offsets, [*by, "_range"]).withColumn("cum", F.col("_cum") + F.col("_before"))
+    placed = join_null_safe(placed, totals, by) if by else placed.withColumn("total", totals.scalar())
+    return placed.drop("_range", "_cum", "_before")
+
+
+def suffix_min(values: DataFrame, col: str, amount: str, out: str, by: Sequence[str] = (), per_range: int = PER_RANGE) -> DataFrame:
+    """Add the smallest ``amount`` at this or any later value, split by buckets alike."""
     by = list(by)
-    ranged = with_range(values, col, cuts)
+    ranged, shift = _ranged(values, col, by, per_range)
     lows = ranged.groupBy(*by, "_range").agg(F.min(amount).alias("_low"))
-    later = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    after = lows.select(*by, "_range", F.min("_low").over(later).alias("_after"))
+    none = F.lit(None).cast("double")
+    after = _across(lows, "_low", F.min, by, shift, later=True).select(*by, "_range", F.least(none, none, *_levels(shift)).alias("_after"))
     inside = W.partitionBy(*by, "_range").orderBy(F.desc(col)).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        ranged.withColumn("_here", F.min(amount).over(inside))
-        .join(after, [*by, "_range"])
-        .withColumn(out, F.least("_here", "_after"))
-        .drop("_range", "_here", "_after")
-    )
+    here = ranged.withColumn("_here", F.min(amount).over(inside))
+    return join_null_safe(here, after, [*by, "_range"]).withColumn(out, F.least("_here", "_after")).drop("_range", "_here", "_after")
+
 
+def _sent(wanted: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(wanted) if rows <= _BROADCAST_ROWS else wanted
 
-def _ranged_quantiles(counted, probs, by, cuts, out):
-    """Order statistics around each position of (by, _v, _n), interpolated linearly.
 
-    The range totals tell which ranges hold a wanted rank; only those are sorted.
+def _narrowed(values: DataFrame, wanted: DataFrame, keys: Sequence[str], amount: str, hits, per_range: int) -> tuple[DataFrame, int, int]:
+    """Radix rounds: (wanted buckets with what is wanted in them, their trailing bits, their number).
+
+    ``wanted``: keys, ``_p`` (bucket), ``_c`` (values in it) and ``_want``. ``hits(hist)`` turns the buckets (with ``_before``, what lies before
+    each inside its bucket above, and ``_in``) into the next wanted ones. Each round is stored: a row for each wanted bucket.
     """
-    ranged = with_range(counted, "_v", cuts)
+    shift, wanted = 64, cut_lineage(wanted)
+    while True:
+        facts = wanted.agg(F.max("_c").alias("most"), F.count(F.lit(1)).alias("rows")).first()
+        if (facts["most"] or 0) <= per_range or shift == 0:
+            return wanted, shift, facts["rows"]
+        below = values.withColumn("_p", _leading("_bits", shift)).withColumn("_q", _leading("_bits", shift - _DIGIT))
+        below = join_null_safe(below, _sent(wanted.select(*keys, "_p"), facts["rows"]), [*keys, "_p"])
+        hist = below.groupBy(*keys, "_p", "_q").agg(F.sum(amount).alias("_in"), F.count(F.lit(1)).alias("_c"))
+        earlier = W.partitionBy(*keys, "_p").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+        hist = hist.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+        hist = join_null_safe(hist, _sent(wanted.select(*keys, "_p", "_want"), facts["rows"]), [*keys, "_p"])
+        wanted, shift = cut_lineage(hits(hist)), shift - _DIGIT
+
+
+def _selected(counted: DataFrame, probs: Sequence[float], keys: Sequence[str], out: str, per_range: int) -> DataFrame:
+    """Order statistics around each position of (keys, _v, _n, _bits), interpolated linearly."""
     ranks = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("total") - 1)
         for side in (F.floor(position), F.ceil(position)):
             ranks.append(F.struct(F.lit(i).alias("i"), position.alias("pos"), side.cast("bigint").alias("rank")))
-    wanted = (
-        range_offsets(ranged, "_n", by)
-        .select(*by, "_range", "_in_range", "_before", F.explode(F.array(*ranks)).alias("r"))
-        .filter((F.col("_before") <= F.col("r.rank")) & (F.col("r.rank") < F.col("_before") + F.col("_in_range")))
-        .groupBy(*by, "_range", "_before").agg(F.collect_list("r").alias("_ranks"))
-    )
-    cum = F.col("_before") + F.sum("_n").over(_inside("_v", by))
-    ranked = join_null_safe(ranged, wanted, [*by, "_range"]).withColumn("cum", cum)
-    first = F.col("cum") - F.col("_n")
-    hits = ranked.select(
-        *by, "_v", F.explode(F.filter("_ranks", lambda r: (first <= r["rank"]) & (r["rank"] < F.col("cum")))).alias("r")
-    )
-    pairs = hits.groupBy(*by, "r.i").agg(
-        F.first("r.pos").alias("pos"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("total"), F.count(F.lit(1)).alias("_c"))
+    wanted = sizes.select(*keys, F.lit(0).cast("bigint").alias("_p"), "_c", F.array(*ranks).alias("_want"))
+
+    def hits(hist: DataFrame) -> DataFrame:
+        held = F.filter("_want", lambda r: (F.col("_before") <= r["rank"]) & (r["rank"] < F.col("_before") + F.col("_in")))
+        own = F.transform(held, lambda r: F.struct(r["i"].alias("i"), r["pos"].alias("pos"), (r["rank"] - F.col("_before")).alias("rank")))
+        return hist.select(*keys, F.col("_q").alias("_p"), "_c", own.alias("_want")).filter(F.size("_want") > 0)
+
+    wanted, shift, rows = _narrowed(counted, wanted, keys, "_n", hits, per_range)
+    inside = join_null_safe(counted.withColumn("_p", _leading("_bits", shift)), _sent(wanted.drop("_c"), rows), [*keys, "_p"])
+    cum = F.sum("_n").over(W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked, first = inside.withColumn("cum", cum), F.col("cum") - F.col("_n")
+    hit = ranked.select(*keys, "_v", F.explode(F.filter("_want", lambda r: (first <= r["rank"]) & (r["rank"] < F.col("cum")))).alias("r"))
+    pairs = hit.groupBy(*keys, "r.i").agg(F.first("r.pos").alias("pos"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     frac = F.col("pos") - F.floor("pos")
     at = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - frac) * F.col("lo") + frac * F.col("hi"))
-    return pairs.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", at.alias("q")))), lambda s: s["q"]).alias(out)
-    )
+    return pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", at.alias("q")))), lambda s: s["q"]).alias(out))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -146,10 +174,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
 
 
 def counted_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, _i, _v, _n): how often each value of column number ``_i`` occurs, NULL included; one pass, then a stored table."""
+    """(by, _i, _v, _n, _bits): how often each value of column number ``_i`` occurs, NULL included; one pass, then a stored table."""
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), number(c).alias("v")) for i, c in enumerate(cols)])
     long = df.select(*[F.col(quoted(b)) for b in by], F.explode(pairs).alias("_p"))
-    return cut_lineage(long.groupBy(*[quoted(b) for b in by], F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    counted = long.groupBy(*[quoted(b) for b in by], F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(counted.withColumn("_bits", order_image("_v")))
 
 
 def exact_quantiles(
@@ -158,15 +187,9 @@ def exact_quantiles(
     """Linear-interpolated quantiles as ``array<double>``, one column per input column; NULL for a group without values."""
     by, cols = list(by), list(cols)
     counted = counted_values(df, cols, by)
-    sizes = {r["_i"]: r["n"] for r in counted.groupBy("_i").agg(F.count("_v").alias("n")).collect()}
+    found = _selected(counted.filter(F.col("_v").isNotNull()), probs, [*by, "_i"], "_q", per_range)
     none = F.lit(None).cast("array<double>").alias("_q")
-    parts = [counted.select(*by, F.lit(-1).alias("_i"), none).distinct()]  # every group has its row
-    for i in range(len(cols)):
-        if sizes.get(i):
-            values = counted.filter((F.col("_i") == i) & F.col("_v").isNotNull()).drop("_i")
-            cuts = value_cuts(values, "_v", per_range, sizes[i])
-            parts.append(_ranged_quantiles(values, probs, by, cuts, "_q").select(*by, F.lit(i).alias("_i"), "_q"))
-    every = reduce(DataFrame.unionByName, parts)
+    every = counted.select(*by, F.lit(-1).alias("_i"), none).distinct().unionByName(found.select(*by, "_i", "_q"))  # every group has its row
     return every.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(c) for i, c in enumerate(cols)])
 
 
@@ -255,17 +278,24 @@ def weighted_quantile(
     by = list(by)
     c, w = number(col), number(weight)
     kept = df.filter(c.isNotNull() & w.isNotNull()).select(*by, c.alias("_v"), w.alias("_w"))
-    values = cut_lineage(kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")))
-    ranged = with_range(values, "_v", value_cuts(values, "_v", per_range))
-    # the first range whose end reaches the share holds the answer; only it is sorted
-    holds = (
-        range_offsets(ranged, "_w", by)
-        .filter(F.col("_before") + F.col("_in_range") >= as_lit(q) * F.col("total"))
-        .groupBy(*by).agg(F.min_by(F.struct("_range", "_before", "total"), "_range").alias("h"))
-        .select(*by, "h._range", "h._before", "h.total")
-    )
-    ranked = join_null_safe(ranged, holds, [*by, "_range"]).withColumn("cum", F.col("_before") + F.sum("_w").over(_inside("_v", by)))
-    reached = F.when(F.col("cum") >= as_lit(q) * F.col("total"), F.col("_v"))
+    values = cut_lineage(kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_bits", order_image("_v")))
+    goal = F.struct(F.lit(0.0).alias("before"), (as_lit(q) * F.col("total")).alias("goal"), F.col("total").alias("total"))
+    sizes = values.groupBy(*by).agg(F.sum("_w").alias("total"), F.count(F.lit(1)).alias("_c"))
+    wanted = sizes.select(*by, F.lit(0).cast("bigint").alias("_p"), "_c", goal.alias("_want"))
+
+    def hits(hist: DataFrame) -> DataFrame:
+        """The first bucket whose end reaches the goal; the last one if rounding keeps all below it."""
+        before = F.col("_want.before") + F.col("_before")
+        own = F.struct("_q", F.struct(before.alias("before"), F.col("_want.goal").alias("goal"), F.col("_want.total").alias("total")).alias("_want"), "_c")
+        first = F.min(F.when(before + F.col("_in") >= F.col("_want.goal"), own))
+        chosen = hist.groupBy(*by, "_p").agg(F.coalesce(first, F.max(own)).alias("h"))
+        return chosen.select(*by, F.col("h._q").alias("_p"), "h._c", "h._want")
+
+    wanted, shift, rows = _narrowed(values, wanted, by, "_w", hits, per_range)
+    inside = join_null_safe(values.withColumn("_p", _leading("_bits", shift)), _sent(wanted.drop("_c"), rows), [*by, "_p"])
+    cum = F.col("_want.before") + F.sum("_w").over(W.partitionBy(*by, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = inside.withColumn("cum", cum)
+    reached = F.when(F.col("cum") >= F.col("_want.goal"), F.col("_v"))
     return ranked.groupBy(*by).agg(
-        F.coalesce(F.min(reached), F.max("_v")).alias("quantile"), F.first("total").alias("sum_weights")
+        F.coalesce(F.min(reached), F.max("_v")).alias("quantile"), F.first("_want.total").alias("sum_weights")
     )

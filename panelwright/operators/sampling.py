@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelwright.operators.quantiles import PER_RANGE, number, running_totals, value_cuts
+from panelwright.operators.quantiles import number, running_totals
 from panelwright.session import cut_lineage
 
 
-def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, per_range: int = PER_RANGE, arithmetic: bool = False) -> DataFrame:
+def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, per_range: int = 1_000_000, arithmetic: bool = False) -> DataFrame:
     """``n`` draws of ``col`` with probability proportional to ``weight``.
 
     Equal values are merged into cumulative-weight intervals; each draw is a
@@ -23,7 +23,7 @@ def weighted_resample(df: DataFrame, col: str, weight: str, n: int, seed: int, p
     values = cut_lineage(kept.groupBy("v").agg(F.sum("w").alias("w")))
     distinct = values.count()
     ranges = max(1, -(-(n + distinct) // per_range))
-    cum = running_totals(values, "v", "w", value_cuts(values, "v", per_range, distinct))
+    cum = running_totals(values, "v", "w", per_range=per_range)
     start = (F.col("cum") - F.col("w")) / F.col("total")
     end = F.col("cum") / F.col("total")
     slice_of = lambda u: F.least(F.floor(u * ranges), F.lit(ranges - 1)).cast("int")

@@ -73,11 +73,12 @@ def test_weighted_quantile_is_first_value_reaching_the_share(scores):
     assert qn.weighted_quantile(df, "x", "w", per_range=100).first()["quantile"] == want
 
 
-def test_running_totals_do_not_depend_on_the_ranges(scores):
+@pytest.mark.parametrize("per_range", [100, 7, 1])
+def test_running_totals_do_not_depend_on_the_ranges(scores, per_range):
     df, _ = scores
     v = df.filter("x is not null").groupBy("g", "x").agg(F.count("*").alias("n"))
-    whole = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", [], ["g"]).collect()}
-    split = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", qn.value_cuts(v, "x", 100), ["g"]).collect()}
+    whole = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", ["g"]).collect()}
+    split = {(r["g"], r["x"]): r["cum"] for r in qn.running_totals(v, "x", "n", ["g"], per_range=per_range).collect()}
     assert whole == split
 
 
@@ -128,3 +129,46 @@ def test_nan_is_missing_at_any_number_of_ranges(spark):
 def test_groups_without_values_keep_their_row(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "g int, x double")
     assert {r["g"]: r["x"] for r in qn.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()} == {1: None, 2: [3.0]}
+
+
+def _wide(n=4000, seed=11):
+    """Values of all magnitudes and signs, many of them neighbours to the last bit."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n), 1.0 + np.arange(n) * 2.0**-52, -1.0 - np.arange(n // 2) * 2.0**-52, [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324]])
+    rng.shuffle(x)
+    return x
+
+
+def test_order_image_keeps_the_order(spark):
+    x = _wide()
+    got = np.array([r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(1).select(qn.order_image("x")).collect()])
+    by = np.argsort(got, kind="stable")
+    assert (np.diff(x[by]) >= 0).all() and len(np.unique(got)) == len(np.unique(x))
+
+
+@pytest.mark.parametrize("per_range", [1_000_000, 50, 1])
+def test_selection_through_all_rounds(spark, per_range):
+    x = np.sort(_wide())
+    df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(x)], "x double, w double").repartition(6)
+    probs = [0, 0.3, 0.5, 0.7, 1]
+    finite = df.filter("abs(x) < 1e308 OR x IS NULL")
+    want = np.quantile(x[np.isfinite(x) & (np.abs(x) < 1e308)], probs)
+    assert qn.exact_quantiles(finite, ["x"], probs, per_range=per_range).first()[0] == pytest.approx(want, rel=1e-12)
+    cum = np.cumsum(np.arange(len(x)) % 3)
+    assert qn.weighted_quantile(df, "x", "w", 0.4, per_range=per_range).first()["quantile"] == x[np.searchsorted(cum, 0.4 * cum[-1])]
+
+
+def test_plan_does_not_grow_with_the_rows(spark):
+    sizes = []
+    for n in (500, 50_000):
+        df = spark.range(n).select((F.col("id") * 1.5).alias("x"), F.lit(1.0).alias("w"))
+        plans = [qn.exact_quantiles(df, ["x"], [0.5], per_range=20), qn.running_totals(df, "x", "w", per_range=max(20, n // 20))]
+        sizes.append([len(p._jdf.queryExecution().optimizedPlan().toString()) for p in plans])
+    assert sizes[1][0] < 1.3 * sizes[0][0] and sizes[1][1] < 2.5 * sizes[0][1]
+
+
+@pytest.mark.parametrize("per_range", [1_000_000, 3])
+def test_null_groups_keep_their_totals(spark, per_range):
+    df = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, 3), ("a", 5.0, 1)], "g string, x double, n long")
+    got = {(r["g"], r["x"]): (r["cum"], r["total"]) for r in qn.running_totals(df, "x", "n", ["g"], per_range=per_range).collect()}
+    assert got == {(None, 1.0): (2, 5), (None, 2.0): (5, 5), ("a", 5.0): (1, 1)}
