@@ -111,11 +111,58 @@ def imputation_with_repeated_keys(spark, sf):
     return rounded(done.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("q"), 2).alias("quantity"), F.round(F.sum("price"), 2).alias("price")))
 
 
-@check()
+def _mixed_steps(name: str, source: str, h: str, salt: str, keep: str) -> str:
+    """CTEs of a 64-bit hash of an unsigned number and a salt, one step each: ``name`` has ``z`` beside the columns ``keep`` of ``source``."""
+    m = "18446744073709551616::UHUGEINT"
+    return f"""{name}a AS (SELECT {keep}, (({h})::UHUGEINT + (({salt})::UHUGEINT * 11400714819323198485::UHUGEINT) % {m}) % {m} AS z FROM {source}),
+{name}b AS (SELECT {keep}, (xor(z, z // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {m} AS z FROM {name}a),
+{name}c AS (SELECT {keep}, (xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {m} AS z FROM {name}b),
+{name} AS (SELECT {keep}, xor(z, z // 2147483648::UHUGEINT) AS z FROM {name}c)"""
+
+
+def _chained_sql(rounds: int = 25, m: int = 5, seed: int = 2025) -> str:
+    """Two columns with gaps and a complete one, redrawn in turn; u is the one with fewer gaps. All rounds are written out."""
+    parts = [f"""o AS ({_ORDERS_SQL.replace("SELECT o_orderkey, c_acctbal / 1000 AS balance", "SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN c_acctbal / 1000 END AS balance")}),
+f AS (SELECT avg(balance) AS mb, avg(price) AS mp, avg(closed) AS mc, count(balance) >= count(price) AS swap FROM o),
+r AS MATERIALIZED (SELECT o_orderkey AS id, coalesce(CASE WHEN swap THEN balance - mb ELSE price - mp END, 0) AS u, coalesce(CASE WHEN swap THEN price - mp ELSE balance - mb END, 0) AS v, closed - mc AS c,
+  CASE WHEN swap THEN balance ELSE price END IS NULL AS gu, CASE WHEN swap THEN price ELSE balance END IS NULL AS gv, swap::INT AS swap FROM o, f)""",
+        _mixed_steps("hh", "r", "id", str(seed), "id, u, v, c, gu, gv, swap"),
+        f"s0 AS MATERIALIZED (SELECT id, u, v, c, gu, gv, swap, k, (z + k::UHUGEINT) % 18446744073709551616::UHUGEINT AS h FROM hh, (SELECT unnest(range(1, {m + 1})) AS k))"]
+    step = 0
+    for r in range(rounds):
+        for target, other in (("u", "v"), ("v", "u")):
+            # columns are numbered balance, price, closed
+            column = f"(CASE WHEN swap = 1 THEN {0 if target == 'u' else 1} ELSE {1 if target == 'u' else 0} END)"
+            salt, n = f"({3 * r} + {column})", step + 1
+            parts.append(f"""m{n} AS MATERIALIZED (SELECT k, count(*)::DOUBLE AS n, avg({other}) AS mx, avg(c) AS mc, avg({target}) AS my, var_pop({other}) * count(*) AS sxx, var_pop(c) * count(*) AS scc, covar_pop({other}, c) * count(*) AS sxc,
+  covar_pop({other}, {target}) * count(*) AS sxy, covar_pop(c, {target}) * count(*) AS scy, var_pop({target}) * count(*) AS syy FROM s{step} WHERE NOT g{target} GROUP BY k),
+g{n} AS (SELECT *, (sxx + scc) / 2 + sqrt((sxx - scc) ** 2 / 4 + sxc ** 2) AS e1, (sxx + scc) / 2 - sqrt((sxx - scc) ** 2 / 4 + sxc ** 2) AS e2 FROM m{n}),
+i{n} AS (SELECT k, 0 AS i, 1 / (syy / n + 2.220446049250313e-16) AS al, 1.0::DOUBLE AS la, 0.0::DOUBLE AS b, 0.0::DOUBLE AS d, false AS done FROM g{n}
+ UNION ALL SELECT k, i + 1, (n - us + 2e-6) / (rs + 2e-6), (us + 2e-6) / (nb * nb + nd * nd + 2e-6), nb, nd, i > 0 AND abs(nb - b) + abs(nd - d) < 1e-3
+  FROM (SELECT *, al * e1 / (la + al * e1) + al * greatest(e2, 0) / (la + al * greatest(e2, 0)) AS us,
+      greatest(syy - 2 * (nb * sxy + nd * scy) + nb * nb * sxx + 2 * nb * nd * sxc + nd * nd * scc, 0) AS rs
+    FROM (SELECT i{n}.i, i{n}.al, i{n}.la, i{n}.b, i{n}.d, g{n}.*, ((scc + la / al) * sxy - sxc * scy) / ((sxx + la / al) * (scc + la / al) - sxc * sxc) AS nb,
+        ((sxx + la / al) * scy - sxc * sxy) / ((sxx + la / al) * (scc + la / al) - sxc * sxc) AS nd FROM i{n} JOIN g{n} USING (k) WHERE NOT done AND i < 300))),
+c{n} AS MATERIALIZED (SELECT g.k, mx, mc, my, al, sxx + la / al AS a, scc + la / al AS e, sxc AS f, (sxx + la / al) * (scc + la / al) - sxc * sxc AS det, sxy, scy
+  FROM g{n} g JOIN (SELECT k, arg_max(al, i) AS al, arg_max(la, i) AS la FROM i{n} GROUP BY k) USING (k))""")
+            keep = "id, k"
+            parts.append(_mixed_steps(f"p{n}", f"(SELECT id, k, h, swap FROM s{step} WHERE g{target})", "h", f"2 * {salt} + 1", keep + ", swap"))
+            parts.append(_mixed_steps(f"q{n}", f"(SELECT id, k, swap, z AS w FROM p{n})", "w", f"2 * {salt} + 2", keep + ", w"))
+            parts.append(f"""s{n} AS MATERIALIZED (SELECT s.* REPLACE (CASE WHEN s.g{target} THEN my + ((e * sxy - f * scy) * ({other} - mx) + (a * scy - f * sxy) * (c - mc)) / det
+   + sqrt((e * ({other} - mx) ** 2 - 2 * f * ({other} - mx) * (c - mc) + a * (c - mc) ** 2) / det / al + 1 / al)
+   * sqrt(-2 * ln(((w // 2048::UHUGEINT)::DOUBLE + 0.5) / 9007199254740992)) * cos(2 * pi() * ((z // 2048::UHUGEINT)::DOUBLE / 9007199254740992)) ELSE {target} END AS {target})
+  FROM s{step} s JOIN c{n} USING (k) LEFT JOIN q{n} q ON q.id = s.id AND q.k = s.k)""")
+            step = n
+    done = f"SELECT k AS mi_id, CASE WHEN s.swap = 1 THEN u ELSE v END + mb AS balance, CASE WHEN s.swap = 1 THEN v ELSE u END + mp AS price FROM s{step} s, f"
+    return (f"WITH RECURSIVE {', '.join(parts)} SELECT mi_id::INT AS mi_id, count(*) AS n, count(price) AS n_price, round(avg(price), 3) AS mean, round(stddev_samp(price), 3) AS sd, "
+            f"round(avg(balance), 3) AS balance FROM ({done}) GROUP BY mi_id")
+
+
+@check(_chained_sql())
 def multiple_imputation(spark, sf):
     """Five chains of posterior draws for two columns with gaps, summarised per chain."""
     o = _priced(spark, sf).withColumn("balance", F.when(F.col("priority") != "5-LOW", F.col("balance")))
-    done = impute.mice(o, ["o_orderkey"], ["balance", "price", "closed"])
+    done = impute.mice(o, ["o_orderkey"], ["balance", "price", "closed"], draw_id="o_orderkey")
     return rounded(done.groupBy("mi_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("price").alias("n_price"), F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd"), F.avg("balance").alias("balance")
     ), 3)

@@ -10,11 +10,12 @@ redrawn, round after round. The regressions need only sums of products, so
   few fitted regressions since then; every round ends with a checkpoint, so a
   pass never replays more than one round.
 
-All sums are taken around the columns' means. Rows keep all their columns on
-the way, so nothing is joined back: a key may repeat.
+All sums are taken around the columns' means. Rows with gaps get a number and
+are stored once; the rounds carry numbers only (row number, gaps, current cells)
+and the other columns meet them once, at the end. A key may repeat.
 
-Draws are hashes of (key, chain, round, column, seed): results depend neither
-on partitioning nor on retries.
+Draws are counter-based: an integer hash of (row identity, chain, round, column,
+seed), so results depend neither on partitioning nor on retries.
 """
 
 from __future__ import annotations
@@ -127,9 +128,11 @@ def _replay(x: np.ndarray, chain: np.ndarray, missing: np.ndarray, h: np.ndarray
     return x
 
 
-def _arrays(batch: Columns, p: int):
+def _arrays(batch: Columns, p: int, seed: int):
+    """Cells, chains, gaps and the hashes that the draws start from."""
     x = np.array(batch.matrix([f"x{i}" for i in range(p)]), order="F")  # a copy: cells get redrawn
-    return x, batch["chain"], batch["missing"], batch["h"].view(np.uint64)
+    chain = batch["chain"]
+    return x, chain, batch["missing"], _mix(batch["h"].view(np.uint64), seed) + chain.astype(np.uint64)
 
 
 def mice(
@@ -144,16 +147,18 @@ def mice(
     tol: float = 1e-3,
     checkpoint_every: int = 1,
     chain_col: str = "mi_id",
+    draw_id: str | None = None,
 ) -> DataFrame:
     """``m`` completed copies of the frame, tagged ``mi_id`` = 1..m.
 
     ``key`` seeds the draws together with the row's values: it may repeat (rows equal in everything get equal draws)
-    but not be NULL. With ``sample=False`` cells get their conditional mean and all copies agree. 0/1 columns get
+    but not be NULL. ``draw_id`` names a column of whole numbers that seeds them instead (rows with equal numbers get
+    equal draws; any engine with 64-bit integers can repeat them). With ``sample=False`` cells get their conditional mean and all copies agree. 0/1 columns get
     continuous values unless ``round_binary`` is set. Columns without any value stay missing; NaN is missing.
     """
     key, cols = list(key), list(cols)
     value = number
-    no_key = reduce(or_, [F.col(quoted(k)).isNull() for k in key])
+    no_key = reduce(or_, [F.col(quoted(k)).isNull() for k in [*key, *([draw_id] if draw_id else [])]])
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(no_key).alias("no_key"),
         *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
@@ -176,16 +181,13 @@ def mice(
     open_rows = df.filter(~full)
     chains = m if sample else 1
     row = [F.col(quoted(c)) for c in df.columns]
-    state = replicate(
-        open_rows.select(
-            F.struct(*[c.alias(f"c{i}") for i, c in enumerate(row)]).alias("row"),
-            F.xxhash64(*[F.col(quoted(k)) for k in key], *[value(c) for c in kept], F.lit(seed)).alias("h"),
-            bits.cast("bigint").alias("missing"),
-            *[F.coalesce(centred(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(kept)],
-        ),
-        chains,
-        "chain",
-    )
+    identity = F.col(quoted(draw_id)).cast("bigint") if draw_id else F.xxhash64(*[F.col(quoted(k)) for k in key], *[value(c) for c in kept])
+    stored = cut_lineage(open_rows.select(
+        F.monotonically_increasing_id().alias("number"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(row)]).alias("row"),
+        identity.alias("h"), bits.cast("bigint").alias("missing"),
+        *[F.coalesce(centred(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(kept)],
+    ))
+    state = replicate(stored.drop("row"), chains, "chain")
     upper = np.triu_indices(p + 1)
 
     def products(x: np.ndarray) -> np.ndarray:
@@ -197,7 +199,6 @@ def mice(
 
     constant = vector_sums(complete, [len(upper[0])], complete_products)[0]
     numeric = [*[f"x{i}" for i in range(p)], "chain", "missing", "h"]
-    state = cut_lineage(state)
     passes = keep_blocks(state.select(*numeric))
     pending: list[_Update] = []
 
@@ -205,8 +206,8 @@ def mice(
         replayed = list(pending)
 
         def accumulate(batch, acc):
-            x, chain, missing, h = _arrays(batch, p)
-            x = _replay(x, chain, missing, h + chain.astype(np.uint64), replayed, sample)
+            x, chain, missing, h = _arrays(batch, p, seed)
+            x = _replay(x, chain, missing, h, replayed, sample)
             seen = (missing >> column) & 1 == 0
             for k in range(chains):
                 rows = seen & (chain == k + 1)
@@ -220,8 +221,8 @@ def mice(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, chain, missing, h = _arrays(Columns(batch), p)
-                x = _replay(x, chain, missing, h + chain.astype(np.uint64), replayed, sample)
+                x, chain, missing, h = _arrays(Columns(batch), p, seed)
+                x = _replay(x, chain, missing, h, replayed, sample)
                 for i in range(p):
                     batch = batch.set_column(batch.schema.get_field_index(f"x{i}"), f"x{i}", pa.array(x[:, i]))
                 yield batch
@@ -258,7 +259,8 @@ def mice(
         x = F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) if c in binary else x
         return F.when(F.col("missing").bitwiseAND(F.lit(1 << kept.index(c))) != 0, x).otherwise(own.cast("double")).alias(c)
 
-    completed = state.select(*[cell(c) for c in df.columns], F.col("chain").alias(chain_col))
+    drawn = state.select("number", "chain", *[f"x{i}" for i in range(p)])
+    completed = drawn.join(stored.select("number", "row", "missing"), "number").select(*[cell(c) for c in df.columns], F.col("chain").alias(chain_col))
     if not sample:
         completed = replicate(completed.drop(chain_col), m, chain_col)
     as_double = df.select(*[value(c).alias(c) if c in kept else F.col(quoted(c)) for c in df.columns])
