@@ -207,6 +207,33 @@ def labels_and_tiers(spark, sf):
     return charts.with_label(v, "var", book).withColumn("tier", c.tier("var", ["ECONOMY_22", "SMALL_22"]).cast("bigint"))
 
 
+_HEAVY_SQL = """a AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS k, c_mktsegment AS segment, c_acctbal AS balance FROM customer),
+b AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k, o_orderstatus AS status, o_totalprice AS price FROM orders)"""
+
+
+def _heavy_waves(spark, sf):
+    """Two waves with one key in a third of the rows of both."""
+    third = lambda c, k: F.when(F.col(c) % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col(k).cast("bigint")).alias("k")
+    a = table(spark, sf, "customer").select(third("c_custkey", "c_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    return a, table(spark, sf, "orders").select(third("o_orderkey", "o_custkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+@check(f"""WITH {_HEAVY_SQL} SELECT segment, status, count(*) AS n, count(DISTINCT a.k) AS n_keys, round(avg(price), 4) AS price, round(avg(balance), 4) AS balance
+FROM a JOIN b ON a.k = b.k GROUP BY ALL""")
+def heavy_key_join(spark, sf):
+    """The join of two waves that share one heavy key."""
+    a, b = _heavy_waves(spark, sf)
+    return pn.skewed_join(a, b, ["k"], cell_rows=100_000).groupBy("segment", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("n_keys"), F.round(F.avg("price"), 4).alias("price"), F.round(F.avg("balance"), 4).alias("balance"))
+
+
+@check(f"""WITH {_HEAVY_SQL} SELECT segment, status, count(*) AS n, round(avg(price), 4) AS price FROM a LEFT JOIN b ON a.k = b.k GROUP BY ALL""")
+def heavy_key_left_join(spark, sf):
+    a, b = _heavy_waves(spark, sf)
+    joined = pn.skewed_join(a, b, ["k"], "left", cell_rows=100_000)
+    return joined.groupBy("segment", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("price"))
+
+
 @check(f"""WITH {WAVES_SQL} SELECT custkey, n_base, round(price_base, 6) AS price_base, urgent_base, round(score, 6) AS score, n_mid, urgent, pending FROM panel""")
 def panel_join(spark, sf):
     return rounded(panel(spark, sf))

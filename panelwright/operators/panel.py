@@ -1,13 +1,14 @@
-"""Wave joins, follow-up flags, listwise deletion and size gates."""
+"""Wave joins (heavy keys too), follow-up flags, listwise deletion and size gates."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
+from panelwright.session import cut_lineage
 
 
 def panel_join(frames: Sequence[DataFrame], key: Sequence[str], how: str = "inner") -> DataFrame:
@@ -16,6 +17,65 @@ def panel_join(frames: Sequence[DataFrame], key: Sequence[str], how: str = "inne
     return reduce(lambda a, b: a.join(b, list(key), how), frames)
 
 
+def _key_of(key: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(quoted(k)) for k in key])
+
+
+def heavy_keys(df: DataFrame, key: Sequence[str], share: float) -> list[int]:
+    """Hashes of the keys with about ``share`` of the rows or more, from one mergeable sketch of the key hashes: 1 / share of them at most."""
+    track = max(1024, 1 << (int(16 / share) - 1).bit_length())
+    sketch = F.expr(f"approx_top_k(_h, {int(1 / share) + 1}, {track})")
+    hashed = df.filter(reduce(lambda a, b: a & b, [F.col(quoted(k)).isNotNull() for k in key])).select(_key_of(key).alias("_h"))
+    row = hashed.agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["count"] >= share * row["n"]]
+
+
+def skewed_join(
+    left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner", share: float = 0.005, cell_rows: int = 1_000_000
+) -> DataFrame:
+    """The inner or left join on one key, for keys that repeat on both sides.
+
+    A sketch of each side names its heavy keys (``share`` of the rows or more). All other rows meet in the plain join. The rows of
+    a heavy key are numbered and stored, and meet on a grid: a left row goes to one line and all columns of its key's grid, a right row to
+    one column and all lines, so a cell makes at most about ``cell_rows`` rows and no task holds the key. A cell's place is a function
+    of stored numbers: a repeated task deals rows as before. NULL keys never match; in a left join their rows are added without a partner.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("inner or left")
+    key = list(key)
+    whole = reduce(lambda a, b: a & b, [F.col(quoted(k)).isNotNull() for k in key])
+    rest = [c for c in right.columns if c not in key]
+    hot = sorted(set(heavy_keys(left, key, share)) | set(heavy_keys(right, key, share)))  # 2 / share at most
+    is_hot = _key_of(key).isin(hot) if hot else F.lit(False)
+    out = left.filter(whole & ~is_hot).join(right.filter(whole & ~is_hot), key, how)
+    alone = left.filter(~whole) if how == "left" else None
+    if hot:
+        sides = []
+        for side in (left, right):
+            numbered = side.filter(whole & is_hot).select(F.struct(*[F.col(quoted(c)) for c in side.columns]).alias("_row"), *[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(key)])
+            sides.append(cut_lineage(numbered.withColumn("_number", F.monotonically_increasing_id())))
+        on = [f"_k{i}" for i in range(len(key))]
+        counts = [s.groupBy(*on).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("_l", "_r"))]
+        grid = counts[0].join(counts[1], on, "left").na.fill(0, ["_r"])  # a row for each heavy key
+        cells = F.ceil(F.col("_l") * F.col("_r") / F.lit(float(cell_rows)))
+        lines = F.least(F.greatest(F.ceil(F.sqrt(cells * F.col("_l") / F.greatest("_r", F.lit(1)))), F.lit(1)), F.greatest(cells, F.lit(1)))
+        grid = F.broadcast(grid.withColumn("_lines", lines.cast("int")).withColumn("_columns", F.greatest(F.ceil(cells / F.col("_lines")), F.lit(1)).cast("int")))
+        dealt = []
+        for side, own, across in ((sides[0], "_lines", "_columns"), (sides[1], "_columns", "_lines")):
+            placed = side.join(grid, on).withColumn("_own", F.pmod(F.xxhash64("_number"), F.col(own)).cast("int"))
+            dealt.append(placed.withColumn("_across", F.explode(F.sequence(F.lit(0), F.col(across) - 1))))
+        a = dealt[0].filter("_r > 0").select(*on, F.col("_own").alias("_line"), F.col("_across").alias("_column"), F.col("_row").alias("_left"))
+        b = dealt[1].select(*on, F.col("_across").alias("_line"), F.col("_own").alias("_column"), F.col("_row").alias("_right"))
+        met = a.join(b.hint("merge"), [*on, "_line", "_column"])  # the cells are what tasks get, however small a side is
+        out = out.unionByName(met.select(*[F.col("_left")[k].alias(k) for k in key], *[F.col("_left")[c].alias(c) for c in left.columns if c not in key], *[F.col("_right")[c].alias(c) for c in rest]))
+        if how == "left":
+            alone = alone.unionByName(sides[0].join(grid, on).filter("_r = 0").select("_row.*"))
+    if alone is not None:
+        kinds = {f.name: f.dataType for f in right.schema}
+        out = out.unionByName(alone.select(*[F.col(quoted(c)) for c in left.columns], *[F.lit(None).cast(kinds[c]).alias(c) for c in rest]))
+    return out
+
+
 def membership_flag(df: DataFrame, ids: DataFrame, key: Sequence[str], flag: str) -> DataFrame:
     """1 where the key occurs in ``ids``, else 0; row count is unchanged."""
     present = ids.select(*key).distinct().withColumn(flag, F.lit(1))
