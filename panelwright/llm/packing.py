@@ -7,8 +7,8 @@
    are bits of one integer, so the best fit is its lowest bit from the piece's length on. At most ``open_bins`` bins are
    open; beyond that the fullest closes. Full bins close at once. Memory is the open bins' ids.
 
-A sequence is a row: ``sequence_id``, its ``ids`` and its ``parts`` (doc_id, piece, start, length, offset), gapless from 0. Nothing is
-dropped or padded. NULL text is empty and gives the end id alone; NULL ids stay NULL; repeated rows are packed as often as they
+A sequence is a row: ``sequence_id``, its ``ids`` (little-endian, ``id_bytes`` each) and its ``parts`` (doc_id, piece, start, length,
+offset), gapless from 0. Nothing is dropped or padded. NULL text is empty and gives the end id alone; NULL ids stay NULL; repeated rows are packed as often as they
 come; the same rows give the same sequences however they are ordered. Empty tables give no sequences.
 """
 
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm import shared
-from panelwright.llm.bytelevel import Model
+from panelwright.llm.bytelevel import Model, byte_letters
+from panelwright.llm.idtable import IdTable
 from panelwright.llm.tokencount import PATTERN
+from panelwright.llm.words import Words, fold_table, mix, pieces, text_buffers
 
 PART = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, offset: bigint>"
 _PART = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())])
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[tuple, TextEncoder] = {}
+_SPACE, _LINE = 32, 10
 
 
-class ChunkEncoder:
-    """Ids of whole texts by a byte-level tokenizer, as bytes (unsigned 32-bit, little-endian), chunk by chunk.
+def _code(model: Model) -> str:
+    """Array type of an id."""
+    return "H" if model.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+
+
+class TextEncoder:
+    """Ids of whole texts by a byte-level tokenizer, as bytes (little-endian, 16 bits where the vocabulary allows).
 
     The pre-token pattern never joins text across two places: before a run of white space, and before that run's last character
-    if a word follows (a last space goes with the word). A text is cut there; a chunk's ids come from a table or from the
-    model. Texts of plain spaces and line breaks are cut by replacing strings. Texts with special strings or unusual characters
-    go through the library whole. The table is bounded by ``most`` bytes; the oldest half goes.
+    if a word follows (a last space goes with the word). So in a text whose words are parted by one space, one line break or
+    two line breaks, a word with the space before it, or alone, has ids of its own; words are hashed on the column's bytes and
+    looked up in a table of a fixed size, and only new ones become strings and go through the model. Other texts are cut by
+    the same rule and go through the model; texts with special strings or unusual characters go through the library whole.
     """
 
-    _ODD = ("   ", "\n\n\n", " \n", "\n ", "\0", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+    _WORDS = fold_table(lower=False)
 
     def __init__(self, path: str, most: int):
         import regex
@@ -52,52 +62,129 @@ class ChunkEncoder:
         cut = told["pre_tokenizer"] or {}
         if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or told["normalizer"] or told["model"].get("ignore_merges"):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
-        self.model, self.most, self.held = Model(path), most, 0
-        self.tokens, self.chunks = regex.compile(PATTERN).findall, regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        self.model = Model(path)
+        self.tokenize, self.space = self.model.tokenizer.model.tokenize, byte_letters()[32]
+        self.code, self.tokens = _code(self.model), regex.compile(PATTERN).findall
         self.other_space = regex.compile(r"[^\S \n]").search
-        self.table: dict[str, bytes] = {"": b""}
-
-    def _cut(self, text: str) -> list[str]:
-        if any(odd in text for odd in self._ODD) or text[-2:].isspace() or not text.isascii() and self.other_space(text):
-            return self.chunks(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _learn(self, chunks) -> dict[str, bytes]:
-        new = {c: np.array([i for t in self.tokens(c) for i in self.model.ids(t)], "<u4").tobytes() for c in chunks}
-        size = sum(150 + 2 * len(c) + len(b) for c, b in new.items())  # with what the two objects and their place take
-        if self.held + size > self.most:
-            self.table = {"": b""} | dict(islice(self.table.items(), 1, len(self.table) // 2))  # those learnt first are the frequent ones
-            self.held = sum(150 + 2 * len(c) + len(b) for c, b in self.table.items())
-        if self.held + size <= self.most:
-            self.table.update(new)
-            self.held += size
-        return new
-
-    def encode(self, text: str) -> bytes:
+        self.marks = {c: self._ids(c) for c in ".,;:!?"}
+        self.line = self._ids("\n")
+        self.table = IdTable(most, np.uint16 if self.code == "H" else np.uint32, [self.line])
+        self.ends = {_SPACE: self._bytes(self._ids(" ")), _LINE: self._bytes(self.line)}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _ids(self, pre_token: str) -> list[int]:
+        word = pre_token[1:] if pre_token[0] == " " else pre_token
+        if word.isascii() and word.isalnum():  # such letters stand for themselves; only the space has another
+            return [t.id for t in self.tokenize(pre_token if word is pre_token else self.space + word)]
+        return self.model.ids(pre_token)
+
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a word, with the space before it if it has one."""
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():  # one pre-token
+            return self._ids(chunk)
+        if word[-1] in self.marks and word[:-1].isalpha():  # letters and one mark after them
+            return self._ids(chunk[:-1]) + self.marks[word[-1]]
+        return list(chain.from_iterable(map(self._ids, self.tokens(chunk))))
+
+    def text(self, text: str) -> bytes:
+        """Any text, without the table."""
         if not self.model.usual(text):
-            return np.array(self.model.whole(text), "<u4").tobytes()
-        chunks = self._cut(text)
-        found = list(map(self.table.get, chunks))
-        if None in found:
-            new = self._learn({c for c, b in zip(chunks, found) if b is None})
-            found = [new[c] if b is None else b for c, b in zip(chunks, found)]
-        return b"".join(found)
-
-
-def _encoder(path: str, most: int) -> ChunkEncoder:
+            return self._bytes(self.model.whole(text))
+        return self._bytes(list(chain.from_iterable(map(self._ids, self.tokens(text)))))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text."""
+        data, offsets = text_buffers(texts)
+        for a, b, w in pieces(texts, self._WORDS):
+            strings = texts.slice(a, b - a).to_pylist()
+            at = offsets[a:b] - offsets[a]
+            yield from self._run(strings, data[offsets[a] : offsets[b]], at, np.diff(offsets[a : b + 1]), w)
+
+    def _run(self, strings: list, data: np.ndarray, at: np.ndarray, length: np.ndarray, w: Words) -> Iterator[bytes]:
+        rows = len(strings)
+        usual = [x is not None and self.model.usual(x) and (x.isascii() or not self.other_space(x)) for x in strings]
+        row = w.row_of()
+        start, end = w.start + at[row], w.end + at[row]
+        before = np.concatenate([[0], end[:-1]])[: len(end)]
+        has = np.diff(w.first) > 0
+        before[w.first[:-1][has]] = at[has]
+        gap = start - before
+        last, first = (data[np.minimum(x, len(data) - 1)] if len(data) else data for x in (np.maximum(start - 1, 0), before))
+        spaced, lines = (gap == 1) & (last == _SPACE), (last == _LINE) & (first == _LINE) & (gap >= 1) & (gap <= 2)
+        plain = np.array(usual, bool) & (has | (length == 0))
+        plain[row[~(spaced | lines | (gap == 0))]] = False
+        tail = np.zeros(rows, np.int64)
+        stop = w.first[1:][has] - 1
+        tail[has] = at[has] + length[has] - end[stop]
+        closing = data[np.minimum(at + length - 1, len(data) - 1)] if len(data) else np.zeros(rows, np.uint8)
+        plain &= (tail == 0) | (tail == 1) & ((closing == _SPACE) | (closing == _LINE))
+        taken = plain[row]
+        row, start, end, spaced, breaks = row[taken], start[taken], end[taken], spaced[taken], np.where(lines, gap, 0)[taken]
+        table, index = self._found(np.where(spaced, mix(w.hash[taken], 991), w.hash[taken]), data, start - spaced, end)
+        where = np.cumsum(1 + breaks) - 1
+        entries = np.zeros(int(where[-1]) + 1 if len(where) else 0, np.int64)  # entry 0: a line break
+        entries[where] = index
+        upto = np.concatenate([[0], np.cumsum(table.sizes(entries))])
+        ids = table.take(entries)
+        after = np.concatenate([[0], where + 1])[np.searchsorted(row, np.arange(rows + 1))]  # entries before each row
+        cut = upto[after]
+        for k in range(rows):
+            if not plain[k]:
+                yield self.text(strings[k] or "")
+                continue
+            own = ids[cut[k] : cut[k + 1]].tobytes()
+            yield own + self.ends[int(closing[k])] if tail[k] else own
+
+    def _found(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[IdTable, np.ndarray]:
+        """The words' entries; new words are learnt. A run with more new words than the table can hold gets one of its own."""
+        index, known, raw = self.table.find(h), {}, data.tobytes()
+
+        def told(hashes: np.ndarray, at: np.ndarray) -> list[list[int]]:
+            if known:
+                return [known[x] if x in known else self.chunk(raw[a:b].decode()) for x, a, b in zip(hashes.tolist(), start[at].tolist(), end[at].tolist())]
+            return [self.chunk(raw[a:b].decode()) for a, b in zip(start[at].tolist(), end[at].tolist())]
+
+        for again in (False, True):
+            missing = np.flatnonzero(index < 0)
+            if not len(missing):
+                return self.table, index
+            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            ids = told(new, missing[first])
+            if self.table.room(len(ids), sum(map(len, ids))):
+                index[missing] = self.table.learn(new, ids)[inverse]
+                return self.table, index
+            if not again:
+                known = dict(zip(new.tolist(), ids))
+                self.table.shrink()
+                index = self.table.find(h)  # entries have moved, and some are gone
+        every, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        known = dict(zip(new.tolist(), ids))
+        own, at = IdTable.for_all(every, told(every, first), self.table.kind, [self.line])
+        return own, at[inverse]
+
+
+def _encoder(path: str, most: int) -> TextEncoder:
     if (path, most) not in _encoders:
         _encoders.clear()
-        _encoders[path, most] = ChunkEncoder(path, most)
+        _encoders[path, most] = TextEncoder(path, most)
     return _encoders[path, most]
 
 
-def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: int = 40 << 20) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary): documents cut only if they are longer than ``size`` tokens."""
+def id_bytes(path: str) -> int:
+    """Bytes of an id in sequences of this tokenizer."""
+    return array(_code(Model(path))).itemsize
+
+
+def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, piece, start, length, ids (binary, see ``id_bytes``): documents cut only if they are longer than ``size`` tokens."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, table_bytes)
+        last, wide = array(encoder.code, [end]).tobytes(), array(encoder.code).itemsize
         rows: list[tuple] = []
 
         def flush():
@@ -108,13 +195,13 @@ def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: i
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py()) + last
-                n = len(ids) // 4
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                ids += last
+                n = len(ids) // wide
                 ends = [n - size * k for k in range(-(-n // size))][::-1]  # the first piece takes what whole ones leave
                 start = 0
                 for piece, stop in enumerate(ends):
-                    rows.append((doc, piece, start, stop - start, ids[4 * start : 4 * stop]))
+                    rows.append((doc, piece, start, stop - start, ids[wide * start : wide * stop]))
                     start = stop
                 held += len(ids)
                 if held > 4 << 20:
@@ -165,7 +252,7 @@ class Bins:
 
 
 def pack(pieces: DataFrame, size: int, tasks: int, open_bins: int = 4096) -> DataFrame:
-    """sequence_id, ids (binary, 32-bit little-endian), parts: pieces packed into sequences of at most ``size`` tokens."""
+    """sequence_id, ids (binary), parts: pieces packed into sequences of at most ``size`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,21 +293,26 @@ def pack(pieces: DataFrame, size: int, tasks: int, open_bins: int = 4096) -> Dat
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end: int = 0, open_bins: int = 4096, task_bytes: int = 32 << 20) -> DataFrame:
-    """The packed sequences of all documents."""
+    """The packed sequences of all documents, as a stored table."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(shared.whole_text())), F.lit(0)).alias("n")).first()["n"]
-    return pack(token_pieces(docs, path, size, end), size, max(1, -(-int(total) // task_bytes)), open_bins)
+    return shared.written(pack(token_pieces(docs, path, size, end), size, max(1, -(-int(total) // task_bytes)), open_bins), "sequences")
 
 
-def placements(sequences: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each part, its checksum taken from the sequence's ids."""
+def placements(sequences: DataFrame, wide: int) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each part; the checksum of its ids as 32-bit numbers,
+    taken from the sequence. ``wide``: bytes of an id (see ``id_bytes``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column("parts")
             owner, flat = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
             columns = {c: flat.field(c) for c in ("doc_id", "piece", "start", "length", "offset")}
-            ids = [memoryview(x.as_buffer()) for x in batch.column("ids")]
-            crc = [zlib.crc32(ids[k][4 * a : 4 * (a + n)]) for k, a, n in zip(owner.tolist(), columns["offset"].to_pylist(), columns["length"].to_pylist())]
+            crc, at, ids = [], -1, memoryview(b"")
+            for k, a, n in zip(owner.tolist(), columns["offset"].to_pylist(), columns["length"].to_pylist()):
+                if k != at:
+                    at, ids = k, memoryview(np.frombuffer(batch.column("ids")[k].as_buffer(), f"<u{wide}").astype("<u4").tobytes())
+                crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
             yield pa.RecordBatch.from_arrays(
                 [columns["doc_id"], columns["piece"], columns["start"], columns["length"], pa.array(crc, pa.int64()), batch.column("sequence_id").take(pa.array(owner)), columns["offset"]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

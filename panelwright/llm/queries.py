@@ -74,7 +74,8 @@ def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.placements(packing.pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.placements(packing.pack_documents(_table(spark, sf, "documents"), path), packing.id_bytes(path))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ def test_query_against_the_library(spark, sf, library):
 
 
 def test_odd_rows(spark, odd_docs, odd_rows, library):
-    got, _ = checked(packing.placements(packing.pack_documents(odd_docs, PATH)))
+    got, _ = checked(packing.placements(packing.pack_documents(odd_docs, PATH), 2))
     assert got == wanted(library, [(i, t) for i, t, _ in odd_rows])
-    got, _ = checked(packing.placements(packing.pack_documents(odd_docs, PATH, size=7, open_bins=3, task_bytes=1000)), 7)
+    got, _ = checked(packing.placements(packing.pack_documents(odd_docs, PATH, size=7, open_bins=3, task_bytes=1000), 2), 7)
     assert got == wanted(library, [(i, t) for i, t, _ in odd_rows], size=7)
 
 
@@ -66,25 +67,36 @@ def test_same_sequences_for_any_order_of_rows(spark, odd_docs):
 
 
 def test_sequences_hold_their_parts(spark, odd_docs):
+    wide = packing.id_bytes(PATH)
     for r in packing.pack_documents(odd_docs, PATH, size=64).collect():
-        assert len(r["ids"]) == 4 * sum(p["length"] for p in r["parts"])
+        assert len(r["ids"]) == wide * sum(p["length"] for p in r["parts"])
+
+
+def encoded(encoder, texts):
+    return [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(pa.array(texts, pa.string()))]
 
 
 def test_encoder_on_odd_white_space(library):
     rng = random.Random(3)
-    alphabet = ["a", "Bc", "'s", "'", "7", "12", ".", "!?", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "é", "日本", "<|endoftext|>", "\0", "͸", "Σ", "İ"]
-    encoder = packing.ChunkEncoder(PATH, 1 << 20)
-    for _ in range(20_000):
-        text = "".join(rng.choices(alphabet, k=rng.randint(0, 12)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    alphabet = ["a", "Bc", "'s", "'", "7", "12", ".", "!?", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "é", "日本", "<|endoftext|>", "\0", "\u0378", "Σ", "İ"]
+    plain = ["a", "Bc", "don't,", "12", "x.", "é", "日本!", "ab"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(plain) + rng.choice([" ", " ", "\n", "\n\n", "  ", ""]) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    rng.shuffle(texts)
+    encoder = packing.TextEncoder(PATH, 1 << 20)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(encoder, texts) == want
+    assert encoded(encoder, [None, "", *texts[:50]]) == [[], [], *want[:50]]
 
 
 def test_encoder_with_a_small_table(library):
-    encoder = packing.ChunkEncoder(PATH, 3000)
-    for k in range(400):
-        text = f"word{k} and word{k // 2},\nthe {k * 77} end"
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-        assert encoder.held <= 3000
+    encoder = packing.TextEncoder(PATH, 3000)
+    size = lambda: sum(x.nbytes for x in vars(encoder.table).values() if isinstance(x, np.ndarray))
+    for k in range(300):
+        few = [f"word{k} and word{k // 2},\nthe {k * 77} end", "the end and"]
+        many = [f"{j} b{j * k}" for j in range(100)] if k % 50 == 0 else []
+        assert encoded(encoder, few + many) == [library.encode(t, add_special_tokens=False).ids for t in few + many]
+        assert size() <= 3000
 
 
 def best_fit(lengths, size, most):
