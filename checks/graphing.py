@@ -79,7 +79,32 @@ def training_moments(spark, sf):
     m = mx.training_moments(mx.fold_gram(rows, _VARS), "all", _VARS)
     spot = {p: i for i, p in enumerate(_PAIRS)}
     at = lambda a, b: F.element_at("gram", spot[(a, b)] + 1)
-    return rounded(m.select("fold", at("1", "1").alias("n"), at("1", "quantity").alias("sum_quantity"), at("price", "tax").alias("price_tax")), 3)
+    n, mean = at("1", "1"), lambda a: at("1", a)
+    return rounded(m.select("fold", n.alias("n"), (n * mean("quantity")).alias("sum_quantity"), (at("price", "tax") + n * mean("price") * mean("tax")).alias("price_tax")), 3)
+
+
+_FAR = 1e9
+
+
+@check(f"""WITH {_MATRIX_SQL}, f AS (SELECT unnest(range(5)) AS k) SELECT k::BIGINT AS fold, count(*)::DOUBLE AS n, round(avg(price), 4) AS price, round(covar_pop(price, quantity), 4) AS price_quantity,
+ round(var_pop(price), 4) AS price_price FROM f JOIN c ON c.fold <> k GROUP BY 1""")
+def distant_moments(spark, sf):
+    """Covariances of the training complements when all prices are far from zero: the digits stay."""
+    rows = mx.kfold(_base(spark, sf).na.drop().withColumn("price", F.col("price") + _FAR), ["orderkey"], 5, 2025, arithmetic=True)
+    m = mx.training_moments(mx.fold_gram(rows, _VARS), "all", _VARS)
+    spot = {p: i for i, p in enumerate(_PAIRS)}
+    at = lambda a, b: F.element_at("gram", spot[(a, b)] + 1)
+    n = at("1", "1")
+    return rounded(m.select("fold", n.alias("n"), (at("1", "price") - _FAR).alias("price"), (at("quantity", "price") / n).alias("price_quantity"), (at("price", "price") / n).alias("price_price")), 4)
+
+
+@check(f"""WITH {_MATRIX_SQL}, r AS (SELECT *, (row_number() OVER (ORDER BY (orderkey * 2654435761 + 2025) % 4294967296, orderkey, price, quantity, discount, tax, closed) - 1) % 10 AS part FROM c)
+SELECT part::BIGINT AS fold, count(*) AS n, round(sum(price), 2) AS price, count(DISTINCT orderkey) AS units FROM r GROUP BY 1""")
+def exact_folds(spark, sf):
+    """Ten shuffled folds whose sizes differ by one row at most."""
+    rows = keep_for_passes(_base(spark, sf).na.drop())
+    folds = mx.exact_folds(rows, ["orderkey", "price", "quantity", "discount", "tax", "closed"], 10, 2025, arithmetic=True, per_range=5_000)
+    return folds.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("price"), F.count_distinct("orderkey").alias("units"))
 
 
 @check(f"""WITH {_MATRIX_SQL} SELECT var, round(v, 4) AS variance, v > 10 AS kept FROM (SELECT unnest(['quantity', 'price', 'discount', 'tax', 'closed']) AS var,
@@ -89,7 +114,7 @@ def column_variances(spark, sf):
     rows = _base(spark, sf).na.drop().withColumn("fold", (F.col("orderkey") % 2).cast("int"))
     packed = mx.training_moments(mx.fold_gram(rows, _VARS), "all", _VARS).toPandas()["gram"]
     # the training moments of both folds, each the other's complement, add up to all rows
-    _, _, cov = mx.unpack(np.sum([np.array(x) for x in packed], axis=0), len(_VARS))
+    _, _, cov = mx.unpack(mx.merge_packed(list(packed), len(_VARS)), len(_VARS))
     kept = set(mx.informative(cov, 10.0).tolist())
     told = [(v, float(cov[i, i]), i in kept) for i, v in enumerate(_VARS)]
     return rounded(spark.createDataFrame(told, "var string, variance double, kept boolean"), 4)
@@ -194,7 +219,7 @@ _LEARN = ["quantity", "price", "discount", "tax"]
 def _learning_rows(spark, sf):
     base = _base(spark, sf).withColumn("price", F.col("price") + F.col("quantity") * 2).withColumn("tax", F.col("tax") + F.col("price") / 20)
     ready, use = mx.prepare_matrix(base, _LEARN, ["orderkey"])
-    rows = keep_for_passes(mx.kfold(ready, ["orderkey"], cb.GRAPH_FOLDS, 2025).select("fold", *use))
+    rows = keep_for_passes(mx.exact_folds(keep_for_passes(ready), ["orderkey"], cb.GRAPH_FOLDS, 2025).select("fold", *use))
     return rows, mx.training_moments(mx.fold_gram(rows, use), "lines", use), use
 
 

@@ -85,6 +85,18 @@ def _inside(col: str, by: Sequence[str]) -> W:
     return W.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, 0)
 
 
+def ranked(df: DataFrame, bits: Column, ties: Sequence[Column], out: str, per_range: int = PER_RANGE) -> DataFrame:
+    """Add ``out``, the place (from 0) of each row in the order of a whole number and then ``ties``; store the rows first."""
+    imaged = df.withColumn("_bits", bits)
+    shift = _range_shift(imaged, (), per_range)
+    ranged = imaged.withColumn("_range", _leading("_bits", shift))
+    sums = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in _levels(shift)], F.lit(0))
+    offsets = _across(sums, "_n", F.sum, (), shift, later=False).select("_range", before.alias("_before"))
+    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy("_bits", *ties)))
+    return placed.join(offsets, "_range").withColumn(out, F.col("_before") + F.col("_place") - 1).drop("_range", "_bits", "_before", "_place")
+
+
 def running_totals(values: DataFrame, col: str, amount: str, by: Sequence[str] = (), per_range: int = PER_RANGE) -> DataFrame:
     """Add ``cum`` (inclusive running sum of ``amount`` in value order) and ``total``.
 

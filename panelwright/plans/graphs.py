@@ -30,7 +30,7 @@ def discover(
     found, nodes = {}, []
     for subset, vars in subsets.items():
         ready, use = mx.prepare_matrix(panel, vars, key)
-        rows = keep_for_passes(mx.kfold(ready, key, folds, seed).select("fold", *use))
+        rows = keep_for_passes(mx.exact_folds(keep_for_passes(ready), key, folds, seed).select("fold", *use))
         moments = keep_for_passes(mx.training_moments(mx.fold_gram(rows, use), subset, use))
         nodes += [(subset, v) for v in use]
         cat = g.catalog(spark.createDataFrame([(v,) for v in use], "var string"), exposures)

@@ -65,9 +65,36 @@ def test_folds_and_moments_add_up(system):
     fold = rows.toPandas().set_index("id")["fold"].sort_index().to_numpy()
     for r in moments.collect():
         part = z[fold != r["fold"]]
-        assert np.asarray(r["gram"]) == pytest.approx((part.T @ part)[np.triu_indices(5)], rel=1e-9, abs=1e-8)
         n, mean, cov = mx.unpack(np.asarray(r["gram"]), 4)
-        assert n == len(part) and cov == pytest.approx(np.cov(part[:, 1:].T, bias=True), abs=1e-9)
+        assert n == len(part) and mean == pytest.approx(part[:, 1:].mean(0), abs=1e-9) and cov == pytest.approx(np.cov(part[:, 1:].T, bias=True), abs=1e-9)
+        raw = n * (cov + np.outer(mean, mean))
+        assert raw == pytest.approx((part.T @ part)[1:, 1:], rel=1e-9, abs=1e-8)
+
+
+@pytest.mark.parametrize("per_range", [1 << 16, 50])
+def test_exact_folds_differ_by_a_row_at_most(spark, per_range):
+    rows = [(i // 3, float(i % 50), None if i % 7 else "x") for i in range(1003)] + [(1, 0.0, None)] * 40  # repeated rows
+    df = spark.createDataFrame(rows, "id int, x double, t string")
+    got = mx.exact_folds(df.repartition(4), ["id"], 10, 5, per_range=per_range)
+    sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
+    told = lambda d: sorted(map(str, d.collect()))
+    assert told(got) == told(mx.exact_folds(df.repartition(9), ["id"], 10, 5, per_range=1 << 16))  # rows equal in everything change places unseen
+    means = [r["m"] for r in got.groupBy("fold").agg({"x": "avg"}).withColumnRenamed("avg(x)", "m").collect()]
+    assert max(means) - min(means) < 10  # shuffled
+    assert mx.exact_folds(df.limit(0), ["id"], 3, 1).count() == 0
+
+
+def test_moments_far_from_zero(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 3)) @ np.array([[1, 0.5, 0], [0, 1, -0.3], [0, 0, 1]])
+    far = x + [1e9, -1e9, 0]
+    df = spark.createDataFrame(pd.DataFrame({"fold": np.arange(3000) % 4, "a": far[:, 0], "b": far[:, 1], "c": far[:, 2]})).repartition(7)
+    for r in mx.training_moments(mx.fold_gram(df, ["a", "b", "c"]), "s", ["a", "b", "c"]).collect():
+        part = far[np.arange(3000) % 4 != r["fold"]]
+        n, mean, cov = mx.unpack(np.asarray(r["gram"]), 3)
+        want = np.cov((part - [1e9, -1e9, 0]).T, bias=True)
+        assert n == len(part) and cov == pytest.approx(want, rel=1e-6, abs=1e-7) and mean == pytest.approx(part.mean(0), rel=1e-14, abs=1e-9)
 
 
 def test_constant_columns_are_left_out(spark):
