@@ -13,8 +13,8 @@ from checks.tables import (
 from panelwright.functions import codes as c, formats as f
 from panelwright.operators import charts, panel as pn, quantiles as qn
 from panelwright.session import ensure_checkpoint_dir
-from panelwright.sources.columns import numeric, resolve
-from panelwright.sources.sinks import write_snapshot
+from panelwright.sources.columns import numeric, observed, resolve
+from panelwright.sources.sinks import commit_result, read_result, write_snapshot
 from panelwright.sources.text import read_csv_any_encoding
 
 CHECKS: dict = {}
@@ -207,6 +207,45 @@ def labels_and_tiers(spark, sf):
     return charts.with_label(v, "var", book).withColumn("tier", c.tier("var", ["ECONOMY_22", "SMALL_22"]).cast("bigint"))
 
 
+_BACK_SQL = """SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS price, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE 'a "quoted", ' || chr(10) || 'broken note' END AS note,
+ min(o_orderdate)::DATE AS first_day FROM orders GROUP BY 1"""
+
+
+@check(f"""WITH r AS ({_BACK_SQL}), w AS (SELECT unnest(['csv', 'parquet', 'csv', 'parquet']) AS format, unnest([false, false, true, true]) AS none)
+SELECT w.format, w.none, 'priority n price note first_day' AS columns, r.priority, r.n, r.price, r.note, r.first_day FROM w LEFT JOIN r ON NOT w.none""")
+def result_round_trip(spark, sf):
+    """Results committed as one file and read back, one of them empty, with equal columns and types."""
+    first = F.col("o_orderpriority") == "1-URGENT"
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("price"),
+        F.first(F.when(~first, F.lit('a "quoted", \nbroken note'))).alias("note"), F.min("o_orderdate").cast("date").alias("first_day"))
+    base, out = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}", []
+    for fmt in ("csv", "parquet"):
+        for none, df in ((False, rows), (True, rows.filter("n < 0"))):
+            commit_result(df, f"{base}/{none}.{fmt}", fmt)
+            back = read_result(spark, f"{base}/{none}.{fmt}")
+            told = spark.createDataFrame([(fmt, none, " ".join(back.columns))], "format string, none boolean, columns string")
+            out.append(told.join(back, F.lit(True), "left"))  # one row beside a result table
+    return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)
+
+
+@check("""WITH k AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS custkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS price FROM orders)
+SELECT 'orders' AS frame, count(*) AS n, count(*) - count(custkey) AS null_keys, count(*) - count(price) AS missing_price, count(*) AS missing_absent, count(custkey) > 1.5 * count(DISTINCT custkey) AS repeated FROM k
+UNION ALL SELECT 'customer', count(*), 0, count(*) - count(c_acctbal), count(*), false FROM customer""")
+def contract_counts(spark, sf):
+    """Violations of key and columns, counted by the job that writes each frame."""
+    orders = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("custkey"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("price"))
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("price"))
+    told = []
+    for name, df in (("orders", orders), ("customer", customer)):
+        contract = observed(df, ["custkey"], ["price", "absent"])
+        write_snapshot(contract.df, f"{ensure_checkpoint_dir(spark)}/panel-{uuid.uuid4().hex}")
+        v = contract.violations()
+        told.append((name, v["rows"], v["null_keys"], v["missing_price"], v["missing_absent"], v["repeated_keys"] > 0.3 * v["rows"]))
+    return spark.createDataFrame(told, "frame string, n long, null_keys long, missing_price long, missing_absent long, repeated boolean")
+
+
 _HEAVY_SQL = """a AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS k, c_mktsegment AS segment, c_acctbal AS balance FROM customer),
 b AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k, o_orderstatus AS status, o_totalprice AS price FROM orders)"""
 

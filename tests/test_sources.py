@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.sources.columns import numeric, require_columns, resolve, unique_key
-from panelwright.sources.sinks import write_result, write_snapshot
+from panelwright.sources.columns import numeric, observed, require_columns, resolve, unique_key
+from panelwright.sources.sinks import commit_result, read_result, write_result, write_snapshot
 from panelwright.sources.text import detect_encoding, read_csv_any_encoding
 
 TEXT = "USER_ID,Q7.1,name\n1,2,健康\n2,x,無関心ソ\n"
@@ -72,3 +72,36 @@ def test_result_sink_refuses_duplicate_names(spark, tmp_path):
 def test_snapshot_round_trip(spark, tmp_path):
     write_snapshot(spark.range(10), str(tmp_path / "snap"))
     assert spark.read.parquet(str(tmp_path / "snap")).count() == 10
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_committed_results_come_back_as_they_were(spark, tmp_path, fmt):
+    rows = [("a\n,\"b\"", 0.1 + 0.2, 2**53 + 1, None), ("", None, None, True), (None, float("inf"), -1, False), ("健康", 1e-300, 0, None)]
+    df = spark.createDataFrame(rows, "t string, x double, n long, b boolean")
+    path = str(tmp_path / "deep" / "table")
+    commit_result(df, path, fmt)
+    back = read_result(spark, path)
+    assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    commit_result(df.limit(0), path, fmt)  # in place of the earlier one
+    back = read_result(spark, path)
+    assert back.dtypes == df.dtypes and back.count() == 0
+    assert sorted(p.name for p in (tmp_path / "deep").iterdir() if not p.name.startswith(".")) == ["table", "table.schema.json"]
+
+
+def test_a_failed_result_leaves_the_earlier_one(spark, tmp_path):
+    path = str(tmp_path / "table")
+    commit_result(spark.range(3), path)
+    with pytest.raises(Exception):
+        commit_result(spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id")), path)
+    assert read_result(spark, path).count() == 3
+    assert not [p for p in tmp_path.iterdir() if "staging" in p.name]
+
+
+def test_contract_is_counted_with_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(k % 100 if k % 10 else None, "x" if k % 4 else None) for k in range(1000)], "k int, t string")
+    contract = observed(df, ["k"], ["t", "gone"])
+    write_snapshot(contract.df, str(tmp_path / "snap"))
+    told = contract.violations()
+    assert (told["rows"], told["null_keys"], told["missing_t"], told["missing_gone"]) == (1000, 100, 250, 1000)
+    assert told["repeated_keys"] == pytest.approx(900 - 90, abs=5)
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 1000
