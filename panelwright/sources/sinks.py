@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from panelwright.functions.codes import quoted
+
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Row-level output; keeps the partitioning of the frame."""
@@ -39,6 +41,7 @@ def _place(spark: SparkSession, path: str):
 
 
 _CSV = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": ""}
+_EMPTY = "\ue000"  # a quoted empty field while it is read: only an unquoted one is NULL
 
 
 def commit_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -74,5 +77,9 @@ def commit_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """A committed result with the columns and types that it was written with."""
     told = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}.schema.json").collect()))
-    reader = spark.read.schema(StructType.fromJson(told["schema"])).options(**(_CSV if told["format"] == "csv" else {}))
-    return reader.format(told["format"]).load(path)
+    schema = StructType.fromJson(told["schema"])
+    if told["format"] != "csv":
+        return spark.read.schema(schema).format(told["format"]).load(path)
+    df = spark.read.schema(schema).options(**_CSV, emptyValue=_EMPTY).csv(path)
+    texts = [f.name for f in schema if f.dataType.typeName() == "string"]
+    return df.select(*[F.when(F.col(quoted(c)) == _EMPTY, "").otherwise(F.col(quoted(c))).alias(c) if c in texts else F.col(quoted(c)) for c in df.columns])
