@@ -234,6 +234,29 @@ def network_node_labels(spark, sf):
     return rounded(nodes.select("var", F.col("degree").cast("bigint").alias("degree"), "label"))
 
 
+def _first_merits_sql() -> str:
+    """Entropies of every variable and of every residual over each fold's complement, written out pair by pair."""
+    pairs = [(a, b) for a in _LEARN for b in _LEARN if a != b]
+    moments = [f"avg({v}) AS m_{v}, var_pop({v}) AS v_{v}" for v in _LEARN] + [f"covar_pop({a}, {b}) AS c_{a}_{b}" for a, b in pairs]
+    z = {v: f"({v} - m_{v}) / sqrt(v_{v})" for v in _LEARN}
+    z |= {f"{a}_{b}": f"({a} - m_{a} - c_{a}_{b} / v_{b} * ({b} - m_{b})) / sqrt(v_{a} - c_{a}_{b} * c_{a}_{b} / v_{b})" for a, b in pairs}
+    means = [f"avg(abs(z_{k}) + ln(1 + exp(-2 * abs(z_{k}))) - ln(2)) AS l_{k}, avg(z_{k} * exp(-z_{k} * z_{k} / 2)) AS g_{k}" for k in z]
+    entropy = [f"0.5 * (1 + ln(2 * pi())) - {d.ENTROPY_K1} * (l_{k} - {d.ENTROPY_GAMMA}) ** 2 - {d.ENTROPY_K2} * g_{k} ** 2 AS h_{k}" for k in z]
+    merit = {a: " - ".join(["0"] + [f"least(0, (h_{b} + h_{a}_{b}) - (h_{a} + h_{b}_{a})) ** 2" for b in _LEARN if b != a]) for a in _LEARN}
+    return f"""WITH {_MATRIX_SQL}, f AS (SELECT unnest(range(5)) AS k), t AS (SELECT k, {', '.join(_LEARN)} FROM f JOIN c ON c.fold <> k),
+m AS (SELECT k, {', '.join(moments)} FROM t GROUP BY k), z AS (SELECT k, {', '.join(f'{e} AS z_{k}' for k, e in z.items())} FROM t JOIN m USING (k)),
+a AS (SELECT k, {', '.join(means)} FROM z GROUP BY k), h AS (SELECT k, {', '.join(entropy)} FROM a)
+""" + " UNION ALL ".join(f"SELECT 'lines' AS subset, k::INT AS fold, '{v}' AS var, round({e}, 9) AS merit FROM h" for v, e in merit.items())
+
+
+@check(_first_merits_sql())
+def first_in_order(spark, sf):
+    """First step of the pairwise ordering: every variable's merit in every fold model."""
+    rows = mx.kfold(_base(spark, sf).na.drop(), ["orderkey"], 5, 2025, arithmetic=True).select("fold", *_LEARN)
+    moments = mx.training_moments(mx.fold_gram(rows, _LEARN), "lines", _LEARN)
+    return rounded(d.first_merits(rows, moments, _LEARN), 9)
+
+
 @check()
 def learn_pairwise_order(spark, sf):
     rows, moments, use = _learning_rows(spark, sf)

@@ -220,6 +220,70 @@ def _entropy(log_cosh: np.ndarray, gauss: np.ndarray) -> np.ndarray:
     return base - ENTROPY_K1 * (log_cosh - ENTROPY_GAMMA) ** 2 - ENTROPY_K2 * gauss**2
 
 
+def _ordering_passes(rows: DataFrame, names: Sequence[str], fold: str):
+    """Blocks of rows in the order of their fold, so that the rows of all other folds are two slices of a block."""
+    chosen = rows.select(*[F.col(quoted(v)).cast("double").alias(v) for v in names], F.col(fold).cast("int").alias(fold))
+    return keep_blocks(chosen.sortWithinPartitions(fold))
+
+
+def _fold_models(moments: DataFrame, d: int) -> list[dict]:
+    models = []
+    for r in moments.select("subset", "fold", "gram").toPandas().itertuples():  # one small row per fold
+        n, mean, cov = unpack(np.asarray(r.gram, dtype=float), d)
+        models.append({"subset": r.subset, "fold": int(r.fold), "n": n, "mean": mean, "cov": cov, "maps": np.eye(d),
+                       "left": [int(i) for i in informative(cov)], "order": [], "rung": 0})
+    return models
+
+
+def _probes(f: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit combinations of the columns: what is left of each open variable, and its residual on each other one (i on j)."""
+    c = f["maps"][f["left"]]
+    cov = c @ f["cov"] @ c.T
+    slope = cov / np.diag(cov)[None, :]  # slope[i, j]: regression of i on j
+    i, j = np.nonzero(~np.eye(len(c), dtype=bool))
+    probe = np.vstack([c, c[i] - slope[i, j][:, None] * c[j]])
+    sd = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", probe, f["cov"], probe), 1e-300))
+    return i, j, probe / sd[:, None]
+
+
+def _merits(passes, names: Sequence[str], fold: str, jobs: list[tuple[dict, tuple]]) -> list[np.ndarray]:
+    """How well each open variable of each fold model precedes the others; one pass over the rows for all of them."""
+    packed = [(f["fold"], probe, probe @ f["mean"]) for f, (_, _, probe) in jobs]
+
+    def accumulate(batch, acc):
+        own, x = batch[fold], batch.matrix(names)
+        for k, (number, probe, shift) in enumerate(packed):
+            lo, hi = np.searchsorted(own, [number, number + 1])
+            for a, b in ((0, lo), (hi, len(own))):
+                for start in range(a, b, 2000):
+                    v = x[start : min(b, start + 2000)] @ probe.T - shift
+                    size = np.abs(v)
+                    acc[k][: len(probe)] += (size + np.log1p(np.exp(-2.0 * size))).sum(axis=0) - len(v) * np.log(2.0)
+                    acc[k][len(probe) :] += (v * np.exp(-0.5 * v * v)).sum(axis=0)
+
+    out = []
+    for (f, (i, j, probe)), total in zip(jobs, vector_sums(passes, [2 * len(p) for _, p, _ in packed], accumulate)):
+        mean, u = total / f["n"], len(f["left"])
+        h = _entropy(mean[: len(probe)], mean[len(probe) :])
+        single, resid = h[:u], np.zeros((u, u))
+        resid[i, j] = h[u:]
+        gain = (single[None, :] + resid) - (single[:, None] + resid.T)  # > 0: i causes j
+        np.fill_diagonal(gain, 0.0)
+        out.append(-(np.minimum(0.0, gain) ** 2).sum(axis=1))
+    return out
+
+
+def first_merits(rows: DataFrame, moments: DataFrame, vars: Sequence[str], fold: str = "fold") -> DataFrame:
+    """subset, fold, var, merit: the first step of the ordering (largest merit first); variables without variance have no row."""
+    names, models = list(vars), _fold_models(moments, len(vars))
+    passes = _ordering_passes(rows, names, fold)
+    jobs = [(f, _probes(f)) for f in models if f["left"]]
+    merits = _merits(passes, names, fold, jobs)
+    passes.unpersist()
+    told = [(f["subset"], f["fold"], names[v], float(m)) for (f, _), merit in zip(jobs, merits) for v, m in zip(f["left"], merit)]
+    return rows.sparkSession.createDataFrame(told, "subset string, fold int, var string, merit double")
+
+
 def direct_lingam(
     rows: DataFrame, moments: DataFrame, vars: Sequence[str], ladders: Sequence[set[tuple[str, str]]] = (),
     threshold: float = LINGAM_THRESHOLD, fold: str = "fold",
@@ -240,13 +304,8 @@ def direct_lingam(
             if s in place and t in place:
                 block[place[s], place[t]] = True
         blocked.append(block)
-    table = moments.select("subset", "fold", "gram").toPandas()  # one small row per fold
-    folds = []
-    for r in table.itertuples():
-        n, mean, cov = unpack(np.asarray(r.gram, dtype=float), d)
-        folds.append({"subset": r.subset, "fold": int(r.fold), "n": n, "mean": mean, "cov": cov, "maps": np.eye(d),
-                      "left": [int(i) for i in informative(cov)], "order": [], "rung": 0})
-    passes = keep_blocks(rows.select(*[F.col(quoted(v)).cast("double").alias(v) for v in names], F.col(fold).cast("int").alias(fold)))
+    folds = _fold_models(moments, d)
+    passes = _ordering_passes(rows, names, fold)
 
     while any(len(f["left"]) > 1 for f in folds):
         jobs = []
@@ -257,36 +316,8 @@ def direct_lingam(
             while not (options := _candidates(left, blocked[rung])):
                 rung += 1
             f["rung"], f["options"] = rung, options
-            c = f["maps"][left]
-            cov = c @ f["cov"] @ c.T
-            u = len(left)
-            slope = cov / np.diag(cov)[None, :]  # slope[i, j]: regression of i on j
-            i, j = np.nonzero(~np.eye(u, dtype=bool))
-            residual = c[i] - slope[i, j][:, None] * c[j]
-            probe = np.vstack([c, residual])
-            sd = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", probe, f["cov"], probe), 1e-300))
-            jobs.append((f, i, j, probe / sd[:, None], u))
-        packed = [(f["fold"], f["mean"], probe) for f, _, _, probe, _ in jobs]
-
-        def accumulate(batch, acc):
-            own, x = batch[fold], batch.matrix(names)
-            for k, (number, mean, probe) in enumerate(packed):
-                z = x[own != number] - mean
-                for start in range(0, len(z), 2000):
-                    v = z[start : start + 2000] @ probe.T
-                    a = np.abs(v)
-                    acc[k][: len(probe)] += (a + np.log1p(np.exp(-2.0 * a)) - np.log(2.0)).sum(axis=0)
-                    acc[k][len(probe) :] += (v * np.exp(-0.5 * v * v)).sum(axis=0)
-
-        sums = vector_sums(passes, [2 * len(p) for _, _, p in packed], accumulate)
-        for (f, i, j, probe, u), total in zip(jobs, sums):
-            mean = total / f["n"]
-            h = _entropy(mean[: len(probe)], mean[len(probe) :])
-            single, resid = h[:u], np.zeros((u, u))
-            resid[i, j] = h[u:]
-            gain = (single[None, :] + resid) - (single[:, None] + resid.T)  # > 0: i causes j
-            np.fill_diagonal(gain, 0.0)
-            merit = -(np.minimum(0.0, gain) ** 2).sum(axis=1)
+            jobs.append((f, _probes(f)))
+        for (f, _), merit in zip(jobs, _merits(passes, names, fold, jobs)):
             spots = [f["left"].index(o) for o in f["options"]]
             chosen = f["left"][max(spots, key=lambda s: merit[s])]
             c, cov = f["maps"], f["cov"]
