@@ -320,13 +320,14 @@ def heterogeneity_p(spark, sf):
 
 @check(f"""WITH {_RATIO_SQL}, s AS (SELECT outcome, CASE WHEN outcome < 'M' THEN 'first' ELSE 'second' END AS category, rr, lo, hi FROM t),
 o AS (SELECT unnest(['first', 'first', 'second', 'second']) AS category, unnest(['LARGE', 'ECONOMY', 'SMALL', 'NOWHERE']) AS stratum, unnest([0, 1, 2, 3]) AS place),
-x AS (SELECT -1 AS place, NULL AS category, 'Overall (All participants)' AS stratum, avg(rr) AS rr, min(lo) AS lo, max(hi) AS hi FROM s
- UNION ALL SELECT place, o.category, stratum, rr, lo, hi FROM o JOIN s ON s.category = o.category AND s.outcome = o.stratum)
-SELECT category, stratum, 1::BIGINT AS n, 0::BIGINT AS events, round(rr, 6) AS "RR", round(lo, 6) AS "LCL", round(hi, 6) AS "UCL", row_number() OVER (ORDER BY place) AS plot_rank,
+x AS (SELECT -1 AS place, NULL AS category, 'Overall (All participants)' AS stratum, avg(rr) AS rr, min(lo) AS lo, max(hi) AS hi, NULL::DOUBLE AS p FROM s
+ UNION ALL SELECT place, o.category, stratum, rr, lo, hi, lo / hi FROM o JOIN s ON s.category = o.category AND s.outcome = o.stratum)
+SELECT category, stratum, 1::BIGINT AS n, 0::BIGINT AS events, round(rr, 6) AS "RR", round(lo, 6) AS "LCL", round(hi, 6) AS "UCL", round(p, 6) AS p, row_number() OVER (ORDER BY place) AS plot_rank,
  count(*) OVER () - row_number() OVER (ORDER BY place) AS y_pos FROM x""")
 def stratified_forest(spark, sf):
     s = ratios(spark, sf).withColumn("category", F.when(F.col("outcome") < "M", "first").otherwise("second")).select(
-        "category", F.col("outcome").alias("stratum"), F.lit(1).alias("n"), F.lit(0).alias("events"), "RR", "LCL", "UCL"
+        "category", F.col("outcome").alias("stratum"), F.lit(1).alias("n"), F.lit(0).alias("events"), "RR", "LCL", "UCL",
+        (F.col("LCL") / F.col("UCL")).alias("p"),  # any number: strata have p-values here, the overall row has none
     )
     overall = s.agg(F.max("n").alias("n"), F.min("events").alias("events"), F.avg("RR").alias("RR"), F.min("LCL").alias("LCL"), F.max("UCL").alias("UCL"))
     order = [("first", "LARGE"), ("first", "ECONOMY"), ("second", "SMALL"), ("second", "NOWHERE")]

@@ -234,6 +234,17 @@ def network_node_labels(spark, sf):
     return rounded(nodes.select("var", F.col("degree").cast("bigint").alias("degree"), "label"))
 
 
+@check(f"""WITH {_MATRIX_SQL}, f AS (SELECT unnest(range(5)) AS k), t AS (SELECT k, count(*) AS n, 2 + (var_pop(CASE WHEN fold = 3 THEN 1.0 ELSE 0.0 END) > 1e-10)::INT AS w FROM f JOIN c ON c.fold <> k GROUP BY 1),
+l AS (SELECT unnest(['DirectLiNGAM', 'GOLEM', 'ORDER_BIC', 'DAGMA_LINEAR']) AS method, unnest([2, 2, 3, 2]) AS least)
+SELECT 'lines' AS subset, method, k::INT AS fold, n AS n_rows, w AS n_columns, CASE WHEN w < least THEN 'too_few' ELSE 'ok' END AS status FROM t, l""")
+def learner_status(spark, sf):
+    """Every learner run has its row; one column varies in one fold only, so the model without that fold has two columns left."""
+    rows = mx.kfold(_base(spark, sf).na.drop(), ["orderkey"], 5, 2025, arithmetic=True)
+    rows = rows.select("fold", "quantity", "price", (F.col("fold") == 3).cast("double").alias("third"))
+    use = ["quantity", "price", "third"]
+    return rounded(d.learner_runs(mx.training_moments(mx.fold_gram(rows, use), "lines", use)))
+
+
 def _first_merits_sql() -> str:
     """Entropies of every variable and of every residual over each fold's complement, written out pair by pair."""
     pairs = [(a, b) for a in _LEARN for b in _LEARN if a != b]

@@ -52,7 +52,9 @@ def stratified_forest(overall: DataFrame, strata: DataFrame, order: Sequence[tup
     places = overall.sparkSession.createDataFrame(
         [(c, s, i) for i, (c, s) in enumerate(order)], "category string, stratum string, place int"
     )
-    cols = ["n", "events", "RR", "LCL", "UCL", *(["p"] if "p" in overall.columns and "p" in strata.columns else [])]
+    cols = ["n", "events", "RR", "LCL", "UCL", "p"]
+    with_p = lambda df: df if "p" in df.columns else df.withColumn("p", F.lit(None).cast("double"))
+    overall, strata = with_p(overall), with_p(strata)
     head = overall.select(
         F.lit(-1).alias("place"), F.lit(None).cast("string").alias("category"),
         F.lit("Overall (All participants)").alias("stratum"), *cols,

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
-from panelwright.operators.matrix import informative, unpack
+from panelwright.operators.matrix import INFORMATIVE, informative, unpack
 from panelwright.operators.sums import keep_blocks, vector_sums
 
 EDGE_SCHEMA = "subset string, method string, fold int, src string, dst string, coef double"
@@ -26,6 +26,9 @@ GOLEM = {"lambda_1": 1e-4, "lambda_1_first": 2e-2, "lambda_2": 1.0, "learning_ra
 DAGMA = {"lambda_1": 1e-3, "learning_rate": 3e-4, "threshold": 0.1, "stages": 4, "mu_init": 0.1, "mu_factor": 0.1,
          "s": 1.0, "warm_iter": 1000, "max_iter": 8000, "checkpoint": 100}
 ORDER_THRESHOLD = 1e-5
+METHODS = ("DirectLiNGAM", "GOLEM", "ORDER_BIC", "DAGMA_LINEAR")
+#: Informative columns that a learner needs; 2 for those not listed.
+LEAST_COLUMNS = {"ORDER_BIC": 3}
 # Constants of the maximum-entropy approximation of differential
 # entropy (Hyvarinen & Smith 2013).
 ENTROPY_K1, ENTROPY_K2, ENTROPY_GAMMA = 79.047, 7.4129, 0.37457
@@ -44,8 +47,8 @@ def _solve_rows(moments: DataFrame, method: str, forbidden: set[tuple[str, str]]
                 allowed = np.array(
                     [[i != j and (names[i], names[j]) not in forbidden for j in use] for i in use], dtype=float
                 ).reshape(len(use), len(use))
-                if len(use) < 3:
-                    continue
+                if len(use) < LEAST_COLUMNS.get(method, 2):
+                    continue  # it has its row in learner_runs
                 b = learner(n, cov[np.ix_(use, use)], allowed) * allowed
                 src, dst = np.nonzero(np.abs(b) > threshold)
                 yield pd.DataFrame(
@@ -58,6 +61,20 @@ def _solve_rows(moments: DataFrame, method: str, forbidden: set[tuple[str, str]]
     return moments.repartition("subset", "fold").mapInPandas(run, EDGE_SCHEMA)
 
 
+def learner_runs(moments: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+    """subset, method, fold, n_rows, n_columns (informative), status: a row for every run, also those that have no edges to show.
+
+    ``too_few``: fewer informative columns than the learner needs.
+    """
+    d = F.size("names")
+    # the diagonal of the packed co-moments: row i of the triangle starts after the longer rows before it
+    diagonal = F.transform(F.sequence(F.lit(0), d - 1), lambda i: F.get("gram", (d + 1 + i * d - i * (i - 1) / 2).cast("int")))
+    wide = F.size(F.filter(diagonal, lambda v: v / F.col("gram")[0] > INFORMATIVE))
+    least = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(LEAST_COLUMNS.get(m, 2)).alias("least")) for m in methods])
+    runs = moments.select("subset", "fold", F.col("gram")[0].cast("bigint").alias("n_rows"), wide.alias("n_columns"), F.explode(least).alias("m"))
+    return runs.select("subset", "m.method", "fold", "n_rows", "n_columns", F.when(F.col("n_columns") < F.col("m.least"), "too_few").otherwise("ok").alias("status"))
+
+
 class _Adam:
     def __init__(self, shape, rate, b1=0.9, b2=0.999):
         self.m, self.v, self.t, self.rate, self.b1, self.b2 = np.zeros(shape), np.zeros(shape), 0, rate, b1, b2

@@ -158,6 +158,10 @@ def merge_packed(parts: Sequence[np.ndarray], d: int) -> np.ndarray:
     return np.concatenate([[total[0]], total[1], total[2][np.triu_indices(d)]])
 
 
-def informative(cov: np.ndarray, floor: float = 1e-10) -> np.ndarray:
+#: Variance above which a column is informative.
+INFORMATIVE = 1e-10
+
+
+def informative(cov: np.ndarray, floor: float = INFORMATIVE) -> np.ndarray:
     """Columns whose variance exceeds ``floor``."""
     return np.flatnonzero(np.diag(cov) > floor)

@@ -159,7 +159,7 @@ def run(
     if graphs:
         from panelwright.plans.graphs import discover, network_tables
 
-        edges, variables = discover(panel, [cb.KEY], cb.GRAPH_SUBSETS, **(graph_options or {}))
+        edges, variables, out["graph_runs"] = discover(panel, [cb.KEY], cb.GRAPH_SUBSETS, with_runs=True, **(graph_options or {}))
         write_snapshot(edges, f"{out_dir}/edges")
         edges = spark.read.parquet(f"{out_dir}/edges")
         out["causal_edges"] = edges

@@ -175,3 +175,28 @@ def test_queries_learn_with_the_codebook_defaults(spark, monkeypatch):
     assert seen.get("folds", cb.GRAPH_FOLDS) == cb.GRAPH_FOLDS and seen.get("min_folds", cb.GRAPH_MIN_FOLDS) == cb.GRAPH_MIN_FOLDS and not seen.get("settings")
     rows, moments, _ = graphing._learning_rows(spark, "")
     assert rows.select("fold").distinct().count() == moments.count() == cb.GRAPH_FOLDS
+
+
+def test_subsets_of_variables():
+    from panelwright.plans import codebook as cb
+    from panelwright.plans.graphs import subset_variables
+
+    assert {k: subset_variables(k) for k in cb.GRAPH_SUBSETS} == cb.GRAPH_SUBSETS
+    both = subset_variables()
+    assert len(both) == 12 + 1 + 8 and cb.SCORE in both and both[13:17] == cb.GRAPH_DISEASES[:4] and both[17:] == cb.GRAPH_SYMPTOMS[:4]
+    assert cb.SCORE_HIGH in subset_variables("all", "binary") and cb.SCORE not in subset_variables("all", "binary")
+
+
+def test_every_run_has_its_status(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"fold": np.arange(400) % 4, "k": 1.0, "a": rng.normal(size=400), "b": rng.normal(size=400)})
+    pdf["c"] = pdf["a"] + 0.1 * rng.normal(size=400)
+    rows = spark.createDataFrame(pdf)
+    for use, columns, status in ((["k", "a", "b", "c"], 3, "ok"), (["k", "a", "c"], 2, "too_few")):
+        moments = mx.training_moments(mx.fold_gram(rows, use), "s", use)
+        runs = d.learner_runs(moments).collect()
+        assert len(runs) == 4 * 4 and {r["n_columns"] for r in runs} == {columns} and {r["n_rows"] for r in runs} == {300}
+        assert {r["status"] for r in runs if r["method"] == "ORDER_BIC"} == {status}
+        assert {r["status"] for r in runs if r["method"] != "ORDER_BIC"} == {"ok"}
+    # two columns are enough for the others
+    assert d.golem(moments, set(), num_iter=300, learning_rate=5e-3).count() > 0 and d.order_search_bic(moments, set()).count() == 0
