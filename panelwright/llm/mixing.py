@@ -91,16 +91,17 @@ def flow(offers: dict, members: dict, quotas: dict, max_repeats: int) -> dict:
 
 def mix(
     docs: DataFrame, sources: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2,
-    seed: int = 7, max_patterns: int = 10_000,
+    seed: int = 7, max_patterns: int = 10_000, row: Column | None = None,
 ) -> tuple[DataFrame, dict]:
-    """(doc_id, key, size, pattern, taken) per document, and the plan: sizes, targets and flow by source and pattern.
+    """(row, doc_id, size, pattern, taken) per document, and the plan: sizes, targets, flow and members (sources) by source and pattern.
 
     ``sources``: array of a document's sources (default: the column ``source`` alone). ``weights`` repeat over the sources in order.
+    ``row``: a number of its own for each row of a stored table; otherwise one is given here.
     """
     names = F.array_sort(F.array_distinct(sources if sources is not None else F.array(F.col("source").cast("string"))))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"), F.to_json(names).alias("pattern"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"), F.to_json(names).alias("pattern"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
     sized = shared.written(base.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("key"), word_count(F.col("text")).alias("size"), "pattern",
+        "row", "doc_id", word_count(F.col("text")).alias("size"), "pattern",
         F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"),
     ), "sized")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
@@ -113,7 +114,7 @@ def mix(
     goal = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(order)}, share * sum(offers.values()), max_repeats)
     sent = flow(offers, members, {s: round(t) for s, t in goal.items()}, max_repeats)
     total = {p: sum(v for (q, _), v in sent.items() if q == p) for p in offers}
-    plan = {"sizes": sizes, "targets": goal, "flow": sent, "offers": offers}
+    plan = {"sizes": sizes, "targets": goal, "flow": sent, "offers": offers, "members": members}
     rows = [(p, total[p] // n if n else 0, total[p] % n if n else 0) for p, n in offers.items()]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(rows, "pattern string, whole long, rest long"))  # at most max_patterns rows
     at = sized.join(wanted, "pattern").withColumn("range", F.shiftrightunsigned("h", 48).cast("int"))
@@ -128,19 +129,22 @@ def mix(
     upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = inside.withColumn("extra", F.col("before") + upto <= F.col("rest")).unionByName(
         at.filter("edge IS NULL OR range != edge").withColumn("extra", (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("range") < F.col("edge")))))
-    placed = shared.written(placed.select("doc_id", "key", "h", "size", "pattern", "whole", "rest", "extra"), "placed")
+    placed = shared.written(placed.select("row", "doc_id", "h", "size", "pattern", "whole", "rest", "extra"), "placed")
     got = placed.filter("rest > 0").groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
     left = placed.filter("NOT extra AND size > 0 AND rest > 0").join(F.broadcast(got), "pattern")
-    near = left.filter("abs(size - gap) < gap").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "h", "key")).alias("b"))
-    closing = F.broadcast(near.select(F.col("b.key").alias("key"), F.lit(True).alias("closes")))
+    near = left.filter("abs(size - gap) < gap").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "h", "doc_id", "row")).alias("b"))
+    closing = F.broadcast(near.select(F.col("b.row").alias("row"), F.lit(True).alias("closes")))  # one row per pattern: of equal rows, one
     last = F.coalesce(F.col("closes"), F.lit(False)) & ~F.col("extra")
     taken = F.col("size") * (F.col("whole") + (F.col("extra") | last).cast("long"))
-    return placed.join(closing, "key", "left").select("doc_id", "key", "size", "pattern", taken.alias("taken")), plan
+    return placed.join(closing, "row", "left").select("row", "doc_id", "size", "pattern", taken.alias("taken")), plan
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with all its columns (clashing names too)."""
-    picked, _ = mix(docs, **options)
-    copies = picked.filter("taken > 0").groupBy("key").agg((F.first("taken") / F.first("size")).cast("int").alias("__copies"))
-    out = docs.withColumn("__mix", F.xxhash64(F.col("doc_id").cast("long"), shared.whole_text())).join(copies.withColumnRenamed("key", "__mix"), "__mix")
-    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__mix", "__copies")
+    """The mixed corpus: each row as often as the mix takes it, with all its columns (clashing names too).
+
+    The rows are numbered and stored first, so that equal rows stay apart.
+    """
+    numbered = shared.written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    picked, _ = mix(numbered, row=F.col("__row"), **options)
+    copies = picked.filter("taken > 0").select(F.col("row").alias("__row"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    return numbered.join(copies, "__row").withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__row", "__copies")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,9 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed, plan = mixing.mix(_table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2)
-    per_source = [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), int(plan["sizes"][s]), float(plan["targets"][s])) for s in plan["sizes"]]
-    told = F.broadcast(spark.createDataFrame(per_source, "pattern string, source_size long, target double"))  # one row per source
-    return mixed.join(told, "pattern").select("doc_id", "size", "source_size", "target", "taken")
+    sizes, goal = plan["sizes"], plan["targets"]
+    per_source = [(pattern, int(sizes[s]), float(goal[s])) for pattern, (s,) in plan["members"].items()]
+    told = spark.createDataFrame(per_source, "pattern string, source_size long, target double")
+    return mixed.join(F.broadcast(told), "pattern", "left").select("doc_id", "size", "source_size", "target", "taken")  # one row per source
 
 
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
