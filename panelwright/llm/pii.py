@@ -4,7 +4,7 @@ Candidates are the base spans (always kept) and looser shapes of the same kinds.
 shape (regex), gazetteer, context words in front, and format. Vote patterns are counted over all documents; expectation-
 maximisation with two classes on these counts (at most 64 per kind, so the driver sees no document) estimates each
 labeler's reliability. A logistic span classifier is then trained on the posteriors, and it decides the looser candidates. A kind
-without candidates keeps the prior classifier, the labelers' majority.
+without candidates keeps the prior classifier, the labelers' majority; few candidates move it little.
 
 NULL text is empty; empty text has no spans; repeated rows give equal rows. Span texts are never written anywhere.
 """
@@ -115,14 +115,18 @@ def reliabilities(pattern: np.ndarray, count: np.ndarray, rounds: int = 50) -> t
     return post, rate, prior
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic model on soft labels; Newton steps over counted patterns."""
+#: Weights before any candidate is seen (intercept, votes, shapes): three of the four labelers make a span, two do not.
+_PRIOR = np.array([-6.0, 3, 3, 3, 3, 0, 0])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, start: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights (intercept first) of a logistic model on soft labels, drawn towards ``start``; Newton steps over counted patterns."""
     z = np.c_[np.ones(len(x)), x]
-    w = np.zeros(z.shape[1])
+    w = start.astype(float)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (count * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(h, z.T @ (count * (y - p)) - ridge * w)
+        w = w + np.linalg.solve(h, z.T @ (count * (y - p)) - ridge * (w - start))
     return w
 
 
@@ -132,13 +136,9 @@ def train(found: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for k in range(len(KINDS)):
         rows = [(r["votes"], r["n"]) for r in counts if r["kind"] == k]
-        # majority of the labelers, until there is something to learn from
-        weights = np.array([-5.0, 2, 2, 2, 2, 0, 0])
-        if sum(n for _, n in rows) >= 20:
-            bits = np.array([[v >> i & 1 for i in range(_VOTES + _SHAPES)] for v, _ in rows], float)
-            n = np.array([n for _, n in rows], float)
-            post, _, _ = reliabilities(bits[:, :_VOTES], n)
-            weights = fit_logistic(bits, post, n)
+        bits = np.array([[v >> i & 1 for i in range(_VOTES + _SHAPES)] for v, _ in rows], float).reshape(-1, _VOTES + _SHAPES)
+        n = np.array([n for _, n in rows], float)
+        weights = fit_logistic(bits, reliabilities(bits[:, :_VOTES], n)[0], n, _PRIOR) if rows else _PRIOR
         out[k] = weights
     return out
 
