@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -22,13 +22,13 @@ class IdTable:
     def __init__(self, most: int, kind: type, fixed: Sequence[Sequence[int]] = (), ids: int = 0):
         places = 1 << max(6, (most // _PLACE).bit_length() - 1)
         self.entries, self.mask = places // 2, U(places - 1)
-        self.kind, self.fixed = np.dtype(kind), len(fixed)
+        self.kind, self.fixed, self.first = np.dtype(kind), len(fixed), [list(f) for f in fixed]
         self.hash, self.size = np.zeros(self.entries, U), np.zeros(self.entries, np.int32)
         self.start, self.used = np.zeros(self.entries, np.int64), np.zeros(self.entries, bool)
         self.pool = np.zeros(max(ids, 10 * self.entries // self.kind.itemsize), self.kind)
         self.key, self.value = np.zeros(places, U), np.full(places, -1, np.int32)
         self.n = self.filled = 0
-        self._append(np.zeros(self.fixed, U), [list(f) for f in fixed])
+        self._append(np.zeros(self.fixed, U), self.first)
 
     @classmethod
     def for_all(cls, hashes: np.ndarray, ids: Sequence[Sequence[int]], kind: type, fixed: Sequence[Sequence[int]] = ()) -> tuple[IdTable, np.ndarray]:
@@ -96,3 +96,32 @@ class IdTable:
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(index) else 0
         return self.pool[np.arange(total) + np.repeat(self.start[index] - upto + size, size)]
+
+    def look_up(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray, encode: Callable[[str], Sequence[int]]) -> tuple[IdTable, np.ndarray]:
+        """Indexes of words ``raw[start:end]`` with hashes ``h``, and the table they are in: this one, with the new words learnt through
+        ``encode``, or one of their own if there are more new ones than it can hold.
+        """
+        index, known = self.find(h), {}
+
+        def told(hashes: np.ndarray, at: np.ndarray) -> list[Sequence[int]]:
+            places = zip(start[at].tolist(), end[at].tolist())
+            if not known:
+                return [encode(raw[a:b].decode()) for a, b in places]
+            return [known[x] if x in known else encode(raw[a:b].decode()) for x, (a, b) in zip(hashes.tolist(), places)]
+
+        for again in (False, True):
+            missing = np.flatnonzero(index < 0)
+            if not len(missing):
+                return self, index
+            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            ids = told(new, missing[first])
+            if self.room(len(ids), sum(map(len, ids))):
+                index[missing] = self.learn(new, ids)[inverse]
+                return self, index
+            known = dict(zip(new.tolist(), ids))
+            if not again:
+                self.shrink()
+                index = self.find(h)  # entries have moved, and some are gone
+        every, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        own, at = IdTable.for_all(every, told(every, first), self.kind, self.first)
+        return own, at[inverse]

@@ -30,10 +30,10 @@ from panelwright.llm.bytelevel import Model, byte_letters
 from panelwright.llm.idtable import IdTable
 from panelwright.llm.tokencount import PATTERN
 from panelwright.llm.words import Words, fold_table, mix, pieces, text_buffers
+from panelwright.llm.workercache import held
 
 PART = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, offset: bigint>"
 _PART = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())])
-_encoders: dict[tuple, TextEncoder] = {}
 _SPACE, _LINE = 32, 10
 
 
@@ -123,7 +123,8 @@ class TextEncoder:
         plain &= (tail == 0) | (tail == 1) & ((closing == _SPACE) | (closing == _LINE))
         taken = plain[row]
         row, start, end, spaced, breaks = row[taken], start[taken], end[taken], spaced[taken], np.where(lines, gap, 0)[taken]
-        table, index = self._found(np.where(spaced, mix(w.hash[taken], 991), w.hash[taken]), data, start - spaced, end)
+        h = np.where(spaced, mix(w.hash[taken], 991), w.hash[taken])
+        table, index = self.table.look_up(h, data.tobytes(), start - spaced, end, self.chunk)
         where = np.cumsum(1 + breaks) - 1
         entries = np.zeros(int(where[-1]) + 1 if len(where) else 0, np.int64)  # entry 0: a line break
         entries[where] = index
@@ -138,40 +139,6 @@ class TextEncoder:
             own = ids[cut[k] : cut[k + 1]].tobytes()
             yield own + self.ends[int(closing[k])] if tail[k] else own
 
-    def _found(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[IdTable, np.ndarray]:
-        """The words' entries; new words are learnt. A run with more new words than the table can hold gets one of its own."""
-        index, known, raw = self.table.find(h), {}, data.tobytes()
-
-        def told(hashes: np.ndarray, at: np.ndarray) -> list[list[int]]:
-            if known:
-                return [known[x] if x in known else self.chunk(raw[a:b].decode()) for x, a, b in zip(hashes.tolist(), start[at].tolist(), end[at].tolist())]
-            return [self.chunk(raw[a:b].decode()) for a, b in zip(start[at].tolist(), end[at].tolist())]
-
-        for again in (False, True):
-            missing = np.flatnonzero(index < 0)
-            if not len(missing):
-                return self.table, index
-            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-            ids = told(new, missing[first])
-            if self.table.room(len(ids), sum(map(len, ids))):
-                index[missing] = self.table.learn(new, ids)[inverse]
-                return self.table, index
-            if not again:
-                known = dict(zip(new.tolist(), ids))
-                self.table.shrink()
-                index = self.table.find(h)  # entries have moved, and some are gone
-        every, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known = dict(zip(new.tolist(), ids))
-        own, at = IdTable.for_all(every, told(every, first), self.table.kind, [self.line])
-        return own, at[inverse]
-
-
-def _encoder(path: str, most: int) -> TextEncoder:
-    if (path, most) not in _encoders:
-        _encoders.clear()
-        _encoders[path, most] = TextEncoder(path, most)
-    return _encoders[path, most]
-
 
 def id_bytes(path: str) -> int:
     """Bytes of an id in sequences of this tokenizer."""
@@ -183,7 +150,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: i
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, table_bytes)
+        encoder = held(("packing", path, table_bytes), lambda: TextEncoder(path, table_bytes))
         last, wide = array(encoder.code, [end]).tobytes(), array(encoder.code).itemsize
         rows: list[tuple] = []
 
@@ -193,7 +160,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: i
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
-        held = 0
+        size_held = 0
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids += last
@@ -203,10 +170,10 @@ def token_pieces(docs: DataFrame, path: str, size: int, end: int, table_bytes: i
                 for piece, stop in enumerate(ends):
                     rows.append((doc, piece, start, stop - start, ids[wide * start : wide * stop]))
                     start = stop
-                held += len(ids)
-                if held > 4 << 20:
+                size_held += len(ids)
+                if size_held > 4 << 20:
                     yield flush()
-                    held = 0
+                    size_held = 0
         if rows:
             yield flush()
 

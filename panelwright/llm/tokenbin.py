@@ -16,7 +16,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 from unicodedata import normalize
 
 import numpy as np
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwright.llm import shared
 from panelwright.llm.bytelevel import Model
-from panelwright.llm.words import U, fold_table, pieces, text_buffers
+from panelwright.llm.idtable import IdTable
+from panelwright.llm.words import fold_table, pieces, text_buffers
+from panelwright.llm.workercache import held as worker_held
 
 MAGIC = b"WVM1"
 _BLOCK = 64  # bytes of a plane per running count
-_encoders: dict[tuple, WordEncoder] = {}
 
 
 class WaveletMatrix:
@@ -157,12 +158,13 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.nd
 class WordEncoder:
     """Token ids of texts, word by word, for tokenizers that drop white space.
 
-    Words are hashed on the column's bytes (see ``words``) and looked up in the worker's table of 2 * ``most`` slots, two places
-    for each hash. Only a word that is not there becomes a string: it is normalised, cut into pre-tokens by the tokenizer's own
-    pattern, and these go through its model (or, if they are known, not even that); unusual words go through the library whole.
+    Words are hashed on the column's bytes (see ``words``) and looked up in the worker's table of ``most`` bytes. Only a word that is
+    not there becomes a string: it is normalised, cut into pre-tokens by the tokenizer's own pattern, and these go through its
+    model; unusual words go through the library whole.
     """
 
     _TABLE = fold_table(lower=False)
+    _PARTS = 150_000  # pre-tokens that are kept beside the words: one word comes with several marks
 
     def __init__(self, path: str, most: int):
         import regex
@@ -173,37 +175,12 @@ class WordEncoder:
         cut = [s for s in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cut] != ["Split", "ByteLevel"] or cut[0]["behavior"] != "Removed" or not cut[0]["invert"]:
             raise ValueError("a tokenizer with lower-cased words and white space dropped is needed")
-        self.model, self.most = Model(path), most
+        self.model = Model(path)
         self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
         self.kind = np.uint16 if self.model.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.mask = U((1 << max(8, (2 * most - 1).bit_length())) - 1)
+        self.table = IdTable(most, self.kind)
         self.parts: dict[str, tuple[int, ...]] = {}
         self.same = list(range(self.model.tokenizer.get_vocab_size()))  # one object for each id
-        self._restart(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, self.kind))
-
-    def _restart(self, hashes: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
-        self.hashes, self.size, self.pool = hashes, size, pool
-        self.start = np.concatenate([[0], np.cumsum(size)])
-        self.key = np.zeros(int(self.mask) + 1, U)
-        self.value = np.full(int(self.mask) + 1, -1, np.int32)
-        self._enter(hashes, 0)
-
-    def _enter(self, h: np.ndarray, first: int) -> None:
-        number = np.arange(first, first + len(h), dtype=np.int32)
-        one = (h & self.mask).astype(np.int64)
-        free = self.value[one] < 0
-        self.key[one[free]], self.value[one[free]] = h[free], number[free]
-        rest = self.value[one] != number  # taken before, or by another new word
-        two = (h[rest] >> U(32) & self.mask).astype(np.int64)
-        self.key[two], self.value[two] = h[rest], number[rest]
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        one = (h & self.mask).astype(np.int64)
-        found = np.where(self.key[one] == h, self.value[one], -1)
-        rest = np.flatnonzero(found < 0)
-        two = (h[rest] >> U(32) & self.mask).astype(np.int64)
-        found[rest] = np.where(self.key[two] == h[rest], self.value[two], -1)
-        return found
 
     def word(self, word: str) -> list[int]:
         if not self.model.usual(word):
@@ -219,56 +196,28 @@ class WordEncoder:
         for part in cut:
             ids = self.parts.get(part)
             if ids is None:
-                ids = self.parts[part] = tuple(map(self.same.__getitem__, self.model.ids(part)))
+                ids = tuple(map(self.same.__getitem__, self.model.ids(part)))
+                if len(self.parts) >= self._PARTS:  # those learnt first are the frequent ones
+                    self.parts = dict(islice(self.parts.items(), self._PARTS // 2))
+                self.parts[part] = ids
             out += ids
         return out
 
-    def _learn(self, h: np.ndarray, new: list[str]) -> None:
-        ids = list(map(self.word, new))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.hashes)
-        self.hashes, self.size = np.concatenate([self.hashes, h]), np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-        self._enter(h, first)
-
     def encode(self, texts, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of rows: ids of all texts with the end id after each, and how many ids each has."""
         data, offsets = text_buffers(texts)
         for a, b, w in pieces(texts, self._TABLE):
-            if len(self.hashes) > self.most:  # keep the words learnt first: the frequent ones come early
-                n = self.most // 4
-                self._restart(self.hashes[:n], self.size[:n], self.pool[: self.start[n]].copy())
-            if len(self.parts) > self.most // 4:
-                self.parts = dict(islice(self.parts.items(), self.most // 16))
-            index = self._find(w.hash)
-            missing = np.flatnonzero(index < 0)
-            if len(missing):
-                h, first, inverse = np.unique(w.hash[missing], return_index=True, return_inverse=True)
-                at = missing[first]
-                shift = offsets[a + np.searchsorted(w.first, at, "right") - 1]
-                raw = [data[x:y].tobytes().decode() for x, y in zip((shift + w.start[at]).tolist(), (shift + w.end[at]).tolist())]
-                self._learn(h, raw)
-                index[missing] = len(self.hashes) - len(h) + inverse
-            yield self._joined(index, w.first, end)
-
-    def _joined(self, index: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[index] if len(index) else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.start[index] - upto[:-1], size)] if len(index) else np.zeros(0, self.kind)
-        stop = upto[first[1:]]
-        return np.insert(ids, stop, self.kind(end)), np.diff(np.concatenate([[0], stop])) + 1
-
-def _encoder(path: str, most: int) -> WordEncoder:
-    if (path, most) not in _encoders:
-        _encoders[path, most] = WordEncoder(path, most)
-    return _encoders[path, most]
-
-
-def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_bytes: int = 16 << 20, cache: int = 1_000_000) -> DataFrame:
+            shift = (offsets[a:b] - offsets[a])[w.row_of()]
+            table, index = self.table.look_up(w.hash, data[offsets[a] : offsets[b]].tobytes(), w.start + shift, w.end + shift, self.word)
+            upto = np.concatenate([[0], np.cumsum(table.sizes(index))])
+            stop = upto[w.first[1:]]
+            yield np.insert(table.take(index), stop, self.kind(end)), np.diff(np.concatenate([[0], stop])) + 1
+
+
+def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_bytes: int = 16 << 20, shard_ids: int = 4 << 20, table_bytes: int = 64 << 20) -> DataFrame:
     """Encode and write all documents; the manifest: part, seq, name, docs, ids of each file.
 
-    Shards are ranges of doc_id with about ``shard_bytes`` of text; a task starts another file beyond 4 * ``shard_bytes`` ids.
+    Shards are ranges of doc_id with about ``shard_bytes`` of text; a task starts another file after ``shard_ids`` ids, which bounds what it holds.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
     total = docs.select(F.octet_length(shared.whole_text()).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -278,7 +227,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_by
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, part = _encoder(path, cache), TaskContext.get().partitionId()
+        encoder = worker_held(("token files", path, table_bytes), lambda: WordEncoder(path, table_bytes))
+        part = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         levels = max(1, (encoder.model.tokenizer.get_vocab_size() - 1).bit_length())
@@ -305,7 +255,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 1, shard_by
                 b = a + len(lengths)
                 held.append((ids, lengths, values[a:b], flags[a:b]))
                 a, n = b, n + len(ids)
-                if n >= 4 * shard_bytes:
+                if n >= shard_ids:
                     yield flush(seq)
                     seq, n = seq + 1, 0
                     held.clear()
