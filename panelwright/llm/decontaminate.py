@@ -10,11 +10,12 @@ windows have equal keys. Every hit is verified: an item word that the place lack
 between the item and the best stretch around the hit, at most k.
 
 The benchmark goes to the tasks in blocks of at most ``block`` items' words; more items mean more passes, not a larger broadcast.
-NULL or empty texts and items (or items under ``SHORTEST`` words) match nothing; repeated rows are reported each; empty tables give no rows.
+NULL or empty texts and items match nothing; an item of one word matches that word; repeated rows are reported each; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm import shared
+from panelwright.llm.workercache import held as worker_held
 from panelwright.llm.words import PUNCTUATION, U, WHITE, fold_table, mix, pieces
 
 _TABLE = fold_table(WHITE + PUNCTUATION)
 _CHUNK = 1 << 15
 #: Bits of a key that a first look takes.
 _NEAR = 21
-#: Words of the shortest item that is looked up: one word alone is no passage.
-SHORTEST = 2
 #: Words of the windows that are used; few sizes mean few walks over a document.
 SIZES = (1, 2, 3, 4, 8, 16)
 
@@ -40,10 +40,10 @@ def most_edits(n: int, least: float) -> int:
 
 
 def window_size(n: int, least: float = 0.8) -> int:
-    """Largest of ``SIZES`` within the run of words that any allowed edits leave whole; 0 for an item that is not looked up."""
+    """Largest of ``SIZES`` within the run of words that any allowed edits leave whole; 0 for an item without words."""
     k = most_edits(n, least)
     whole = -(-(n - k) // (k + 1))
-    return max((w for w in SIZES if w <= whole), default=0) if n >= SHORTEST else 0
+    return max((w for w in SIZES if w <= whole), default=0) if n else 0
 
 
 class Sampler:
@@ -178,9 +178,6 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, np.nda
         yield held
 
 
-_indexes: dict[int, Index] = {}
-
-
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block: int = 200_000, seed: int = 17,
 ) -> DataFrame:
@@ -189,13 +186,9 @@ def find_leaks(
     spark, schema = docs.sparkSession, "doc_id long, key long, item_id long, distance int, similarity double, first_word long"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def search(held):
+    def search(held, token):
         def run(batches):
-            token = held.id if hasattr(held, "id") else id(held)
-            if token not in _indexes:
-                _indexes.clear()
-                _indexes[token] = Index(held.value, least, seed)
-            index = _indexes[token]
+            index = worker_held(("leaks", token), lambda: Index(held.value, least, seed))
             for batch in batches:
                 rows = []
                 for a, _, w in pieces(batch.column("text"), _TABLE):
@@ -208,7 +201,7 @@ def find_leaks(
 
         return run
 
-    parts = [d.mapInArrow(search(spark.sparkContext.broadcast(items)), schema) for items in _blocks(benchmark, block)]
+    parts = [d.mapInArrow(search(spark.sparkContext.broadcast(items), uuid.uuid4().hex), schema) for items in _blocks(benchmark, block)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 

@@ -118,7 +118,7 @@ def test_leaks_at_every_length(spark):
 
 def test_windows_fit_into_what_edits_leave():
     for least in (0.5, 0.7, 0.8, 0.9, 1.0):
-        for n in range(decontaminate.SHORTEST, 600):
+        for n in range(1, 600):
             k, w = decontaminate.most_edits(n, least), decontaminate.window_size(n, least)
             assert w >= 1
             assert (w - 1) * (k + 1) < n - k  # k + 1 runs without a whole window hold fewer words than the edits leave
@@ -127,11 +127,11 @@ def test_windows_fit_into_what_edits_leave():
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(5, 30))), (2, None), (3, ""), (4, "one"), (None, "no id here at all but some words")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(odd_docs, items).collect()), key=str)
-    assert got == sorted([(1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 1), (None, 1, 0), (None, None, 0)], key=str)
+    assert got == sorted([(1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 1), (None, 1, 0), (None, None, 0), (10, 4, 0), (11, 4, 0)], key=str)
     assert decontaminate.find_leaks(no_docs, items).count() == 0
     assert decontaminate.find_leaks(odd_docs, items.limit(0)).count() == 0
     left = decontaminate.drop_leaked(odd_docs, items)
-    assert left.columns == odd_docs.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 7, 8, 9, 10, 11, 12, 13]
+    assert left.columns == odd_docs.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 7, 8, 9, 12, 13]
 
 
 def test_edit_place_is_the_edit_distance():
@@ -162,8 +162,8 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert list(plan["sizes"]) == ["a", "b", "c", None]
     for r in rows:
         assert r["taken"] % r["size"] == 0 and r["taken"] <= 2 * r["size"] if r["size"] else r["taken"] == 0
-    again = mixing.mix(odd_docs.repartition(3))[0]
-    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+    again = mixing.mix(odd_docs.repartition(3))[0].drop("row")
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.drop("row").collect()))
     assert mixing.mix(no_docs)[0].count() == 0 and mixing.mix_rows(no_docs).count() == 0
     assert mixing.mix_rows(odd_docs).columns == odd_docs.columns
 

@@ -159,7 +159,7 @@ def test_token_files(spark, tricky, no_docs):
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     library = Tokenizer.from_file(path)
     folder = shared.fresh_folder(spark, "tokens")
-    manifest = tokenbin.write_tokens(docs, path, folder, shard_bytes=20_000, cache=50)
+    manifest = tokenbin.write_tokens(docs, path, folder, shard_bytes=20_000, shard_ids=3_000, table_bytes=2_000)
     assert manifest.count() > 3
     got = tokenbin.read_tokens(spark, folder, manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
@@ -174,6 +174,13 @@ def test_token_files(spark, tricky, no_docs):
     assert tokenbin.token_files(no_docs, path).count() == 0
 
 
+def test_query_archives_hold_continuation_records(spark, sf):
+    folder = shared.fresh_folder(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), folder)
+    parts = warc.read_records(spark, folder).filter("number IS NOT NULL")
+    assert parts.filter("number > 1").count() > 0
+
+
 def test_archives_round_trip(spark):
     import hashlib
 
