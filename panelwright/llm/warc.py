@@ -45,7 +45,7 @@ def chunked(text: Column, size: int) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, folder: str, least_revisit: int = 1000, segment: int = 1 << 16, chunk: int = 1 << 13, per_file: int = 1000,
+    pages: DataFrame, folder: str, least_revisit: int = 1000, segment: int = 1 << 13, chunk: int = 1 << 12, per_file: int = 1000,
     date: str = "2020-01-01T00:00:00Z",
 ) -> None:
     """Write gzip-compressed archives. A file holds at most ``per_file`` records of a segment (in code points) each."""
