@@ -58,6 +58,28 @@ def test_no_task_holds_the_heavy_key(spark):
     assert sum(sizes) == sum(plain) and max(sizes) <= 0.05 * sum(sizes) and max(plain) > 0.5 * sum(plain)
 
 
+def _shuffled_rows(plan):
+    """Rows written to shuffles by a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return own + sum(_shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_rows_of_a_heavy_key_are_not_copied(spark, how):
+    """4.5 million pairs in cells of 100: the shuffles carry the rows of both sides a few times, not a copy for each cell they meet in."""
+    a = spark.range(1500).select(F.lit(0).alias("k"), F.col("id").alias("v"))
+    b = spark.range(3000).select(F.lit(0).alias("k"), F.col("id").alias("w"))
+    met = pn.skewed_join(a, b, ["k"], how, cell_rows=100).groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.sum("w").alias("w"))
+    assert tuple(met.collect()[0]) == (1500 * 3000, 3000 * sum(range(1500)), 1500 * sum(range(3000)))
+    assert 0 < _shuffled_rows(met._jdf.queryExecution().executedPlan()) < 4 * 4500
+
+
 def test_empty_sides_and_other_joins(waves):
     a, b = waves
     b = b.drop("s.t")
