@@ -11,7 +11,8 @@ redrawn, round after round. The regressions need only sums of products, so
   pass never replays more than one round.
 
 All sums are taken around the columns' means. Rows with gaps get a number and
-are stored once; the rounds carry numbers only (row number, gaps, current cells)
+are stored once; the rounds carry numbers only (row number, gaps, current cells),
+in packed blocks that a round's checkpoint rewrites as blocks,
 and the other columns meet them once, at the end. A key may repeat.
 
 Draws are counter-based: an integer hash of (row identity, chain, round, column,
@@ -20,13 +21,13 @@ seed), so results depend neither on partitioning nor on retries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.codes import quoted
@@ -198,8 +199,7 @@ def mice(
         acc[0] += products(batch.matrix([f"x{i}" for i in range(p)]))
 
     constant = vector_sums(complete, [len(upper[0])], complete_products)[0]
-    numeric = [*[f"x{i}" for i in range(p)], "chain", "missing", "h"]
-    passes = keep_blocks(state.select(*numeric))
+    passes = keep_blocks(state.select(*[f"x{i}" for i in range(p)], "chain", "missing", "h", "number"))
     pending: list[_Update] = []
 
     def observed_products(column: int):
@@ -216,18 +216,10 @@ def mice(
 
         return vector_sums(passes, [len(upper[0])] * chains, accumulate)
 
-    def settle(current: DataFrame) -> DataFrame:
-        replayed = list(pending)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, chain, missing, h = _arrays(Columns(batch), p, seed)
-                x = _replay(x, chain, missing, h, replayed, sample)
-                for i in range(p):
-                    batch = batch.set_column(batch.schema.get_field_index(f"x{i}"), f"x{i}", pa.array(x[:, i]))
-                yield batch
-
-        return current.mapInArrow(run, current.schema)
+    def redrawn(replayed, batch) -> dict[str, np.ndarray]:
+        x, chain, missing, h = _arrays(batch, p, seed)
+        x = _replay(x, chain, missing, h, replayed, sample)
+        return {f"x{i}": x[:, i] for i in range(p)}
 
     for r in range(rounds):
         for column in order:
@@ -239,16 +231,12 @@ def mice(
                 models.append(ridge_from_moments(gram, column, tol))
             pending.append(_Update(column, r * p + column, models))
         if (r + 1) % checkpoint_every == 0 or r + 1 == rounds:
-            state, pending = cut_lineage(settle(state)), []
-            passes.unpersist()
-            if r + 1 < rounds:
-                passes = keep_blocks(state.select(*numeric))
+            passes, pending = passes.settled(functools.partial(redrawn, list(pending))), []
 
     binary = set()
     if round_binary:
         flags = df.agg(*[F.bool_and(value(c).isin(0.0, 1.0)).alias(f"b{i}") for i, c in enumerate(kept)]).first()
         binary = {c for i, c in enumerate(kept) if flags[f"b{i}"]}
-    passes.unpersist()
 
     def cell(c):
         """A column of the completed rows: what was observed, else the current draw."""
@@ -259,7 +247,7 @@ def mice(
         x = F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) if c in binary else x
         return F.when(F.col("missing").bitwiseAND(F.lit(1 << kept.index(c))) != 0, x).otherwise(own.cast("double")).alias(c)
 
-    drawn = state.select("number", "chain", *[f"x{i}" for i in range(p)])
+    drawn = passes.rows(["number", "chain", *[f"x{i}" for i in range(p)]])
     completed = drawn.join(stored.select("number", "row", "missing"), "number").select(*[cell(c) for c in df.columns], F.col("chain").alias(chain_col))
     if not sample:
         completed = replicate(completed.drop(chain_col), m, chain_col)

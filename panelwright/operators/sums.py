@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
+from panelwright.session import cut_lineage
+
 SCHEMA = "k int, pos int, val double"
 BLOCK_ROWS = 8192
 
@@ -76,6 +78,38 @@ class BlockFrame:
     def unpersist(self) -> None:
         self.df.unpersist()
 
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[Block]:
+        place = {n: i for i, n in enumerate(self.names)}
+        for n, raw in zip(batch.column(0), batch.column(1)):
+            yield Block(n.as_py(), raw.as_buffer(), place, self.whole)
+
+    def settled(self, change: Callable[[Block], dict[str, np.ndarray]]) -> BlockFrame:
+        """The blocks with the columns that ``change`` gives in place of the old ones, in a reliable checkpoint."""
+        shape = BlockFrame(None, self.names, self.whole)  # tasks get no frame
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in shape._parts(batch):
+                    values = part.values.copy()
+                    for name, column in change(part).items():
+                        values[part.place[name]] = column
+                    yield pa.RecordBatch.from_arrays([pa.array([len(part)], type=pa.int32()), pa.array([values.tobytes()])], names=["n", "data"])
+
+        after = BlockFrame(cut_lineage(self.df.mapInArrow(run, "n int, data binary")), self.names, self.whole)
+        self.unpersist()
+        return after
+
+    def rows(self, names: Sequence[str]) -> DataFrame:
+        """The named columns, unpacked."""
+        shape = BlockFrame(None, self.names, self.whole)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in shape._parts(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[n]) for n in names], names=list(names))
+
+        return self.df.mapInArrow(run, ", ".join(f"{n} {'bigint' if n in self.whole else 'double'}" for n in names))
+
 
 def keep_blocks(df: DataFrame) -> BlockFrame:
     """Pack a frame of doubles (NULL becomes NaN) and non-null integers, cached."""

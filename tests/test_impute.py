@@ -127,3 +127,17 @@ def test_large_means_lose_no_digits(gappy):
     got = mice(shifted, ["id"], COLS, m=1, rounds=2, sample=False).toPandas().sort_values("id")
     want = mice(df, ["id"], COLS, m=1, rounds=2, sample=False).toPandas().sort_values("id")
     assert got["b"].to_numpy() - 1e9 == pytest.approx(want["b"].to_numpy(), abs=1e-4)
+
+
+def test_rounds_rewrite_packed_blocks(spark):
+    """A round's checkpoint takes blocks and leaves blocks: doubles, whole numbers beyond 2 ** 53 and all rows survive."""
+    from panelwright.operators import sums
+
+    df = spark.range(20_000, numPartitions=3).select(F.col("id").cast("double").alias("x"), (F.col("id") + (1 << 60)).alias("n"))
+    kept = sums.keep_blocks(df)
+    blocks = kept.df.count()
+    for _ in range(2):
+        kept = kept.settled(lambda b: {"x": b["x"] + 0.5})
+    assert kept.df.columns == ["n", "data"] and kept.df.count() == blocks < 10
+    got = sorted(map(tuple, kept.rows(["n", "x"]).collect()))
+    assert got == [(i + (1 << 60), i + 1.0) for i in range(20_000)]
