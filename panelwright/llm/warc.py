@@ -44,16 +44,22 @@ def chunked(text: Column, size: int) -> Column:
     return F.concat(F.array_join(framed, ""), F.lit("0" + CRLF + CRLF))
 
 
+def with_last(pages: DataFrame, least_revisit: int) -> DataFrame:
+    """The pages with their digest; ``last`` is the largest page_id where payloads of at least ``least_revisit`` bytes repeat."""
+    sha = lambda c: F.sha1(c.cast("binary"))
+    long_ = pages.filter(F.octet_length("html") >= least_revisit).select("page_id", sha(F.col("html")).alias("sha"))
+    last = long_.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha").alias("same"), "last")
+    # the repeated digests are looked up by hash: pages need no sort, which would move every text once more
+    return pages.withColumn("sha", sha(F.col("html"))).join(last.hint("shuffle_hash"), F.col("sha") == F.col("same"), "left")
+
+
 def write_archives(
     pages: DataFrame, folder: str, least_revisit: int = 1000, segment: int = 1 << 13, chunk: int = 1 << 12, per_file: int = 1000,
     date: str = "2020-01-01T00:00:00Z",
 ) -> None:
     """Write gzip-compressed archives. A file holds at most ``per_file`` records of a segment (in code points) each."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), shared.whole_text("html").alias("html"))
-    sha = lambda c: F.sha1(c.cast("binary"))
-    long_ = p.filter(F.octet_length("html") >= least_revisit).select("page_id", sha(F.col("html")).alias("sha"))
-    last = long_.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("sha").alias("same"), "last")
-    told = p.withColumn("sha", sha(F.col("html"))).join(last, F.col("sha") == F.col("same"), "left")
+    told = with_last(p, least_revisit)
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     # the record id is a function of page and payload, so that a repeated task writes the same record
     name = lambda page: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("-")), F.col("sha")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))

@@ -268,3 +268,12 @@ def test_words_of_odd_texts(odd_rows):
             data = (texts[r] or "").encode()
             own = slice(w.first[r - a], w.first[r - a + 1])
             assert [data[s:e].decode() for s, e in zip(w.start[own], w.end[own])] == brute.WORD.findall(texts[r] or "")
+
+
+def test_pages_are_not_sorted_to_find_repeats(spark):
+    """The texts meet the repeated digests without a sort, and the right pages are told."""
+    pages = spark.createDataFrame([(1, "a" * 1000), (2, "a" * 1000), (3, "b" * 1000), (4, "c"), (5, "c"), (None, "")], "page_id long, html string")
+    told = warc.with_last(pages, 1000)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r["page_id"], r["last"]) for r in told.collect()} == {(1, 2), (2, 2), (3, None), (4, None), (5, None), (None, None)}
