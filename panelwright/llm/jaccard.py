@@ -20,6 +20,8 @@ Nulls and repeats: NULL text is empty, NULL doc_id is kept as a row, repeated ro
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +31,10 @@ from panelwright.llm.words import U, distinct_in_rows, fold_table, mix, pieces,
 
 #: Growth of the size classes that fix the number of slices.
 _STEP = 1.3
+#: Signatures that linked sets must have in common, at most (a signature's low bits hold one less); longest run of equal ones dealt as pairs.
+_SHARED, _PAIRED = 8, 8
+#: Arrow batches of signatures taken at once, and pairs that a task sums before it hands them on.
+_BATCHES, _HELD_PAIRS = 32, 1 << 18
 #: Tree: bits of a bitmap per shingle of a mean set, most 64-bit words of one, children of a node, words of bitmaps compared at once.
 _BITS, _BITMAP_WORDS, _FAN, _AT_ONCE = 32, 1024, 4, 1 << 20
 
@@ -42,8 +48,17 @@ def size_levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return low, 2 * (np.append(low[1:], int(low[-1] * _STEP) + 1) - 1) * (den - num) // (den + num)
 
 
+def slices_of(most: int) -> tuple[int, int]:
+    """Slices of sets that differ in ``most`` shingles, and how many of the first signatures linked ones have in common."""
+    m = -(-(most + 1) * 13 // 10)  # some to spare: thin slices, which unlike sets share by chance, come last
+    return m, 1 + min(_SHARED - 1, (m - most - 1) // 8)
+
+
 def slice_signatures(s: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndarray:
-    """Signatures of one sorted set: its own size class, and larger classes that a linked larger set can be in."""
+    """Signatures of one sorted set: its own size class, and larger classes that a linked larger set can be in.
+
+    A signature's low bits hold how many of its class linked sets have in common, less one.
+    """
     n = len(s)
     low, differ = size_levels(n * den // num + 1, num, den)
     own, last = np.searchsorted(low, n, "right") - 1, np.searchsorted(low, n * den // num, "right") - 1
@@ -58,12 +73,12 @@ def slice_signatures(s: np.ndarray, num: int, den: int, common: np.ndarray) -> n
             most = int(differ[level])
             if not most:
                 continue  # only equal sets link at this size: they are one class
-            m = -(-(most + 1) * 13 // 10)  # some to spare: thin slices, which unlike sets share by chance, come last
+            m, need = slices_of(most)
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U)
             cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             sig = mix(run[cut[1:]] - run[cut[:-1]] + mix(np.arange(m, dtype=U), level + 100), 13)
             order = np.lexsort((sig, cut[:-1] - cut[1:], rares[cut[:-1]] - rares[cut[1:]]))
-            out.append(sig[order[: most + 1]])
+            out.append(sig[order[: most + need]] & ~U(_SHARED - 1) | U(need - 1))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -157,42 +172,86 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, common: np.ndarr
     return _input(docs).select("text").mapInArrow(run, "sig long, node long")
 
 
+def _run_links(sig: np.ndarray, node: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by (sig, node): edges to the first of each run that is long or in ``whole`` (a flag for each row), and the pairs of the others.
+
+    Edges are rows of (u, v), pairs of (u, v, c, n): n signatures of which linked sets have c in common.
+    """
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    length = np.diff(np.r_[start, len(sig)]).astype(np.int64)
+    chained = whole | np.repeat(length > _PAIRED, length)
+    head = np.repeat(node[start], length)
+    at = chained & (node != head)
+    left, right = [], []
+    for d in range(1, min(_PAIRED, int(length.max(initial=1)))):
+        i = np.flatnonzero((sig[d:] == sig[:-d]) & ~chained[d:])
+        left.append(i), right.append(i + d)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    pairs = np.stack([node[i], node[j], (sig[i] & (_SHARED - 1)) + 1, np.ones(len(i), np.int64)], axis=1)
+    return np.unique(np.stack([node[at], head[at]], axis=1), axis=0), _summed(pairs)
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """One row for each (u, v, c) with the sum of n."""
+    pairs = pairs[np.lexsort(pairs.T[2::-1])]
+    first = np.flatnonzero(np.r_[True, (pairs[1:, :3] != pairs[:-1, :3]).any(axis=1)][: len(pairs)])
+    return np.column_stack([pairs[first, :3], np.add.reduceat(pairs[:, 3], first)]) if len(pairs) else pairs
+
+
 def _chains(signatures: DataFrame) -> DataFrame:
-    """Edges between classes that share a signature: each class to the first of its run, runs cut by tasks joined again.
+    """Edges between classes that can link: pairs with as many signatures in common as linked sets have, and the chains of long runs.
 
-    Rows are (u, v) edges, and per task one row of its ends: (part, first sig, first node, last sig, last head).
+    Runs cut by tasks are chained, and joined again. Rows written are (u, v, c, n), c NULL for edges, and per task one row of its
+    ends: (part, first sig, first node, last sig, last head).
     """
+    names = ["u", "v", "c", "n", "part", "s0", "n0", "s1", "n1"]
+
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        cols = [pa.array(np.ascontiguousarray(x)) for x in rows.T]
+        return pa.RecordBatch.from_arrays([*cols, *[none] * (len(names) - len(cols))], names=names)
 
     def run(batches):
         from pyspark import TaskContext
 
-        sig0 = head = start = None
-        for batch in batches:
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(sig):
-                continue
+        start, chained = None, True  # whether the run at hand is chained whatever its length: the task's first and last ones, and long ones
+        sig, node, pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        batches = ((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows)
+        while part := list(islice(batches, _BATCHES)):
             if start is None:
-                start = (int(sig[0]), int(node[0]))
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            new[0] = sig0 is None or sig[0] != sig0
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            heads = np.where(at >= 0, node[np.maximum(at, 0)], head if head is not None else node[0])
-            sig0, head = sig[-1], heads[-1]
-            pair = np.unique(np.stack([node, heads])[:, node != heads], axis=1)
-            if pair.shape[1]:
-                none = pa.nulls(pair.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), *[none] * 5], names=["u", "v", "part", "s0", "n0", "s1", "n1"])
+                start = (int(part[0][0][0]), int(part[0][1][0]))
+            sig, node = (np.concatenate([x, *y]) for x, y in zip((sig, node), zip(*part)))
+            once = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]  # copies in several tasks
+            sig, node = sig[once], node[once]
+            last = int(np.searchsorted(sig, sig[-1]))  # the last run may go on
+            open_long = len(sig) - last > _PAIRED or last == 0 and chained
+            end = len(sig) if open_long else last
+            edges, more = _run_links(sig[:end], node[:end], chained & (sig[:end] == sig[0]) | (np.arange(end) >= last))
+            if len(edges):
+                yield told(edges)
+            pairs.append(more)
+            if sum(map(len, pairs)) > _HELD_PAIRS:
+                pairs = [_summed(np.concatenate(pairs))]
+                if len(pairs[0]) > _HELD_PAIRS // 2:
+                    yield told(pairs.pop())
+            sig, node = (x[last : last + 1] if open_long else x[last:] for x in (sig, node))
+            chained = open_long
         if start is not None:
-            ends = [None, None, TaskContext.get().partitionId(), *start, int(sig0), int(head)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in ends], names=["u", "v", "part", "s0", "n0", "s1", "n1"])
+            edges, _ = _run_links(sig, node, np.ones(len(sig), bool))
+            if len(edges):
+                yield told(edges)
+            if len(rows := _summed(np.concatenate(pairs))):
+                yield told(rows)
+            ends = [None, None, None, None, TaskContext.get().partitionId(), *start, int(sig[0]), int(node[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in ends], names=names)
 
     ordered = signatures.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
-    rows = shared.written(ordered.mapInArrow(run, "u long, v long, part long, s0 long, n0 long, s1 long, n1 long"), "chains")
-    edges = rows.filter("part IS NULL").select("u", "v")
+    rows = shared.written(ordered.mapInArrow(run, ", ".join(f"{x} long" for x in names)), "chains")
+    edges = rows.filter("part IS NULL AND c IS NULL").select("u", "v")
+    pairs = rows.filter("c IS NOT NULL").groupBy("u", "v", "c").agg(F.sum("n").alias("n")).filter("n >= c").select("u", "v")
     # one row per task: the window's single partition is bounded by the number of tasks
     ends = rows.filter("part IS NOT NULL").selectExpr("s0", "n0", "lag(s1) OVER (ORDER BY part) AS s1", "lag(n1) OVER (ORDER BY part) AS n1")
-    return edges.union(ends.filter("s0 = s1 AND n0 != n1").select(F.col("n0").alias("u"), F.col("n1").alias("v"))).distinct()
+    return edges.union(pairs).union(ends.filter("s0 = s1 AND n0 != n1").select(F.col("n0").alias("u"), F.col("n1").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

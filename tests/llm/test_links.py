@@ -44,6 +44,50 @@ def test_near_copies_in_one_tree_and_in_blocks(spark, size, num, block):
     assert found(docs, size=size, num=num, den=100, block=block) == sorted(brute.jaccard_components(rows, size, num, 100), key=str)
 
 
+def chained(signatures):
+    """Sets of classes that the edges join."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in jaccard._chains(signatures).collect():
+        up[root(r["u"])] = root(r["v"])
+    groups = {}
+    for x in list(up):
+        groups.setdefault(root(x), set()).add(x)
+    return list(groups.values())
+
+
+def test_unlike_long_sets_do_not_grow_together(spark):
+    """Sixty long texts of nine words share slices by chance; only the one near copy makes a group."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(9)}" for _ in range(1000)] for _ in range(60)]
+    texts.append(["other", *texts[0][1:]])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    groups = chained(jaccard._signatures(docs, 5, 80, 100, np.zeros(0, np.uint64)))
+    assert sum(len(g) for g in groups) <= 10 and any(len(g) >= 2 for g in groups)
+    kept = {r["doc_id"] for r in jaccard.keep_one(docs).select("doc_id").collect()}
+    assert kept == set(range(60))
+
+
+def test_classes_with_enough_common_signatures_are_joined(spark):
+    """Runs short and long, whole and cut by tasks, with repeated rows: c common signatures put two classes into one group."""
+    rng = random.Random(3)
+    rows = {(16 * s + c - 1, node) for node in range(200) for c in (1, 3) for s in [rng.randrange(40, 700) for _ in range(6)]}
+    rows |= {(2, node) for node in range(0, 60, 3)} | {(16 * s + 2, node) for s in range(1, 30) for node in (500, 501)}
+    of = {node: {s for s, n in rows if n == node} for _, node in rows}
+    signatures = spark.createDataFrame(sorted(rows) + sorted(rows)[::7], "sig long, node long").repartition(3)
+    group = {x: i for i, g in enumerate(chained(signatures)) for x in g}
+    for u, v in ((u, v) for u in of for v in of if u < v):
+        both = of[u] & of[v]
+        if any(sum(s % 8 + 1 == c for s in both) >= c for c in (1, 3)):
+            assert group[u] == group[v]
+    assert group[500] == group[501] and group[500] not in {group.get(x) for x in range(200)}
+
+
 def test_tree_links_span_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 30)) for _ in range(90)]
